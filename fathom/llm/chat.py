@@ -87,7 +87,7 @@ def canonical(record: Any, mappings: dict[str, dict[str, Any]]) -> list[tuple[st
     if "each" in mapping:
         items = record[mapping["each"]] if mapping["each"] else [record]
         turns = [(ROLES.get(r := _text(x.get(mapping["role"])), r), _text(x.get(mapping["text"]))) for x in items]
-        return [("system", _text(record["system"]))] * ("system" in record) + turns
+        return [("system", _text(record["system"])), *turns] if "system" in record and mapping["each"] else turns
     turns = []
     for role, fields in mapping["turns"]:
         if any(f in record for f in fields):
