@@ -7,10 +7,16 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import chat, media, mixing, sharding
+from fathom.llm import chat, media, mixing, quality, sharding
 from fathom.llm.stage import stored, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality_probability")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = sharding.place(stored(sharding.measured(docs).drop("text"), "sharding"))
@@ -106,5 +112,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM r GROUP BY conv_id
 """
 
-QUERIES = {"op2_sharding": op2_sharding, "op3_media": op3_media, "op5_mixing": op5_mixing, "op8_chat": op8_chat}
+QUERIES = {"op1_quality": op1_quality, "op2_sharding": op2_sharding, "op3_media": op3_media, "op5_mixing": op5_mixing, "op8_chat": op8_chat}
 ORACLE = {"op5_mixing": OP5_SQL, "op8_chat": OP8_SQL}
