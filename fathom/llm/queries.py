@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import chat, media, mixing, quality, sharding
+from fathom.llm import chat, html, media, mixing, packing, quality, sharding
 from fathom.llm.stage import stored, table
 
 
@@ -81,6 +81,17 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"))
+    cut = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(stored(cut, "packing"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = html.extract(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -112,5 +123,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM r GROUP BY conv_id
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_sharding": op2_sharding, "op3_media": op3_media, "op5_mixing": op5_mixing, "op8_chat": op8_chat}
+QUERIES = {"op1_quality": op1_quality, "op2_sharding": op2_sharding, "op3_media": op3_media, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_html": op6_html, "op8_chat": op8_chat}
 ORACLE = {"op5_mixing": OP5_SQL, "op8_chat": OP8_SQL}
