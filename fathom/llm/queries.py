@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import chat, html, media, mixing, packing, quality, sharding
+from fathom.llm import chat, html, media, mixing, neardup, packing, quality, sharding, substrings
 from fathom.llm.stage import stored, table
 
 
@@ -92,6 +92,15 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -123,5 +132,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM r GROUP BY conv_id
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_sharding": op2_sharding, "op3_media": op3_media, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_html": op6_html, "op8_chat": op8_chat}
+QUERIES = {"op1_quality": op1_quality, "op2_sharding": op2_sharding, "op3_media": op3_media, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_html": op6_html, "op7_neardup": op7_neardup, "op8_chat": op8_chat, "op9_substrings": op9_substrings}
 ORACLE = {"op5_mixing": OP5_SQL, "op8_chat": OP8_SQL}
