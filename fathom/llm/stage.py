@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,15 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: A side of a join up to this size is broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def sized(frame: DataFrame, row_bytes: int) -> DataFrame:
+    """frame, a stored table, marked for broadcast if its rows of about row_bytes stay within BROADCAST_BYTES."""
+    return F.broadcast(frame) if frame.count() * row_bytes <= BROADCAST_BYTES else frame
+
+
 def fresh(frame: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with none of frame's."""
     taken = {c.lower() for c in frame.columns}
