@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import chat, html, media, mixing, neardup, packing, quality, sharding, substrings
+from fathom.llm import chat, hmm, html, media, mixing, neardup, packing, quality, sharding, substrings
 from fathom.llm.stage import stored, table
 
 
@@ -101,6 +101,10 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -132,5 +136,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM r GROUP BY conv_id
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_sharding": op2_sharding, "op3_media": op3_media, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_html": op6_html, "op7_neardup": op7_neardup, "op8_chat": op8_chat, "op9_substrings": op9_substrings}
+QUERIES = {"op1_quality": op1_quality, "op2_sharding": op2_sharding, "op3_media": op3_media, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_html": op6_html, "op7_neardup": op7_neardup, "op8_chat": op8_chat, "op9_substrings": op9_substrings, "op10_hmm": op10_hmm}
 ORACLE = {"op5_mixing": OP5_SQL, "op8_chat": OP8_SQL}
