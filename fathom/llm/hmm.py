@@ -94,12 +94,18 @@ class Lexicon:
 
 
 def lexicon(words: DataFrame) -> Lexicon:
-    """The lexicon of a stored vocabulary: the LOOKUP most frequent tokens and sums by class go through the driver."""
-    top = words.orderBy(F.desc("n"), "hash").limit(LOOKUP).toPandas()
+    """The lexicon of a stored vocabulary: its most frequent tokens, LOOKUP at most, and sums by class go through the driver.
+
+    Tokens that tie at the least count are all in or all out.
+    """
+    often = words.groupBy("n").agg(F.count("*").alias("types")).toArrow().to_pandas().sort_values("n", ascending=False)
+    often = often[often["types"].cumsum() <= LOOKUP]
+    least = int(often["n"].min()) if len(often) else 1 << 62
+    top = words.where(F.col("n") >= least).toArrow().to_pandas().sort_values(["n", "hash"], ascending=[False, True], ignore_index=True)
     end = top["hash"] == END
-    top = pd.concat([top[end], top[~end]]) if end.any() else pd.concat([words.where(F.col("hash") == END).toPandas(), top])
+    top = pd.concat([top[end], top[~end]]) if end.any() else pd.concat([words.where(F.col("hash") == END).toArrow().to_pandas(), top])
     total, types = words.agg(F.sum("n"), F.count("*")).first()
-    by_class = words.where(F.col("hash") != END).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
+    by_class = words.where(F.col("hash") != END).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow().to_pandas()
     n, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     n[by_class["kind"]], kinds[by_class["kind"]] = by_class["n"], by_class["types"]
     own = top.iloc[:WORDS]
@@ -273,7 +279,7 @@ def baum_welch(codes: DataFrame, unigram: np.ndarray, states: int = STATES, iter
             yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(total[row, k]) for k in range(states))], names=["row", *columns])
 
         sums = codes.select("symbols").mapInArrow(run, "row long, " + ", ".join(f"{c} double" for c in columns))
-        found = sums.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+        found = sums.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toArrow().to_pandas()
         total = np.zeros((size + states + 1, states))
         total[found["row"]] = found[columns].to_numpy()
         emit = total[:size] + PRIOR * unigram[:, None]
