@@ -1,12 +1,339 @@
-"""The registered queries over the given tables, each with its SQL where SQL can say it."""
+"""The registered queries over the given tables, each with its SQL where SQL can say it.
+
+Events stand for frames (a user is a session, the event type a label), embeddings
+of 64 numbers for 8 x 8 depth images.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fathom.operators import depth, frames, metrics, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+GAP_MS = 72 * 3_600_000.0
+
+FRAMES = """frames AS (
+  SELECT user_id AS session, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS pos,
+         coalesce(nullif(event_type, ''), 'unlabeled') AS label, epoch_us(ts) / 1000.0::DOUBLE AS t_ms, value, (value < 60)::INT AS valid FROM events
+), f AS (SELECT *, pos // 40 AS trial FROM frames)"""
+
+RUNS = f"""WITH {FRAMES}, r AS (
+  SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos) - row_number() OVER (PARTITION BY session, label ORDER BY pos) AS island FROM f
+), runs AS (SELECT session, label, min(pos) AS start, count(*) AS length FROM r GROUP BY session, label, island
+), longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY session, label ORDER BY length DESC, start) = 1)"""
+
+CLIPS = f"""WITH {FRAMES}, s AS (
+  SELECT session, unnest(generate_series(0, max(pos) - 15, 4)) AS start FROM f GROUP BY session HAVING max(pos) >= 15
+), w AS (
+  SELECT s.session, s.start, f.*, t_ms - lag(t_ms) OVER (PARTITION BY s.session, s.start ORDER BY f.pos) AS step
+  FROM s JOIN f ON f.session = s.session AND f.pos BETWEEN s.start AND s.start + 15
+), m AS (
+  SELECT session, start, label, count(*) AS n_label FROM w GROUP BY session, start, label
+  QUALIFY row_number() OVER (PARTITION BY session, start ORDER BY count(*) DESC, min(pos)) = 1
+), c AS (
+  SELECT session, start, count(DISTINCT trial) > 1 AS straddles, max(step) AS gap_ms, avg(valid) AS mean_valid, min(trial) AS trial FROM w GROUP BY session, start
+), v AS (
+  SELECT c.*, m.label, m.n_label, CASE WHEN straddles THEN 'straddles_trial' WHEN gap_ms > {GAP_MS} THEN 'time_gap' WHEN mean_valid < 0.4 THEN 'low_valid_depth'
+    WHEN n_label / 16.0 < 0.25 THEN 'impure_label' WHEN label = 'unlabeled' THEN 'unlabeled' END AS reason
+  FROM c JOIN m USING (session, start)
+)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.positions(read(spark, sf_dir, "events")).withColumn("valid", (F.col("value") < 60).cast("int"))
+
+
+def event_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.clip_verdicts(frames.clip_candidates(event_frames(spark, sf_dir)), GAP_MS, min_purity=0.25)
+
+
+@query(CLIPS + " SELECT session, start::INT AS start, label, n_label::BIGINT AS n_label, trial::INT AS trial FROM v WHERE reason IS NULL")
+def clip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_clips(spark, sf_dir).where("reason IS NULL").select("session", "start", "label", "n_label", "trial")
+
+
+@query(CLIPS + " SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM v GROUP BY 1")
+def clip_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_clips(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(CLIPS + " SELECT session, start::INT AS start, floor(gap_ms)::BIGINT AS gap_ms FROM v WHERE gap_ms > 72 * 3600000")
+def time_gap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_clips(spark, sf_dir).where(F.col("gap_ms") > GAP_MS).select("session", "start", F.floor("gap_ms").alias("gap_ms"))
+
+
+@query(RUNS + " SELECT session, label, start::INT AS start, length FROM longest")
+def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.longest_run(event_frames(spark, sf_dir))
+
+
+@query(RUNS + """ SELECT f.session, f.pos, false AS fallback FROM f JOIN longest l ON f.session = l.session AND l.label = 'view'
+  WHERE l.length >= 3 AND f.pos >= l.start AND f.pos < l.start + least(l.length, 4)""")
+def reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.reference_rows(event_frames(spark, sf_dir), "view", seconds=0.125, fps=32, least=3)
+
+
+@query(RUNS + """, l AS (SELECT * FROM longest WHERE label = 'view' AND length >= 3)
+  SELECT f.session, f.pos, l.start IS NULL AS fallback FROM f LEFT JOIN l USING (session)
+  WHERE f.pos >= coalesce(l.start, 0) AND f.pos < coalesce(l.start, 0) + least(coalesce(l.length, 4), 4)""")
+def reference_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.reference_rows(event_frames(spark, sf_dir), "view", seconds=0.125, fps=32, least=3, fallback=True)
+
+
+def split_sql(val: float, test: float) -> str:
+    return f"""WITH RECURSIVE names AS (SELECT session, row_number() OVER (ORDER BY session) AS k FROM (SELECT DISTINCT user_id::VARCHAR AS session FROM events)),
+  fold(k, session, split, n_test, n_val, n_train) AS (
+    SELECT 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE
+    UNION ALL
+    SELECT k, session, split, n_test + (split = 'test')::INT, n_val + (split = 'val')::INT, n_train + (split = 'train')::INT FROM (
+      SELECT n.k, n.session, f.n_test, f.n_val, f.n_train, CASE
+        WHEN {test} > 0 AND {test}::DOUBLE - f.n_test / n.k >= CASE WHEN {val} > 0 THEN {val}::DOUBLE - f.n_val / n.k ELSE -1e9 END
+          AND {test}::DOUBLE - f.n_test / n.k >= (1 - {test}::DOUBLE - {val}::DOUBLE) - f.n_train / n.k THEN 'test'
+        WHEN {val} > 0 AND {val}::DOUBLE - f.n_val / n.k >= (1 - {test}::DOUBLE - {val}::DOUBLE) - f.n_train / n.k THEN 'val' ELSE 'train' END AS split
+      FROM fold f JOIN names n ON n.k = f.k + 1))
+  SELECT session, split FROM fold WHERE k > 0"""
+
+
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"))
+
+
+@query(split_sql(0.2, 0.2))
+def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign_splits(event_sessions(spark, sf_dir))
+
+
+@query(split_sql(0.0, 0.2))
+def split_zero_val(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign_splits(event_sessions(spark, sf_dir), val=0.0)
+
+
+@query()
+def split_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = event_sessions(spark, sf_dir)
+    pins = names.where(F.col("session").cast("long") % 3 == 0).distinct().withColumn("split", F.lit("val"))
+    return splits.assign_splits(names, previous=pins)
+
+
+@query("SELECT 'unlabeled' AS label, 0 AS label_id UNION ALL SELECT label, row_number() OVER (ORDER BY label)::INT FROM (SELECT DISTINCT event_type AS label FROM events)")
+def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.label_ids(read(spark, sf_dir, "events").select(F.col("event_type").alias("label")))
+
+
+@query("SELECT user_id % 3 AS part, event_type AS label, count(*) AS n FROM events GROUP BY GROUPING SETS ((user_id % 3), (event_type), (user_id % 3, event_type), ())")
+def counts_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("part"), F.col("event_type").alias("label"))
+    return d.cube("part", "label").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT label, coalesce(n, 0) AS n FROM (SELECT DISTINCT event_type AS label FROM events UNION ALL SELECT 'absent') LEFT JOIN
+  (SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1) USING (label))
+  SELECT label, n, CASE WHEN n > 0 THEN (sum(n) OVER ())::DOUBLE / ((sum((n > 0)::INT) OVER ()) * n) ELSE 0 END AS weight FROM c""")
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "events").select(F.col("event_type").alias("label"))
+    return metrics.class_weights(d, d.distinct().union(spark.createDataFrame([("absent",)], "label string")))
+
+
+JUDGED = "j AS (SELECT quality AS truth, (n_chars > 1500)::INT AS guess FROM labels JOIN documents USING (doc_id))"
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 1500).cast("int").alias("guess"))
+    return read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("truth")).join(docs, "doc_id")
+
+
+@query(f"WITH {JUDGED} SELECT truth, guess, count(*) AS n FROM j GROUP BY ALL")
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(judged(spark, sf_dir))
+
+
+PRF = f"""WITH {JUDGED}, c AS (SELECT truth AS class, count(*) AS actual, sum((truth = guess)::INT) AS hit FROM j GROUP BY 1),
+  p AS (SELECT class, actual, hit, coalesce(called, 0) AS called FROM c LEFT JOIN (SELECT guess AS class, count(*) AS called FROM j GROUP BY 1) USING (class)),
+  s AS (SELECT class, CASE WHEN called > 0 THEN hit / called ELSE 0 END::DOUBLE AS precision, (hit / actual)::DOUBLE AS recall FROM p),
+  t AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM s)"""
+
+
+@query(PRF + " SELECT class, precision, recall, f1 FROM t")
+def per_class_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.per_class(metrics.confusion(judged(spark, sf_dir)))
+
+
+@query(PRF + " SELECT floor(avg(f1) * 1e9)::BIGINT AS macro_f1, (SELECT floor(avg((truth = guess)::INT) * 1e9)::BIGINT FROM j) AS accuracy FROM t")
+def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = metrics.confusion(judged(spark, sf_dir))
+    hits = counts.agg((F.sum(F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0)) / F.sum("n")).alias("a"))
+    f1 = metrics.per_class(counts).agg(F.avg("f1").alias("f"))
+    return f1.crossJoin(hits).select(F.floor(F.col("f") * 1e9).alias("macro_f1"), F.floor(F.col("a") * 1e9).alias("accuracy"))
+
+
+@query("""SELECT user_id AS session, count(*) AS n, floor(avg((value < 60)::INT) * 1e6)::BIGINT AS valid, floor(quantile_cont(value, 0.5) * 1e6)::BIGINT AS median,
+  floor(stddev_pop(value) * 1e4)::BIGINT AS std FROM events GROUP BY 1""")
+def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session"))
+    return d.agg(
+        F.count("*").alias("n"),
+        F.floor(F.avg((F.col("value") < 60).cast("int")) * 1e6).alias("valid"),
+        F.floor(F.median("value") * 1e6).alias("median"),
+        F.floor(F.stddev_pop("value") * 1e4).alias("std"),
+    )
+
+
+@query("SELECT event_type AS label, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.95) AS p95 FROM events WHERE value > 2 AND value < 300 GROUP BY 1")
+def observed_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "events").where("value > 2 AND value < 300").groupBy(F.col("event_type").alias("label"))
+    return d.agg(F.percentile("value", F.lit(0.05)).alias("p5"), F.percentile("value", F.lit(0.95)).alias("p95"))
+
+
+@query("""WITH d AS (SELECT value AS d FROM events WHERE value > 5 AND value < 435), b AS (SELECT least(floor((d - 5.0) / 10.0), 42) AS bin, count(*) AS n FROM d GROUP BY 1),
+  c AS (SELECT 5 + (bin + 0.5) * 10.0 AS distance FROM b QUALIFY row_number() OVER (ORDER BY n DESC, bin) = 1)
+  SELECT distance, floor(avg((abs(d - distance) <= 20)::INT) * 1e9)::BIGINT AS share FROM d, c GROUP BY 1""")
+def suggest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "events").select(F.col("value").alias("d"))
+    return depth.distance_histogram(d, 5.0, 435.0, 43, 500, 20.0).select("distance", F.floor(F.col("share") * 1e9).alias("share"))
+
+
+@query(f"WITH {FRAMES}, n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos) AS k FROM f WHERE label = 'click') SELECT session, pos FROM n WHERE (k - 1) % 5 = 0")
+def every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = event_frames(spark, sf_dir).where("label = 'click'")
+    return d.withColumn("k", F.row_number().over(Window.partitionBy("session").orderBy("pos"))).where("(k - 1) % 5 = 0").select("session", "pos")
+
+
+@query(f"WITH {FRAMES} SELECT session, pos FROM f WHERE label IN ('click', 'view') AND trial = 1 AND pos >= 42 AND pos < 60")
+def select_rows_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_frames(spark, sf_dir).where("label IN ('click', 'view') AND trial = 1 AND pos >= 42 AND pos < 60").select("session", "pos")
+
+
+@query(f"""WITH {FRAMES}, r AS (SELECT session, pos, count(*) OVER w AS n, t_ms - first_value(t_ms) OVER w AS span FROM f WINDOW w AS (PARTITION BY session ORDER BY pos ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+  SELECT session, pos, CASE WHEN span > 0 THEN floor((n - 1) / (span / 1000) * 1e12)::BIGINT ELSE 0 END AS rate FROM r""")
+def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("session").orderBy("pos").rowsBetween(-29, 0)
+    d = event_frames(spark, sf_dir).select("session", "pos", F.count("*").over(w).alias("n"), (F.col("t_ms") - F.first("t_ms").over(w)).alias("span"))
+    return d.select("session", "pos", F.when(F.col("span") > 0, F.floor((F.col("n") - 1) / (F.col("span") / 1000) * 1e12)).otherwise(0).alias("rate"))
+
+
+@query(f"WITH {FRAMES} SELECT session, pos, sum((label = 'signup')::INT) OVER (PARTITION BY session ORDER BY pos)::BIGINT AS trial FROM f")
+def trial_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("session").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return event_frames(spark, sf_dir).select("session", "pos", F.sum((F.col("label") == "signup").cast("int")).over(w).alias("trial"))
+
+
+@query(f"""WITH {FRAMES}, l AS (SELECT session, list(value ORDER BY pos) AS v FROM f GROUP BY 1)
+  SELECT session, floor(list_reduce(v, lambda s, p: 0.6::DOUBLE * p + (1 - 0.6::DOUBLE) * s) * 1e6)::BIGINT AS ema FROM l""")
+def ema_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"])
+    return event_frames(spark, sf_dir).groupBy("session").agg(F.floor(frames.ema(ordered) * 1e6).alias("ema"))
+
+
+@query("""WITH o AS (SELECT user_id AS session, count(*) AS n_old FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1), n AS (SELECT user_id AS session, count(*) AS n_new FROM events GROUP BY 1)
+  SELECT session, CASE WHEN n_old IS NULL THEN 'build' WHEN n_old = n_new THEN 'reuse' ELSE 'refresh' END AS action FROM n LEFT JOIN o USING (session)""")
+def cache_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts")
+    old = e.where("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'").groupBy("session").agg(F.count("*").alias("n_old"))
+    new = e.groupBy("session").agg(F.count("*").alias("n_new")).join(old, "session", "left")
+    return new.select("session", F.when(F.col("n_old").isNull(), "build").when(F.col("n_old") == F.col("n_new"), "reuse").otherwise("refresh").alias("action"))
+
+
+@query("""WITH m AS (SELECT user_id AS session, event_type AS label, avg(value) AS dc FROM events GROUP BY ALL)
+  SELECT session, CASE WHEN count(*) > 1 THEN floor((max(dc) - min(dc)) * 1e6) ELSE 0 END::BIGINT AS spread FROM m GROUP BY 1""")
+def dc_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session"), "event_type").agg(F.avg("value").alias("dc"))
+    return m.groupBy("session").agg(F.when(F.count("*") > 1, F.floor((F.max("dc") - F.min("dc")) * 1e6)).otherwise(0).alias("spread"))
+
+
+# Embeddings as 8 x 8 depth images.
+
+PIXELS = """p AS (SELECT vec_id, label, px - 1 AS px, (px - 1) % 8 AS u, (px - 1) // 8 AS v, embedding[px]::DOUBLE AS d
+  FROM (SELECT vec_id, label, embedding, unnest(range(1, 65)) AS px FROM embeddings))"""
+
+
+def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("image"))
+    return depth.pixels(d, "vec_id", "image", 8)
+
+
+@query(f"""WITH {PIXELS} SELECT vec_id, avg((d IS NOT NULL)::INT) AS valid_frac, avg((abs(d) >= 0.2 - 1e-3)::INT) AS rail_frac, floor(stddev_pop(d) * 1e6)::BIGINT AS std,
+  floor(median(d) * 1e9)::BIGINT AS median FROM p GROUP BY 1""")
+def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = depth.frame_stats(image_pixels(spark, sf_dir), "vec_id", 0.2)
+    return d.select("vec_id", "valid_frac", "rail_frac", F.floor(F.col("std") * 1e6).alias("std"), F.floor(F.col("median") * 1e9).alias("median"))
+
+
+@query(f"WITH {PIXELS} SELECT px::INT AS px, avg((d > -0.02 AND d < 0.3)::INT) AS share FROM p GROUP BY 1 HAVING avg((d > -0.02 AND d < 0.3)::INT) >= 0.5")
+def stable_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depth.stable_pixels(image_pixels(spark, sf_dir), -0.02, 0.3)
+
+
+@query(f"WITH {PIXELS} SELECT label, px::INT AS px, median(d) AS d FROM p GROUP BY label, px")
+def pixel_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_pixels(spark, sf_dir).groupBy("label", "px").agg(F.median("d").alias("d"))
+
+
+@query(f"""WITH {PIXELS}, r AS (SELECT label, px, median(d) AS r FROM p GROUP BY ALL)
+  SELECT vec_id, sum(floor(greatest(-1, least(1, (d - r) / 0.2)) * 1e6))::BIGINT AS depth, count(d - r) AS mask FROM p JOIN r USING (label, px) GROUP BY 1""")
+def deform_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = F.transform(F.sort_array(F.collect_list(F.struct("px", "d"))), lambda x: x["d"])
+    reference = image_pixels(spark, sf_dir).groupBy("label", "px").agg(F.median("d").alias("d")).groupBy("label").agg(image.alias("reference"))
+    d = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("image")).join(reference, "label")
+    d = d.select("vec_id", depth.deform(F.col("image"), F.col("reference"), 0.2).alias("m"))
+    total = F.aggregate("m.depth", F.lit(0).cast("long"), lambda s, x: s + F.floor(x * 1e6))
+    return d.select("vec_id", total.alias("depth"), F.aggregate("m.mask", F.lit(0.0), lambda s, x: s + x).cast("long").alias("mask"))
+
+
+@query(f"""WITH {PIXELS}, q AS (SELECT vec_id, u // 2 AS cu, v // 2 AS cv, CASE WHEN d > -0.05 THEN d END AS d FROM p)
+  SELECT vec_id, cv::INT AS cv, cu::INT AS cu, CASE WHEN count(d) / 4 > 0.3 THEN floor(avg(d) * 1e9)::BIGINT END AS d FROM q GROUP BY vec_id, cv, cu""")
+def masked_resize_8to4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = image_pixels(spark, sf_dir).withColumn("d", F.when(F.col("d") > -0.05, F.col("d")))
+    return depth.masked_resize(px, "vec_id", 2, 0.3).select("vec_id", "cv", "cu", F.floor(F.col("d") * 1e9).alias("d"))
+
+
+@query(f"WITH {PIXELS} SELECT vec_id, px::INT AS px, (u - 3.5) * d / 6.0 AS x, (v - 3.5) * d / 6.0 AS y, d AS z FROM p WHERE d > 0")
+def deproject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depth.deproject(image_pixels(spark, sf_dir), 6.0, 6.0, 3.5, 3.5).where("z IS NOT NULL").select("vec_id", "px", "x", "y", "z")
+
+
+MESH = f"""WITH {PIXELS}, q AS (SELECT *, (u - 3.5) * d / 6.0 AS x, (v - 3.5) * d / 6.0 AS y, row_number() OVER (PARTITION BY vec_id ORDER BY v, u) - 1 AS id FROM p WHERE d > 0),
+  t AS (
+    SELECT a.vec_id, a.id i0, b.id i1, c.id i2, a.x ax, a.y ay, a.d az, b.x bx, b.y by_, b.d bz, c.x cx, c.y cy, c.d cz
+    FROM q a JOIN q b ON b.vec_id = a.vec_id AND b.u = a.u AND b.v = a.v + 1 JOIN q c ON c.vec_id = a.vec_id AND c.u = a.u + 1 AND c.v = a.v
+    UNION ALL
+    SELECT a.vec_id, a.id, b.id, c.id, a.x, a.y, a.d, b.x, b.y, b.d, c.x, c.y, c.d
+    FROM q a JOIN q b ON b.vec_id = a.vec_id AND b.u = a.u - 1 AND b.v = a.v + 1 JOIN q c ON c.vec_id = a.vec_id AND c.u = a.u AND c.v = a.v + 1
+  )
+  SELECT vec_id, i0::INT AS i0, i1::INT AS i1, i2::INT AS i2 FROM t WHERE sqrt((ax-bx)**2 + (ay-by_)**2 + (az-bz)**2) < 0.1
+    AND sqrt((cx-bx)**2 + (cy-by_)**2 + (cz-bz)**2) < 0.1 AND sqrt((ax-cx)**2 + (ay-cy)**2 + (az-cz)**2) < 0.1"""
+
+
+@query(MESH)
+def mesh_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depth.mesh_faces(depth.deproject(image_pixels(spark, sf_dir), 6.0, 6.0, 3.5, 3.5), "vec_id", 0.1)
+
+
+@query("""WITH l AS (SELECT vec_id, k, exp(embedding[k]::DOUBLE) AS e FROM (SELECT vec_id, embedding, unnest([1, 2, 3, 4]) AS k FROM embeddings)), s AS (SELECT *, sum(e) OVER (PARTITION BY vec_id) AS t FROM l)
+  SELECT vec_id, (k - 1)::INT AS top, floor(e / t * 1e9)::BIGINT AS confidence FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, k) = 1""")
+def softmax_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 4), F.exp)
+    d = read(spark, sf_dir, "embeddings").select("vec_id", e.alias("e")).withColumn("t", F.aggregate("e", F.lit(0.0), lambda s, x: s + x))
+    top = F.array_max("e")
+    return d.select("vec_id", (F.array_position("e", top) - 1).cast("int").alias("top"), F.floor(top / F.col("t") * 1e9).alias("confidence"))
