@@ -76,8 +76,8 @@ def test_shards_are_near_equal_and_slots_gapless(docs, empty):
         size[r.shard] += r["size"]
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    largest = max(r["size"] for r in rows)  # one text can't be split
-    assert max(size.values()) <= max(largest, 1.6 * sum(size.values()) / 4)
+    largest = max(r["size"] for r in rows)  # one text can't be split, and its shard takes short ones for the rows' sake
+    assert max(size.values()) <= max(1.1 * largest, 1.6 * sum(size.values()) / 4)
     shard = collections.defaultdict(set)
     for r in rows:
         shard[r.text or ""].add(r.shard)
