@@ -10,12 +10,17 @@ then gives every piece its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +32,7 @@ GROUPS = 64
 #: Unit of the first search for configurations.
 COARSE = 16
 #: Entries of the tokenizer's cache of words, in each Python worker.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 END_ID = 0
 
@@ -38,51 +43,73 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokenizer:
-    """ids of whole texts from a tokenizer that drops white space, word by word through a cache.
+#: The tokenizer's matches, in normalized text; none crosses white space.
+_MATCH = regex.compile(r"\p{L}+|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+")
+#: Characters whose classes only the tokenizer itself judges, as it does its special strings, which begin with <|.
+_UNSURE = re.compile(r"[^\x00-\u012f\u0131-\u052f\u2000-\u2064\u20a0-\u20bf\u2122]")
+#: A longer text is worked on in parts of about this many characters, cut before a space.
+_PART = 1 << 20
 
-    The tokenizer's pattern never matches across white space, so the ids of a text
-    are those of its parts between spaces, joined; letters and the ASCII
-    punctuation after them are separate matches too.
-    """
+
+class WordTokenizer:
+    """ids of whole texts, match by match through a cache; texts with _UNSURE characters or special strings go through the tokenizer whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.parts) + len(new) > CACHED_WORDS:
-            self.parts.clear()
-        split = {}
-        for word in new:
-            core = word.rstrip("!#$%&()*+,-./:;=?@[]^_`{|}~")
-            split[word] = (core, word[len(core) :]) if core.isalpha() else (word, "")
-        parts = list({p for pair in split.values() for p in pair if p and p not in self.parts})
-        self.parts.update(zip(parts, self._encode(parts), strict=True))
-        self.parts[""] = b""
-        self.words.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in split.items())
+    def _matches(self, text: str) -> list[str]:
+        # The tokenizer's lower case knows no final sigma.
+        return _MATCH.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
+
+    def _joined(self, parts: list[list[str]]) -> list[bytes]:
+        different = set().union(*parts)
+        if new := [m for m in different if m not in self.known]:
+            if len(self.known) + len(new) > CACHED_WORDS:
+                self.known.clear()
+                new = list(different)
+            self.known.update(zip(new, self._encode(new), strict=True))
+        return [b"".join(map(self.known.__getitem__, matches)) for matches in parts]
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
-        words = text.split()
-        known = self.words
-        if new := [w for w in set(words) if w not in known]:
-            self._learn(new)
-            known = self.words
-            if len(known) > CACHED_WORDS // 2 and (gone := [w for w in set(words) if w not in known]):
-                self._learn(gone)
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:  # a text with more words than the cache holds, or one that cleared it
-            return b"".join(known[w] if w in known else self._encode([w])[0] for w in words)
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; new words of short texts are looked up together."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, owners, size = [], [], 0
+        for i, text in enumerate(texts):
+            if "<|" in text or _UNSURE.search(text):
+                out[i] = self._encode([text])
+                continue
+            lo = 0
+            while lo < len(text):
+                hi = text.find(" ", lo + _PART)
+                hi = len(text) if hi < 0 else hi
+                waiting.append(self._matches(text[lo:hi]))
+                owners.append(i)
+                size += hi - lo
+                lo = hi
+                if size >= _PART:
+                    for k, ids in zip(owners, self._joined(waiting), strict=True):
+                        out[k].append(ids)
+                    waiting, owners, size = [], [], 0
+        for k, ids in zip(owners, self._joined(waiting), strict=True):
+            out[k].append(ids)
+        return [b"".join(parts) for parts in out]
+
+
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a Python worker, in its one thread: Spark has a task for each core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -97,14 +124,14 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     schema = frame.select(id_col, F.lit(0).alias("piece"), zero.alias("start"), zero.alias("length"), F.lit(None).cast("binary").alias("ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize = WordTokenizer(path)
+        tokenize = word_tokenizer(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, len(batch), 500):
+                part = batch.slice(lo, 500)
                 of, start, ids = [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    own = tokenize(text or "") + end
+                for i, own in enumerate(tokenize.batch([text or "" for text in part.column(1).to_pylist()])):
+                    own += end
                     for s in range(0, len(own), 4 * capacity):
                         of.append(i)
                         start.append(s // 4)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -132,7 +133,11 @@ def test_word_cache_agrees_with_the_tokenizer():
     from tokenizers import Tokenizer
 
     plain, cached = Tokenizer.from_file(packing.default_tokenizer()), packing.WordTokenizer(packing.default_tokenizer())
-    for text in ["It's ABC-12 don't!!", "a b c é É ﬁ İI", "<|endoftext|> x<|startoftext|>'s", "漢字 3.14 ###$$$ é***", "'ve'll x's'", ""]:
+    rnd = random.Random(3)
+    odd = [*range(0x400), *range(0x2000, 0x2070), 0x20AC, 0x2122, 0x4E00, 0x1F600]
+    fuzz = ["".join(chr(rnd.choice(odd)) for _ in range(rnd.randint(1, 40))) for _ in range(500)]
+    assert [b for t in fuzz for b in cached(t)] == [b for t in cached.batch(fuzz) for b in t]
+    for text in [*fuzz, "a\x1cb !\x1f! \u0130, \u0391\u03a3 \u03a3", "long word " * 150_000, "It's ABC-12 don't!!", "a b c é É ﬁ İI", "<|endoftext|> x<|startoftext|>'s", "漢字 3.14 ###$$$ é***", "'ve'll x's'", ""]:
         assert np.frombuffer(cached(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
