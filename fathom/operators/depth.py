@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +91,96 @@ def distance_histogram(values: DataFrame, low: float, high: float, bins: int, le
     best = b.agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("bin"), F.sum("n").alias("total")).where(F.col("total") >= least)
     best = best.select((low + (F.col("bin") + 0.5) * width).alias("distance"))
     return d.crossJoin(F.broadcast(best)).groupBy("distance").agg(F.avg((F.abs(F.col("d") - F.col("distance")) <= around).cast("double")).alias("share"))
+
+
+def relief(px: DataFrame, key: str, scale: float = 1000.0) -> DataFrame:
+    """(key, relief): the span from the 5th to the 95th percentile of each key's pixels, interpolated."""
+    p = F.percentile("d", F.array(F.lit(0.05), F.lit(0.95)))
+    return px.groupBy(key).agg(p.alias("p")).select(key, ((F.col("p")[1] - F.col("p")[0]) * scale).alias("relief"))
+
+
+def average_depth(px: DataFrame, key: str, spread: float, least: int = 3) -> DataFrame:
+    """(key, px, d): the median of each pixel's samples; null if they are too few or spread too far (p90 - p10)."""
+    p = F.percentile("d", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    d = px.groupBy(key, "px").agg(p.alias("p"), F.count("d").alias("n"))
+    steady = (F.col("n") >= least) & (F.col("p")[2] - F.col("p")[0] <= spread)
+    return d.select(key, "px", F.when(steady, F.col("p")[1]).alias("d"))
+
+
+def relative(px: DataFrame, key: str, reference: float, clip: float, center: bool = False) -> DataFrame:
+    """px with d relative to reference, null beyond clip; with center, each frame's own median is taken off and
+    validity is judged again on the shifted values, which can bring pixels back."""
+    rel = px.withColumn("d", F.col("d") - reference)
+    if not center:
+        return rel.withColumn("d", F.when(F.abs("d") <= clip, F.col("d")))
+    own = F.median(F.when(F.abs("d") <= clip, F.col("d"))).over(Window.partitionBy(key))
+    moved = F.col("d") - F.coalesce(own, F.lit(0.0))
+    return rel.withColumn("d", moved).withColumn("d", F.when(F.abs("d") <= clip, F.col("d")))
+
+
+def gradients(px: DataFrame, key: str) -> DataFrame:
+    """px with gx and gy: central differences, one-sided at the borders of the image."""
+
+    def along(line: str, axis: str) -> Column:
+        w = Window.partitionBy(key, line).orderBy(axis)
+        ahead, behind = F.lead("d").over(w), F.lag("d").over(w)
+        steps = F.lead(axis).over(w).isNotNull().cast("int") + F.lag(axis).over(w).isNotNull().cast("int")
+        return (F.coalesce(ahead, F.col("d")) - F.coalesce(behind, F.col("d"))) / F.nullif(steps, F.lit(0))
+
+    return px.withColumn("gx", along("v", "u")).withColumn("gy", along("u", "v"))
+
+
+def vertex_normals(points: DataFrame, faces: DataFrame, key: str) -> DataFrame:
+    """(key, id, nx, ny, nz): the sum of the cross products of each vertex's faces, of length 1, towards the camera (nz <= 0).
+
+    points: key, id, x, y, z; faces: key, i0, i1, i2.
+    """
+    corners = faces.withColumn("face", F.struct("i0", "i1", "i2"))
+    for k in range(3):
+        at = points.select(key, F.col("id").alias(f"i{k}"), F.struct("x", "y", "z").alias(f"p{k}"))
+        corners = corners.join(at, [key, f"i{k}"])
+    a = {c: F.col(f"p1.{c}") - F.col(f"p0.{c}") for c in "xyz"}
+    b = {c: F.col(f"p2.{c}") - F.col(f"p0.{c}") for c in "xyz"}
+    cross = [(a[p] * b[q] - a[q] * b[p]).alias(f"n{r}") for r, p, q in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))]
+    each = corners.select(key, F.explode(F.array("face.i0", "face.i1", "face.i2")).alias("id"), *cross)
+    d = each.groupBy(key, "id").agg(*[F.sum(c).alias(c) for c in ("nx", "ny", "nz")])
+    size = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
+    d = d.withColumn("size", F.when(F.col("nz") > 0, -size).otherwise(size))
+    return d.select(key, "id", *[F.when(F.col("size") != 0, F.col(c) / F.col("size")).otherwise(0.0).alias(c) for c in ("nx", "ny", "nz")])
+
+
+def largest_surface(frames: DataFrame, key: str, image: str, width: int, least: int = 1) -> DataFrame:
+    """(key, px): the pixels of each image's largest 8-connected part of non-null pixels, the first in row order of equals.
+
+    An image whose largest part has fewer than `least` pixels gives none. One image is worked on at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, pixels_of = [], []
+            for name, values in zip(batch.column(0), batch.column(1), strict=True):
+                inside = values.values.is_valid().to_numpy(zero_copy_only=False) if values.is_valid else np.zeros(0, bool)
+                part = _largest_part(inside.reshape(-1, width))
+                if len(part) >= least:
+                    keys += [name.as_py()] * len(part)
+                    pixels_of.append(part)
+            px = np.concatenate(pixels_of) if pixels_of else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(px.astype(np.int32))], names=[key, "px"])
+
+    d = frames.select(key, image)
+    return d.mapInArrow(run, d.select(key, F.lit(0).alias("px")).schema)
+
+
+def _largest_part(inside: np.ndarray) -> np.ndarray:
+    """Least labels travel to all eight neighbours until none changes."""
+    none = inside.size
+    label = np.pad(np.where(inside, np.arange(none).reshape(inside.shape), none), 1, constant_values=none)
+    core = label[1:-1, 1:-1]
+    while True:
+        wide = np.minimum(np.minimum(label[:, :-2], label[:, 1:-1]), label[:, 2:])
+        new = np.where(inside, np.minimum(np.minimum(wide[:-2], wide[1:-1]), wide[2:]), none)
+        if (new == core).all():
+            break
+        core[...] = new
+    found, counts = np.unique(core[inside], return_counts=True)
+    return np.flatnonzero(core.ravel() == found[counts.argmax()]) if len(found) else np.zeros(0, np.int64)

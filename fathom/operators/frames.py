@@ -93,3 +93,29 @@ def label_ids(labels: DataFrame) -> DataFrame:
 def ema(values: Column, alpha: float = 0.6) -> Column:
     """The exponential moving average after the last of an array of values."""
     return F.aggregate(values, F.lit(None).cast("double"), lambda s, p: F.when(s.isNull(), p).otherwise(alpha * p + (1 - alpha) * s))
+
+
+def frame_times_ms(device_ms: Column, host_s: Column) -> Column:
+    """The device's clock in ms, else the host's in s times 1000, else null; both are texts."""
+    return F.coalesce(device_ms.try_cast("double"), host_s.try_cast("double") * 1000)
+
+
+def label_digest(frames: DataFrame) -> DataFrame:
+    """(session, digest): 16 hex digits of the SHA-1 of "label:trial" of all frames in order, joined by commas."""
+    parts = F.sort_array(F.collect_list(F.struct("pos", F.concat_ws(":", "label", "trial").alias("part"))))
+    return frames.groupBy("session").agg(F.substring(F.sha1(F.array_join(F.transform(parts, lambda x: x["part"]), ",")), 1, 16).alias("digest"))
+
+
+def gate_problems(sessions: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """sessions with problems, the names of the rules that hold for each, in the rules' order, and refused."""
+    named = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    return sessions.withColumn("problems", named).withColumn("refused", F.size("problems") > 0)
+
+
+def prediction_ticks(frames: DataFrame, length: int = 16, every: int = 4) -> DataFrame:
+    """frames at which a live model predicts: its buffer of an epoch is full and the session's own counter hits the stride.
+
+    frames have an epoch that a pause begins; the counter runs on through pauses.
+    """
+    filled = F.row_number().over(Window.partitionBy("session", "epoch").orderBy("pos"))
+    return frames.withColumn("filled", filled).where((F.col("filled") >= length) & (F.col("pos") % every == 0)).drop("filled")

@@ -337,3 +337,149 @@ def softmax_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "embeddings").select("vec_id", e.alias("e")).withColumn("t", F.aggregate("e", F.lit(0.0), lambda s, x: s + x))
     top = F.array_max("e")
     return d.select("vec_id", (F.array_position("e", top) - 1).cast("int").alias("top"), F.floor(top / F.col("t") * 1e9).alias("confidence"))
+
+
+# More of sessions and clips.
+
+
+@query(CLIPS + " SELECT session, start::INT AS start, floor(n_label / 16.0 * 1000)::BIGINT AS purity FROM v WHERE reason IS NULL OR reason = 'impure_label'")
+def clip_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = event_clips(spark, sf_dir).where("reason IS NULL OR reason = 'impure_label'")
+    return d.select("session", "start", F.floor(F.col("n_label") / 16 * 1000).alias("purity"))
+
+
+@query(CLIPS + """, ids AS (SELECT label, row_number() OVER (ORDER BY label)::INT AS label_id FROM (SELECT DISTINCT event_type AS label FROM events WHERE event_type <> 'view'))
+  SELECT session, start::INT AS start, coalesce(label_id, 0) AS label_id FROM v LEFT JOIN ids USING (label) WHERE reason IS NULL""")
+def clip_label_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = frames.label_ids(read(spark, sf_dir, "events").where("event_type <> 'view'").select(F.col("event_type").alias("label")))
+    d = event_clips(spark, sf_dir).where("reason IS NULL").join(ids, "label", "left")
+    return d.select("session", "start", F.coalesce("label_id", F.lit(0)).alias("label_id"))
+
+
+@query(split_sql(0.2, 0.2).replace("SELECT session, split FROM fold WHERE k > 0", "SELECT split, string_agg(session, ',' ORDER BY session) AS sessions FROM fold WHERE k > 0 GROUP BY split"))
+def split_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign_splits(event_sessions(spark, sf_dir)).groupBy("split").agg(F.array_join(F.sort_array(F.collect_list("session")), ",").alias("sessions"))
+
+
+@query("SELECT user_id AS session, event_type AS label, floor(avg(value) * 1e6)::BIGINT AS dc FROM events GROUP BY ALL")
+def label_dc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session"), F.col("event_type").alias("label"))
+    return d.agg(F.floor(F.avg("value") * 1e6).alias("dc"))
+
+
+GATES = """WITH s AS (SELECT user_id AS session, count(*) AS n, avg((value < 60)::INT) AS valid, avg((value >= 200)::INT) AS rail, stddev_pop(value) AS std FROM events GROUP BY 1)"""
+
+
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session")).agg(
+        F.count("*").alias("n"), F.avg((F.col("value") < 60).cast("int")).alias("valid"), F.avg((F.col("value") >= 200).cast("int")).alias("rail"), F.stddev_pop("value").alias("std")
+    )
+    rules = {"few_frames": F.col("n") < 16, "low_valid": F.col("valid") < 0.7, "saturated": F.col("rail") > 0.02, "flat": F.col("std") < 40}
+    return frames.gate_problems(d, rules)
+
+
+@query(GATES + """ SELECT session, concat_ws(',', CASE WHEN n < 16 THEN 'few_frames' END, CASE WHEN valid < 0.7 THEN 'low_valid' END, CASE WHEN rail > 0.02 THEN 'saturated' END,
+  CASE WHEN std < 40 THEN 'flat' END) AS problems FROM s""")
+def gate_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated(spark, sf_dir).select("session", F.array_join("problems", ",").alias("problems"))
+
+
+@query(GATES + """, r AS (SELECT *, n < 16 OR valid < 0.7 OR rail > 0.02 OR std < 40 AS refused FROM s)
+  SELECT 'refused' AS rule, count(*) AS detail FROM r WHERE refused HAVING count(*) > 0
+  UNION ALL SELECT 'few_sessions', count(*) FROM r WHERE NOT refused HAVING count(*) < 3
+  UNION ALL SELECT 'low_coverage', count(*) FROM r WHERE valid < 0.75 HAVING count(*) > 0""")
+def build_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count_if
+    d = gated(spark, sf_dir).agg(n("refused").alias("refused"), n(~F.col("refused")).alias("kept"), n(F.col("valid") < 0.75).alias("thin"))
+    rules = [("refused", "refused", F.col("refused") > 0), ("few_sessions", "kept", F.col("kept") < 3), ("low_coverage", "thin", F.col("thin") > 0)]
+    found = F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(name).alias("rule"), F.col(c).alias("detail"))) for name, c, holds in rules]))
+    return d.select(F.inline(found))
+
+
+@query("SELECT DISTINCT user_id AS session FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-05')")
+def relabel_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts")
+    return e.join(e.where("ts < TIMESTAMP_NTZ '2024-01-05 00:00:00'"), "session", "left_anti").select("session").distinct()
+
+
+@query("""SELECT event_id, coalesce(try_cast(CASE WHEN event_id % 3 > 0 THEN json_extract_string(props, '$.k') ELSE '' END AS DOUBLE),
+  try_cast(CASE WHEN event_id % 2 > 0 THEN value::VARCHAR ELSE 'none' END AS DOUBLE) * 1000) AS t_ms FROM events""")
+def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    device = F.when(F.col("event_id") % 3 > 0, F.get_json_object("props", "$.k")).otherwise("")
+    host = F.when(F.col("event_id") % 2 > 0, F.col("value").cast("string")).otherwise("none")
+    return read(spark, sf_dir, "events").select("event_id", frames.frame_times_ms(device, host).alias("t_ms"))
+
+
+@query(f"WITH {FRAMES} SELECT session, substr(sha1(string_agg(label || ':' || trial, ',' ORDER BY pos)), 1, 16) AS digest FROM f GROUP BY 1")
+def label_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.label_digest(event_frames(spark, sf_dir))
+
+
+@query(f"""WITH {FRAMES}, e AS (SELECT *, sum((label = 'error' AND pos % 7 = 0)::INT) OVER (PARTITION BY session ORDER BY pos) AS epoch FROM f),
+  k AS (SELECT *, row_number() OVER (PARTITION BY session, epoch ORDER BY pos) AS filled FROM e) SELECT session, pos, epoch::BIGINT AS epoch FROM k WHERE filled >= 16 AND pos % 4 = 0""")
+def prediction_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("session").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    pause = ((F.col("label") == "error") & (F.col("pos") % 7 == 0)).cast("int")
+    return frames.prediction_ticks(event_frames(spark, sf_dir).withColumn("epoch", F.sum(pause).over(w))).select("session", "pos", "epoch")
+
+
+# More of depth images.
+
+
+@query(f"WITH {PIXELS} SELECT label, floor((quantile_cont(d, 0.95) - quantile_cont(d, 0.05)) * 1e9)::BIGINT AS relief FROM p GROUP BY 1")
+def relief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depth.relief(image_pixels(spark, sf_dir), "label", 1.0).select("label", F.floor(F.col("relief") * 1e9).alias("relief"))
+
+
+@query(f"""WITH {PIXELS}, s AS (SELECT label, px, quantile_cont(d, 0.5) AS d, count(d) AS n, quantile_cont(d, 0.9) - quantile_cont(d, 0.1) AS spread FROM p GROUP BY label, px)
+  SELECT label, px::INT AS px, CASE WHEN n >= 3 AND spread <= 0.3 THEN d END AS d FROM s""")
+def temporal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depth.average_depth(image_pixels(spark, sf_dir), "label", 0.3)
+
+
+@query(f"WITH {PIXELS}, b AS (SELECT px FROM p GROUP BY px HAVING avg((d > -0.02 AND d < 0.3)::INT) >= 0.5) SELECT floor(median(d) * 1e9)::BIGINT AS reference FROM p JOIN b USING (px) WHERE d > -0.02 AND d < 0.3")
+def pooled_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = image_pixels(spark, sf_dir)
+    d = px.join(depth.stable_pixels(px, -0.02, 0.3), "px", "left_semi").where("d > -0.02 AND d < 0.3")
+    return d.agg(F.floor(F.median("d") * 1e9).alias("reference"))
+
+
+@query(f"""WITH {PIXELS}, r AS (SELECT vec_id, px, d - 0.05::DOUBLE AS d FROM p), m AS (SELECT vec_id, median(d) FILTER (abs(d) <= 0.15) AS own FROM r GROUP BY 1)
+  SELECT vec_id, px::INT AS px, CASE WHEN abs(d - coalesce(own, 0)) <= 0.15 THEN floor((d - coalesce(own, 0)) * 1e9)::BIGINT END AS d FROM r JOIN m USING (vec_id)""")
+def dc_removed_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = depth.relative(image_pixels(spark, sf_dir), "vec_id", 0.05, 0.15, center=True)
+    return d.select("vec_id", "px", F.floor(F.col("d") * 1e9).alias("d"))
+
+
+@query(f"""WITH {PIXELS} SELECT vec_id, px::INT AS px,
+  (coalesce(lead(d) OVER r, d) - coalesce(lag(d) OVER r, d)) / CASE WHEN u IN (0, 7) THEN 1 ELSE 2 END AS gx,
+  (coalesce(lead(d) OVER c, d) - coalesce(lag(d) OVER c, d)) / CASE WHEN v IN (0, 7) THEN 1 ELSE 2 END AS gy
+  FROM p WINDOW r AS (PARTITION BY vec_id, v ORDER BY u), c AS (PARTITION BY vec_id, u ORDER BY v)""")
+def gradient_shade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depth.gradients(image_pixels(spark, sf_dir), "vec_id").select("vec_id", "px", "gx", "gy")
+
+
+@query(MESH.replace("SELECT vec_id, i0::INT AS i0, i1::INT AS i1, i2::INT AS i2 FROM t WHERE", """, f AS (SELECT *, (by_-ay)*(cz-az) - (bz-az)*(cy-ay) AS nx, (bz-az)*(cx-ax) - (bx-ax)*(cz-az) AS ny, (bx-ax)*(cy-ay) - (by_-ay)*(cx-ax) AS nz FROM t WHERE""").replace("\n  , f AS", ", f AS") + """),
+  n AS (SELECT vec_id, unnest([i0, i1, i2]) AS id, nx, ny, nz FROM f), s AS (SELECT vec_id, id, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM n GROUP BY ALL),
+  l AS (SELECT *, sqrt(nx**2 + ny**2 + nz**2) * CASE WHEN nz > 0 THEN -1 ELSE 1 END AS size FROM s)
+  SELECT vec_id, id::INT AS id, floor(nx / size * 1e6 + 0.5)::BIGINT AS nx, floor(ny / size * 1e6 + 0.5)::BIGINT AS ny, floor(nz / size * 1e6 + 0.5)::BIGINT AS nz FROM l""")
+def vertex_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = depth.deproject(image_pixels(spark, sf_dir), 6.0, 6.0, 3.5, 3.5)
+    faces = depth.mesh_faces(grid, "vec_id", 0.1)
+    nth = F.row_number().over(Window.partitionBy("vec_id").orderBy("v", "u")) - 1
+    points = grid.where("z IS NOT NULL").select("vec_id", nth.alias("id"), "x", "y", "z")
+    d = depth.vertex_normals(points, faces, "vec_id")
+    return d.select("vec_id", "id", *[F.floor(F.col(c) * 1e6 + 0.5).alias(c) for c in ("nx", "ny", "nz")])
+
+
+@query(f"""WITH RECURSIVE {PIXELS}, q AS (SELECT vec_id, px, u, v FROM p WHERE d > 0.05),
+  w(vec_id, px, u, v, root) AS (
+    SELECT vec_id, px, u, v, px FROM q
+    UNION
+    SELECT q.vec_id, q.px, q.u, q.v, w.root FROM w JOIN q ON q.vec_id = w.vec_id AND abs(q.u - w.u) <= 1 AND abs(q.v - w.v) <= 1
+  ), c AS (SELECT vec_id, px, min(root) AS root FROM w GROUP BY vec_id, px),
+  b AS (SELECT vec_id, root FROM c GROUP BY vec_id, root QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, root) = 1)
+  SELECT vec_id, px::INT AS px FROM c JOIN b USING (vec_id, root)""")
+def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x > 0.05, x))
+    return depth.largest_surface(read(spark, sf_dir, "embeddings").select("vec_id", image.alias("image")), "vec_id", "image", 8)
