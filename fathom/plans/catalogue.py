@@ -6,12 +6,15 @@ of 64 numbers for 8 x 8 depth images.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.operators import depth, frames, metrics, splits
+from fathom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -483,3 +486,25 @@ def vertex_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x > 0.05, x))
     return depth.largest_surface(read(spark, sf_dir, "embeddings").select("vec_id", image.alias("image")), "vec_id", "image", 8)
+
+
+# Streams.
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share; a local one where none is set, as in tests."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {FRAMES}, m AS (SELECT session, pos, avg(value) OVER (PARTITION BY session ORDER BY pos ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS mean FROM f),
+  t AS (SELECT session, pos, list(mean) OVER (PARTITION BY session ORDER BY pos) AS means FROM m WHERE pos >= 15 AND pos % 4 = 0)
+  SELECT session, pos::BIGINT AS pos, floor(list_reduce(means, lambda s, x: 0.6::DOUBLE * x + (1 - 0.6::DOUBLE) * s) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS smoothed FROM t""")
+def live_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    # A file stream takes folders and patterns; this pattern matches the table's path alone, file or folder.
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
+    stream = stream.select(F.col("user_id").alias("session"), "ts", "event_id", "value", F.lit(False).alias("paused"))
+    d = live.run_available(live.live_predictions(stream), scratch(spark, "live"))
+    # Values are finite decimals, so with a third added none stands at a step of floor, where the order of sums would tell.
+    return d.select("session", "pos", F.floor(F.col("smoothed") * 1e6 + 1 / 3).alias("smoothed"))
