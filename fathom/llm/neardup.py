@@ -236,6 +236,14 @@ def near_classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         label = joined(label, new)
 
 
+def classed(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(_tid, _least, _n, class): the least id and the rows of each different text, and its class, the least _tid of it."""
+    tid = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    label = near_classes(keyed_texts(docs, text_col), threshold)
+    ids = docs.select(F.col(id_col).alias("_id"), tid.alias("_tid")).groupBy("_tid").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    return ids.join(label, "_tid", "left").withColumn("class", F.coalesce("class", "_tid"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with class_id (the least id of the class) and class_size.
 
@@ -246,18 +254,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rest = [c for c in docs.columns if c.lower() not in ("class_id", "class_size")]
     tid = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    label = near_classes(keyed_texts(docs, text_col), threshold)
-    ids = docs.select(F.col(id_col).alias("_id"), tid.alias("_tid")).groupBy("_tid").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
-    ids = ids.join(label, "_tid", "left").withColumn("class", F.coalesce("class", "_tid"))
+    ids = classed(docs, id_col, text_col, threshold)
     whole = ids.groupBy("class").agg(F.min("_least").alias("class_id"), F.sum("_n").alias("class_size"))
     of = ids.join(whole, "class").select("_tid", "class_id", "class_size")
     return docs.select(*rest, tid.alias("_tid")).join(of, "_tid").drop("_tid")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without near duplicates: of each class the row with the least id stays; of equal ids, that with the least text hash."""
-    marked = near_duplicates(docs.select(F.struct("*").alias("_doc"), id_col, text_col), id_col, text_col, threshold)
-    kept = marked.where(F.col(id_col).eqNullSafe(F.col("class_id"))).withColumn("_tid", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    # Rows left of a class agree in the id, so a class that is large keeps few rows here.
-    few = kept.groupBy("class_id", "class_size").agg(F.min_by("_doc", "_tid").alias("_doc"))
-    return few.select("_doc.*")
+    """docs without near duplicates: of each class the row with the least id stays, null ids last; of equal ids, that with the least text hash.
+
+    Classes are told apart by their texts: ids may be null or repeat on other texts.
+    """
+    tid = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    ids = classed(docs, id_col, text_col, threshold)
+    best = ids.groupBy("class").agg(F.min(F.struct(F.col("_least").isNull().alias("none"), "_least", "_tid")).alias("best"))
+    best = best.select("class", "best._least", "best._tid")
+    kept = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), tid.alias("_tid")).join(best, "_tid").where(F.col("_id").eqNullSafe(F.col("_least")))
+    # Rows left of a class agree in id and text.
+    return kept.groupBy("class").agg(F.first("_doc").alias("_doc")).select("_doc.*")

@@ -280,6 +280,13 @@ def test_near_duplicates_against_brute_force(docs, empty):
     assert sorted(kept) == sorted(set(got.values())) and neardup.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_class_with_null_and_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(words_of(s, 60)) for s in range(50, 55))
+    rows = [(None, a), (None, b), (None, b), (None, None), (7, c), (7, d), (7, d), (3, e), (None, e), (None, e + " more")]
+    kept = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, a), (None, b), (None, None), (7, c), (7, d), (3, e)], key=str)
+
+
 def test_sketches_estimate_probability_jaccard():
     r = np.random.default_rng(0)
     key = r.integers(1, 1 << 62, 600).astype(np.uint64)
