@@ -5,8 +5,9 @@ process at the rate of its weight to random registers of a sketch, which keep
 the first arrival; a shingle stops once it can't be first anywhere. Two sketches
 agree in a register with the probability Jaccard similarity of the weights.
 Registers are banded; texts that meet in a band are candidates, and each
-candidate pair is verified on the shingles themselves. Links are joined into
-classes.
+candidate pair is verified on the shingles themselves; where many texts meet,
+bounds on the shingles that a pair can share leave few pairs to verify. Links are
+joined into classes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.stage import sized, stored
@@ -24,8 +25,12 @@ from fathom.llm.textkernel import U64, chunks, mix, rolling, scan
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
-#: Orders of a key's texts in which neighbours are held against each other, in a round.
-ORDERS = 4
+#: A shingle that more of the unsure texts hold is a common one.
+RARE = 32
+#: Texts on each side of a block of pairs, and shingles that are compared at a time there.
+BLOCK, COLUMNS = 1024, 4096
+#: What rounding may do to a bound.
+SLACK = 1e-4
 _GAMMA = 0x9E3779B97F4A7C15
 
 
@@ -108,18 +113,8 @@ def keyed_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.xxhash64(text).alias("_tid"), text.cast("binary").alias("_text"))
 
 
-def fine_keys(bands: np.ndarray) -> np.ndarray:
-    """Keys of two bands at a time, each band with the next and the one after: texts that are far apart seldom share one."""
-    pairs = [mix(bands + mix(np.roll(bands, -step, axis=1) + U64(step))) for step in (1, 2)]
-    return np.concatenate(pairs, axis=1)
-
-
-def sketched(texts: DataFrame, fine: bool = False) -> DataFrame:
-    """(_tid, band) rows: the band keys of each text of texts (_tid, _text). Copies in a batch give one text's rows.
-
-    With fine, its fine keys, each with the three bands that follow.
-    """
-    names = ["_tid", "band", *(["then1", "then2", "then3"] if fine else [])]
+def sketched(texts: DataFrame) -> DataFrame:
+    """(_tid, band) rows: the band keys of each text of texts (_tid, _text). Copies in a batch give one text's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +124,10 @@ def sketched(texts: DataFrame, fine: bool = False) -> DataFrame:
                 key, weight, owner = shingles(every[lo:hi])
                 full = np.unique(owner)
                 bands = band_keys(sketch(key, weight, owner, hi - lo))[full]
-                columns = [fine_keys(bands), *(np.tile(np.roll(bands, -k, axis=1), 2) for k in (3, 4, 5))] if fine else [bands]
-                arrays = [np.repeat(tid[lo:hi][full], columns[0].shape[1]), *(c.ravel().view(np.int64) for c in columns)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
+                arrays = [np.repeat(tid[lo:hi][full], BANDS), bands.ravel().view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["_tid", "band"])
 
-    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return texts.mapInArrow(run, "_tid long, band long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -192,16 +186,189 @@ def joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return stored(known.join(root, "class", "left").select("_tid", F.coalesce("root", "class").alias("class")), "label")
 
 
+def common_shingles(texts: DataFrame, rare: int) -> DataFrame:
+    """(_tid, often): the shingles of each text of texts (_tid, _text) that more than rare of them hold, where it has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tid, every = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for lo, hi in chunks(every):
+                key, _, owner = shingles(every[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array(tid[lo:hi][owner]), pa.array(key.view(np.int64))], names=["_tid", "shingle"])
+
+    held = texts.mapInArrow(run, "_tid long, shingle long")
+    often = sized(stored(held.groupBy("shingle").count().where(F.col("count") > rare).select("shingle"), "often"), 8)
+    return held.join(often, "shingle").groupBy("_tid").agg(F.collect_list("shingle").alias("often"))
+
+
+_PARTS = "_tid long, class long, n int, total double, shingle array<long>, left array<int>, share array<double>, common array<long>, weight array<double>"
+
+
+def parts(texts: DataFrame, threshold: float) -> DataFrame:
+    """For texts (_tid, _text, class, often) what a link can begin with, in an order of shingles with the rare ones first.
+
+    n and total are a text's shingles and their weight. shingle: the rare shingles
+    that can be the first that a linked pair shares; left and share: how many
+    shingles there are from it on, and their share of the weight. common and weight:
+    the common shingles, if they alone can make a link, else null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(9)]
+            every = batch.column(1).to_pylist()
+            for lo, hi in chunks(every):
+                key, weight, owner = shingles(every[lo:hi])
+                at = np.searchsorted(owner, np.arange(hi - lo + 1))
+                for k in range(lo, hi):
+                    own, w = key[at[k - lo] : at[k - lo + 1]], weight[at[k - lo] : at[k - lo + 1]]
+                    common = np.isin(own, np.array(batch.column(3)[k].as_py() or [], np.int64).view(U64))
+                    order = np.argsort(common, kind="stable")
+                    own, w = own[order].view(np.int64), w[order]
+                    n, n_rare = len(own), len(own) - int(common.sum())
+                    left = n - np.arange(n)
+                    share = np.cumsum(w[::-1])[::-1] / w.sum()
+                    able = (left >= (threshold - SLACK) * n) | (share >= threshold - SLACK)
+                    cut = int(able[:n_rare].sum())
+                    alone = n_rare < n and able[n_rare]
+                    values = (batch.column(0)[k].as_py(), batch.column(2)[k].as_py(), n, float(w.sum()), own[:cut], left[:cut], share[:cut])
+                    for c, v in zip(rows, (*values, own[n_rare:] if alone else None, w[n_rare:] if alone else None), strict=True):
+                        c.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), *map(pa.list_, (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[c.split()[0] for c in _PARTS.split(", ")])
+
+    return texts.select("_tid", "_text", "class", "often").mapInArrow(run, _PARTS)
+
+
+def rare_pairs(split: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs of different classes that share a rare shingle and, if it is their first, can be links."""
+    most = 1 + 1 / threshold + SLACK
+
+    def met(shingle: np.ndarray, tid: np.ndarray, cls: np.ndarray, n: np.ndarray, left: np.ndarray, share: np.ndarray) -> pa.RecordBatch:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = 1
+        while step < len(shingle) and (same := shingle[step:] == shingle[:-step]).any():
+            fits = n[step:] + n[:-step] <= most * np.minimum(left[step:], left[:-step])
+            fits |= 1 / share[step:] + 1 / share[:-step] <= most
+            keep = same & fits & (cls[step:] != cls[:-step])
+            a.append(np.minimum(tid[step:], tid[:-step])[keep])
+            b.append(np.maximum(tid[step:], tid[:-step])[keep])
+            step += 1
+        pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if len(held[0]):
+                last = int(np.append(0, np.flatnonzero(held[0] != held[0][-1]) + 1)[-1])
+                yield met(*(c[:last] for c in held))
+                held = [c[last:] for c in held]
+        if held is not None:
+            yield met(*held)
+
+    rows = split.select("_tid", "class", "n", F.inline(F.arrays_zip("shingle", "left", "share")))
+    rows = rows.select("shingle", "_tid", "class", "n", "left", "share").repartition("shingle").sortWithinPartitions("shingle")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def block_pairs(texts: list[tuple], against: list[tuple], threshold: float) -> list[tuple[int, int]]:
+    """The pairs, one of each list of (tid, class, n, total, common, weight), that can be links by their common shingles alone.
+
+    Of pairs that surely are links, those that join classes which no others join already.
+    """
+    names, of = np.unique([r[1] for r in (*texts, *against)], return_inverse=True)
+    root = np.arange(len(names))
+    sides = []
+    for rows, cls in ((texts, of[: len(texts)]), (against, of[len(texts) :])):
+        owner = np.repeat(np.arange(len(rows)), [len(r[4]) for r in rows])
+        key, weight = np.concatenate([r[4] for r in rows]), np.concatenate([r[5] for r in rows])
+        sides.append((owner, key, weight, cls, np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])))
+    x, y = sides
+    shape = len(texts), len(against)
+    both, of_x, of_y = (np.zeros(shape, np.float32) for _ in range(3))
+    every = np.intersect1d(x[1], y[1])
+    for lo in range(0, len(every), COLUMNS):
+        columns = every[lo : lo + COLUMNS]
+        held = []
+        for owner, key, weight, *_ in sides:
+            at = np.minimum(np.searchsorted(columns, key), len(columns) - 1)
+            own = columns[at] == key
+            ones, weights = np.zeros((2, owner[-1] + 1, len(columns)), np.float32)
+            ones[owner[own], at[own]] = 1
+            weights[owner[own], at[own]] = weight[own]
+            held.append((ones, weights))
+        both += held[0][0] @ held[1][0].T
+        of_x += held[0][1] @ held[1][0].T
+        of_y += held[0][0] @ held[1][1].T
+    n = (x[5][:, None] + y[5][None, :]).astype(np.float64)
+    sure = both / (n - both) >= threshold
+    with np.errstate(divide="ignore"):
+        able = sure | (x[6][:, None] / of_x + y[6][None, :] / of_y <= 1 + 1 / threshold + SLACK)
+    out = []
+    for i in range(shape[0]):  # surely linked classes grow together
+        for kind in np.unique(root[y[3][sure[i]]]):
+            if kind != root[x[3][i]]:
+                j = int(np.flatnonzero(sure[i] & (root[y[3]] == kind))[0])
+                out.append((int(x[4][i]), int(y[4][j])))
+                root[root == kind] = root[x[3][i]]
+    for i, j in zip(*np.nonzero(able & ~sure & (root[x[3]][:, None] != root[y[3]][None, :])), strict=True):
+        out.append((int(x[4][i]), int(y[4][j])))
+    return out
+
+
+def common_pairs(split: DataFrame, met: DataFrame, label: DataFrame, threshold: float) -> DataFrame | None:
+    """(a, b): pairs of different classes that can be links by their common shingles alone; None if there are none.
+
+    Texts that meet in a band of met, directly or by others, are a group. Of texts
+    with the same common shingles and weights, one is near to as many others as any:
+    the shortest, or by weights the lightest. So each text is held against
+    those of its group only, in blocks.
+    """
+    alone = split.where("common IS NOT NULL").drop("class").join(label, "_tid", "left").withColumn("class", F.coalesce("class", "_tid"))
+    alike = F.array_sort(F.arrays_zip("common", "weight"))
+    alone = stored(alone.select("_tid", "class", "n", "total", "common", "weight", F.xxhash64(alike).alias("alike")), "alone")
+    inside = met.select("band", "_tid").join(alone.select("_tid", "class"), "_tid")
+    mixed = inside.groupBy("band").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.min("_tid").alias("low")).where("one < other")
+    edges = stored(inside.join(mixed, "band").where("_tid <> low").select(F.col("low").alias("a"), F.col("_tid").alias("b")).distinct(), "meet")
+    if edges.limit(1).count() == 0:
+        return None
+    group = components(edges).withColumnRenamed("class", "group")
+    texts = stored(alone.select("_tid", "alike", "n", "total").join(group, "_tid"), "dealt")
+    least = texts.groupBy("group", "alike").agg(F.min(F.struct("n", "_tid")).alias("short"), F.min(F.struct("total", "_tid")).alias("light"))
+    against = least.select("group", F.explode(F.array("short._tid", "light._tid")).alias("_tid")).distinct()
+    n_texts = texts.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("n_i"))
+    n_against = against.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("n_j"))
+    blocks = stored(n_texts.join(n_against, "group"), "blocks")
+    h = F.xxhash64("_tid")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = texts.select("group", "_tid").join(blocks, "group").select("group", "_tid", F.lit(True).alias("is_text"), F.pmod(h, "n_i").alias("i"), every("n_j").alias("j"))
+    right = against.join(blocks, "group").select("group", "_tid", F.lit(False).alias("is_text"), F.pmod(h, "n_j").alias("j"), every("n_i").alias("i"))
+    rows = left.unionByName(right).join(alone.drop("alike"), "_tid")
+
+    def run(table: pa.Table) -> pa.Table:
+        sides: tuple[list, list] = ([], [])
+        columns = [table.column(c).to_pylist() for c in ("is_text", "_tid", "class", "n", "total", "common", "weight")]
+        for is_text, *row in zip(*columns, strict=True):
+            sides[is_text].append(tuple(row))
+        pairs = block_pairs(sides[1], sides[0], threshold) if all(sides) else []
+        return pa.table({k: pa.array([min(p) if k == "a" else max(p) for p in pairs], pa.int64()) for k in ("a", "b")})
+
+    return rows.groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(_tid, class) for those of texts (_tid, _text) that have a near duplicate; class is the least _tid of the class.
 
     First every text is held against the least and the greatest text that it meets
-    in a band. Those that meet others of another class get finer keys, of two bands;
-    the texts of such a key are put in an order by the bands that follow, where
-    similar texts stand side by side, and neighbours of different classes are held
-    against each other. A round takes ORDERS orders, each round others, until a
-    round finds no link: its pairs grow with the texts, not with the square of a
-    band's.
+    in a band. The texts of bands that still hold several classes are unsure. Of
+    two sets with X and Y elements, or weights, in all and shares x and y of them
+    in common, neither similarity exceeds 1 / (X / x + Y / y - 1). So linked texts
+    share a rare shingle, and one early in their order, or their common shingles
+    alone are enough for a link. Pairs of both kinds are all tested, but for those
+    within a class; the pairs of a rare shingle are few.
     """
     rows = stored(sketched(texts), "bands")
     buckets = rows.groupBy("band").agg(F.min("_tid").alias("low"), F.max("_tid").alias("high")).where("low < high")
@@ -215,25 +382,20 @@ def near_classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     label = components(links)
     inside = met.select("band", "_tid").join(label, "_tid", "left").withColumn("class", F.coalesce("class", "_tid"))
     mixed = inside.groupBy("band").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one < other").select("band")
-    unsure = sized(stored(met.select("band", "_tid").join(mixed, "band").select("_tid").distinct(), "unsure"), 8)
-    met = stored(sketched(texts.join(unsure, "_tid", "left_semi"), fine=True).distinct(), "fine")
-    turn = 0
-    while True:
-        inside = met.join(label, "_tid", "left").withColumn("class", F.coalesce("class", "_tid"))
-        sides = []
-        for _ in range(ORDERS):
-            turn += 1
-            order = Window.partitionBy("band").orderBy(*[F.xxhash64(c, F.lit(turn)) for c in ("then1", "then2", "then3", "_tid")])
-            sides.append(F.struct(F.lead("_tid").over(order).alias("x"), F.lead("class").over(order).alias("other")))
-        beside = inside.select("_tid", "class", F.array(*sides).alias("sides")).select("_tid", "class", F.inline("sides"))
-        pairs = beside.where("class <> other").select(F.least("x", "_tid").alias("a"), F.greatest("x", "_tid").alias("b")).distinct()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stored(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-        new = stored(verified(pairs, texts, threshold), "links")
-        if new.limit(1).count() == 0:
-            return label
-        tested = tested.union(pairs)
+    met = stored(met.select("band", "_tid").join(mixed, "band"), "unsure")
+    unsure = sized(stored(met.select("_tid").distinct(), "unsure"), 8)
+    texts = stored(texts.join(unsure, "_tid", "left_semi"), "unsure")
+    often = common_shingles(texts, RARE)
+    split = texts.join(label, "_tid", "left").join(often, "_tid", "left").withColumn("class", F.coalesce("class", "_tid"))
+    split = stored(parts(split, threshold), "parts")
+    pairs = stored(rare_pairs(split, threshold), "pairs")
+    new = stored(verified(pairs, texts, threshold), "links")
+    label = joined(label, new)
+    pairs = common_pairs(split, met, label, threshold)
+    if pairs is not None:
+        new = stored(verified(stored(pairs, "pairs"), texts, threshold), "links")
         label = joined(label, new)
+    return label
 
 
 def classed(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:

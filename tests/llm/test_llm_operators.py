@@ -287,6 +287,51 @@ def test_one_of_each_class_with_null_and_repeated_ids(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([(None, a), (None, b), (None, None), (7, c), (7, d), (3, e)], key=str)
 
 
+@pytest.mark.parametrize("rare", [32, 2])
+def test_near_duplicates_among_form_letters(spark, monkeypatch, rare):
+    """Form letters that are no links among each other, some pairs of which are, against all pairs; then letters near each other."""
+    monkeypatch.setattr(neardup, "RARE", rare)
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    form = [f"f{k}" for k in range(174)]
+    texts = [" ".join([*form, *(f"u{i}_{k}" for k in range(26))]) for i in range(300)]
+    for i in range(0, 120, 2):  # shares some of the own words of the letter before
+        texts[i + 1] = " ".join([*form, *(f"u{i}_{k}" for k in range(5 + i % 5)), *(f"v{i}_{k}" for k in range(21 - i % 5))])
+    for i in range(60):  # parts of another form, near to some and not to others
+        texts.append(" ".join([f"g{k}" for k in range(200 - 3 * i)]))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [set(sets_of(t)) for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and least[i] != least[j]:
+                a, b = sorted((least[i], least[j]))
+                least = [a if c == b else c for c in least]
+    assert 60 <= len(set(least)) < 300 and got == dict(enumerate(least))
+
+
+def test_blocks_of_pairs_against_all_pairs():
+    r = np.random.default_rng(5)
+    base = np.arange(120)
+    rows = []
+    for i in range(60):
+        own = np.sort(r.choice(base[: 100 + 10 * (i % 3)], 90 + i % 9, replace=False)).astype(np.int64)
+        w = 1 + np.log(r.integers(1, 3, len(own)))
+        rows.append((i, i, len(own) + i % 4, float(w.sum()) + i % 4, own, w))
+    found = neardup.block_pairs(rows[:30], rows[30:], 0.8)
+    links = {(a[0], b[0]) for a in rows[:30] for b in rows[30:] if (o := len(np.intersect1d(a[4], b[4]))) >= 0.8 * (a[2] + b[2] - o)}
+    own = {(a[0], b[0]): max(neardup.similarity((np.append(a[4], -1 - a[0] - 1000 * np.arange(a[2] - len(a[4]))), np.append(a[5], np.ones(a[2] - len(a[4])))), (np.append(b[4], -1 - b[0] - 1000 * np.arange(b[2] - len(b[4]))), np.append(b[5], np.ones(b[2] - len(b[4])))))) for a in rows[:30] for b in rows[30:]}
+    links |= {p for p, s in own.items() if s >= 0.8}
+
+    def classes(pairs):
+        least = list(range(60))
+        for a, b in pairs:
+            lo, hi = sorted((least[a], least[b]))
+            least = [lo if c == hi else c for c in least]
+        return least
+
+    assert links and classes(links) == classes(p for p in found if own[p] >= 0.8)
+
+
 def test_sketches_estimate_probability_jaccard():
     r = np.random.default_rng(0)
     key = r.integers(1, 1 << 62, 600).astype(np.uint64)
