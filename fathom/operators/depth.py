@@ -1,36 +1,119 @@
-"""Depth images as arrays of pixels: validity, statistics, resizing, geometry. Missing pixels are null."""
+"""Depth images: validity, statistics, resizing, geometry.
+
+An image is an array column, row by row; missing pixels are null. What concerns
+one image is worked out in place, by array functions or by numpy over Arrow
+batches; only statistics across images take pixels apart, by pixels().
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Images that are worked on at a time.
+IMAGES = 16
+
 
-def pixels(frames: DataFrame, key: str, image: str, width: int) -> DataFrame:
-    """A row per pixel: key and other columns, px, u, v, d. For small images; full frames stay arrays."""
+def pixels(frames: DataFrame, image: str, width: int) -> DataFrame:
+    """A row per pixel: other columns, px, u, v, d. For statistics across images."""
     rest = [c for c in frames.columns if c != image]
     d = frames.select(*rest, F.posexplode(image).alias("px", "d"))
     return d.withColumn("u", F.col("px") % width).withColumn("v", F.floor(F.col("px") / width).cast("int"))
 
 
+def each_image(frames: DataFrame, image: str, width: int, outputs: str, work: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
+    """frames with outputs (a schema) in place of image: the rows that work gives for each image, with NaN for missing pixels.
+
+    Rows stay in their partitions; a null image gives none. Columns of frames that bear an output's name are replaced.
+    """
+    extra = frames.sparkSession.createDataFrame([], outputs).schema
+    gone = {image.lower(), *(f.name.lower() for f in extra)}
+    rest = [c for c in frames.columns if c.lower() not in gone]
+    d = frames.select(*rest, F.col(image).cast("array<double>").alias("_image"))
+    schema = d.drop("_image").schema
+    for field in extra:
+        schema = schema.add(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), IMAGES):
+                part = batch.slice(lo, IMAGES)
+                of, rows = [], []
+                for k, values in enumerate(part.column(len(rest))):
+                    if values.is_valid:
+                        made = work(values.values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, width))
+                        of += [k] * len(made)
+                        rows += made
+                take = pa.array(of, pa.int64())
+                columns = list(zip(*rows, strict=True)) if rows else [()] * len(extra)
+                arrays = [part.column(k).take(take) for k in range(len(rest))]
+                arrays += [pa.array(c, _arrow(f.dataType.simpleString()), from_pandas=True) for c, f in zip(columns, extra, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return d.mapInArrow(run, schema)
+
+
+def _arrow(kind: str) -> pa.DataType:
+    if kind.startswith("array<"):
+        return pa.list_(_arrow(kind[6:-1]))
+    if kind.startswith("struct<"):
+        return pa.struct([(n, _arrow(k)) for n, k in (f.split(":") for f in kind[7:-1].split(","))])
+    return {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}[kind]
+
+
+def _nulls(values: np.ndarray) -> pa.Array:
+    return pa.array(values.ravel(), from_pandas=True).to_pylist()
+
+
+def metric(image: Column, scale: float) -> Column:
+    """Raw units in metres; 0 is no measurement."""
+    return F.transform(image, lambda x: F.when(x > 0, x * scale))
+
+
 def clipped(x: Column, low: float, high: float) -> Column:
     """x limited to a range; null stays null."""
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
-def frame_stats(px: DataFrame, key: str, clip: float) -> DataFrame:
-    """valid_frac, rail_frac, std and median of each frame; without valid pixels 0, 1, 0 and null."""
-    d = px.groupBy(key).agg(
-        (F.count("d") / F.count("*")).alias("valid_frac"),
-        F.coalesce(F.avg((F.abs("d") >= clip - 1e-3).cast("double")), F.lit(1.0)).alias("rail_frac"),
-        F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("std"),
-        F.median("d").alias("median"),
-    )
-    return d
+def in_band(image: Column, low: float, high: float) -> Column:
+    """image without depths outside of [low, high], both ends included."""
+    return F.transform(image, lambda x: F.when(x.between(low, high), x))
+
+
+def in_box(image: Column, width: int, x: Column | int, y: Column | int, side: Column | int) -> Column:
+    """image of the same shape, null outside of the square."""
+    x, y, side = (F.lit(v) if isinstance(v, int) else v for v in (x, y, side))
+    row = lambda i: F.floor(i / width)
+    inside = lambda i: (i % width >= x) & (i % width < x + side) & (row(i) >= y) & (row(i) < y + side)
+    return F.transform(image, lambda v, i: F.when(inside(i), v))
+
+
+def crop(image: Column, width: int, x: int, y: int, side: int) -> Column:
+    """The square of image as an image of its own."""
+    return F.flatten(F.transform(F.sequence(F.lit(y), F.lit(y + side - 1)), lambda r: F.slice(image, r * width + x + 1, F.lit(side))))
+
+
+def decimated(image: Column, width: int, height: int, step: int) -> Column:
+    """Every step-th pixel of every step-th row, as an image of its own; deproject() takes the same step."""
+    pick = F.sequence(F.lit(0), F.lit(width * height - 1))
+    pick = F.filter(pick, lambda i: (i % width % step == 0) & (F.floor(i / width) % step == 0))
+    return F.transform(pick, lambda i: F.element_at(image, i.cast("int") + 1))
+
+
+def frame_stats(frames: DataFrame, image: str, clip: float) -> DataFrame:
+    """frames with valid_frac, rail_frac, std and median of each image; without valid pixels 0, 1, 0 and null."""
+
+    def work(a: np.ndarray) -> list[tuple]:
+        v = a[np.isfinite(a)]
+        if not v.size:
+            return [(0.0, 1.0, 0.0, None)]
+        return [(v.size / a.size, float((np.abs(v) >= clip - 1e-3).mean()), float(v.std()), float(np.median(v)))]
+
+    return each_image(frames, image, 1, "valid_frac double, rail_frac double, std double, median double", work)
 
 
 def stable_pixels(px: DataFrame, near: float, far: float, share: float = 0.5) -> DataFrame:
@@ -39,6 +122,16 @@ def stable_pixels(px: DataFrame, near: float, far: float, share: float = 0.5) ->
     return px.groupBy("px").agg(F.avg(inside.cast("double")).alias("share")).where(F.col("share") >= share)
 
 
+def pixel_median(px: DataFrame, *keys: str) -> DataFrame:
+    """(keys, px, d): the median of each pixel's samples across images."""
+    return px.groupBy(*keys, "px").agg(F.median("d").alias("d"))
+
+
+def temporal_std(px: DataFrame, key: str) -> DataFrame:
+    """(key, std): the median over pixels of the population deviation over images."""
+    return px.groupBy(key, "px").agg(F.stddev_pop("d").alias("s")).groupBy(key).agg(F.median("s").alias("std"))
+
+
 def deform(frame: Column, reference: Column, scale: float) -> Column:
     """struct(depth, mask) arrays: frame minus reference, null where either is; clipped last, 0 where masked."""
     moved = F.zip_with(frame, reference, lambda a, b: a - b)
@@ -46,51 +139,120 @@ def deform(frame: Column, reference: Column, scale: float) -> Column:
     return F.struct(F.transform(moved, lambda x: F.coalesce(clipped(x / scale, -1.0, 1.0), F.lit(0.0))).alias("depth"), mask.alias("mask"))
 
 
-def masked_resize(px: DataFrame, key: str, factor: int, support: float) -> DataFrame:
-    """Area averages over factor x factor cells of the valid pixels; null where their share is support or less."""
-    d = px.withColumn("cu", F.floor(F.col("u") / factor).cast("int")).withColumn("cv", F.floor(F.col("v") / factor).cast("int"))
-    d = d.groupBy(key, "cv", "cu").agg(F.avg("d").alias("mean"), (F.count("d") / F.count("*")).alias("cover"))
-    return d.select(key, "cv", "cu", F.when(F.col("cover") > support, F.col("mean")).alias("d"))
+def footprint_coverage(frame: Column, reference: Column) -> Column:
+    """The share of the pixels that reference has which frame has too; 0 without any."""
+    both = F.zip_with(frame, reference, lambda a, b: F.when(b.isNotNull(), a.isNotNull().cast("double")))
+    face = F.filter(both, lambda x: x.isNotNull())
+    return F.when(F.size(face) > 0, F.aggregate(face, F.lit(0.0), lambda s, x: s + x) / F.size(face)).otherwise(0.0)
+
 
+def overlaps(n_in: int, n_out: int) -> np.ndarray:
+    """The share of each of n_out equal cells that each of n_in pixels covers."""
+    width = n_in / n_out
+    low = np.arange(n_out)[:, None] * width
+    high = np.arange(1, n_out + 1)[:, None] * width
+    pixel = np.arange(n_in)[None, :]
+    return np.clip(np.minimum(high, pixel + 1) - np.maximum(low, pixel), 0, None) / width
 
-def deproject(px: DataFrame, fx: float, fy: float, cx: float, cy: float) -> DataFrame:
-    """px with x, y and z of a pinhole camera; depths of 0 or less are missing."""
-    z = F.when(F.col("d") > 0, F.col("d"))
-    d = px.withColumn("z", z)
-    return d.withColumn("x", (F.col("u") - cx) * F.col("z") / fx).withColumn("y", (F.col("v") - cy) * F.col("z") / fy)
 
+def masked_resize(values: np.ndarray, valid: np.ndarray, size: int, support: float) -> np.ndarray:
+    """Area averages of the valid pixels on a grid of size x size; NaN where their share is support or less.
 
-def mesh_faces(points: DataFrame, key: str, max_edge: float) -> DataFrame:
-    """(key, i0, i1, i2): two triangles per cell of the grid whose three edges are all shorter than max_edge.
+    Cells that cut pixels take their share of them, in both directions of scaling.
+    """
+    down, across = overlaps(values.shape[0], size), overlaps(values.shape[1], size).T
+    total = down @ np.where(valid, values, 0.0) @ across
+    share = down @ valid.astype(float) @ across
+    good = share > support
+    return np.where(good, total / np.where(good, share, 1), np.nan)
+
+
+def resized(frames: DataFrame, image: str, width: int, size: int, support: float) -> DataFrame:
+    """frames with image as size x size area averages of the valid pixels; null where their share is support or less."""
+    d = each_image(frames, image, width, "_cells array<double>", lambda a: [(_nulls(masked_resize(a, np.isfinite(a), size, support)),)])
+    return d.withColumnRenamed("_cells", image)
+
+
+def deproject(image: Column, width: int, fx: float, fy: float, cx: float, cy: float, scale: float = 1.0, step: int = 1) -> Column:
+    """array<struct<x, y, z>> of a pinhole camera, scaled; null where the depth is missing, 0 or less.
 
-    Vertices are the valid points, numbered row by row. Neighbours come by window
-    functions, one shuffle in all.
+    step is that of decimated(): the points are those of the sensor's own pixels.
     """
-    row = Window.partitionBy(key).orderBy("v", "u")
-    p = points.where("z IS NOT NULL").withColumn("id", F.row_number().over(row) - 1)
-    corner = F.struct("id", "x", "y", "z")
-    grid = points.select(key, "u", "v").join(p.select(key, "u", "v", corner.alias("c")), [key, "u", "v"], "left")
-    along = Window.partitionBy(key, "v").orderBy("u")
-    grid = grid.withColumn("e", F.lead("c").over(along))
-    down = Window.partitionBy(key, "u").orderBy("v")
-    grid = grid.withColumn("s", F.lead("c").over(down)).withColumn("se", F.lead("e").over(down))
 
-    def short(a: str, b: str) -> Column:
-        square = sum((F.col(f"{a}.{k}") - F.col(f"{b}.{k}")) ** 2 for k in "xyz")
-        return F.sqrt(square) < max_edge
+    def point(d: Column, i: Column) -> Column:
+        x = (i % width * step - cx) * d / fx * scale
+        y = (F.floor(i / width) * step - cy) * d / fy * scale
+        return F.when(d > 0, F.struct(x.alias("x"), y.alias("y"), (d * scale).alias("z")))
+
+    return F.transform(image, point)
+
+
+def mesh_arrays(image: np.ndarray, fx: float, fy: float, cx: float, cy: float, max_edge: float, scale: float = 1.0, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vertices, faces and normals of one image; see meshes()."""
+    h, w = image.shape
+    z = np.where(image > 0, image, np.nan)
+    points = np.stack([(np.arange(w)[None, :] * step - cx) * z / fx, (np.arange(h)[:, None] * step - cy) * z / fy, z], axis=-1) * scale
+    valid = np.isfinite(z)
+    number = np.where(valid, np.cumsum(valid).reshape(h, w) - 1, -1)
+    corners = {"tl": np.s_[:-1, :-1], "tr": np.s_[:-1, 1:], "bl": np.s_[1:, :-1], "br": np.s_[1:, 1:]}
+    faces = []
+    for names in (("tl", "tr", "bl"), ("tr", "br", "bl")):
+        at = [points[corners[n]] for n in names]
+        ids = np.stack([number[corners[n]] for n in names], axis=-1)
+        with np.errstate(invalid="ignore"):
+            short = [np.sqrt(((at[a] - at[b]) ** 2).sum(axis=-1)) < max_edge for a, b in ((0, 1), (1, 2), (0, 2))]
+        faces.append(ids[short[0] & short[1] & short[2]])
+    face = np.concatenate(faces) if h > 1 and w > 1 else np.zeros((0, 3), np.int64)
+    vertex = points[valid]
+    normal = np.zeros_like(vertex)
+    if len(face):
+        a, b, c = (vertex[face[:, k]] for k in range(3))
+        cross = np.cross(b - a, c - a)
+        for k in range(3):
+            np.add.at(normal, face[:, k], cross)
+    size = np.sqrt((normal**2).sum(axis=1, keepdims=True))
+    normal = normal / np.where(size == 0, 1, size)
+    normal[normal[:, 2] > 0] *= -1
+    return vertex, face, normal
+
+
+def meshes(frames: DataFrame, image: str, width: int, fx: float, fy: float, cx: float, cy: float, max_edge: float, scale: float = 1.0, step: int = 1, center: bool = False) -> DataFrame:
+    """frames with vertices, faces and normals, worked out for each image in one pass.
+
+    Vertices are the valid points, row by row; a cell of the grid gives the
+    triangles (top left, top right, bottom left) and (top right, bottom right,
+    bottom left) whose three edges are all shorter than max_edge, all of the first
+    kind first. A normal is the sum of its faces' cross products, of length 1,
+    towards the camera (z of 0 or less); a vertex without faces has zeros. With
+    center, vertices are less their mean.
+    """
+
+    def structs(rows: np.ndarray, names: str) -> list[dict]:
+        return [dict(zip(names.split(), r, strict=True)) for r in rows.tolist()]
+
+    def work(a: np.ndarray) -> list[tuple]:
+        vertex, face, normal = mesh_arrays(a, fx, fy, cx, cy, max_edge, scale, step)
+        if center and len(vertex):
+            vertex = vertex - vertex.mean(axis=0)
+        return [(structs(vertex, "x y z"), structs(face, "i0 i1 i2"), structs(normal, "nx ny nz"))]
 
-    triangles = [F.when(short(a, b) & short(b, c) & short(c, a), F.struct(*[F.col(f"{n}.id").alias(f"i{k}") for k, n in enumerate((a, b, c))])) for a, b, c in (("c", "s", "e"), ("e", "s", "se"))]
-    return grid.select(key, F.explode(F.array_compact(F.array(*triangles))).alias("t")).select(key, "t.*")
+    outputs = "vertices array<struct<x:double,y:double,z:double>>, faces array<struct<i0:int,i1:int,i2:int>>, normals array<struct<nx:double,ny:double,nz:double>>"
+    return each_image(frames, image, width, outputs, work)
 
 
 def distance_histogram(values: DataFrame, low: float, high: float, bins: int, least: int, around: float) -> DataFrame:
-    """(distance, share): the centre of the fullest bin, the first of equals, and the share of values near it."""
-    d = values.where((F.col("d") > low) & (F.col("d") < high))
+    """One row (distance, share): the centre of the fullest bin, the first of equals, and the share of values within around of it.
+
+    Only values strictly between low and high count; under `least` of them give (null, 0).
+    """
+    d = values.select("d").where((F.col("d") > low) & (F.col("d") < high))
     width = (high - low) / bins
     b = d.groupBy(F.least(F.floor((F.col("d") - low) / width), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
-    best = b.agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("bin"), F.sum("n").alias("total")).where(F.col("total") >= least)
-    best = best.select((low + (F.col("bin") + 0.5) * width).alias("distance"))
-    return d.crossJoin(F.broadcast(best)).groupBy("distance").agg(F.avg((F.abs(F.col("d") - F.col("distance")) <= around).cast("double")).alias("share"))
+    best = b.agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("bin"), F.sum("n").alias("total"))
+    best = best.select(F.when(F.col("total") >= least, low + (F.col("bin") + 0.5) * width).alias("distance"))
+    # best is one row: an aggregate without a key.
+    near = F.avg((F.abs(F.col("d") - F.col("distance")) <= around).cast("double"))
+    return F.broadcast(best).join(d, F.lit(True), "left").groupBy("distance").agg(F.coalesce(near, F.lit(0.0)).alias("share"))
 
 
 def relief(px: DataFrame, key: str, scale: float = 1000.0) -> DataFrame:
@@ -99,88 +261,200 @@ def relief(px: DataFrame, key: str, scale: float = 1000.0) -> DataFrame:
     return px.groupBy(key).agg(p.alias("p")).select(key, ((F.col("p")[1] - F.col("p")[0]) * scale).alias("relief"))
 
 
+def spread_tolerance_mm(reference: Column, explicit: float | None = None, frac: float = 0.05, floor: float = 5.0) -> Column:
+    """How far a pixel's samples may spread: explicit, or frac of the reference distance, floor at least; 6 mm without one."""
+    if explicit:
+        return F.lit(float(explicit))
+    return F.when(F.coalesce(reference, F.lit(0.0)) == 0, F.lit(max(floor, 6.0))).otherwise(F.greatest(F.lit(floor), reference * frac))
+
+
 def average_depth(px: DataFrame, key: str, spread: float, least: int = 3) -> DataFrame:
-    """(key, px, d): the median of each pixel's samples; null if they are too few or spread too far (p90 - p10)."""
+    """(key, px, d, dropped): the median of each pixel's samples over 0.
+
+    d is null if they are fewer than least or spread too far (p90 - p10); dropped
+    tells whether such samples were there. See dropped_share().
+    """
     p = F.percentile("d", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    d = px.groupBy(key, "px").agg(p.alias("p"), F.count("d").alias("n"))
+    d = px.withColumn("d", F.when(F.col("d") > 0, F.col("d"))).groupBy(key, "px").agg(p.alias("p"), F.count("d").alias("n"))
     steady = (F.col("n") >= least) & (F.col("p")[2] - F.col("p")[0] <= spread)
-    return d.select(key, "px", F.when(steady, F.col("p")[1]).alias("d"))
+    return d.select(key, "px", F.when(steady, F.col("p")[1]).alias("d"), (F.coalesce(~steady, F.lit(True)) & (F.col("n") > 0)).alias("dropped"), (F.col("n") > 0).alias("had"))
 
 
-def relative(px: DataFrame, key: str, reference: float, clip: float, center: bool = False) -> DataFrame:
-    """px with d relative to reference, null beyond clip; with center, each frame's own median is taken off and
-    validity is judged again on the shifted values, which can bring pixels back."""
-    rel = px.withColumn("d", F.col("d") - reference)
-    if not center:
-        return rel.withColumn("d", F.when(F.abs("d") <= clip, F.col("d")))
-    own = F.median(F.when(F.abs("d") <= clip, F.col("d"))).over(Window.partitionBy(key))
-    moved = F.col("d") - F.coalesce(own, F.lit(0.0))
-    return rel.withColumn("d", moved).withColumn("d", F.when(F.abs("d") <= clip, F.col("d")))
+def dropped_share(averaged: DataFrame, key: str) -> DataFrame:
+    """(key, share): of the pixels with samples, the share that average_depth() dropped; 1 without any."""
+    share = F.sum(F.col("dropped").cast("double")) / F.nullif(F.sum(F.col("had").cast("double")), F.lit(0.0))
+    return averaged.groupBy(key).agg(F.coalesce(share, F.lit(1.0)).alias("share"))
 
 
-def gradients(px: DataFrame, key: str) -> DataFrame:
-    """px with gx and gy: central differences, one-sided at the borders of the image."""
+def relative(frames: DataFrame, image: str, reference: float, clip: float, center: bool = False) -> DataFrame:
+    """frames with image relative to reference; a pixel counts if its depth is over 0 and within clip of it.
 
-    def along(line: str, axis: str) -> Column:
-        w = Window.partitionBy(key, line).orderBy(axis)
-        ahead, behind = F.lead("d").over(w), F.lag("d").over(w)
-        steps = F.lead(axis).over(w).isNotNull().cast("int") + F.lag(axis).over(w).isNotNull().cast("int")
-        return (F.coalesce(ahead, F.col("d")) - F.coalesce(behind, F.col("d"))) / F.nullif(steps, F.lit(0))
+    With center, each image's own median is taken off and validity is judged again
+    on the shifted values, which can bring pixels back.
+    """
+    if not center:
+        rel = lambda x: x - reference
+        return frames.withColumn(image, F.transform(F.col(image).cast("array<double>"), lambda x: F.when((x > 0) & (F.abs(rel(x)) <= clip), rel(x))))
+
+    def work(a: np.ndarray) -> list[tuple]:
+        with np.errstate(invalid="ignore"):
+            rel = a - reference
+            valid = (a > 0) & (np.abs(rel) <= clip)
+            if valid.any():
+                rel = rel - np.median(rel[valid])
+                valid = (a > 0) & (np.abs(rel) <= clip)
+        return [(_nulls(np.where(valid, rel, np.nan)),)]
 
-    return px.withColumn("gx", along("v", "u")).withColumn("gy", along("u", "v"))
+    return each_image(frames, image, 1, "_rel array<double>", work).withColumnRenamed("_rel", image)
 
 
-def vertex_normals(points: DataFrame, faces: DataFrame, key: str) -> DataFrame:
-    """(key, id, nx, ny, nz): the sum of the cross products of each vertex's faces, of length 1, towards the camera (nz <= 0).
+def gradients(frames: DataFrame, image: str, width: int) -> DataFrame:
+    """frames with gx and gy: central differences, one-sided at the borders; holes are filled with the image's median first.
 
-    points: key, id, x, y, z; faces: key, i0, i1, i2.
+    An image without valid pixels has no gradients: nulls.
     """
-    corners = faces.withColumn("face", F.struct("i0", "i1", "i2"))
-    for k in range(3):
-        at = points.select(key, F.col("id").alias(f"i{k}"), F.struct("x", "y", "z").alias(f"p{k}"))
-        corners = corners.join(at, [key, f"i{k}"])
-    a = {c: F.col(f"p1.{c}") - F.col(f"p0.{c}") for c in "xyz"}
-    b = {c: F.col(f"p2.{c}") - F.col(f"p0.{c}") for c in "xyz"}
-    cross = [(a[p] * b[q] - a[q] * b[p]).alias(f"n{r}") for r, p, q in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))]
-    each = corners.select(key, F.explode(F.array("face.i0", "face.i1", "face.i2")).alias("id"), *cross)
-    d = each.groupBy(key, "id").agg(*[F.sum(c).alias(c) for c in ("nx", "ny", "nz")])
-    size = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
-    d = d.withColumn("size", F.when(F.col("nz") > 0, -size).otherwise(size))
-    return d.select(key, "id", *[F.when(F.col("size") != 0, F.col(c) / F.col("size")).otherwise(0.0).alias(c) for c in ("nx", "ny", "nz")])
+
+    def work(a: np.ndarray) -> list[tuple]:
+        if not np.isfinite(a).any():
+            return [([None] * a.size, [None] * a.size)]
+        full = np.where(np.isfinite(a), a, np.nanmedian(a))
+        gy, gx = (np.gradient(full, axis=k) if full.shape[k] > 1 else np.zeros_like(full) for k in (0, 1))
+        return [(gx.ravel().tolist(), gy.ravel().tolist())]
+
+    return each_image(frames, image, width, "gx array<double>, gy array<double>", work)
+
+
+#: The light of a shaded relief, its ambient and diffuse parts, and the colour of missing pixels.
+LIGHT, AMBIENT, DIFFUSE = (-0.35, -0.55, -1.0), 0.18, 0.85
+
+
+def shaded(frames: DataFrame, image: str, width: int, fx: float, fy: float, cx: float, cy: float, scale: float = 1000.0) -> DataFrame:
+    """frames with shade, a brightness from 0 to 255 of each pixel of the lit surface, null where depth is missing."""
+    light = np.array(LIGHT) / np.sqrt(np.square(LIGHT).sum())
+
+    def work(a: np.ndarray) -> list[tuple]:
+        z = np.where(a > 0, a, np.nan) * scale
+        if not np.isfinite(z).any():
+            return [([None] * a.size,)]
+        full = np.where(np.isfinite(z), z, np.nanmedian(z))
+        gy, gx = (np.gradient(full, axis=k) if full.shape[k] > 1 else np.zeros_like(full) for k in (0, 1))
+        x = (np.arange(a.shape[1])[None, :] - cx) * z / fx
+        y = (np.arange(a.shape[0])[:, None] - cy) * z / fy
+
+        def pitch(p: np.ndarray, axis: int) -> float:
+            steps = np.abs(np.diff(p, axis=axis))
+            steps = steps[np.isfinite(steps)]
+            return (float(np.median(steps)) if steps.size else 0.0) or 1.0
+
+        normal = np.stack([-gx / pitch(x, 1), -gy / pitch(y, 0), np.ones_like(full)])
+        normal /= np.sqrt((normal**2).sum(axis=0))
+        lit = np.clip(-np.tensordot(light, normal, 1), 0, 1)
+        shade = np.floor(np.clip(AMBIENT + DIFFUSE * lit, 0, 1) * 255)
+        return [([None if hole else int(s) for s, hole in zip(shade.ravel(), np.isnan(z).ravel(), strict=True)],)]
+
+    return each_image(frames, image, width, "shade array<int>", work)
+
+
+def depth_shades(points: DataFrame, key: str, z: str = "z") -> DataFrame:
+    """points with shade, 0 to 1, stretched between the 2nd and the 98th percentile of each key's z."""
+    p = F.percentile(z, F.array(F.lit(0.02), F.lit(0.98))).over(Window.partitionBy(key))
+    return points.withColumn("_p", p).withColumn("shade", clipped((F.col(z) - F.col("_p")[0]) / F.greatest(F.lit(1e-6), F.col("_p")[1] - F.col("_p")[0]), 0.0, 1.0)).drop("_p")
+
+
+def extents(points: DataFrame, key: str) -> DataFrame:
+    """(key, dx, dy, dz, x, y, z): the span and the centroid of each key's points."""
+    return points.groupBy(key).agg(*[(F.max(c) - F.min(c)).alias(f"d{c}") for c in "xyz"], *[F.avg(c).alias(c) for c in "xyz"])
+
+
+def centered(points: DataFrame, key: str) -> DataFrame:
+    """points less their key's centroid."""
+    w = Window.partitionBy(key)
+    return points.withColumns({c: F.col(c) - F.avg(c).over(w) for c in "xyz"})
+
+
+def centre_readout(frames: DataFrame, image: str, width: int, half: int = 4, scale: float = 1.0) -> DataFrame:
+    """frames with centre: the median of the depths over 0 in the square of 2 * half + 1 pixels in the middle, scaled; null without any."""
+
+    def work(a: np.ndarray) -> list[tuple]:
+        y, x = a.shape[0] // 2, a.shape[1] // 2
+        v = a[max(0, y - half) : y + half + 1, max(0, x - half) : x + half + 1]
+        v = v[v > 0]
+        return [(float(np.median(v)) * scale if v.size else None,)]
+
+    return each_image(frames, image, width, "centre double", work)
 
 
 def largest_surface(frames: DataFrame, key: str, image: str, width: int, least: int = 1) -> DataFrame:
     """(key, px): the pixels of each image's largest 8-connected part of non-null pixels, the first in row order of equals.
 
-    An image whose largest part has fewer than `least` pixels gives none. One image is worked on at a time.
+    An image whose largest part has fewer than `least` pixels gives none.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, pixels_of = [], []
-            for name, values in zip(batch.column(0), batch.column(1), strict=True):
-                inside = values.values.is_valid().to_numpy(zero_copy_only=False) if values.is_valid else np.zeros(0, bool)
-                part = _largest_part(inside.reshape(-1, width))
-                if len(part) >= least:
-                    keys += [name.as_py()] * len(part)
-                    pixels_of.append(part)
-            px = np.concatenate(pixels_of) if pixels_of else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(px.astype(np.int32))], names=[key, "px"])
-
-    d = frames.select(key, image)
-    return d.mapInArrow(run, d.select(key, F.lit(0).alias("px")).schema)
-
-
-def _largest_part(inside: np.ndarray) -> np.ndarray:
-    """Least labels travel to all eight neighbours until none changes."""
-    none = inside.size
-    label = np.pad(np.where(inside, np.arange(none).reshape(inside.shape), none), 1, constant_values=none)
-    core = label[1:-1, 1:-1]
+    def work(a: np.ndarray) -> list[tuple]:
+        part = largest_part(np.isfinite(a))
+        return [(int(i),) for i in part] if len(part) >= least else []
+
+    return each_image(frames.select(key, image), image, width, "px int", work)
+
+
+def keep_largest_surface(frames: DataFrame, image: str, width: int, least: int = 200) -> DataFrame:
+    """frames with only the largest 8-connected part of each image, and others: how many more parts there were.
+
+    An image whose largest part has fewer than `least` pixels stays as it is, with 0 others.
+    """
+
+    def work(a: np.ndarray) -> list[tuple]:
+        valid = np.nan_to_num(a) > 0
+        label = parts(valid)
+        best = largest_part(valid, label)
+        if len(best) < max(1, least):
+            return [(_nulls(a), 0)]
+        keep = np.zeros(a.size, bool)
+        keep[best] = True
+        return [(_nulls(np.where(keep.reshape(a.shape), a, np.nan)), len(np.unique(label[valid])) - 1)]
+
+    return each_image(frames, image, width, "_kept array<double>, others int", work).withColumnRenamed("_kept", image)
+
+
+def parts(inside: np.ndarray) -> np.ndarray:
+    """For each pixel inside, a number of its 8-connected part, in row order of the parts' first pixels; -1 outside.
+
+    Runs of a row are joined with those that they touch in the row above; least
+    numbers spread and jump until nothing changes.
+    """
+    h, w = inside.shape
+    wide = np.zeros((h, w + 2), np.int8)
+    wide[:, 1:-1] = inside
+    step = np.diff(wide.ravel())
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)  # in rows of w + 2
+    out = np.full(h * (w + 2), -1)
+    if not len(start):
+        return out.reshape(h, w + 2)[:, :w]
+    low = np.searchsorted(end, start - (w + 2))
+    high = np.searchsorted(start, end - (w + 2), "right")
+    n = np.maximum(high - low, 0)
+    below = np.repeat(np.arange(len(start)), n)
+    above = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    label = np.arange(len(start))
     while True:
-        wide = np.minimum(np.minimum(label[:, :-2], label[:, 1:-1]), label[:, 2:])
-        new = np.where(inside, np.minimum(np.minimum(wide[:-2], wide[1:-1]), wide[2:]), none)
-        if (new == core).all():
+        least = np.minimum(label[below], label[above])
+        new = label.copy()
+        np.minimum.at(new, below, least)
+        np.minimum.at(new, above, least)
+        np.minimum.at(new, label[below], least)
+        np.minimum.at(new, label[above], least)
+        new = new[new]
+        if (new == label).all():
             break
-        core[...] = new
-    found, counts = np.unique(core[inside], return_counts=True)
-    return np.flatnonzero(core.ravel() == found[counts.argmax()]) if len(found) else np.zeros(0, np.int64)
+        label = new
+    of = np.repeat(label, end - start)
+    at = np.arange((end - start).sum()) - np.repeat(np.cumsum(end - start) - (end - start), end - start) + np.repeat(start, end - start)
+    out[at] = np.unique(of, return_inverse=True)[1]
+    return out.reshape(h, w + 2)[:, :w]
+
+
+def largest_part(inside: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """The pixels of the largest part, in row order; of equals the one that begins first."""
+    label = parts(inside) if label is None else label
+    count = np.bincount(label[label >= 0]) if (label >= 0).any() else np.zeros(0, int)
+    return np.flatnonzero(label.ravel() == count.argmax()) if len(count) else np.zeros(0, np.int64)

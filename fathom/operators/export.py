@@ -1,0 +1,264 @@
+"""From recorded frames to geometry: which frames, which part of them, points and meshes, the texts and bytes of files."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from fathom.operators import depth, frames, preprocess
+from fathom.operators.preprocess import Params
+
+#: Frames that a distance or a face is looked for in.
+PROBES, FACE_FRAMES = 8, 40
+
+
+@dataclass(frozen=True)
+class Lens:
+    fx: float
+    fy: float
+    cx: float
+    cy: float
+
+
+def parse_lens(text: str) -> Lens:
+    """"fx,fy,ppx,ppy", four numbers."""
+    given = [float(v) for v in text.split(",")]
+    if len(given) != 4:
+        raise ValueError("intrinsics are fx,fy,ppx,ppy")
+    return Lens(*given)
+
+
+def intrinsics(meta: DataFrame) -> DataFrame:
+    """(session, fx, fy, ppx, ppy, distorted) from camera.depth_intrinsics; a session that lacks one fails the job.
+
+    distorted tells of coefficients beyond 1e-6, which the pinhole model leaves out.
+    """
+    of = "camera.depth_intrinsics"
+    missing = F.raise_error(F.concat(F.lit("no camera intrinsics in the metadata of "), F.col("session")))
+    value = {k: F.coalesce(F.col(f"{of}.{k}").cast("double"), missing.cast("double")).alias(k) for k in ("fx", "fy", "ppx", "ppy")}
+    bent = F.exists(F.coalesce(F.col(f"{of}.coeffs").cast("array<double>"), F.array().cast("array<double>")), lambda c: F.abs(c) > 1e-6)
+    return meta.select("session", *value.values(), bent.alias("distorted"))
+
+
+def measured_distance(images: DataFrame, low: float = 50.0, high: float = 900.0, bins: int = 43, least: int = 500, around: float = 80.0) -> DataFrame:
+    """One row (distance, share) in mm of the densest depth of images (depth in metres, null where missing); see distance_histogram()."""
+    d = images.select(F.explode("depth").alias("m")).where("m IS NOT NULL").select((F.col("m") * 1000).alias("d"))
+    return depth.distance_histogram(d, low, high, bins, least, around)
+
+
+def expected_distance(images: DataFrame, log: DataFrame, otherwise: float = 0.15, n: int = PROBES) -> float:
+    """In metres, from the first n frames of log that can be read; a few frames of one recording."""
+    first = log.orderBy("session", "pos").limit(n).select("session", "filename")
+    found = measured_distance(images.join(F.broadcast(first), ["session", "filename"], "left_semi")).first()
+    return found["distance"] / 1000 if found and found["distance"] else otherwise
+
+
+def face_region(images: DataFrame, log: DataFrame, params: Params, depth_scale: float) -> DataFrame:
+    """(session, roi, reference_mm): the region that the preprocessing finds in the first neutral frames, or in the first of all.
+
+    Sessions without a face, or with fewer than 3 readable frames, have nulls: export then takes the full frame.
+    """
+    neutral = log.groupBy("session").agg(F.count_if(F.col("label") == "neutral").alias("n"))
+    d = log.join(neutral, "session").where("n = 0 OR label = 'neutral'")
+    d = frames.every_nth(d, 1)
+    first = d.join(d.groupBy("session").agg(F.min("pos").alias("_first")), "session").where(F.col("pos") < F.col("_first") + 100 * FACE_FRAMES)
+    ranked = F.row_number().over(frames.by_session())
+    first = first.withColumn("_k", ranked).where(F.col("_k") <= FACE_FRAMES).select("session", "filename")
+    states = preprocess.fit(images.join(first, ["session", "filename"], "left_semi"), params, depth_scale, least=3)
+    return log.select("session").distinct().join(states.select("session", "roi", "reference_mm"), "session", "left")
+
+
+def surface(images: DataFrame, width: int, low: float, high: float, roi: tuple[int, int, int] | None = None, keep_all: bool = False, step: int = 1, least: int = 200) -> DataFrame:
+    """images (depth in metres) within the band and the region, only their largest surface unless keep_all, every step-th pixel.
+
+    Columns: those of images, and others where surfaces were dropped. The width of the result is ceil(width / step).
+    """
+    d = images.withColumn("depth", depth.in_band(F.col("depth"), low, high))
+    if roi:
+        d = d.withColumn("depth", depth.in_box(F.col("depth"), width, *roi))
+    d = d.withColumn("others", F.lit(0)) if keep_all else depth.keep_largest_surface(d, "depth", width, least)
+    if step > 1:
+        height = F.size("depth") / width
+        pick = F.filter(F.sequence(F.lit(0), F.size("depth") - 1), lambda i: (i % width % step == 0) & (F.floor(i / width) % step == 0) & (i < width * height))
+        d = d.withColumn("depth", F.transform(pick, lambda i: F.element_at("depth", i.cast("int") + 1)))
+    return d
+
+
+def iter_points(log: DataFrame, images: DataFrame, width: int, lens: Lens, depth_scale: float, label: str | None = None, every: int = 1, distance: float | None = None, half_mm: float = 80.0, roi: tuple[int, int, int] | None = None, units: str = "mm", largest_only: bool = True) -> DataFrame:
+    """(session, frame_index, label, points): for every frame at hand its points row by row, null where there is no depth.
+
+    Frames are chosen before any image is read; unreadable ones give no row.
+    """
+    chosen = log if label is None else log.where(F.col("label") == label)
+    metric = images.where("depth IS NOT NULL").withColumn("depth", depth.metric(F.col("depth"), depth_scale))
+    if distance is None:
+        distance = expected_distance(metric, chosen)
+    chosen = frames.every_nth(chosen, every).select("session", "pos", "filename", "frame_index", "label")
+    d = metric.join(chosen, ["session", "filename"])
+    d = surface(d, width, distance - half_mm / 1000, distance + half_mm / 1000, roi, not largest_only)
+    scale = 1000.0 if units == "mm" else 1.0
+    return d.select("session", "frame_index", "label", depth.deproject(F.col("depth"), width, lens.fx, lens.fy, lens.cx, lens.cy, scale).alias("points"))
+
+
+def averaged(log: DataFrame, images: DataFrame, width: int, depth_scale: float, tolerance_mm: float, n: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(session, depth) and (session, share): the median image of each session's first n frames of log, and how much of it was dropped as moving."""
+    window = log.withColumn("_k", F.row_number().over(frames.by_session())).where(F.col("_k") <= max(2, n)).select("session", "filename")
+    metric = images.join(window, ["session", "filename"], "left_semi").where("depth IS NOT NULL").select("session", depth.metric(F.col("depth"), depth_scale).alias("depth"))
+    px = depth.average_depth(depth.pixels(metric, "depth", width), "session", tolerance_mm / 1000)
+    image = F.transform(F.array_sort(F.collect_list(F.struct("px", "d"))), lambda x: x["d"])
+    return px.groupBy("session").agg(image.alias("depth")), depth.dropped_share(px, "session")
+
+
+def why_empty(images: DataFrame, expected_mm: float) -> DataFrame:
+    """(advice): what to say of images (depth in metres) none of whose pixels is in the band."""
+    span = images.select(F.explode("depth").alias("m")).where("m > 0").agg(F.min("m").alias("low"), F.max("m").alias("high"), F.median("m").alias("mid"))
+    mm = lambda c: F.format_string("%.0f", F.col(c) * 1000)
+    seen = F.concat(F.lit("a surface at "), F.format_string("%.0f", "distance"), F.lit(f" mm, not at {expected_mm:.0f} mm"))
+    spans = F.concat(F.lit("depth spans "), mm("low"), F.lit("-"), mm("high"), F.lit(" mm, median "), mm("mid"))
+    both = measured_distance(images).join(F.broadcast(span), F.lit(True), "left")
+    return both.select(F.when(F.col("distance").isNotNull(), seen).when(F.col("low").isNotNull(), spans).otherwise("no depth measurements at all").alias("advice"))
+
+
+def mesh_points(meshed: DataFrame, key: str) -> DataFrame:
+    """(key, id, x, y, z) of the vertices of meshes()."""
+    return meshed.select(key, F.posexplode("vertices").alias("id", "v")).select(key, "id", "v.*")
+
+
+def mesh_faces(meshed: DataFrame, key: str) -> DataFrame:
+    """(key, nth, i0, i1, i2), in the order of the faces."""
+    return meshed.select(key, F.posexplode("faces").alias("nth", "f")).select(key, "nth", "f.*")
+
+
+def mesh_normals(meshed: DataFrame, key: str) -> DataFrame:
+    return meshed.select(key, F.posexplode("normals").alias("id", "n")).select(key, "id", "n.*")
+
+
+def obj_text(meshed: DataFrame, normals: bool = True, comments: tuple[str, ...] = ()) -> DataFrame:
+    """meshed with obj, an OBJ text: comments, vertices, normals, faces from 1, each in order."""
+
+    def line(kind: str, x: Column, names: str) -> Column:
+        return F.concat_ws(" ", F.lit(kind), *[F.format_string("%.4f", x[n]) for n in names.split()])
+
+    def corner(x: Column, n: str) -> Column:
+        at = (x[n] + 1).cast("string")
+        return F.concat_ws("//", at, at) if normals else at
+
+    lines = [F.array(*[F.lit(f"# {c}") for c in comments]).cast("array<string>")]
+    lines.append(F.transform("vertices", lambda x: line("v", x, "x y z")))
+    if normals:
+        lines.append(F.transform("normals", lambda x: line("vn", x, "nx ny nz")))
+    lines.append(F.transform("faces", lambda x: F.concat_ws(" ", F.lit("f"), *[corner(x, f"i{k}") for k in range(3)])))
+    return meshed.withColumn("obj", F.concat(F.array_join(F.concat(*lines), "\n"), F.lit("\n")))
+
+
+def ply_bytes(vertices: np.ndarray, faces: np.ndarray | None, normals: np.ndarray | None, colours: np.ndarray | None, binary: bool = True, comments: tuple[str, ...] = ()) -> bytes:
+    """A PLY file, little-endian or text; the header names what there is."""
+    columns = [("x", "<f4", vertices[:, 0]), ("y", "<f4", vertices[:, 1]), ("z", "<f4", vertices[:, 2])]
+    if normals is not None:
+        columns += [(f"n{c}", "<f4", normals[:, k]) for k, c in enumerate("xyz")]
+    if colours is not None:
+        columns += [(c, "u1", colours[:, k]) for k, c in enumerate(("red", "green", "blue"))]
+    n_faces = 0 if faces is None else len(faces)
+    head = ["ply", f"format {'binary_little_endian' if binary else 'ascii'} 1.0", *(f"comment {c}" for c in comments), f"element vertex {len(vertices)}"]
+    head += [f"property {'float' if kind == '<f4' else 'uchar'} {name}" for name, kind, _ in columns]
+    if n_faces:
+        head += [f"element face {n_faces}", "property list uchar int vertex_indices"]
+    head.append("end_header\n")
+    if binary:
+        rows = np.empty(len(vertices), [(name, kind) for name, kind, _ in columns])
+        for name, _, values in columns:
+            rows[name] = values
+        body = rows.tobytes()
+        if n_faces:
+            corners = np.empty(n_faces, [("n", "u1"), ("v", "<i4", 3)])
+            corners["n"], corners["v"] = 3, faces
+            body += corners.tobytes()
+    else:
+        text = [" ".join(f"{v:.4f}" if kind == "<f4" else str(int(v)) for (_, kind, _), v in zip(columns, row, strict=True)) for row in zip(*(c[2] for c in columns), strict=True)]
+        text += [f"3 {a} {b} {c}" for a, b, c in (faces.tolist() if n_faces else [])]
+        body = "".join(f"{t}\n" for t in text).encode("ascii")
+    return "\n".join(head).encode("ascii") + body
+
+
+#: Kinds of numbers in a PLY file.
+_PLY_KINDS = {"float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8", "uchar": "u1", "uint8": "u1", "char": "i1", "short": "<i2", "ushort": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4"}
+
+
+def parse_ply(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices (n, 3) and triangles (m, 3) of a PLY file as ply_bytes() writes them; others are an error."""
+    end = data.index(b"end_header\n") + len(b"end_header\n")
+    counts, properties, element = {"vertex": 0, "face": 0}, [], ""
+    binary = b"binary_little_endian" in data[:end]
+    for words in (line.split() for line in data[:end].decode("ascii").splitlines()):
+        if words[:1] == ["element"]:
+            element = words[1]
+            counts[element] = int(words[2])
+        elif words[:1] == ["property"] and element == "vertex":
+            properties.append((words[2], _PLY_KINDS[words[1]]))
+    if binary:
+        rows = np.frombuffer(data, np.dtype(properties), counts["vertex"], end)
+        vertices = np.stack([rows[c].astype(np.float64) for c in "xyz"], axis=1)
+        corners = np.frombuffer(data, np.dtype([("n", "u1"), ("v", "<i4", 3)]), counts["face"], end + rows.nbytes)
+        return vertices, corners["v"].astype(np.int32)
+    lines = data[end:].decode("ascii").splitlines()
+    at = [[name for name, _ in properties].index(c) for c in "xyz"]
+    vertices = np.array([[float(w[k]) for k in at] for w in (x.split() for x in lines[: counts["vertex"]])], float).reshape(-1, 3)
+    faces = [[int(v) for v in x.split()[1:4]] for x in lines[counts["vertex"] : counts["vertex"] + counts["face"]]]
+    return vertices, np.array(faces, np.int32).reshape(-1, 3)
+
+
+def with_ply(meshed: DataFrame, normals: bool = True, colours: bool = True, binary: bool = True, comments: tuple[str, ...] = ()) -> DataFrame:
+    """meshed with ply, the bytes of a PLY file of each mesh, its vertices grey by depth between its 2nd and 98th percentile if colours."""
+    d = meshed.select("*", "vertices.x", "vertices.y", "vertices.z", "faces.i0", "faces.i1", "faces.i2", "normals.nx", "normals.ny", "normals.nz")
+    rest = meshed.columns
+    schema = meshed.withColumn("ply", F.lit(None).cast("binary")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for row in range(len(batch)):
+                parts = [np.array(batch.column(len(rest) + k)[row].as_py() or [], float) for k in range(9)]
+                vertex, face, normal = (np.stack(parts[k : k + 3], axis=1) for k in (0, 3, 6))
+                shade = None
+                if colours and len(vertex):
+                    low, high = np.percentile(vertex[:, 2], [2, 98])
+                    shade = np.repeat(np.floor(np.clip((vertex[:, 2] - low) / max(1e-6, high - low), 0, 1) * 255)[:, None], 3, axis=1)
+                made.append(ply_bytes(vertex, face.astype(np.int32), normal if normals else None, shade, binary, comments))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(made, pa.binary())], names=[*rest, "ply"])
+
+    return d.mapInArrow(run, schema)
+
+
+def export(log: DataFrame, images: DataFrame, width: int, lens: Lens, depth_scale: float, params: Params | None = None, sequence: bool = False, every: int = 1, average_frames: int = 30, max_spread_mm: float | None = None, half_mm: float = 80.0, roi: tuple[int, int, int] | None = None, step: int = 1, max_edge_mm: float = 4.0, units: str = "mm", keep_all: bool = False, center: bool = False, reference_mm: float | None = None) -> DataFrame:
+    """(session, tag, others, vertices, faces, normals): meshes of the chosen frames of log.
+
+    A sequence has one mesh per frame (every n-th); one chosen frame gives its own;
+    several give the mesh of their median image. The band lies around reference_mm,
+    or the expected distance. An image without usable depth gives an empty mesh.
+    """
+    from fathom.functions.text import average_tag, frame_tag
+
+    params = params or Params()
+    middle = (reference_mm or params.expected_distance_m * 1000) / 1000
+    low, high = middle - half_mm / 1000, middle + half_mm / 1000
+    single = not sequence and log.limit(2).count() < 2
+    if sequence or single:
+        chosen = frames.every_nth(log, every) if sequence else log
+        d = images.where("depth IS NOT NULL").join(chosen.select("session", "filename", "frame_index"), ["session", "filename"])
+        d = d.select("session", frame_tag(F.col("frame_index")).alias("tag"), depth.metric(F.col("depth"), depth_scale).alias("depth"))
+    else:
+        tolerance = images.sparkSession.range(1).select(depth.spread_tolerance_mm(F.lit(middle * 1000), max_spread_mm)).first()[0]
+        d, _ = averaged(log, images, width, depth_scale, tolerance, average_frames)
+        ranked = log.withColumn("_k", F.row_number().over(frames.by_session())).where(F.col("_k") <= max(2, average_frames))
+        tags = ranked.groupBy("session").agg(average_tag(F.count("*"), F.min_by("frame_index", "pos")).alias("tag"))
+        d = d.join(tags, "session").select("session", "tag", "depth")
+    d = surface(d, width, low, high, roi, keep_all, step)
+    scale = 1000.0 if units == "mm" else 1.0
+    edge = max_edge_mm * (1.0 if units == "mm" else 0.001)
+    d = depth.meshes(d, "depth", -(-width // step), lens.fx, lens.fy, lens.cx, lens.cy, edge, scale, step, center)
+    return d.select("session", "tag", "others", "vertices", "faces", "normals")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNLABELED = "unlabeled"
+from fathom.functions.text import UNLABELED
+from fathom.operators.tables import numbered, small
 
 
 def positions(events: DataFrame, session: str = "user_id", order: tuple[str, ...] = ("ts", "event_id"), trial_length: int = 40) -> DataFrame:
@@ -17,6 +18,11 @@ def positions(events: DataFrame, session: str = "user_id", order: tuple[str, ...
     return d.withColumn("trial", F.floor(F.col("pos") / trial_length).cast("int"))
 
 
+def by_session() -> Window:
+    """Frames of a session in their order."""
+    return Window.partitionBy("session").orderBy("pos")
+
+
 def runs(frames: DataFrame) -> DataFrame:
     """Contiguous runs of a label: session, label, start, length."""
     whole = Window.partitionBy("session").orderBy("pos")
@@ -52,25 +58,31 @@ def modal_label(labels: Column) -> Column:
 
 
 def clip_candidates(frames: DataFrame, length: int = 16, stride: int = 4) -> DataFrame:
-    """Windows of length frames at every stride, whole ones only: one shuffle by session, no join.
+    """Windows of length frames at every stride, whole ones only.
 
     n_label, label: the modal label; straddles: more than one trial; gap_ms: the
-    largest step between known clocks inside the window.
+    largest step between known clocks inside the window. Each frame goes to the
+    length / stride windows that hold it, and a window is one group: a session is
+    never one task, whatever its share of the rows.
     """
-    order = Window.partitionBy("session").orderBy("pos")
-    ahead = order.rowsBetween(0, length - 1)
-    clocks = F.collect_list("t_ms").over(ahead)
+    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - length + 1) / stride)).cast("int")
+    starts = F.transform(F.sequence(first, F.floor(F.col("pos") / stride).cast("int")), lambda k: k * stride)
+    held = F.filter(starts, lambda s: F.col("pos") < s + length)
+    frame = F.struct("pos", "label", "t_ms", "trial", "valid")
+    d = frames.select("session", F.explode(held).alias("start"), frame.alias("f")).groupBy("session", "start").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    d = d.where(F.size("f") == length)
+    clocks = F.filter(F.transform("f", lambda x: x["t_ms"]), lambda t: t.isNotNull())
     steps = F.zip_with(F.slice(clocks, 2, length), F.slice(clocks, 1, length), lambda a, b: a - b)
-    d = frames.select(
+    d = d.select(
         "session",
-        F.col("pos").alias("start"),
-        F.count("*").over(ahead).alias("length"),
-        modal_label(F.collect_list("label").over(ahead)).alias("mode"),
-        (F.min("trial").over(ahead) != F.max("trial").over(ahead)).alias("straddles"),
-        F.col("trial"),
-        F.avg("valid").over(ahead).alias("mean_valid"),
+        "start",
+        F.lit(length).cast("long").alias("length"),
+        modal_label(F.transform("f", lambda x: x["label"])).alias("mode"),
+        (F.size(F.array_distinct(F.transform("f", lambda x: x["trial"]))) > 1).alias("straddles"),
+        F.col("f")[0]["trial"].alias("trial"),
+        (F.aggregate("f", F.lit(0.0), lambda s, x: s + x["valid"]) / length).alias("mean_valid"),
         F.array_max(steps).alias("gap_ms"),
-    ).where((F.col("length") == length) & (F.col("start") % stride == 0))
+    )
     return d.select("*", F.col("mode.n").cast("long").alias("n_label"), F.col("mode.label").alias("label")).drop("mode")
 
 
@@ -95,15 +107,24 @@ def ema(values: Column, alpha: float = 0.6) -> Column:
     return F.aggregate(values, F.lit(None).cast("double"), lambda s, p: F.when(s.isNull(), p).otherwise(alpha * p + (1 - alpha) * s))
 
 
-def frame_times_ms(device_ms: Column, host_s: Column) -> Column:
-    """The device's clock in ms, else the host's in s times 1000, else null; both are texts."""
-    return F.coalesce(device_ms.try_cast("double"), host_s.try_cast("double") * 1000)
+def ema_last(frames: DataFrame, value: str, alpha: float = 0.6) -> DataFrame:
+    """(session, ema): the exponential moving average of value after a session's last frame, as a weighted sum over its frames."""
+    last = small(frames.groupBy("session").agg(F.max("pos").alias("_last")), 24)
+    d = frames.select("session", "pos", value).join(last, "session")
+    fade = F.pow(F.lit(1 - alpha), F.col("_last") - F.col("pos"))
+    return d.groupBy("session").agg(F.sum(F.when(F.col("pos") == 0, fade).otherwise(alpha * fade) * F.col(value)).alias("ema"))
 
 
 def label_digest(frames: DataFrame) -> DataFrame:
-    """(session, digest): 16 hex digits of the SHA-1 of "label:trial" of all frames in order, joined by commas."""
-    parts = F.sort_array(F.collect_list(F.struct("pos", F.concat_ws(":", "label", "trial").alias("part"))))
-    return frames.groupBy("session").agg(F.substring(F.sha1(F.array_join(F.transform(parts, lambda x: x["part"]), ",")), 1, 16).alias("digest"))
+    """(session, digest): 16 hex digits of a SHA-1 over the labels and trials of all frames, by place.
+
+    Each frame's digest of "pos:label:trial" is cut to 60 bits, and the session's
+    is that of their sum: frames are summed where they are, and no session is
+    brought together.
+    """
+    own = F.sha1(F.concat_ws(":", "pos", F.coalesce("label", F.lit("")), F.coalesce(F.col("trial").cast("string"), F.lit(""))))
+    part = F.conv(F.substring(own, 1, 15), 16, 10).cast("decimal(38,0)")
+    return frames.groupBy("session").agg(F.substring(F.sha1(F.sum(part).cast("string")), 1, 16).alias("digest"))
 
 
 def gate_problems(sessions: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -119,3 +140,111 @@ def prediction_ticks(frames: DataFrame, length: int = 16, every: int = 4) -> Dat
     """
     filled = F.row_number().over(Window.partitionBy("session", "epoch").orderBy("pos"))
     return frames.withColumn("filled", filled).where((F.col("filled") >= length) & (F.col("pos") % every == 0)).drop("filled")
+
+
+def numbered_clips(clips: DataFrame) -> DataFrame:
+    """clips with clip_id, counted from 0 by session and start over all of them."""
+    return numbered(clips, "clip_id", "session", "start")
+
+
+def clip_frames(clips: DataFrame, lengths: DataFrame, jitter: int = 0, seed: int = 0) -> DataFrame:
+    """A row per frame of each clip: clips' columns, step (0 to length - 1) and pos.
+
+    lengths (session, n_frames). With jitter, a clip's start moves by up to so many
+    frames, by a hash of its place and seed, inside its session; a clip longer than
+    what is left repeats the last frame.
+    """
+    d = clips.join(lengths.select("session", "n_frames"), "session")
+    if jitter:
+        move = F.pmod(F.xxhash64("session", "start", F.lit(seed)), F.lit(2 * jitter + 1)) - jitter
+        d = d.withColumn("start", F.greatest(F.lit(0), F.least(F.col("start") + move, F.greatest(F.lit(0), F.col("n_frames") - F.col("length")))).cast("int"))
+    d = d.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("length").cast("int") - 1)))
+    return d.withColumn("pos", F.least(F.col("start") + F.col("step"), F.col("n_frames").cast("int") - 1)).drop("n_frames")
+
+
+def even_sample(lengths: DataFrame, n: int = 5) -> DataFrame:
+    """(session, nth, pos): up to n evenly spaced places of each session of lengths (session, n_frames), first and last among them."""
+    many = F.least(F.lit(n), F.col("n_frames")).cast("int")
+    d = lengths.where("n_frames > 0").select("session", "n_frames", many.alias("_n"), F.explode(F.sequence(F.lit(0), many - 1)).alias("nth"))
+    gap = (F.col("n_frames") - 1) / F.nullif(F.col("_n") - 1, F.lit(0))
+    pos = F.when(F.col("nth") == F.col("_n") - 1, F.when(F.col("_n") > 1, F.col("n_frames") - 1).otherwise(0)).otherwise(F.floor(F.col("nth") * gap))
+    return d.select("session", "nth", pos.cast("int").alias("pos"))
+
+
+def every_nth(frames: DataFrame, n: int) -> DataFrame:
+    """Every n-th of the rows at hand of each session, by pos, from the first."""
+    nth = F.row_number().over(Window.partitionBy("session").orderBy("pos")) - 1
+    return frames.withColumn("_nth", nth).where(F.col("_nth") % max(1, n) == 0).drop("_nth")
+
+
+def select_rows(frames: DataFrame, label: str | None = None, trial: int | None = None, frame: int | None = None, span: tuple[int, int] | None = None) -> DataFrame:
+    """The frames of a label, of a trial, and of one frame_index or else of a half-open span of them.
+
+    No frame at any step is an error that names the first such step.
+    """
+    steps = [(f"no frames labelled {label!r}", F.col("label") == label)] if label is not None else []
+    steps += [(f"no frames in trial {trial}", F.col("trial") == trial)] if trial is not None else []
+    if frame is not None:
+        steps.append((f"frame {frame} is not in the recording", F.col("frame_index") == frame))
+    elif span is not None:
+        steps.append((f"no frames in range {span[0]}:{span[1]}", (F.col("frame_index") >= span[0]) & (F.col("frame_index") < span[1])))
+    chosen = frames
+    for _, rule in steps:
+        chosen = chosen.where(rule)
+    if steps and chosen.isEmpty():
+        left = frames
+        for message, rule in steps:
+            left = left.where(rule)
+            if left.isEmpty():
+                raise ValueError(message)
+    return chosen
+
+
+def rolling_rate(frames: DataFrame, n: int = 30) -> DataFrame:
+    """frames with rate, the frames a second over the last n; 0 without a span of time."""
+    w = Window.partitionBy("session").orderBy("pos").rowsBetween(1 - n, 0)
+    span = F.col("t_ms") - F.first("t_ms").over(w)
+    return frames.withColumn("rate", F.when(span > 0, (F.count("*").over(w) - 1) / (span / 1000)).otherwise(0.0))
+
+
+def trial_numbers(frames: DataFrame, toggle: Column, order: tuple[str, ...], by: str | None = None) -> DataFrame:
+    """frames with trial_id: a toggle opens trial 1, the next ends it, the one after opens trial 2, ...; 0 between trials.
+
+    The count runs on over all recordings, in order, of one device (by). Running
+    counts are made in ranges of the order, not in one task.
+    """
+    d = numbered(frames.withColumn("_toggle", toggle.cast("int")), "_at", *([by] if by else []), *order, running="_toggle", by=by)
+    return d.withColumn("trial_id", F.when(F.col("_toggle") % 2 == 1, (F.col("_toggle") + 1) / 2).otherwise(0).cast("long")).drop("_toggle", "_at")
+
+
+def carried_labels(frames: DataFrame, events: DataFrame) -> DataFrame:
+    """frames (session, elapsed_s) with label: the last one that events (session, elapsed_s, kind, value) set at or before it.
+
+    Before any label event it is unlabeled. An event at the time of a frame counts for it.
+    """
+    marks = events.where("kind = 'label'").select("session", "elapsed_s", F.lit(0).alias("_kind"), F.col("value").alias("_label"))
+    rest = [c for c in frames.columns if c not in ("session", "elapsed_s", "label")]
+    both = frames.select("session", "elapsed_s", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_label"), *rest)
+    both = both.unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy("session").orderBy("elapsed_s", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    d = both.withColumn("label", F.coalesce(F.last("_label", ignorenulls=True).over(w), F.lit(UNLABELED)))
+    return d.where("_kind = 1").drop("_kind", "_label")
+
+
+def capture_counts(frames: DataFrame) -> DataFrame:
+    """(session, saved, dropped, failed, effective_fps, label_frames) of frames (session, status, label, t_ms).
+
+    status is saved, dropped or failed. The rate is that of saved frames, 2 decimals; 0 without a span.
+    """
+    saved = F.col("status") == "saved"
+    span = F.max(F.when(saved, F.col("t_ms"))) - F.min(F.when(saved, F.col("t_ms")))
+    d = frames.groupBy("session").agg(
+        F.count_if(saved).alias("saved"),
+        F.count_if(F.col("status") == "dropped").alias("dropped"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        span.alias("_span"),
+    )
+    rate = F.when(F.col("_span") > 0, F.round((F.col("saved") - 1) / (F.col("_span") / 1000), 2)).otherwise(0.0)
+    by_label = frames.where(saved).groupBy("session", "label").agg(F.count("*").alias("n"))
+    by_label = by_label.groupBy("session").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("label_frames"))
+    return d.withColumn("effective_fps", rate).drop("_span").join(by_label, "session", "left")

@@ -27,3 +27,8 @@ def per_class(counts: DataFrame, truth: str = "truth", guess: str = "guess") ->
     d = d.withColumn("precision", precision).withColumn("recall", F.col("hit") / F.col("actual"))
     both = F.col("precision") + F.col("recall")
     return d.select("class", "precision", "recall", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0).alias("f1"))
+
+
+def mean_loss(batches: DataFrame, *keys: str) -> DataFrame:
+    """(keys, loss): the mean of batches' losses, weighted by their sizes n."""
+    return batches.groupBy(*keys).agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"))

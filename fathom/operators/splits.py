@@ -2,37 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.operators.tables import numbered, small
+
+#: In the order in which equal needs are met.
 NAMES = ("test", "val", "train")
 
 
+class Fold:
+    """The splits of one new session after another, from the counts of those that have one."""
+
+    def __init__(self, counts: dict[str, int], val: float, test: float) -> None:
+        self.share = {"test": max(0.0, test), "val": max(0.0, val)}
+        self.share["train"] = max(0.0, 1.0 - self.share["test"] - self.share["val"])
+        self.counts = [counts[s] for s in NAMES]
+        self.total = sum(self.counts)
+        self.at = 0
+
+    def __next__(self) -> str:
+        self.total += 1
+        self.at += 1
+        best, most = 2, float("-inf")
+        for k, s in enumerate(NAMES):
+            if self.share[s] > 0 and (need := self.share[s] - self.counts[k] / self.total) > most:
+                best, most = k, need
+        self.counts[best] += 1
+        return NAMES[best]
+
+    def __iter__(self) -> Fold:
+        return self
+
+
 def assign_splits(sessions: DataFrame, val: float = 0.2, test: float = 0.2, previous: DataFrame | None = None) -> DataFrame:
-    """(session, split) for the names in sessions.session.
+    """(session, split) for the names in sessions.session; null names have none.
 
     Names that previous (session, split) holds keep their split. The others, in code
     point order, go one by one to the split that is furthest below its share, test
-    before val before train. The fold is sequential by definition; its input is one
-    short name per session.
+    before val before train; a share of 0 takes none. The split of a new name
+    follows from its rank and the counts of the kept ones alone: names are ranked
+    in ranges, and each task counts its way to the first rank that it has.
     """
     names = sessions.select("session").where("session IS NOT NULL").distinct()
     if previous is None:
-        previous = sessions.sparkSession.createDataFrame([], "session string, split string")
+        previous = names.limit(0).withColumn("split", F.lit(""))
     kept = names.join(previous.where(F.col("split").isin(*NAMES)).dropDuplicates(["session"]), "session", "left")
-    parts = kept.agg(
-        F.sort_array(F.collect_list(F.when(F.col("split").isNull(), F.col("session")))).alias("new"),
-        *[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in NAMES],
-    )
-    share = {"test": test, "val": val, "train": 1 - test - val}
-    start = F.struct(*[F.col(s).cast("double").alias(s) for s in NAMES], F.array().cast("array<struct<session:string,split:string>>").alias("done"))
-
-    def step(state, name):
-        total = sum(state[s] for s in NAMES) + 1
-        need = {s: F.when(F.lit(share[s]) > 0, share[s] - state[s] / total).otherwise(F.lit(float("-inf"))) for s in NAMES}
-        pick = F.when((need["test"] >= need["val"]) & (need["test"] >= need["train"]), "test").when(need["val"] >= need["train"], "val").otherwise("train")
-        done = F.concat(state["done"], F.array(F.struct(name.alias("session"), pick.alias("split"))))
-        return F.struct(*[(state[s] + (pick == s).cast("double")).alias(s) for s in NAMES], done.alias("done"))
-
-    new = parts.select(F.explode(F.aggregate("new", start, step)["done"]).alias("x")).select("x.*")
-    return kept.where("split IS NOT NULL").unionByName(new)
+    counts = {s: 0 for s in NAMES} | {r["split"]: r["n"] for r in kept.where("split IS NOT NULL").groupBy("split").agg(F.count("*").alias("n")).collect()}
+    ranked = numbered(kept.where("split IS NULL").select("session"), "rank", "session")
+    ranked = ranked.sortWithinPartitions("rank")
+    schema = ranked.select("session").withColumn("split", F.lit("")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Fold(counts, val, test)
+        for batch in batches:
+            split = []
+            for rank in batch.column(1).to_pylist():
+                while fold.at < rank:
+                    next(fold)
+                split.append(next(fold))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(split, pa.string())], names=["session", "split"])
+
+    return kept.where("split IS NOT NULL").unionByName(ranked.mapInArrow(run, schema))
+
+
+def with_splits(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """rows with the split of their session."""
+    return rows.join(small(splits, 64), "session")
+
+
+def of_split(rows: DataFrame, split: str | None) -> DataFrame:
+    """The rows of a split; None and "all" are all."""
+    return rows if split in (None, "all") else rows.where(F.col("split") == split)

@@ -6,14 +6,15 @@ of 64 numbers for 8 x 8 depth images.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.operators import depth, frames, metrics, splits
+from fathom.functions.text import frame_times_ms
+from fathom.operators import build, depth, export, frames, metrics, splits
+from fathom.operators.preprocess import Params
+from fathom.operators.tables import shared_path
 from fathom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,18 +106,21 @@ def reference_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.reference_rows(event_frames(spark, sf_dir), "view", seconds=0.125, fps=32, least=3, fallback=True)
 
 
-def split_sql(val: float, test: float) -> str:
-    return f"""WITH RECURSIVE names AS (SELECT session, row_number() OVER (ORDER BY session) AS k FROM (SELECT DISTINCT user_id::VARCHAR AS session FROM events)),
+def split_sql(val: float, test: float, pinned: str = "false") -> str:
+    """The fold over new names; those that are pinned are in val."""
+    return f"""WITH RECURSIVE old AS (SELECT DISTINCT user_id::VARCHAR AS session FROM events WHERE {pinned}),
+  names AS (SELECT session, row_number() OVER (ORDER BY session) AS k FROM (SELECT DISTINCT user_id::VARCHAR AS session FROM events WHERE NOT ({pinned}))),
   fold(k, session, split, n_test, n_val, n_train) AS (
-    SELECT 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE
+    SELECT 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0::DOUBLE, (SELECT count(*) FROM old)::DOUBLE, 0::DOUBLE
     UNION ALL
     SELECT k, session, split, n_test + (split = 'test')::INT, n_val + (split = 'val')::INT, n_train + (split = 'train')::INT FROM (
-      SELECT n.k, n.session, f.n_test, f.n_val, f.n_train, CASE
-        WHEN {test} > 0 AND {test}::DOUBLE - f.n_test / n.k >= CASE WHEN {val} > 0 THEN {val}::DOUBLE - f.n_val / n.k ELSE -1e9 END
-          AND {test}::DOUBLE - f.n_test / n.k >= (1 - {test}::DOUBLE - {val}::DOUBLE) - f.n_train / n.k THEN 'test'
-        WHEN {val} > 0 AND {val}::DOUBLE - f.n_val / n.k >= (1 - {test}::DOUBLE - {val}::DOUBLE) - f.n_train / n.k THEN 'val' ELSE 'train' END AS split
-      FROM fold f JOIN names n ON n.k = f.k + 1))
-  SELECT session, split FROM fold WHERE k > 0"""
+      SELECT n.k, n.session, f.n_test, f.n_val, f.n_train, f.n_test + f.n_val + f.n_train + 1 AS total, CASE
+        WHEN {test} > 0 AND {test}::DOUBLE - f.n_test / total >= CASE WHEN {val} > 0 THEN {val}::DOUBLE - f.n_val / total ELSE -1e9 END
+          AND {test}::DOUBLE - f.n_test / total >= (1 - {test}::DOUBLE - {val}::DOUBLE) - f.n_train / total THEN 'test'
+        WHEN {val} > 0 AND {val}::DOUBLE - f.n_val / total >= (1 - {test}::DOUBLE - {val}::DOUBLE) - f.n_train / total THEN 'val' ELSE 'train' END AS split
+      FROM fold f JOIN names n ON n.k = f.k + 1)),
+  every_one AS (SELECT session, split FROM fold WHERE k > 0 UNION ALL SELECT session, 'val' FROM old)
+  SELECT session, split FROM every_one"""
 
 
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +137,7 @@ def split_zero_val(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(event_sessions(spark, sf_dir), val=0.0)
 
 
-@query()
+@query(split_sql(0.2, 0.2, "user_id % 3 = 0"))
 def split_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = event_sessions(spark, sf_dir)
     pins = names.where(F.col("session").cast("long") % 3 == 0).distinct().withColumn("split", F.lit("val"))
@@ -191,18 +195,6 @@ def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f1.crossJoin(hits).select(F.floor(F.col("f") * 1e9).alias("macro_f1"), F.floor(F.col("a") * 1e9).alias("accuracy"))
 
 
-@query("""SELECT user_id AS session, count(*) AS n, floor(avg((value < 60)::INT) * 1e6)::BIGINT AS valid, floor(quantile_cont(value, 0.5) * 1e6)::BIGINT AS median,
-  floor(stddev_pop(value) * 1e4)::BIGINT AS std FROM events GROUP BY 1""")
-def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session"))
-    return d.agg(
-        F.count("*").alias("n"),
-        F.floor(F.avg((F.col("value") < 60).cast("int")) * 1e6).alias("valid"),
-        F.floor(F.median("value") * 1e6).alias("median"),
-        F.floor(F.stddev_pop("value") * 1e4).alias("std"),
-    )
-
-
 @query("SELECT event_type AS label, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.95) AS p95 FROM events WHERE value > 2 AND value < 300 GROUP BY 1")
 def observed_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "events").where("value > 2 AND value < 300").groupBy(F.col("event_type").alias("label"))
@@ -219,50 +211,58 @@ def suggest_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FRAMES}, n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos) AS k FROM f WHERE label = 'click') SELECT session, pos FROM n WHERE (k - 1) % 5 = 0")
 def every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = event_frames(spark, sf_dir).where("label = 'click'")
-    return d.withColumn("k", F.row_number().over(Window.partitionBy("session").orderBy("pos"))).where("(k - 1) % 5 = 0").select("session", "pos")
+    return frames.every_nth(event_frames(spark, sf_dir).where("label = 'click'"), 5).select("session", "pos")
 
 
-@query(f"WITH {FRAMES} SELECT session, pos FROM f WHERE label IN ('click', 'view') AND trial = 1 AND pos >= 42 AND pos < 60")
+@query(f"WITH {FRAMES} SELECT session, pos FROM f WHERE label = 'click' AND trial = 1 AND pos >= 42 AND pos < 60")
 def select_rows_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_frames(spark, sf_dir).where("label IN ('click', 'view') AND trial = 1 AND pos >= 42 AND pos < 60").select("session", "pos")
+    d = event_frames(spark, sf_dir).withColumn("frame_index", F.col("pos"))
+    return frames.select_rows(d, label="click", trial=1, span=(42, 60)).select("session", "pos")
 
 
 @query(f"""WITH {FRAMES}, r AS (SELECT session, pos, count(*) OVER w AS n, t_ms - first_value(t_ms) OVER w AS span FROM f WINDOW w AS (PARTITION BY session ORDER BY pos ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
   SELECT session, pos, CASE WHEN span > 0 THEN floor((n - 1) / (span / 1000) * 1e12)::BIGINT ELSE 0 END AS rate FROM r""")
 def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("session").orderBy("pos").rowsBetween(-29, 0)
-    d = event_frames(spark, sf_dir).select("session", "pos", F.count("*").over(w).alias("n"), (F.col("t_ms") - F.first("t_ms").over(w)).alias("span"))
-    return d.select("session", "pos", F.when(F.col("span") > 0, F.floor((F.col("n") - 1) / (F.col("span") / 1000) * 1e12)).otherwise(0).alias("rate"))
+    return frames.rolling_rate(event_frames(spark, sf_dir), 30).select("session", "pos", F.floor(F.col("rate") * 1e12).alias("rate"))
 
 
-@query(f"WITH {FRAMES} SELECT session, pos, sum((label = 'signup')::INT) OVER (PARTITION BY session ORDER BY pos)::BIGINT AS trial FROM f")
+@query(f"""WITH {FRAMES}, n AS (SELECT session, pos, sum((label = 'signup')::INT) OVER (PARTITION BY session % 3 ORDER BY session, pos) AS k FROM f)
+  SELECT session, pos, CASE WHEN k % 2 = 1 THEN (k + 1) // 2 ELSE 0 END::BIGINT AS trial_id FROM n""")
 def trial_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("session").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return event_frames(spark, sf_dir).select("session", "pos", F.sum((F.col("label") == "signup").cast("int")).over(w).alias("trial"))
+    d = event_frames(spark, sf_dir).select("session", "pos", "label", (F.col("session") % 3).alias("device"))
+    return frames.trial_numbers(d, F.col("label") == "signup", ("session", "pos"), by="device").select("session", "pos", "trial_id")
 
 
 @query(f"""WITH {FRAMES}, l AS (SELECT session, list(value ORDER BY pos) AS v FROM f GROUP BY 1)
-  SELECT session, floor(list_reduce(v, lambda s, p: 0.6::DOUBLE * p + (1 - 0.6::DOUBLE) * s) * 1e6)::BIGINT AS ema FROM l""")
+  SELECT session, floor(list_reduce(v, lambda s, p: 0.6::DOUBLE * p + (1 - 0.6::DOUBLE) * s) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS ema FROM l""")
 def ema_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"])
-    return event_frames(spark, sf_dir).groupBy("session").agg(F.floor(frames.ema(ordered) * 1e6).alias("ema"))
+    # With a third added, no value of finite decimals stands at a step of floor.
+    return frames.ema_last(event_frames(spark, sf_dir), "value").select("session", F.floor(F.col("ema") * 1e6 + 1 / 3).alias("ema"))
 
 
-@query("""WITH o AS (SELECT user_id AS session, count(*) AS n_old FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1), n AS (SELECT user_id AS session, count(*) AS n_new FROM events GROUP BY 1)
-  SELECT session, CASE WHEN n_old IS NULL THEN 'build' WHEN n_old = n_new THEN 'reuse' ELSE 'refresh' END AS action FROM n LEFT JOIN o USING (session)""")
+@query(f"""WITH {FRAMES}, n AS (SELECT session, count(*) AS n, string_agg(label || trial, ',' ORDER BY pos) AS labels FROM f GROUP BY 1),
+  o AS (SELECT session, count(*) AS n, string_agg(CASE WHEN session % 4 = 1 AND pos = 3 THEN 'other' ELSE label END || trial, ',' ORDER BY pos) AS labels FROM f
+    WHERE session % 4 <> 3 AND (session % 4 <> 2 OR pos < 50) GROUP BY 1)
+  SELECT n.session, CASE WHEN o.n = n.n AND o.labels = n.labels THEN 'reuse' WHEN o.n = n.n THEN 'relabel' ELSE 'build' END AS action FROM n LEFT JOIN o USING (session)""")
 def cache_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts")
-    old = e.where("ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'").groupBy("session").agg(F.count("*").alias("n_old"))
-    new = e.groupBy("session").agg(F.count("*").alias("n_new")).join(old, "session", "left")
-    return new.select("session", F.when(F.col("n_old").isNull(), "build").when(F.col("n_old") == F.col("n_new"), "reuse").otherwise("refresh").alias("action"))
+    new = event_frames(spark, sf_dir)
+    part = F.col("session") % 4
+    old = new.where((part != 3) & ((part != 2) | (F.col("pos") < 50)))
+    old = old.withColumn("label", F.when((part == 1) & (F.col("pos") == 3), "other").otherwise(F.col("label")))
+    meta = new.select("session", F.lit(0.0001).alias("depth_scale")).distinct()
+    keys, cached = (build.cache_keys(d, meta, Params(), build.Options()) for d in (new, old))
+    return build.cache_actions(keys, cached).select("session", "action")
 
 
-@query("""WITH m AS (SELECT user_id AS session, event_type AS label, avg(value) AS dc FROM events GROUP BY ALL)
-  SELECT session, CASE WHEN count(*) > 1 THEN floor((max(dc) - min(dc)) * 1e6) ELSE 0 END::BIGINT AS spread FROM m GROUP BY 1""")
+def event_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event's value stands for its frame's median."""
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("label"), F.col("value").alias("median_mm"))
+
+
+@query("""WITH m AS (SELECT user_id AS session, event_type AS label, round(avg(value), 3) AS dc FROM events GROUP BY ALL)
+  SELECT session, CASE WHEN count(*) > 1 THEN round(max(dc) - min(dc), 3) ELSE 0 END AS spread FROM m GROUP BY 1""")
 def dc_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session"), "event_type").agg(F.avg("value").alias("dc"))
-    return m.groupBy("session").agg(F.when(F.count("*") > 1, F.floor((F.max("dc") - F.min("dc")) * 1e6)).otherwise(0).alias("spread"))
+    return build.dc_spread(build.label_dc(event_medians(spark, sf_dir)))
 
 
 # Embeddings as 8 x 8 depth images.
@@ -271,15 +271,41 @@ PIXELS = """p AS (SELECT vec_id, label, px - 1 AS px, (px - 1) % 8 AS u, (px - 1
   FROM (SELECT vec_id, label, embedding, unnest(range(1, 65)) AS px FROM embeddings))"""
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("image"))
+
+
 def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("image"))
-    return depth.pixels(d, "vec_id", "image", 8)
+    return depth.pixels(images(spark, sf_dir), "image", 8)
+
+
+def image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per image (a label is a session, a tenth of a unit a mm): what lies within 3.5 mm of -0.5 mm, and its share of the label's even pixels."""
+    rel = F.transform("image", lambda x: F.when(F.abs(x * 10 + 0.5) <= 3.5, x * 10 + 0.5))
+    d = images(spark, sf_dir).select("vec_id", F.col("label").alias("session"), rel.alias("image"))
+    foot = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i % 2 == 0, 1.0))
+    d = d.withColumn("face_coverage", depth.footprint_coverage(F.col("image"), foot))
+    return depth.frame_stats(d, "image", 3.5).withColumnsRenamed({"std": "std_mm", "median": "median_mm"})
+
+
+STATS = f"""{PIXELS}, q AS (SELECT vec_id, label, px, CASE WHEN abs(d * 10 + 0.5) <= 3.5 THEN d * 10 + 0.5 END AS d FROM p),
+  stats AS (SELECT vec_id, label, count(d) / 64 AS valid_frac, coalesce(avg((abs(d) >= 3.5 - 1e-3)::INT), 1) AS rail_frac, coalesce(stddev_pop(d), 0) AS std_mm, median(d) AS median_mm,
+    count(d) FILTER (px % 2 = 0) / 32 AS face_coverage FROM q GROUP BY vec_id, label)"""
+
+
+@query(f"""WITH {STATS} SELECT label AS session, count(*) AS n_frames, floor(avg(valid_frac) * 1e9)::BIGINT AS valid_frac, floor(avg(rail_frac) * 1e9)::BIGINT AS rail_frac,
+  floor(median(std_mm) * 1e6)::BIGINT AS std_mm, floor(avg(face_coverage) * 1e9)::BIGINT AS coverage FROM stats GROUP BY 1""")
+def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = build.session_rollup(image_stats(spark, sf_dir))
+    scaled = {"valid_frac": 1e9, "rail_frac": 1e9, "std_mm": 1e6, "coverage": 1e9}
+    return d.select("session", "n_frames", *[F.floor(F.col(c) * k).alias(c) for c, k in scaled.items()])
+
 
 
 @query(f"""WITH {PIXELS} SELECT vec_id, avg((d IS NOT NULL)::INT) AS valid_frac, avg((abs(d) >= 0.2 - 1e-3)::INT) AS rail_frac, floor(stddev_pop(d) * 1e6)::BIGINT AS std,
   floor(median(d) * 1e9)::BIGINT AS median FROM p GROUP BY 1""")
 def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = depth.frame_stats(image_pixels(spark, sf_dir), "vec_id", 0.2)
+    d = depth.frame_stats(images(spark, sf_dir), "image", 0.2)
     return d.select("vec_id", "valid_frac", "rail_frac", F.floor(F.col("std") * 1e6).alias("std"), F.floor(F.col("median") * 1e9).alias("median"))
 
 
@@ -290,7 +316,7 @@ def stable_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PIXELS} SELECT label, px::INT AS px, median(d) AS d FROM p GROUP BY label, px")
 def pixel_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image_pixels(spark, sf_dir).groupBy("label", "px").agg(F.median("d").alias("d"))
+    return depth.pixel_median(image_pixels(spark, sf_dir), "label")
 
 
 @query(f"""WITH {PIXELS}, r AS (SELECT label, px, median(d) AS r FROM p GROUP BY ALL)
@@ -305,32 +331,38 @@ def deform_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PIXELS}, q AS (SELECT vec_id, u // 2 AS cu, v // 2 AS cv, CASE WHEN d > -0.05 THEN d END AS d FROM p)
-  SELECT vec_id, cv::INT AS cv, cu::INT AS cu, CASE WHEN count(d) / 4 > 0.3 THEN floor(avg(d) * 1e9)::BIGINT END AS d FROM q GROUP BY vec_id, cv, cu""")
+  SELECT vec_id, cv::INT AS cv, cu::INT AS cu, CASE WHEN count(d) / 4 > 0.3 THEN floor(avg(d) * 1e9 + 1 / 3.0::DOUBLE)::BIGINT END AS d FROM q GROUP BY vec_id, cv, cu""")
 def masked_resize_8to4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = image_pixels(spark, sf_dir).withColumn("d", F.when(F.col("d") > -0.05, F.col("d")))
-    return depth.masked_resize(px, "vec_id", 2, 0.3).select("vec_id", "cv", "cu", F.floor(F.col("d") * 1e9).alias("d"))
+    d = images(spark, sf_dir).withColumn("image", F.transform("image", lambda x: F.when(x > -0.05, x)))
+    d = depth.resized(d, "image", 8, 4, 0.3).select("vec_id", F.posexplode("image").alias("i", "d"))
+    return d.select("vec_id", F.floor(F.col("i") / 4).cast("int").alias("cv"), (F.col("i") % 4).alias("cu"), F.floor(F.col("d") * 1e9 + 1 / 3).alias("d"))
 
 
 @query(f"WITH {PIXELS} SELECT vec_id, px::INT AS px, (u - 3.5) * d / 6.0 AS x, (v - 3.5) * d / 6.0 AS y, d AS z FROM p WHERE d > 0")
 def deproject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return depth.deproject(image_pixels(spark, sf_dir), 6.0, 6.0, 3.5, 3.5).where("z IS NOT NULL").select("vec_id", "px", "x", "y", "z")
+    d = images(spark, sf_dir).select("vec_id", F.posexplode(depth.deproject(F.col("image"), 8, 6.0, 6.0, 3.5, 3.5)).alias("px", "p"))
+    return d.where("p IS NOT NULL").select("vec_id", "px", "p.*")
 
 
 MESH = f"""WITH {PIXELS}, q AS (SELECT *, (u - 3.5) * d / 6.0 AS x, (v - 3.5) * d / 6.0 AS y, row_number() OVER (PARTITION BY vec_id ORDER BY v, u) - 1 AS id FROM p WHERE d > 0),
   t AS (
     SELECT a.vec_id, a.id i0, b.id i1, c.id i2, a.x ax, a.y ay, a.d az, b.x bx, b.y by_, b.d bz, c.x cx, c.y cy, c.d cz
-    FROM q a JOIN q b ON b.vec_id = a.vec_id AND b.u = a.u AND b.v = a.v + 1 JOIN q c ON c.vec_id = a.vec_id AND c.u = a.u + 1 AND c.v = a.v
+    FROM q a JOIN q b ON b.vec_id = a.vec_id AND b.u = a.u + 1 AND b.v = a.v JOIN q c ON c.vec_id = a.vec_id AND c.u = a.u AND c.v = a.v + 1
     UNION ALL
     SELECT a.vec_id, a.id, b.id, c.id, a.x, a.y, a.d, b.x, b.y, b.d, c.x, c.y, c.d
-    FROM q a JOIN q b ON b.vec_id = a.vec_id AND b.u = a.u - 1 AND b.v = a.v + 1 JOIN q c ON c.vec_id = a.vec_id AND c.u = a.u AND c.v = a.v + 1
+    FROM q a JOIN q b ON b.vec_id = a.vec_id AND b.u = a.u AND b.v = a.v + 1 JOIN q c ON c.vec_id = a.vec_id AND c.u = a.u - 1 AND c.v = a.v + 1
   )
   SELECT vec_id, i0::INT AS i0, i1::INT AS i1, i2::INT AS i2 FROM t WHERE sqrt((ax-bx)**2 + (ay-by_)**2 + (az-bz)**2) < 0.1
     AND sqrt((cx-bx)**2 + (cy-by_)**2 + (cz-bz)**2) < 0.1 AND sqrt((ax-cx)**2 + (ay-cy)**2 + (az-cz)**2) < 0.1"""
 
 
+def image_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depth.meshes(images(spark, sf_dir).drop("label"), "image", 8, 6.0, 6.0, 3.5, 3.5, 0.1)
+
+
 @query(MESH)
 def mesh_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return depth.mesh_faces(depth.deproject(image_pixels(spark, sf_dir), 6.0, 6.0, 3.5, 3.5), "vec_id", 0.1)
+    return export.mesh_faces(image_meshes(spark, sf_dir), "vec_id").drop("nth")
 
 
 @query("""WITH l AS (SELECT vec_id, k, exp(embedding[k]::DOUBLE) AS e FROM (SELECT vec_id, embedding, unnest([1, 2, 3, 4]) AS k FROM embeddings)), s AS (SELECT *, sum(e) OVER (PARTITION BY vec_id) AS t FROM l)
@@ -359,50 +391,54 @@ def clip_label_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("session", "start", F.coalesce("label_id", F.lit(0)).alias("label_id"))
 
 
-@query(split_sql(0.2, 0.2).replace("SELECT session, split FROM fold WHERE k > 0", "SELECT split, string_agg(session, ',' ORDER BY session) AS sessions FROM fold WHERE k > 0 GROUP BY split"))
+@query(split_sql(0.2, 0.2).replace("SELECT session, split FROM every_one", "SELECT split, string_agg(session, ',' ORDER BY session) AS sessions FROM every_one GROUP BY split"))
 def split_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(event_sessions(spark, sf_dir)).groupBy("split").agg(F.array_join(F.sort_array(F.collect_list("session")), ",").alias("sessions"))
 
 
-@query("SELECT user_id AS session, event_type AS label, floor(avg(value) * 1e6)::BIGINT AS dc FROM events GROUP BY ALL")
+@query("SELECT user_id AS session, event_type AS label, round(avg(value), 3) AS dc FROM events GROUP BY ALL")
 def label_dc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session"), F.col("event_type").alias("label"))
-    return d.agg(F.floor(F.avg("value") * 1e6).alias("dc"))
-
-
-GATES = """WITH s AS (SELECT user_id AS session, count(*) AS n, avg((value < 60)::INT) AS valid, avg((value >= 200)::INT) AS rail, stddev_pop(value) AS std FROM events GROUP BY 1)"""
-
+    return build.label_dc(event_medians(spark, sf_dir))
 
-def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session")).agg(
-        F.count("*").alias("n"), F.avg((F.col("value") < 60).cast("int")).alias("valid"), F.avg((F.col("value") >= 200).cast("int")).alias("rail"), F.stddev_pop("value").alias("std")
-    )
-    rules = {"few_frames": F.col("n") < 16, "low_valid": F.col("valid") < 0.7, "saturated": F.col("rail") > 0.02, "flat": F.col("std") < 40}
-    return frames.gate_problems(d, rules)
 
-
-@query(GATES + """ SELECT session, concat_ws(',', CASE WHEN n < 16 THEN 'few_frames' END, CASE WHEN valid < 0.7 THEN 'low_valid' END, CASE WHEN rail > 0.02 THEN 'saturated' END,
-  CASE WHEN std < 40 THEN 'flat' END) AS problems FROM s""")
+@query(f"""WITH {STATS}, r AS (SELECT label AS session, avg(rail_frac) AS rail, median(std_mm) AS std, avg(face_coverage) AS cover FROM stats GROUP BY 1)
+  SELECT session, concat_ws(',', CASE WHEN rail > 0.02 THEN 'saturated' END, CASE WHEN std < 0.5 THEN 'flat' END, CASE WHEN cover < 0.5 THEN 'uncovered' END) AS problems FROM r""")
 def gate_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gated(spark, sf_dir).select("session", F.array_join("problems", ",").alias("problems"))
-
-
-@query(GATES + """, r AS (SELECT *, n < 16 OR valid < 0.7 OR rail > 0.02 OR std < 40 AS refused FROM s)
-  SELECT 'refused' AS rule, count(*) AS detail FROM r WHERE refused HAVING count(*) > 0
-  UNION ALL SELECT 'few_sessions', count(*) FROM r WHERE NOT refused HAVING count(*) < 3
-  UNION ALL SELECT 'low_coverage', count(*) FROM r WHERE valid < 0.75 HAVING count(*) > 0""")
+    d = build.gated(build.session_rollup(image_stats(spark, sf_dir)))
+    return d.select("session", F.array_join("problems", ",").alias("problems"))
+
+
+EVENT_SPLIT = "CASE session % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END"
+
+
+@query(CLIPS + f""", c2 AS (SELECT session, {EVENT_SPLIT} AS split, CASE WHEN session % 5 = 0 AND label = 'click' THEN 'unlabeled' ELSE label END AS label FROM v WHERE reason IS NULL),
+  means AS (SELECT session, label, round(avg(value), 3) AS dc FROM f GROUP BY ALL), sp AS (SELECT session, CASE WHEN count(*) > 1 THEN round(max(dc) - min(dc), 3) ELSE 0 END AS spread FROM means GROUP BY 1),
+  cv AS (SELECT session, avg(valid) AS coverage, spread FROM f JOIN sp USING (session) GROUP BY session, spread),
+  refused AS (SELECT session FROM cv WHERE coverage < 0.65), kept AS (SELECT * FROM cv WHERE coverage >= 0.65),
+  k AS (SELECT DISTINCT label FROM c2 WHERE label <> 'unlabeled'), own AS (SELECT split, list(DISTINCT label) FILTER (label <> 'unlabeled') AS own FROM c2 GROUP BY 1)
+  SELECT 'refused' AS rule, '[' || string_agg(session::VARCHAR, ',' ORDER BY session) || ']' AS detail FROM refused HAVING count(*) > 0
+  UNION ALL SELECT 'few_sessions', count(*)::VARCHAR FROM kept HAVING count(*) < 3
+  UNION ALL SELECT 'empty_split', x FROM (SELECT unnest(['val', 'test']) AS x) WHERE x NOT IN (SELECT split FROM c2)
+  UNION ALL SELECT 'small_train', count(*) FILTER (split = 'train') || '/' || count(*) FROM c2 HAVING count(*) > 0 AND count(*) FILTER (split = 'train') < 0.4 * count(*)
+  UNION ALL SELECT 'few_classes', count(*)::VARCHAR FROM k HAVING count(*) < 2
+  UNION ALL SELECT 'missing_class', split || ' ["' || string_agg(label, '","' ORDER BY label) || '"]' FROM own, k WHERE NOT list_contains(coalesce(own, []), label) GROUP BY split
+  UNION ALL SELECT 'drift', '[' || string_agg(session::VARCHAR, ',' ORDER BY session) || ']' FROM kept WHERE spread > 2 HAVING count(*) > 0
+  UNION ALL SELECT 'low_coverage', '[' || string_agg(session::VARCHAR, ',' ORDER BY session) || ']' FROM kept WHERE coverage < 0.8 HAVING count(*) > 0""")
 def build_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count_if
-    d = gated(spark, sf_dir).agg(n("refused").alias("refused"), n(~F.col("refused")).alias("kept"), n(F.col("valid") < 0.75).alias("thin"))
-    rules = [("refused", "refused", F.col("refused") > 0), ("few_sessions", "kept", F.col("kept") < 3), ("low_coverage", "thin", F.col("thin") > 0)]
-    found = F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(name).alias("rule"), F.col(c).alias("detail"))) for name, c, holds in rules]))
-    return d.select(F.inline(found))
+    """The eight rules over sessions of events; in the test split a label is taken away, so that one is missing there."""
+    d = event_frames(spark, sf_dir)
+    rows = d.groupBy("session").agg(F.avg("valid").alias("coverage")).join(build.dc_spread(build.label_dc(d.withColumn("median_mm", F.col("value")))), "session")
+    part = F.col("session") % 5
+    split = F.when(part == 0, "test").when(part == 1, "val").otherwise("train")
+    clips = event_clips(spark, sf_dir).where("reason IS NULL")
+    clips = clips.select(split.alias("split"), F.when((part == 0) & (F.col("label") == "click"), frames.UNLABELED).otherwise(F.col("label")).alias("label"))
+    return build.build_warnings(rows.where("coverage >= 0.65"), rows.where("coverage < 0.65").select("session"), clips)
 
 
-@query("SELECT DISTINCT user_id AS session FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-05')")
+@query("SELECT DISTINCT user_id AS session FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100)")
 def relabel_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts")
-    return e.join(e.where("ts < TIMESTAMP_NTZ '2024-01-05 00:00:00'"), "session", "left_anti").select("session").distinct()
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "event_type", "value")
+    return e.join(e.where("event_type = 'error' AND value > 100"), "session", "left_anti").select("session").distinct()
 
 
 @query("""SELECT event_id, coalesce(try_cast(CASE WHEN event_id % 3 > 0 THEN json_extract_string(props, '$.k') ELSE '' END AS DOUBLE),
@@ -410,10 +446,10 @@ def relabel_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     device = F.when(F.col("event_id") % 3 > 0, F.get_json_object("props", "$.k")).otherwise("")
     host = F.when(F.col("event_id") % 2 > 0, F.col("value").cast("string")).otherwise("none")
-    return read(spark, sf_dir, "events").select("event_id", frames.frame_times_ms(device, host).alias("t_ms"))
+    return read(spark, sf_dir, "events").select("event_id", frame_times_ms(device, host).alias("t_ms"))
 
 
-@query(f"WITH {FRAMES} SELECT session, substr(sha1(string_agg(label || ':' || trial, ',' ORDER BY pos)), 1, 16) AS digest FROM f GROUP BY 1")
+@query(f"""WITH {FRAMES} SELECT session, substr(sha1(sum(('0x' || substr(sha1(pos || ':' || label || ':' || trial), 1, 15))::BIGINT)::VARCHAR), 1, 16) AS digest FROM f GROUP BY 1""")
 def label_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.label_digest(event_frames(spark, sf_dir))
 
@@ -434,10 +470,17 @@ def relief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depth.relief(image_pixels(spark, sf_dir), "label", 1.0).select("label", F.floor(F.col("relief") * 1e9).alias("relief"))
 
 
-@query(f"""WITH {PIXELS}, s AS (SELECT label, px, quantile_cont(d, 0.5) AS d, count(d) AS n, quantile_cont(d, 0.9) - quantile_cont(d, 0.1) AS spread FROM p GROUP BY label, px)
-  SELECT label, px::INT AS px, CASE WHEN n >= 3 AND spread <= 0.3 THEN d END AS d FROM s""")
+@query(f"""WITH {PIXELS}, g AS (SELECT label, px, CASE WHEN d > 0 THEN d END AS d FROM p),
+  s AS (SELECT label, px, quantile_cont(d, 0.5) AS d, count(d) AS n, quantile_cont(d, 0.9) - quantile_cont(d, 0.1) AS spread FROM g GROUP BY label, px)
+  SELECT label, px::INT AS px, CASE WHEN n >= 3 AND spread <= 0.2 THEN d END AS d, n > 0 AND NOT (n >= 3 AND coalesce(spread <= 0.2, false)) AS dropped FROM s""")
 def temporal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return depth.average_depth(image_pixels(spark, sf_dir), "label", 0.3)
+    return depth.average_depth(image_pixels(spark, sf_dir), "label", 0.2).drop("had")
+
+
+@query(f"""WITH {PIXELS}, g AS (SELECT label, px, d FROM p WHERE d > 0), s AS (SELECT label, px, count(d) >= 3 AND quantile_cont(d, 0.9) - quantile_cont(d, 0.1) <= 0.2 AS good FROM g GROUP BY label, px)
+  SELECT l.label, CASE WHEN count(good) > 0 THEN sum((NOT good)::INT) / count(good) ELSE 1 END AS share FROM (SELECT DISTINCT label FROM embeddings) l LEFT JOIN s ON s.label = l.label GROUP BY 1""")
+def dropped_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depth.dropped_share(depth.average_depth(image_pixels(spark, sf_dir), "label", 0.2), "label")
 
 
 @query(f"WITH {PIXELS}, b AS (SELECT px FROM p GROUP BY px HAVING avg((d > -0.02 AND d < 0.3)::INT) >= 0.5) SELECT floor(median(d) * 1e9)::BIGINT AS reference FROM p JOIN b USING (px) WHERE d > -0.02 AND d < 0.3")
@@ -447,19 +490,22 @@ def pooled_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.floor(F.median("d") * 1e9).alias("reference"))
 
 
-@query(f"""WITH {PIXELS}, r AS (SELECT vec_id, px, d - 0.05::DOUBLE AS d FROM p), m AS (SELECT vec_id, median(d) FILTER (abs(d) <= 0.15) AS own FROM r GROUP BY 1)
-  SELECT vec_id, px::INT AS px, CASE WHEN abs(d - coalesce(own, 0)) <= 0.15 THEN floor((d - coalesce(own, 0)) * 1e9)::BIGINT END AS d FROM r JOIN m USING (vec_id)""")
+@query(f"""WITH {PIXELS}, r AS (SELECT vec_id, px, d > 0 AS there, d - 0.05::DOUBLE AS d FROM p), m AS (SELECT vec_id, median(d) FILTER (there AND abs(d) <= 0.15) AS own FROM r GROUP BY 1)
+  SELECT vec_id, px::INT AS px, CASE WHEN there AND abs(d - coalesce(own, 0)) <= 0.15 THEN floor((d - coalesce(own, 0)) * 1e9)::BIGINT END AS d FROM r JOIN m USING (vec_id)""")
 def dc_removed_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = depth.relative(image_pixels(spark, sf_dir), "vec_id", 0.05, 0.15, center=True)
+    d = depth.relative(images(spark, sf_dir), "image", 0.05, 0.15, center=True).select("vec_id", F.posexplode("image").alias("px", "d"))
     return d.select("vec_id", "px", F.floor(F.col("d") * 1e9).alias("d"))
 
 
-@query(f"""WITH {PIXELS} SELECT vec_id, px::INT AS px,
+@query(f"""WITH {PIXELS}, h AS (SELECT vec_id, median(d) FILTER (d > -0.05) AS m FROM p GROUP BY 1), q AS (SELECT vec_id, px, u, v, CASE WHEN d > -0.05 THEN d ELSE m END AS d FROM p JOIN h USING (vec_id))
+  SELECT vec_id, px::INT AS px,
   (coalesce(lead(d) OVER r, d) - coalesce(lag(d) OVER r, d)) / CASE WHEN u IN (0, 7) THEN 1 ELSE 2 END AS gx,
   (coalesce(lead(d) OVER c, d) - coalesce(lag(d) OVER c, d)) / CASE WHEN v IN (0, 7) THEN 1 ELSE 2 END AS gy
-  FROM p WINDOW r AS (PARTITION BY vec_id, v ORDER BY u), c AS (PARTITION BY vec_id, u ORDER BY v)""")
+  FROM q WINDOW r AS (PARTITION BY vec_id, v ORDER BY u), c AS (PARTITION BY vec_id, u ORDER BY v)""")
 def gradient_shade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return depth.gradients(image_pixels(spark, sf_dir), "vec_id").select("vec_id", "px", "gx", "gy")
+    d = images(spark, sf_dir).withColumn("image", F.transform("image", lambda x: F.when(x > -0.05, x)))
+    d = depth.gradients(d, "image", 8).select("vec_id", F.posexplode(F.arrays_zip("gx", "gy")).alias("px", "g"))
+    return d.select("vec_id", "px", "g.*")
 
 
 @query(MESH.replace("SELECT vec_id, i0::INT AS i0, i1::INT AS i1, i2::INT AS i2 FROM t WHERE", """, f AS (SELECT *, (by_-ay)*(cz-az) - (bz-az)*(cy-ay) AS nx, (bz-az)*(cx-ax) - (bx-ax)*(cz-az) AS ny, (bx-ax)*(cy-ay) - (by_-ay)*(cx-ax) AS nz FROM t WHERE""").replace("\n  , f AS", ", f AS") + """),
@@ -467,11 +513,7 @@ def gradient_shade(spark: SparkSession, sf_dir: str) -> DataFrame:
   l AS (SELECT *, sqrt(nx**2 + ny**2 + nz**2) * CASE WHEN nz > 0 THEN -1 ELSE 1 END AS size FROM s)
   SELECT vec_id, id::INT AS id, floor(nx / size * 1e6 + 0.5)::BIGINT AS nx, floor(ny / size * 1e6 + 0.5)::BIGINT AS ny, floor(nz / size * 1e6 + 0.5)::BIGINT AS nz FROM l""")
 def vertex_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = depth.deproject(image_pixels(spark, sf_dir), 6.0, 6.0, 3.5, 3.5)
-    faces = depth.mesh_faces(grid, "vec_id", 0.1)
-    nth = F.row_number().over(Window.partitionBy("vec_id").orderBy("v", "u")) - 1
-    points = grid.where("z IS NOT NULL").select("vec_id", nth.alias("id"), "x", "y", "z")
-    d = depth.vertex_normals(points, faces, "vec_id")
+    d = export.mesh_normals(image_meshes(spark, sf_dir), "vec_id").where("nx <> 0 OR ny <> 0 OR nz <> 0")  # those of a face
     return d.select("vec_id", "id", *[F.floor(F.col(c) * 1e6 + 0.5).alias(c) for c in ("nx", "ny", "nz")])
 
 
@@ -491,20 +533,14 @@ def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams.
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share; a local one where none is set, as in tests."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"""WITH {FRAMES}, m AS (SELECT session, pos, avg(value) OVER (PARTITION BY session ORDER BY pos ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS mean FROM f),
   t AS (SELECT session, pos, list(mean) OVER (PARTITION BY session ORDER BY pos) AS means FROM m WHERE pos >= 15 AND pos % 4 = 0)
   SELECT session, pos::BIGINT AS pos, floor(list_reduce(means, lambda s, x: 0.6::DOUBLE * x + (1 - 0.6::DOUBLE) * s) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS smoothed FROM t""")
 def live_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     # A file stream takes folders and patterns; this pattern matches the table's path alone, file or folder.
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(path[:-1] + "[t]")
     stream = stream.select(F.col("user_id").alias("session"), "ts", "event_id", "value", F.lit(False).alias("paused"))
-    d = live.run_available(live.live_predictions(stream), scratch(spark, "live"))
+    d = live.run_available(live.live_predictions(stream), shared_path(spark, "live"))
     # Values are finite decimals, so with a third added none stands at a step of floor, where the order of sums would tell.
     return d.select("session", "pos", F.floor(F.col("smoothed") * 1e6 + 1 / 3).alias("smoothed"))

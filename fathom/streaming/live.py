@@ -1,11 +1,16 @@
-"""Live predictions over a stream of frames: a buffer of the last frames, a stride, smoothing, pauses."""
+"""Live streams of frames: a buffer of the last frames, a stride, smoothing, pauses, and a warm-up that fits the session."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fathom.operators.preprocess import Params, fit_frames, input_scale, relative_frame
 
 OUTPUT = "session long, pos long, smoothed double"
 STATE = "pos long, buffer array<double>, smoothed double"
@@ -18,28 +23,163 @@ def live_predictions(stream: DataFrame, length: int = 16, every: int = 4, alpha:
     event_id) within a micro-batch, and micro-batches in the order they come. A
     paused frame is counted and dropped, and empties the buffer and the smoothing,
     so no window spans a pause. A session's frames of one micro-batch are sorted in
-    memory: the trigger bounds them. The state is the buffer and two numbers.
+    memory: the source's maxFilesPerTrigger bounds them. The state is the buffer
+    and two numbers.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pos, buffer, smoothed = state.get if state.exists else (0, [], None)
-        buffer, out = list(buffer), []
-        for row in pd.concat(list(parts)).sort_values(["ts", "event_id"]).itertuples():
-            if row.paused:
-                buffer, smoothed = [], None
-            else:
-                buffer = [*buffer[-(length - 1) :], row.value] if length > 1 else [row.value]
-                if len(buffer) == length and pos % every == 0:
-                    mean = sum(buffer) / length
-                    smoothed = mean if smoothed is None else alpha * mean + (1 - alpha) * smoothed
-                    out.append((key[0], pos, smoothed))
-            pos += 1
-        state.update((pos, buffer, smoothed))
-        yield pd.DataFrame(out, columns=["session", "pos", "smoothed"]).astype({"session": "int64", "pos": "int64", "smoothed": "float64"})
+        start, held, smoothed = state.get if state.exists else (0, [], None)
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        value, paused = rows["value"].to_numpy(float), rows["paused"].to_numpy(bool)
+        found: list[tuple[int, float]] = []
+        buffer = np.array(held, float)
+        edges = np.flatnonzero(np.append(paused, True))
+        begin = 0
+        for end in edges:  # stretches without a pause; the last one ends with the batch
+            own = np.concatenate([buffer, value[begin:end]])
+            at = start + begin + np.arange(end - begin)
+            full = np.arange(len(buffer) + 1, len(own) + 1) >= length
+            hit = np.flatnonzero(full & (at % every == 0))
+            if len(hit):
+                windows = np.lib.stride_tricks.sliding_window_view(own, length)
+                for k, mean in zip(at[hit], windows[hit + len(buffer) - length + 1].mean(axis=1), strict=True):
+                    smoothed = float(mean) if smoothed is None else alpha * float(mean) + (1 - alpha) * smoothed
+                    found.append((int(k), smoothed))
+            buffer = own[max(0, len(own) - length + 1) :] if length > 1 else own[:0]
+            if end < len(paused):
+                buffer, smoothed = buffer[:0], None
+            begin = end + 1
+        state.update((start + len(rows), buffer.tolist(), smoothed))
+        out = pd.DataFrame(found, columns=["pos", "smoothed"])
+        out.insert(0, "session", key[0])
+        yield out.astype({"session": "int64", "pos": "int64", "smoothed": "float64"})
 
     return stream.groupBy("session").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout")
 
 
+#: A model: the depth and mask (2, length, size, size) of a clip to one number per label.
+Model = Callable[[np.ndarray], np.ndarray]
+
+
+class Reader:
+    """One session's live state: warming up on neutral frames, then predicting from a buffer of clips.
+
+    Fitting, transforming and scaling are those of the batch build, so a clip gives
+    the same input in both.
+    """
+
+    def __init__(self, params: Params, scale: float, mode: str, length: int, every: int, alpha: float, warm_frames: int) -> None:
+        self.params, self.scale, self.mode = params, scale, mode
+        self.length, self.every, self.alpha, self.warm_frames = length, every, alpha, warm_frames
+        self.fitted: dict | None = None
+        self.warming: list[np.ndarray] | None = []
+        self.buffer: list[np.ndarray] = []
+        self.smoothed: np.ndarray | None = None
+        self.count = 0
+        self.paused = False
+        self.problem: str | None = None
+
+    def control(self, kind: str) -> None:
+        """pause (again: resume) and rewarm; each empties the buffer and the smoothing, so no clip spans it."""
+        self.buffer, self.smoothed = [], None
+        if kind == "pause":
+            self.paused = not self.paused
+        elif kind == "rewarm":
+            self.warming = []
+
+    def _warm(self, image: np.ndarray) -> None:
+        self.warming.append(image)
+        if len(self.warming) < self.warm_frames:
+            return
+        found = fit_frames(np.stack(self.warming), self.params, self.scale)
+        self.problem = found.get("problem")
+        if self.problem is None:
+            self.fitted = found | {"shape": image.shape}
+        # After a failed warm-up an earlier fit goes on; without one the next frames are tried.
+        self.warming = None if self.fitted else []
+
+    def frame(self, image: np.ndarray, model: Model) -> np.ndarray | None:
+        """Takes a frame; the smoothed probabilities where it makes a prediction."""
+        if self.warming is not None:
+            self._warm(image)
+            return None
+        if self.paused or image.shape != self.fitted["shape"]:
+            return None
+        roi = self.fitted["roi"]
+        rel = relative_frame(image, (roi["x"], roi["y"], roi["side"]), self.fitted["reference_mm"], self.params, self.scale)
+        self.buffer = [*self.buffer[-(self.length - 1) :], rel] if self.length > 1 else [rel]
+        self.count += 1
+        if len(self.buffer) < self.length or self.count % max(1, self.every):
+            return None
+        logits = np.asarray(model(self.input()), float)
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        self.smoothed = p if self.smoothed is None or self.alpha <= 0 else self.alpha * self.smoothed + (1 - self.alpha) * p
+        return self.smoothed
+
+    def input(self) -> np.ndarray:
+        """The buffer as a model takes it: depth in [-1, 1], 0 where masked, and the mask."""
+        clip = np.stack(self.buffer)
+        if self.mode == "deform":
+            clip = clip - np.array(self.fitted["reference_image"], float).reshape(clip.shape[1:])
+        mask = np.isfinite(clip)
+        return np.stack([np.clip(np.where(mask, clip, 0) / input_scale(self.params, self.mode), -1, 1), mask])
+
+
+def live_readout(
+    stream: DataFrame, model: Model, labels: list[str], params: Params | None = None, depth_scale: float = 0.0001, mode: str = "absolute", length: int = 16, every: int = 2, alpha: float = 0.6, warm_frames: int = 45
+) -> DataFrame:
+    """(session, ts, top_label, confidence, p): a row per prediction of each session's live state.
+
+    stream: session (text), ts (timestamp), nth (long), h, w, depth and control. A
+    row whose control is pause or rewarm is no frame. Rows count in the order of
+    (ts, nth) within a micro-batch; a session's micro-batch is bounded by the
+    source's rate. The state holds a clip, or the warm-up's frames, and the fit.
+    A warm-up that fails keeps the fit before it.
+    """
+    params = params or Params()
+    settings = (params, depth_scale, mode, length, every, alpha, warm_frames)
+    if mode not in ("absolute", "deform"):
+        raise ValueError(f"unknown mode {mode!r}")
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        reader = Reader(*settings)
+        if state.exists:
+            reader.__dict__.update(pickle.loads(bytes(state.get[0])))
+        rows = []
+        for r in pd.concat(list(parts)).sort_values(["ts", "nth"]).itertuples():
+            if r.control:
+                reader.control(r.control)
+            elif r.depth is not None and (p := reader.frame(np.asarray(r.depth).reshape(int(r.h), int(r.w)), model)) is not None:
+                top = int(np.argmax(p))
+                rows.append((key[0], r.ts, labels[top], float(p[top]), p.tolist()))
+        kept = {k: v for k, v in reader.__dict__.items() if k not in ("params", "scale", "mode", "length", "every", "alpha", "warm_frames")}
+        state.update((pickle.dumps(kept),))
+        yield pd.DataFrame(rows, columns=["session", "ts", "top_label", "confidence", "p"])
+
+    output = "session string, ts timestamp, top_label string, confidence double, p array<double>"
+    return stream.groupBy("session").applyInPandasWithState(step, output, "kept binary", "append", "NoTimeout")
+
+
+def prediction_log(predictions: DataFrame, labels: list[str]) -> DataFrame:
+    """The rows of a log: host_time_unix, iso, top_label, confidence and p_<label> of each label, 4 decimals."""
+    four = lambda c: F.format_string("%.4f", c)
+    unix = F.unix_micros("ts") / 1e6
+    return predictions.select(
+        F.format_string("%.6f", unix).alias("host_time_unix"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"),
+        "top_label",
+        four(F.col("confidence")).alias("confidence"),
+        *[four(F.col("p")[k]).alias(f"p_{x}") for k, x in enumerate(labels)],
+    )
+
+
+def append_log(predictions: DataFrame, labels: list[str], path: str) -> object:
+    """Starts a query that appends prediction_log() to CSV files with a header under path."""
+    rows = prediction_log(predictions, labels)
+    return rows.writeStream.format("csv").option("header", True).option("checkpointLocation", f"{path}/checkpoint").start(f"{path}/rows")
+
+
 def run_available(result: DataFrame, path: str) -> DataFrame:
     """All that a streaming result gives for the input at hand, written under path and read back."""
     query = result.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/rows")

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from fathom.plans import catalogue
+from fathom.plans import catalogue, depth_catalogue  # noqa: F401
 
 TABLES = "documents embeddings events labels conversations orders lineitem".split()
 

@@ -42,14 +42,6 @@ def test_recordings(spark, tmp_path):
     assert (good.h, good.w) == image.shape and good.depth == image.ravel().tolist()
 
 
-def test_obj(spark, tmp_path):
-    v = spark.createDataFrame([(1, k, float(k), 0.5, -1.0) for k in range(3)], "mesh int, id int, x double, y double, z double")
-    f = spark.createDataFrame([(1, 0, 1, 2)], "mesh int, i0 int, i1 int, i2 int")
-    recordings.write_obj(v, f, "mesh", str(tmp_path / "out"))
-    (text,) = [p.read_text() for p in (tmp_path / "out" / "mesh=1").glob("*.txt")]
-    assert text.split("\n") == ["v 0.000000 0.500000 -1.000000", "v 1.000000 0.500000 -1.000000", "v 2.000000 0.500000 -1.000000", "f 1 2 3", ""]
-
-
 def test_no_window_spans_a_pause(spark, tmp_path):
     rows = pd.DataFrame({"session": 1, "ts": range(12), "event_id": range(12), "value": [float(k) for k in range(12)], "paused": [k == 5 for k in range(12)]})
     for lo, hi in ((0, 7), (7, 12)):
