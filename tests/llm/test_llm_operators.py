@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -236,22 +238,85 @@ def test_main_text_of_pages():
         '<h1>Head</h1><p>A &amp; <b>b</b>\n c<p>D</p><script>x="</p>"</script><div class="share">s</div><form>f</form></article>'
         '<aside>side</aside><section id="comments"><p>re</p></section></div><footer>f</footer></body></html>'
     )
-    assert html.main_text(page, []) == "Head\nA & b c\nD"
-    assert html.main_text("", []) == "" and html.main_text("plain <i>text</i>", []) == "plain text"
-    assert html.main_text("<body><p>x<li>y</body>", []) == "x\ny"
+    assert html.main_text(page) == "Head\nA & b c\nD"
+    assert html.main_text("") == "" and html.main_text("plain <i>text</i>") == "plain text"
+    assert html.main_text("<body><p>x<li>y</body>") == "x\ny"
+    study = '<article><p>One.</p><div class="search-results-study"><p>Two is longer.</p></div></article>'
+    assert html.main_text(study) == "One.\nTwo is longer."
+
+
+@pytest.mark.parametrize("broken", ["<a " * 20000 + '"', "<a href='" * 20000, "<!--" * 20000, '<b class="ad">' * 20000, "<p" * 20000, "<div>" * 20000 + "</p>" * 20000, "<div>x" * 20000])
+def test_broken_pages_take_time_in_proportion(broken):
+    began = time.time()
+    html.main_text(broken)
+    assert time.time() - began < 20
 
 
 def test_wrappers_cover_their_pages(spark):
-    pages = [f"<body><article>{'<p>x</p>' * n}{'<ul><li>i</li></ul>' * (n % 2)}</article>{'<div>d</div>' * (n % 3)}</body>" for n in range(7)]
+    pages = [f"<body><article>{'<p>x</p>' * n}{f'<ul><li>i{n}</li></ul>' * (n % 2)}</article>{'<div>d</div>' * (n % 3)}</body>" for n in range(7)]
     matcher = html.Matcher(html.merge([html.signature(p) for p in pages]))
-    assert all(matcher.match([s for s, _ in html.stream(p)]) is not None for p in pages)
+    assert all(html.filled(html.stream(p), matcher) is not None for p in pages)
     rows = [(i, f"http://h{i % 2}/", p, "old") for i, p in enumerate(pages)] + [(9, None, None, None), (10, "http://h0/", "", "x")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html.extract(d).collect()}
-    assert got[9] == got[10] == "" and got[3] == "x\nx\nx\ni" and len(got) == 9
+    assert got[9] == got[10] == "" and got[3] == "x\nx\nx\ni3" and len(got) == 9
     assert html.extract(d.limit(0)).count() == 0
 
 
+def unmarked(k):
+    """A page of a host whose classes say nothing: a menu, a notice in the text, a varying teaser, the text, a footer."""
+    words = " ".join(words_of(k, 40))
+    more = f"<ul><li>{words_of(k + 99, 3)[0]} item</li></ul>" if k % 2 else ""
+    return (
+        f'<html><body><div class="k1"><ul>{"".join(f"<li><a href=x>{w}</a></li>" for w in words_of(k + 50, 5))}</ul></div><div class="k2">tip {words_of(k + 7, 2)[0]}</div>'
+        f'<div class="k3"><h1>Title {k}</h1><p>{words}</p><div class="k4"><p>Subscribe to our letter today.</p></div><p>End {k} of it.</p>{more}</div><div class="k5">All rights reserved.</div></body></html>'
+    )
+
+
+def wanted(k):
+    more = f"\n{words_of(k + 99, 3)[0]} item" if k % 2 else ""
+    return f"Title {k}\n{' '.join(words_of(k, 40))}\nEnd {k} of it.{more}"
+
+
+def test_the_wrapper_decides_where_classes_say_nothing(spark):
+    rows = [(k, "http://plain.example/a", unmarked(k)) for k in range(8)] + [(8, "http://alone.example/", unmarked(8))]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == wanted(k) for k in range(8))
+    alone = html.main_text(unmarked(3))
+    assert "Subscribe" in alone and alone != wanted(3)  # without others to compare with, the notice isn't known
+    assert "Subscribe" in got[8] and "rights" not in got[8] and got[8].startswith("Title 8\n")
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<body><article><h1>Same</h1><p>All the same text.</p></article><footer>f</footer></body>"
+    d = spark.createDataFrame([(k, "http://h/", page) for k in range(5)], "page_id long, url string, html string")
+    assert {r.text for r in html.extract(d).collect()} == {"Same\nAll the same text."}
+
+
+def test_alignment_against_brute_force(monkeypatch):
+    """The wrapper of two streams fits both, and keeps as many nodes as their longest common subsequence; long ones in blocks still fit."""
+    r = np.random.default_rng(8)
+    for n in range(60):
+        a, b = (["abcd"[i] for i in r.integers(0, 4, int(r.integers(1, 9)))] for _ in range(2))
+        merged = html.align(a, b)
+        kept = [x for x in merged if isinstance(x, str)]
+        best = max(k for k in range(len(a) + 1) if any(_inside(c, b) for c in itertools.combinations(a, k)))
+        assert len(kept) == best
+        matcher = html.Matcher(merged)
+        assert matcher.match(a) is not None and matcher.match(b) is not None
+    monkeypatch.setattr(html, "CELLS", 60)
+    for n in range(20):
+        a = [f"t{i}" for i in range(40)] + ["x"] * n
+        b = [f"t{i}" for i in range(0, 40, 2)] + ["y"] * 9 + [f"t{i}" for i in range(30, 40, 3)]
+        matcher = html.Matcher(html.align(a, b))
+        assert matcher.match(a) is not None and matcher.match(b) is not None
+
+
+def _inside(some, whole):
+    rest = iter(whole)
+    return all(x in rest for x in some)
+
+
 def sets_of(text):
     w = WORD.findall(text or "")
     return collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
