@@ -138,8 +138,8 @@ def format_records(records: DataFrame, id_col: str, order_col: str, record_col:
     """The turns of all records, formatted: id, order, nth, formatted, loss_start, loss_end.
 
     record_col holds JSON. nth counts the turns of a record from 0. loss_start and
-    loss_end are code points of formatted. A record that isn't JSON, or whose
-    fingerprint no mapping has, gives one row with a null formatted. The formatted
+    loss_end are code points of formatted. A record that isn't JSON, is nested too
+    deep to be read, or whose fingerprint no mapping has, gives one row with a null formatted. The formatted
     conversation of an id is its rows' formatted texts, joined in the order of
     (order, nth). A null record is such an unknown one; an empty list of turns
     gives no row. Rows stay in their partitions.
@@ -156,7 +156,7 @@ def format_records(records: DataFrame, id_col: str, order_col: str, record_col:
             for i, data in enumerate(batch.column(2).to_pylist()):
                 try:
                     turns = canonical(json.loads(data), mappings) if data is not None else None
-                except ValueError:
+                except (ValueError, RecursionError):  # not JSON, or nested too deep for a conversation
                     turns = None
                 made = [(None, 0, 0)] if turns is None else [format_turn(*t) for t in turns]
                 of += [i] * len(made)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.stage import stored
+from fathom.llm.stage import by_bytes, stored
 
 # Fixed values of HTML: elements without an end, elements whose content isn't markup,
 # elements that don't break a line, and elements whose whole content isn't main text.
@@ -610,7 +610,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     frame = pages.select(host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             signs = [signature(h) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs, pa.string())], names=["host", "signature"])
 
@@ -661,7 +661,7 @@ def slot_statistics(pages: DataFrame, wrappers: DataFrame, url_col: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             sums: dict[tuple[str, int], list[int]] = {}
             for page, name, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fills = filled(stream(page or ""), known(wrapper)) if wrapper is not None else None
@@ -721,7 +721,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, url_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             texts = []
             for page, wrapper, main in zip(*(batch.column(k).to_pylist() for k in (at, len(rest), len(rest) + 1)), strict=True):
                 texts.append(main_text(page or "", None if wrapper is None else (known(wrapper), set(main or ()))))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.stage import by_bytes
+
 WIDTH = 64
 TILE = 32
 STRIP_ROWS = 4096
@@ -67,6 +69,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     width, height = fields[:2]
     most = 1 if bitmap else fields[2]
+    if not (width and height and 0 < most < 65536):
+        raise ValueError("no pixels, or no such samples")
     kind = np.dtype(np.uint8 if most < 256 else ">u2")
     n = width * height * channels
     if plain:
@@ -90,7 +94,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("short BMP header")
     start, size = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
     width, height, _, bits, packing = struct.unpack_from("<iiHHI", data, 18)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
+    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height:
         raise ValueError("unsupported BMP")
     row = (width * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)
@@ -103,12 +107,18 @@ def decode_bmp(data: bytes) -> np.ndarray:
         parts = np.unpackbits(rows, axis=1).reshape(abs(height), -1, bits)
         rows = (parts << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
     index = rows[:, :width]
+    if index.max() >= len(palette):
+        raise ValueError("pixel beyond the palette")
     if (palette == palette[:, :1]).all():
         grey = np.ascontiguousarray(palette[:, 0])
         return (index if np.array_equal(grey, np.arange(len(grey))) else grey[index])[:, :, None]
     return palette[index]
 
 
+#: What a broken image raises when it is decoded.
+BROKEN = (ValueError, KeyError, IndexError, struct.error)
+
+
 def decode(data: bytes) -> np.ndarray:
     if data[:2] in NETPBM:
         return decode_netpbm(data)
@@ -168,20 +178,21 @@ def tile_of(data: bytes, size: int = TILE) -> tuple[bytes, str]:
 def tiles(media: DataFrame, media_col: str = "media", size: int = TILE) -> DataFrame:
     """media with tile (NPY bytes) and dhash; both null where the image is null, empty or can't be decoded.
 
+    An image without pixels, or with pixels beyond its palette, can't be decoded.
     Rows stay in their partitions. Columns with these two names are replaced.
     """
-    rest = [c for c in media.columns if c not in ("tile", "dhash")]
+    rest = [c for c in media.columns if c.lower() not in ("tile", "dhash")]
     frame = media.select(*rest)
     at = rest.index(media_col)
     schema = frame.withColumn("tile", F.lit(None).cast("binary")).withColumn("dhash", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             made = []
             for data in batch.column(at).to_pylist():
                 try:
                     made.append(tile_of(data, size) if data else (None, None))
-                except (ValueError, KeyError, struct.error):
+                except BROKEN:
                     made.append((None, None))
             extra = [pa.array([m[i] for m in made], kind) for i, kind in ((0, pa.binary()), (1, pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*rest, "tile", "dhash"])
@@ -205,7 +216,7 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = frame.select(id_col, F.lit(0).cast("long").alias("n_bytes"), F.lit(None).cast("binary").alias("media")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             media, sizes = [], []
             for text in batch.column(1).to_pylist():
                 payload = payload_of(text)
@@ -219,19 +230,27 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def payload_digests(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """media with what the stored bytes hold when decoded: payload_bytes, payload_sha256, tail_crc32."""
-    rest = media.columns
+    """media with what the stored bytes hold when decoded: payload_bytes, payload_sha256, tail_crc32.
+
+    All three are null where the image is null, empty or can't be decoded. Columns
+    with these names are replaced.
+    """
+    rest = [c for c in media.columns if c.lower() not in ("payload_bytes", "payload_sha256", "tail_crc32")]
     at = rest.index(media_col)
-    schema = media.selectExpr("*", "0L payload_bytes", "'' payload_sha256", "0L tail_crc32").schema
+    frame = media.select(*rest)
+    schema = frame.selectExpr("*", "cast(null as bigint) payload_bytes", "cast(null as string) payload_sha256", "cast(null as bigint) tail_crc32").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             found = []
             for data in batch.column(at).to_pylist():
-                payload = np.ascontiguousarray(decode(data)).tobytes()
-                found.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:])))
+                try:
+                    payload = np.ascontiguousarray(decode(data)).tobytes() if data else None
+                except BROKEN:
+                    payload = None
+                found.append((None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:])))
             n, sha, crc = zip(*found, strict=True) if found else ((), (), ())
             extra = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*rest, "payload_bytes", "payload_sha256", "tail_crc32"])
 
-    return media.mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema)

@@ -10,6 +10,7 @@ then gives every piece its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -24,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.llm.stage import by_bytes
+
 CAPACITY = 2048
 #: Lengths over this share of the capacity are large.
 LARGE_SHARE = 1 / 3
@@ -31,8 +34,8 @@ LARGE_SHARE = 1 / 3
 GROUPS = 64
 #: Unit of the first search for configurations.
 COARSE = 16
-#: Entries of the tokenizer's cache of words, in each Python worker.
-CACHED_WORDS = 600_000
+#: Entries of the tokenizer's cache of words in a task.
+CACHED_WORDS = 250_000
 
 END_ID = 0
 
@@ -51,14 +54,29 @@ _UNSURE = re.compile(r"[^\x00-\u012f\u0131-\u052f\u2000-\u2064\u20a0-\u20bf\u212
 _PART = 1 << 20
 
 
+# The pipeline that a tokenizer's file must declare for its matches to be looked up one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class WordTokenizer:
-    """ids of whole texts, match by match through a cache; texts with _UNSURE characters or special strings go through the tokenizer whole."""
+    """ids of whole texts, match by match through a cache.
+
+    Texts with _UNSURE characters or special strings go through the tokenizer
+    whole; so do all texts where its file declares another pipeline.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            declared = json.load(file)
+        split = declared.get("pre_tokenizer") or {}
+        specials = [t["content"] for t in declared.get("added_tokens") or []]
+        self.by_match = declared.get("normalizer") == _NORMALIZER and split.get("pretokenizers") == [_SPLIT, _BYTES] and all(s.startswith("<|") for s in specials)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,7 +103,7 @@ class WordTokenizer:
         out: list[list[bytes]] = [[] for _ in texts]
         waiting, owners, size = [], [], 0
         for i, text in enumerate(texts):
-            if "<|" in text or _UNSURE.search(text):
+            if not self.by_match or "<|" in text or _UNSURE.search(text):
                 out[i] = self._encode([text])
                 continue
             lo = 0
@@ -107,7 +125,7 @@ class WordTokenizer:
 
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One for all tasks of a Python worker, in its one thread: Spark has a task for each core."""
+    """One for all tasks of a Python worker, in its one thread; its cache of words lasts for a task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordTokenizer(path)
 
@@ -126,20 +144,19 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = word_tokenizer(path)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                of, start, ids = [], [], []
-                for i, own in enumerate(tokenize.batch([text or "" for text in part.column(1).to_pylist()])):
-                    own += end
-                    for s in range(0, len(own), 4 * capacity):
-                        of.append(i)
-                        start.append(s // 4)
-                        ids.append(own[s : s + 4 * capacity])
-                at = np.array(start, np.int64)
-                columns = [part.column(0).take(pa.array(of, pa.int64())), pa.array(at // capacity, pa.int32()), pa.array(at)]
-                columns += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for part in by_bytes(batches, 1, 2 << 20):
+            of, start, ids = [], [], []
+            for i, own in enumerate(tokenize.batch([text or "" for text in part.column(1).to_pylist()])):
+                own += end
+                for s in range(0, len(own), 4 * capacity):
+                    of.append(i)
+                    start.append(s // 4)
+                    ids.append(own[s : s + 4 * capacity])
+            at = np.array(start, np.int64)
+            columns = [part.column(0).take(pa.array(of, pa.int64())), pa.array(at // capacity, pa.int32()), pa.array(at)]
+            columns += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        tokenize.known.clear()
 
     return frame.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.stage import fresh
+from fathom.llm.stage import by_bytes, fresh
 from fathom.llm.textkernel import IS_SPACE, U64, chunks, mix, rolling, scan, segment_sum
 
 BITS = 17
@@ -25,6 +25,8 @@ WORD_GRAMS = (1, 2)
 CHAR_GRAMS = (2, 4)
 #: Labelled rows that the fit uses at most, those with the least hashes of their ids.
 TRAINING_ROWS = 4000
+#: Labelled rows with longer texts (in bytes) aren't learned from: the sample's bytes are bounded too.
+TRAINING_BYTES = 1 << 16
 #: One in so many training rows is held out for the calibration.
 CALIBRATION_FOLD = 4
 EPOCHS = 6
@@ -61,52 +63,55 @@ class QualityModel:
             return QualityModel(z["weights"], *map(float, z["scalars"]))
 
 
-def _gram_features(values: np.ndarray, ptr: np.ndarray, widths: tuple[int, ...], shift: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each width: the features of all grams, and the ranges of them that lie within each text."""
-    for width in widths:
-        grams = rolling(values, width) if width > 1 else mix(values)
-        index = (mix(grams + U64(width)) >> U64(64 - BITS)).astype(np.int32) + shift
-        start = np.minimum(ptr[:-1], len(index))
-        yield index, np.column_stack([start, np.maximum(start, ptr[1:] - width + 1)])
+#: Grams that are worked on at a time; a chunk of texts has fewer, but for one long text.
+GRAMS = 1 << 20
 
 
-def features(texts: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
-    """The features of words and of characters, with each text's range of each."""
+def features(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+    """Blocks of features: (kind, features of its grams, the first gram's number, each text's range of that kind's grams).
+
+    Kinds count the widths of word grams, then those of character grams; the blocks of a kind come in order.
+    """
     words = scan(texts)
-    points = np.frombuffer(words.buffer.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(U64)
+    yield from _blocks(words.hashes(), words.text_ptr, WORD_GRAMS, 0, 0)
+    points = np.frombuffer(words.buffer.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     lead = (words.buffer & 0xC0) != 0x80
     ptr = np.concatenate([[0], np.cumsum(lead)])[words.byte_ptr]  # a text's range ends with the space after it
-    return list(_gram_features(words.hashes(), words.text_ptr, WORD_GRAMS, 0)), list(_gram_features(points, ptr, CHAR_GRAMS, DIM))
+    yield from _blocks(points, ptr, CHAR_GRAMS, DIM, len(WORD_GRAMS))
 
 
-def _mean_of(values: np.ndarray, ranges: np.ndarray) -> np.ndarray:
-    """The mean of values over each range, each sum on its own; 0 where it is empty."""
-    n = ranges[:, 1] - ranges[:, 0]
-    out = np.zeros(len(ranges))
-    full = np.flatnonzero(n > 0)
-    if len(full):
-        idx = ranges[full].ravel()
-        out[full] = np.add.reduceat(np.append(values, 0.0), idx)[0::2] / n[full]
-    return out
+def _blocks(values: np.ndarray, ptr: np.ndarray, widths: tuple[int, ...], shift: int, kind: int) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+    for k, width in enumerate(widths):
+        n = max(0, len(values) - width + 1)
+        start = np.minimum(ptr[:-1], n)
+        ranges = np.column_stack([start, np.maximum(start, np.minimum(ptr[1:] - width + 1, n))])
+        for lo in range(0, max(n, 1), GRAMS):
+            own = values[lo : lo + GRAMS + width - 1].astype(U64)
+            grams = rolling(own, width) if width > 1 else mix(own)
+            yield kind + k, (mix(grams + U64(width)) >> U64(64 - BITS)).astype(np.int32) + shift, lo, ranges
 
 
 def margins(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """The uncalibrated score of each text: for each kind of gram, the mean weight."""
-    out = np.zeros(len(texts))
-    for kind in features(texts):
-        for index, ranges in kind:
-            out += _mean_of(weights[index].astype(np.float64), ranges)
-    return out
+    """The uncalibrated score of each text: for each kind of gram, the mean weight; each sum is on its own."""
+    total = np.zeros((len(WORD_GRAMS) + len(CHAR_GRAMS), len(texts)))
+    counts = np.ones_like(total)
+    for kind, index, lo, ranges in features(texts):
+        own = np.clip(ranges - lo, 0, len(index))
+        full = np.flatnonzero(own[:, 1] > own[:, 0])
+        if len(full):
+            total[kind, full] += np.add.reduceat(np.append(weights[index], np.float32(0)), own[full].ravel(), dtype=np.float64)[0::2]
+        counts[kind] = np.maximum(1, ranges[:, 1] - ranges[:, 0])
+    return (total / counts).sum(axis=0)
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> QualityModel:
     """Logistic regression by AdaGrad on three quarters of the rows; slope and offset by Newton steps on the rest."""
     sparse = []
     for lo, hi in chunks(texts):
-        kinds = [g for kind in features(texts[lo:hi]) for g in kind]
+        blocks = list(features(texts[lo:hi]))  # texts are short: one block of each kind
         for i in range(hi - lo):
             index, value = [], []
-            for at, ranges in kinds:
+            for _, at, _, ranges in blocks:
                 own, count = np.unique(at[ranges[i, 0] : ranges[i, 1]], return_counts=True)
                 index.append(own)
                 value.append((count / max(1, count.sum())).astype(np.float32))
@@ -159,12 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from at most rows labelled documents.
 
     The sample is fixed: the labelled ids with the least hashes, rows with a null
-    label or text left out. One task fits it; the sample bounds its memory. Without
-    labels of both kinds the model keeps everything.
+    label or text left out, and texts over TRAINING_BYTES. One task fits it; the
+    sample bounds its memory. Without labels of both kinds the model keeps everything.
     """
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id IS NOT NULL AND _label IN (0, 1)")
     chosen = chosen.groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).where(F.col(text_col).isNotNull())
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).where(F.octet_length(text_col) <= TRAINING_BYTES)
     # At most `rows` ids and labels: a few tens of kilobytes.
     sample = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
 
@@ -191,8 +196,8 @@ def rule_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     counts = words.counts
     byte = words.buffer
     in_text = words.byte_ptr.copy()
-    chars = segment_sum((((byte & 0xC0) != 0x80) & ~IS_SPACE[byte]).astype(np.int64), in_text)
-    symbols = segment_sum(_SYMBOL[byte].astype(np.int64), in_text)
+    chars = segment_sum((((byte & 0xC0) != 0x80) & ~IS_SPACE[byte]).view(np.uint8), in_text)
+    symbols = segment_sum(_SYMBOL[byte].view(np.uint8), in_text)
     lines = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         if b"\n" in text:
@@ -215,7 +220,7 @@ def rule_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
         edge = np.zeros(len(hashes) + 1, np.int64)
         np.add.at(edge, start[twice], 1)
         np.add.at(edge, start[twice] + WINDOW, -1)
-        repeated = segment_sum((np.cumsum(edge)[:-1] > 0).astype(np.int64), words.text_ptr)
+        repeated = segment_sum((np.cumsum(edge)[:-1] > 0).view(np.uint8), words.text_ptr)
     return {"n_words": counts.astype(np.int64), "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": repeated}
 
 
@@ -240,7 +245,7 @@ def judge(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in by_bytes(batches, len(schema) - len(outputs)):
             texts = [t or b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
             found, score = [], []
             for lo, hi in chunks(texts):
