@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.stage import sized, stored
+from fathom.llm.stage import by_bytes, discard, fresh, sized, stored, text_key
 from fathom.llm.textkernel import U64, chunks, mix, rolling, scan
 
 SHINGLE = 5
@@ -108,16 +108,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def keyed_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(_tid, _text) for each row; _tid is a 64-bit hash of the text, a null text is an empty one."""
+    """(_key, _hash, _text) for each row: the 128 bits that stand for the text, 64 for its bands, and its bytes; a null text is an empty one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("_tid"), text.cast("binary").alias("_text"))
+    return docs.select(text_key(F.col(text_col)).alias("_key"), F.xxhash64(text).alias("_hash"), text.cast("binary").alias("_text"))
 
 
 def sketched(texts: DataFrame) -> DataFrame:
-    """(_tid, band) rows: the band keys of each text of texts (_tid, _text). Copies in a batch give one text's rows."""
+    """(_hash, band) rows: the band keys of each text of texts (_hash, _text). Copies in a part of a batch give one text's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             tid, at = np.unique(batch.column(0).to_numpy(), return_index=True)
             every = batch.column(1).take(pa.array(at)).to_pylist()
             for lo, hi in chunks(every):
@@ -125,13 +125,14 @@ def sketched(texts: DataFrame) -> DataFrame:
                 full = np.unique(owner)
                 bands = band_keys(sketch(key, weight, owner, hi - lo))[full]
                 arrays = [np.repeat(tid[lo:hi][full], BANDS), bands.ravel().view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["_tid", "band"])
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["_hash", "band"])
 
-    return texts.mapInArrow(run, "_tid long, band long")
+    return texts.select("_hash", "_text").mapInArrow(run, "_hash long, band long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose probability Jaccard, or plain Jaccard, reaches threshold; pairs and texts are stored tables."""
+    texts = texts.select("_tid", "_text")
     texts_b = texts.withColumnsRenamed({"_tid": "b", "_text": "text_b"}).join(sized(pairs, 16), "b")
     wanted = sized(stored(pairs.select("a").distinct(), "ends"), 8)
     texts_a = texts.withColumnsRenamed({"_tid": "a", "_text": "text_a"}).join(wanted, "a", "left_semi")
@@ -139,7 +140,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
-        for batch in batches:
+        for batch in by_bytes(batches, 3):
             a = batch.column(0).to_pylist()
             every = batch.column(3).to_pylist()
             keep = []
@@ -169,9 +170,12 @@ def components(edges: DataFrame) -> DataFrame:
         new = label.join(near, label["_tid"] == near["a"]).select("_tid", F.col("class").alias("was"), F.least("class", "near").alias("via"))
         jump = label.select(F.col("_tid").alias("via"), F.col("class").alias("further"))
         new = stored(new.join(jump, "via").select("_tid", "was", F.least("via", "further").alias("class")), "label")
-        if new.where("was <> class").limit(1).count() == 0:
-            return new.select("_tid", "class")
+        done = new.where("was <> class").isEmpty()
+        discard(label)
         label = new.select("_tid", "class")
+        if done:
+            discard(both)
+            return label
 
 
 def joined(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -183,20 +187,22 @@ def joined(label: DataFrame, links: DataFrame) -> DataFrame:
     root = components(ends.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
     root = root.select(F.col("_tid").alias("class"), F.col("class").alias("root"))
     known = label.union(ends.select("a", "class_a")).union(ends.select("b", "class_b")).distinct()
-    return stored(known.join(root, "class", "left").select("_tid", F.coalesce("root", "class").alias("class")), "label")
+    out = stored(known.join(root, "class", "left").select("_tid", F.coalesce("root", "class").alias("class")), "label")
+    discard(label, links, ends, root)
+    return out
 
 
 def common_shingles(texts: DataFrame, rare: int) -> DataFrame:
     """(_tid, often): the shingles of each text of texts (_tid, _text) that more than rare of them hold, where it has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             tid, every = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for lo, hi in chunks(every):
                 key, _, owner = shingles(every[lo:hi])
                 yield pa.RecordBatch.from_arrays([pa.array(tid[lo:hi][owner]), pa.array(key.view(np.int64))], names=["_tid", "shingle"])
 
-    held = texts.mapInArrow(run, "_tid long, shingle long")
+    held = texts.select("_tid", "_text").mapInArrow(run, "_tid long, shingle long")
     often = sized(stored(held.groupBy("shingle").count().where(F.col("count") > rare).select("shingle"), "often"), 8)
     return held.join(often, "shingle").groupBy("_tid").agg(F.collect_list("shingle").alias("often"))
 
@@ -214,7 +220,7 @@ def parts(texts: DataFrame, threshold: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             rows: list[list] = [[] for _ in range(9)]
             every = batch.column(1).to_pylist()
             for lo, hi in chunks(every):
@@ -360,7 +366,7 @@ def common_pairs(split: DataFrame, met: DataFrame, label: DataFrame, threshold:
 
 
 def near_classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(_tid, class) for those of texts (_tid, _text) that have a near duplicate; class is the least _tid of the class.
+    """(_key, _class) for those of texts (_key, _hash, _text) that meet another in a band; _class is the key of one text of the class.
 
     First every text is held against the least and the greatest text that it meets
     in a band. The texts of bands that still hold several classes are unsure. Of
@@ -369,41 +375,56 @@ def near_classes(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     share a rare shingle, and one early in their order, or their common shingles
     alone are enough for a link. Pairs of both kinds are all tested, but for those
     within a class; the pairs of a rare shingle are few.
+    The candidates are numbered once they are stored; tables that no later step
+    reads are deleted.
     """
     rows = stored(sketched(texts), "bands")
-    buckets = rows.groupBy("band").agg(F.min("_tid").alias("low"), F.max("_tid").alias("high")).where("low < high")
-    met = stored(rows.join(buckets, "band").distinct(), "met")
-    wanted = sized(stored(met.select("_tid").distinct(), "wanted"), 8)
-    texts = stored(texts.join(wanted, "_tid", "left_semi").groupBy("_tid").agg(F.first("_text").alias("_text")), "candidates")
+    shared = rows.groupBy("band").agg(F.min("_hash").alias("low"), F.max("_hash").alias("high")).where("low < high").select("band")
+    inside = stored(rows.join(shared, "band").distinct(), "inside")
+    discard(rows)
+    wanted = sized(stored(inside.select("_hash").distinct(), "wanted"), 8)
+    own = texts.join(wanted, "_hash", "left_semi").groupBy("_key").agg(F.first("_hash").alias("_hash"), F.first("_text").alias("_text"))
+    # Read back, a number given while writing is a fixed one.
+    candidates = stored(own.withColumn("_tid", F.monotonically_increasing_id()), "candidates")
+    met = inside.join(candidates.select("_hash", "_tid"), "_hash").select("band", "_tid")
+    ends = met.groupBy("band").agg(F.min("_tid").alias("low"), F.max("_tid").alias("high")).where("low < high")
+    met = stored(met.join(ends, "band"), "met")
+    discard(inside, wanted)
     low = met.where("_tid <> low").select(F.col("low").alias("a"), F.col("_tid").alias("b"))
     high = met.where("_tid <> high AND _tid <> low").select(F.col("high").alias("a"), F.col("_tid").alias("b"))
     tested = stored(low.union(high).distinct(), "pairs")
-    links = stored(verified(tested, texts, threshold), "links")
+    links = stored(verified(tested, candidates, threshold), "links")
     label = components(links)
-    inside = met.select("band", "_tid").join(label, "_tid", "left").withColumn("class", F.coalesce("class", "_tid"))
-    mixed = inside.groupBy("band").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one < other").select("band")
-    met = stored(met.select("band", "_tid").join(mixed, "band"), "unsure")
-    unsure = sized(stored(met.select("_tid").distinct(), "unsure"), 8)
-    texts = stored(texts.join(unsure, "_tid", "left_semi"), "unsure")
-    often = common_shingles(texts, RARE)
-    split = texts.join(label, "_tid", "left").join(often, "_tid", "left").withColumn("class", F.coalesce("class", "_tid"))
+    discard(tested, links)
+    held = met.select("band", "_tid").join(label, "_tid", "left").withColumn("class", F.coalesce("class", "_tid"))
+    mixed = held.groupBy("band").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one < other").select("band")
+    left = stored(met.select("band", "_tid").join(mixed, "band"), "unsure")
+    discard(met)
+    unsure = sized(stored(left.select("_tid").distinct(), "unsure"), 8)
+    doubtful = stored(candidates.select("_tid", "_text").join(unsure, "_tid", "left_semi"), "unsure")
+    often = common_shingles(doubtful, RARE)
+    split = doubtful.join(label, "_tid", "left").join(often, "_tid", "left").withColumn("class", F.coalesce("class", "_tid"))
     split = stored(parts(split, threshold), "parts")
     pairs = stored(rare_pairs(split, threshold), "pairs")
-    new = stored(verified(pairs, texts, threshold), "links")
+    new = stored(verified(pairs, doubtful, threshold), "links")
     label = joined(label, new)
-    pairs = common_pairs(split, met, label, threshold)
+    pairs = common_pairs(split, left, label, threshold)
     if pairs is not None:
-        new = stored(verified(stored(pairs, "pairs"), texts, threshold), "links")
+        new = stored(verified(stored(pairs, "pairs"), doubtful, threshold), "links")
         label = joined(label, new)
-    return label
+    discard(split, left, doubtful)
+    names = candidates.select("_key", "_tid")
+    heads = label.join(names.select(F.col("_key").alias("_class"), F.col("_tid").alias("class")), "class").select("_tid", "_class")
+    out = stored(names.join(heads, "_tid", "left").select("_key", F.coalesce("_class", "_key").alias("_class")), "classes")
+    discard(candidates, label)
+    return out
 
 
 def classed(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(_tid, _least, _n, class): the least id and the rows of each different text, and its class, the least _tid of it."""
-    tid = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    """(_key, _least, _n, _class): the least id and the rows of each different text, and the key that stands for its class."""
     label = near_classes(keyed_texts(docs, text_col), threshold)
-    ids = docs.select(F.col(id_col).alias("_id"), tid.alias("_tid")).groupBy("_tid").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
-    return ids.join(label, "_tid", "left").withColumn("class", F.coalesce("class", "_tid"))
+    ids = docs.select(F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key")).groupBy("_key").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    return ids.join(label, "_key", "left").withColumn("_class", F.coalesce("_class", "_key"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -415,22 +436,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last. Columns of docs with these two names are replaced.
     """
     rest = [c for c in docs.columns if c.lower() not in ("class_id", "class_size")]
-    tid = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    (key,) = fresh(docs, "_key")
     ids = classed(docs, id_col, text_col, threshold)
-    whole = ids.groupBy("class").agg(F.min("_least").alias("class_id"), F.sum("_n").alias("class_size"))
-    of = ids.join(whole, "class").select("_tid", "class_id", "class_size")
-    return docs.select(*rest, tid.alias("_tid")).join(of, "_tid").drop("_tid")
+    whole = ids.groupBy("_class").agg(F.min("_least").alias("class_id"), F.sum("_n").alias("class_size"))
+    of = ids.join(whole, "_class").select(F.col("_key").alias(key), "class_id", "class_size")
+    return docs.select(*rest, text_key(F.col(text_col)).alias(key)).join(of, key).drop(key)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without near duplicates: of each class the row with the least id stays, null ids last; of equal ids, that with the least text hash.
+    """docs without near duplicates: of each class the row with the least id stays, null ids last; of equal ids, that with the least key of its text.
 
     Classes are told apart by their texts: ids may be null or repeat on other texts.
     """
-    tid = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     ids = classed(docs, id_col, text_col, threshold)
-    best = ids.groupBy("class").agg(F.min(F.struct(F.col("_least").isNull().alias("none"), "_least", "_tid")).alias("best"))
-    best = best.select("class", "best._least", "best._tid")
-    kept = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), tid.alias("_tid")).join(best, "_tid").where(F.col("_id").eqNullSafe(F.col("_least")))
+    best = ids.groupBy("_class").agg(F.min(F.struct(F.col("_least").isNull().alias("none"), "_least", "_key")).alias("best"))
+    best = best.select("_class", "best._least", "best._key")
+    kept = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key")).join(best, "_key").where(F.col("_id").eqNullSafe(F.col("_least")))
     # Rows left of a class agree in id and text.
-    return kept.groupBy("class").agg(F.first("_doc").alias("_doc")).select("_doc.*")
+    return kept.groupBy("_class").agg(F.first("_doc").alias("_doc")).select("_doc.*")
