@@ -12,7 +12,6 @@ are equal if and only if both sorted orders put their parts in the same class.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.stage import by_bytes, fresh, text_key
 from fathom.llm.textkernel import _BASE, _BASE_INVERSE, U64, mix, powers, prefix_hash
 
 LENGTH = 200
@@ -27,6 +27,8 @@ GRAM = 64
 SHALLOW = 16
 #: Bytes of stretches that are sorted at a time; a hash whose stretches exceed them is sorted alone.
 BATCH_BYTES = 16 << 20
+#: Bytes of different stretches that a task gathers the places of before it hands them on.
+STRETCH_BYTES = 8 << 20
 BLOCK = 1 << 20
 
 
@@ -264,93 +266,116 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(_tid, _starts, _ends): the runs of each text of texts (_tid, _text, _copies) that repeat somewhere.
 
-    texts has a row per different text, identified by _tid; _copies counts its rows.
+    texts has a row per different text, identified by the 128 bits of _tid; _copies
+    counts its rows. Equal stretches around an anchor become one row with all their
+    places before they are shuffled.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tid, copies = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        for batch in by_bytes(batches, 1):
+            copies = batch.column(2).to_numpy()
             found, of, n = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 h, count = np.unique(anchors(text, length, gram)[0], return_counts=True)
                 found.append(h.view(np.int64))
-                of.append(np.full(len(h), tid[i]))
+                of.append(np.full(len(h), i))
                 n.append(np.minimum(count * copies[i], 2))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, of, n)], names=["hash", "_tid", "n"])
+            arrays = [pa.array(np.concatenate(found)), batch.column(0).take(pa.array(np.concatenate(of))), pa.array(np.concatenate(n))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["hash", "_tid", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: dict[str, list] = {c: [] for c in ("hash", "_tid", "first", "last", "places", "copies", "stretch")}
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+        rows: dict[tuple[int, int, bytes], list] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [[k[0] for k in rows], [k[1] for k in rows], *([v[c] for v in rows.values()] for c in range(4)), [k[2] for k in rows]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["hash", "first", "last", "tids", "places", "weight", "stretch"])
+
+        for batch in by_bytes(batches, 1):
             for tid, text, copies, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h, place, lo, hi = anchors(text, length, gram)
                 keep = np.isin(h, np.array(wanted, np.int64).view(U64))
-                seen: dict[tuple[int, bytes], int] = {}
                 for k in np.flatnonzero(keep):
                     stretch = text[lo[k] : hi[k] + length]
-                    first = int(place[k] - lo[k])
-                    at = seen.setdefault((first, stretch), len(rows["hash"]))
-                    if at == len(rows["hash"]):
-                        values = (int(h.view(np.int64)[k]), tid, first, int(place[k] - hi[k]), [int(place[k])], copies, stretch)
-                        for c, v in zip(rows, values, strict=True):
-                            rows[c].append(v)
-                    else:
-                        rows["places"][at].append(int(place[k]))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c], k) for c, k in zip(rows, kinds, strict=True)], names=list(rows))
+                    key = (int(h.view(np.int64)[k]), int(place[k] - lo[k]), stretch)
+                    if (row := rows.get(key)) is None:
+                        row = rows[key] = [int(place[k] - hi[k]), [], [], 0]
+                        size += len(stretch) + 100
+                    row[1].append(tid)
+                    row[2].append(int(place[k]))
+                    row[3] += copies
+            if size > STRETCH_BYTES:
+                yield flush()
+                rows.clear()
+                size = 0
+        if rows:
+            yield flush()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        names = ["_tid", "start", "end"]
 
-        def solved(rows: list[tuple]) -> pa.RecordBatch:
+        def solved(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            column = {c: table.column(c).combine_chunks() for c in table.column_names}
+            hashes, first, last, weights = (column[c].to_numpy() for c in ("hash", "first", "last", "weight"))
             alike: dict[tuple, int] = {}
-            of = [alike.setdefault((r[0], r[2], r[6]), len(alike)) for r in rows]
+            of = np.array([alike.setdefault(k, len(alike)) for k in zip(hashes.tolist(), first.tolist(), column["stretch"].to_pylist(), strict=True)])
             keys = list(alike)
-            weight = np.zeros(len(keys), np.int64)
-            for k, r in zip(of, rows, strict=True):
-                weight[k] += r[5] * len(r[4])
             lasts = np.zeros(len(keys), np.int64)
-            lasts[of] = [r[3] for r in rows]
-            groups, firsts = np.array([k[0] for k in keys]), np.array([k[1] for k in keys])
-            hits = repeated_windows(groups, [k[2] for k in keys], firsts, lasts, weight, length, gram)
+            lasts[of] = last
+            weight = np.bincount(of, weights=weights, minlength=len(keys)).astype(np.int64)
+            hits = repeated_windows(np.array([k[0] for k in keys]), [k[2] for k in keys], np.array([k[1] for k in keys]), lasts, weight, length, gram)
             runs = [list(_runs(h)) if len(h) else [] for h in hits]
-            tid, start, end = [], [], []
-            for k, r in zip(of, rows, strict=True):
-                for lo, hi in runs[k]:
-                    for place in r[4]:
-                        tid.append(r[1])
-                        start.append(place - hi)
-                        end.append(place - lo + length)
-            return pa.RecordBatch.from_arrays([pa.array(tid, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["_tid", "start", "end"])
-
+            each = [(row, lo, hi) for row, k in enumerate(of) for lo, hi in runs[k]]
+            if not each:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int64()), pa.array([], pa.int64())], names=names)
+            row, lo, hi = (np.array(x) for x in zip(*each, strict=True))
+            offsets = column["places"].offsets.to_numpy().astype(np.int64)
+            n = np.diff(offsets)[row]
+            flat = np.repeat(offsets[row] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            place = column["places"].values.to_numpy()[flat].astype(np.int64)
+            tids = column["tids"].values.take(pa.array(flat))
+            return pa.RecordBatch.from_arrays([tids, pa.array(place - np.repeat(hi, n)), pa.array(place - np.repeat(lo, n) + length)], names=names)
+
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > BATCH_BYTES and row[0] != held[-1][0]:
-                    yield solved(held)
+            hashes = batch.column(0).to_numpy()
+            edge = np.flatnonzero(hashes[1:] != hashes[:-1]) + 1
+            if held and len(batch) and held[-1].column(0)[-1].as_py() != hashes[0]:
+                edge = np.append(0, edge)
+            if len(edge):
+                whole, rest = batch.slice(0, edge[-1]), batch.slice(edge[-1])
+                held.append(whole)
+                size += whole.get_total_buffer_size() * len(whole) // max(1, len(batch))
+                if size > BATCH_BYTES:
+                    yield solved([h for h in held if len(h)])
                     held, size = [], 0
-                held.append(row)
-                size += len(row[6])
-        if held:
-            yield solved(held)
-
-    found = texts.mapInArrow(sketch, "hash long, _tid long, n long")
+                held.append(rest)
+            elif len(batch):
+                held.append(batch)
+                size += batch.get_total_buffer_size()
+        if any(len(h) for h in held):
+            yield solved([h for h in held if len(h)])
+
+    found = texts.mapInArrow(sketch, "hash long, _tid binary, n long")
     twice = found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     wanted = found.join(twice, "hash").groupBy("_tid").agg(F.collect_list("hash").alias("_wanted"))
     stretches = texts.join(wanted, "_tid").select("_tid", "_text", "_copies", "_wanted")
-    stretches = stretches.mapInArrow(cut, "hash long, _tid long, first int, last int, places array<int>, copies long, stretch binary")
+    stretches = stretches.mapInArrow(cut, "hash long, first int, last int, tids array<binary>, places array<int>, weight long, stretch binary")
     met = stretches.repartition(F.col("hash")).sortWithinPartitions("hash", "first", "stretch")
-    runs = met.mapInArrow(match, "_tid long, start long, end long")
+    runs = met.mapInArrow(match, "_tid binary, start long, end long")
     return runs.groupBy("_tid").agg(F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends"))
 
 
 def different_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(_tid, _text, _copies): a row per different text as bytes; a null text is an empty one.
 
-    _tid is a 64-bit hash of the text. Copies are counted before the shuffle.
+    _tid is a hash of 128 bits. Copies are counted before the shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.xxhash64(text).alias("_tid"), text.cast("binary").alias("_text"))
+    d = docs.select(text_key(F.col(text_col)).alias("_tid"), text.cast("binary").alias("_text"))
     return d.groupBy("_tid").agg(F.first("_text").alias("_text"), F.count("*").alias("_copies"))
 
 
@@ -361,7 +386,7 @@ def removed(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             sizes, runs, kept = [], [], []
             for _, text, _, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = spans(np.array(starts), np.array(ends)) if starts else []
@@ -376,7 +401,7 @@ def removed(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["_tid", "n_bytes", "spans", "kept"])
 
-    return d.mapInArrow(cut, "_tid long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return d.mapInArrow(cut, "_tid binary, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -388,10 +413,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are empty, short ones stay whole, repeated ids keep their rows, an empty table
     gives an empty table, other columns don't matter.
     """
-    ids = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tid"))
+    (key,) = fresh(docs, "_tid")
+    ids = docs.select(F.col(id_col), text_key(F.col(text_col)).alias(key))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    found = removed(docs, text_col, length).select("_tid", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept")
-    return ids.join(found, "_tid").drop("_tid")
+    found = removed(docs, text_col, length).select(F.col("_tid").alias(key), "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept")
+    return ids.join(found, key).drop(key)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
@@ -401,7 +427,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | N
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             out = []
             for _, text, _, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at, left = 0, []
@@ -417,8 +443,8 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | N
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_tid", "_cut"])
 
     texts = different_texts(docs, text_col)
-    changed = texts.join(find_repeats(texts, length), "_tid").select("_tid", "_text", "_copies", "_starts", "_ends").mapInArrow(whole, "_tid long, _cut string")
-    d = docs.select(F.struct("*").alias("_doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tid")).join(changed, "_tid", "left")
+    changed = texts.join(find_repeats(texts, length), "_tid").select("_tid", "_text", "_copies", "_starts", "_ends").mapInArrow(whole, "_tid binary, _cut string")
+    d = docs.select(F.struct("*").alias("_doc"), text_key(F.col(text_col)).alias("_tid")).join(changed, "_tid", "left")
     text = F.coalesce(F.col("_cut"), F.col("_doc").getField(text_col))
     replaced = {text_col: text} | ({length_col: F.when(F.col("_cut").isNull(), F.col("_doc").getField(length_col)).otherwise(F.length("_cut"))} if length_col in docs.columns else {})
     return d.select(*[replaced.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
