@@ -19,7 +19,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = sharding.place(stored(sharding.measured(docs).drop("text"), "sharding"))
+    placed = sharding.place(stored(sharding.measured(docs, keep=["doc_id"]), "sharding"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

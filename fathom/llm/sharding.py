@@ -1,34 +1,36 @@
 """Sharding by vector bin packing over bytes, tokens and rows.
 
-Groups are equal texts. A group that is large against a shard is an item of its
-own; the rest are gathered by hash into a fixed number of cells, so that the
-items that are placed one by one stay bounded at any input size. Each item goes
-to the shard where the dot product of its vector and the residual capacity is
-highest, among those that it fits into.
+Groups are equal texts. Each group goes to the shard where the dot product of its
+vector and the residual capacity is highest. Groups whose vectors are alike to
+within a step of STEPS to the octave are a class: the classes, whose number the
+steps bound, are placed on the driver, each in equal portions of its groups; a
+group's portion follows from its rank in its class. Groups that are large against
+a shard are placed one by one.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.mixing import word_count
-
-#: A group over 1 / CELLS of all bytes, tokens or rows is placed by itself: 3 * CELLS of them at most.
-CELLS = 4096
+from fathom.llm.stage import sized, stored
+
+#: Steps of bytes, of tokens against bytes, and of copies, to the octave.
+STEPS = 4
+#: Portions that a class is placed in at most.
+PORTIONS = 64
+#: A group over 1 / ALONE of all bytes, tokens or rows is placed by itself: 3 * ALONE of them at most.
+ALONE = 4096
 #: A group over one shard's share is placed in so many parts, by the hash of the row's id.
 PARTS = 64
 
+NAMES = ["bytes", "tokens", "rows"]
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with size, text_crc32, _tokens, _group, _cell and _part, which place() needs."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.withColumn("size", F.octet_length(text).cast("long") + 1)
-    d = d.withColumn("text_crc32", F.crc32(text.cast("binary")))
-    d = d.withColumn("_tokens", word_count(F.col(text_col)))
-    d = d.withColumn("_group", F.md5(text.cast("binary")))
-    return d.withColumn("_cell", F.pmod(F.xxhash64("_group"), F.lit(CELLS))).withColumn("_part", F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(PARTS)))
+
+def step_of(x: Column) -> Column:
+    return F.floor(F.log2(F.greatest(x.cast("double"), F.lit(1.0))) * STEPS).cast("int")
 
 
 def pack_vectors(vectors: np.ndarray, n_shards: int) -> np.ndarray:
@@ -45,7 +47,7 @@ def pack_vectors(vectors: np.ndarray, n_shards: int) -> np.ndarray:
 
 
 def place(measures: DataFrame, n_shards: int = 16, id_col: str = "doc_id", rows_per_range: int = 100_000) -> DataFrame:
-    """The rows of measured() with shard and slot; helper columns go.
+    """The rows of measured() with shard and slot; the struct _m goes.
 
     Equal texts share a shard unless they exceed a shard's share of bytes, tokens
     or rows; such a group is split by the hash of the id. slot counts from 0 in
@@ -54,46 +56,81 @@ def place(measures: DataFrame, n_shards: int = 16, id_col: str = "doc_id", rows_
     text are interchangeable, an empty table gives an empty table.
     """
     spark = measures.sparkSession
-    sizes = [F.sum("size").alias("bytes"), F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")]
-    groups = measures.groupBy("_group", "_cell").agg(*sizes)
-    names = ["bytes", "tokens", "rows"]
-    total = groups.agg(*[F.sum(c).alias(c) for c in names]).first()
-    n = np.array([float(total[c] or 0) for c in names]).clip(1)
-    share = F.greatest(*[F.col(c) / float(x) for c, x in zip(names, n)])
-    alone = share > 1 / CELLS
-    items = groups.groupBy(F.when(alone, F.col("_group")).alias("group"), F.when(~alone, F.col("_cell")).alias("cell"))
-    items = items.agg(*[F.sum(c).alias(c) for c in names]).withColumn("part", F.lit(None).cast("long")).toPandas()
-    over = items["group"].notna() & ((items[names] / n).max(axis=1) > 1 / n_shards)
-    if over.any():
-        large = spark.createDataFrame([(g,) for g in items.loc[over, "group"]], "_group string")
-        parts = measures.join(F.broadcast(large), "_group").groupBy("_group", "_part").agg(*sizes)
-        parts = parts.withColumnsRenamed({"_group": "group", "_part": "part"}).toPandas()
-        items = items.loc[~over].merge(parts, how="outer")
-    items = items.sort_values(["group", "part", "cell"], ignore_index=True)
-    items["shard"] = pack_vectors(items[names].to_numpy(float) / n, n_shards) if len(items) else []
-
-    def lookup(keys: dict[str, str], to: str) -> DataFrame:
-        own = items if "part" in keys else items[items["part"].isna()]
-        own = own.dropna(subset=list(keys))[[*keys, "shard"]]
-        rows = [tuple(x if isinstance(x, str) else int(x) for x in r) for r in own.itertuples(index=False)]
-        return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{c} {'string' if c == '_group' else 'long'}" for c in [*keys.values(), to])))
-
-    d = measures.join(lookup({"cell": "_cell"}, "_of_cell"), "_cell", "left").join(lookup({"group": "_group"}, "_of_group"), "_group", "left")
-    shard = F.coalesce("_of_group", "_of_cell")
-    if over.any():
-        d = d.join(lookup({"group": "_group", "part": "_part"}, "_of_part"), ["_group", "_part"], "left")
-        shard = F.coalesce("_of_part", "_of_group", "_of_cell")
-    d = d.withColumn("shard", shard.cast("int"))
+    d = measures.select(F.col("_m.doc").alias("doc"), "_m.id", "_m.size", "_m.crc", "_m.tokens", "_m.text", "_m.part")
+    sizes = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
+    # One row per different text.
+    groups = d.groupBy("text").agg(*sizes)
+    kind = F.struct(step_of(F.col("bytes")).alias("b"), step_of(F.col("bytes") / F.greatest("tokens", F.lit(1))).alias("t"), step_of(F.col("rows")).alias("r"))
+    groups = stored(groups.withColumn("kind", kind), "groups")
+    total = groups.agg(*[F.sum(c).alias(c) for c in NAMES]).first()
+    n = np.array([float(total[c] or 0) for c in NAMES]).clip(1)
+    share = F.greatest(*[F.col(c) / float(x) for c, x in zip(NAMES, n, strict=True)])
+    large = groups.where(share > 1 / ALONE).toPandas().sort_values("text", ignore_index=True)
+    classes = groups.where(share <= 1 / ALONE).groupBy("kind").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in NAMES]).toPandas()
+    classes["kind"] = [tuple(k) for k in classes["kind"]]
+    classes = classes.sort_values("kind", ignore_index=True)
+
+    over = (large[NAMES] / n).max(axis=1) > 1 / n_shards if len(large) else np.zeros(0, bool)
+    items = [(("text", t, None), v) for t, v in zip(large["text"][~over], large.loc[~over, NAMES].to_numpy(float), strict=True)] if len(large) else []
+    if np.any(over):
+        split = spark.createDataFrame([(t,) for t in large["text"][over]], "text string")
+        rows = d.join(F.broadcast(split), "text").groupBy("text", "part").agg(*sizes).toPandas().sort_values(["text", "part"])
+        items += [(("part", t, int(p)), v) for t, p, v in zip(rows["text"], rows["part"], rows[NAMES].to_numpy(float), strict=True)]
+    for k, count, vector in zip(classes["kind"], classes["n"], classes[NAMES].to_numpy(float), strict=True):
+        portions = min(PORTIONS, int(count))
+        edges = [int(count) * i // portions for i in range(portions + 1)]
+        items += [(("class", k, (a, b)), vector * ((b - a) / count)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    shards = pack_vectors(np.array([v for _, v in items]) / n, n_shards) if items else []
+
+    # Each group's shard: by its own name, or by its rank among the groups of its class, counted in ranges of a hash.
+    ranges = max(1, int(classes["n"].sum()) // rows_per_range) if len(classes) else 1
+    small = groups.where(share <= 1 / ALONE).select("text", "kind", F.xxhash64("text").alias("h")).withColumn("range", F.pmod("h", F.lit(ranges)))
+    counts = small.groupBy("kind", "range").agg(F.count("*").alias("m"))
+    earlier = Window.partitionBy("kind").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("kind", "range", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("begin"))
+    rank = F.row_number().over(Window.partitionBy("kind", "range").orderBy("h", "text")) - 1
+    small = small.withColumn("rank", rank).join(counts, ["kind", "range"]).select("text", "kind", (F.col("rank") + F.col("begin")).alias("rank"))
+    runs = [(*key, a, b, int(s)) for ((what, key, span), _), s in zip(items, shards, strict=True) if what == "class" for a, b in [span]]
+    runs = spark.createDataFrame(runs, "b int, t int, r int, low long, high long, shard int")
+    fits = (F.col("kind.b") == F.col("b")) & (F.col("kind.t") == F.col("t")) & (F.col("kind.r") == F.col("r")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    of_text = small.join(F.broadcast(runs), fits).select("text", "shard")  # PORTIONS rows per class at most
+    own = spark.createDataFrame([(key, int(s)) for ((what, key, _), _), s in zip(items, shards, strict=True) if what == "text"], "text string, shard int")
+    of_text = sized(stored(of_text.unionByName(own), "shards"), 48)
+    halves = spark.createDataFrame([(key, p, int(s)) for ((what, key, p), _), s in zip(items, shards, strict=True) if what == "part"], "text string, part long, in_part int")
+    placed = d.join(of_text, "text", "left").join(F.broadcast(halves), ["text", "part"], "left")  # PARTS rows per group over a shard at most
+    placed = placed.select("doc", "id", "size", "crc", "text", F.coalesce("in_part", "shard").alias("shard"))
 
     ranges = max(1, int(n[2]) // (rows_per_range * n_shards))
-    d = d.withColumn("_order", F.xxhash64(F.lit(2), id_col)).withColumn("_range", F.pmod("_order", F.lit(ranges)))
-    counts = d.groupBy("shard", "_range").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("shard", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_range").orderBy("_order", id_col, "_group")
-    d = d.withColumn("_nth", F.row_number().over(inside)).join(counts, ["shard", "_range"])
-    keep = [c for c in measures.columns if c not in ("_tokens", "_group", "_cell", "_part")]
-    return d.select(*keep, "shard", (F.col("_start") + F.col("_nth") - 1).alias("slot"))
+    placed = placed.withColumn("order", F.xxhash64(F.lit(2), "id")).withColumn("range", F.pmod("order", F.lit(ranges)))
+    per = placed.groupBy("shard", "range").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("shard", "range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("begin"))
+    inside = Window.partitionBy("shard", "range").orderBy("order", "id", "text")
+    placed = placed.withColumn("nth", F.row_number().over(inside)).join(per, ["shard", "range"])
+    slot = (F.col("begin") + F.col("nth") - 1).alias("slot")
+    return placed.select("doc.*", "size", F.col("crc").alias("text_crc32"), "shard", slot)
+
+
+OUTPUTS = ("size", "text_crc32", "shard", "slot")
+
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One column _m: the columns of docs (or those of keep) that place() hands through, and what it needs of each row.
+
+    Columns with the names of OUTPUTS are left out: place() makes them.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rest = [c for c in keep or docs.columns if c.lower() not in OUTPUTS]
+    m = F.struct(
+        F.struct(*rest).alias("doc"),
+        F.col(id_col).alias("id"),
+        (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.crc32(text.cast("binary")).alias("crc"),
+        word_count(F.col(text_col)).alias("tokens"),
+        F.md5(text.cast("binary")).alias("text"),
+        F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(PARTS)).alias("part"),
+    )
+    return docs.select(m.alias("_m"))
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
