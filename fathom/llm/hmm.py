@@ -1,7 +1,7 @@
 """A hidden Markov language model, trained by Baum-Welch on Spark.
 
-Latent states emit symbols: the most frequent words, and for the other words the
-class of their last two bytes; within a class a word has its own smoothed
+Latent states emit symbols: words that are frequent enough, and for the other
+words the class of their last two bytes; within a class a word has its own smoothed
 frequency, known or not, so that probabilities of texts sum to one. Expected
 counts are made in each partition and summed by Spark; scaled forward recursion
 gives the exact likelihood of a whole text.
@@ -18,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.stage import fresh, stored
+from fathom.llm.stage import by_bytes, fresh, stored
 from fathom.llm.textkernel import U64, chunks, mix, scan, segment_sum
 
 STATES = 8
-#: Words with emissions of their own, and classes of the others: the size of the model.
-WORDS, CLASSES = 16_384, 1024
+#: A word that training texts have so often has emissions of its own, the most frequent WORDS at most; the others emit by their classes.
+OFTEN, WORDS, CLASSES = 32, 1 << 17, 1024
 #: Words whose counts go to all executors; the rest are looked up by a join.
 LOOKUP = 1 << 18
 ITERATIONS = 4
-#: Training sequences are cut to so many tokens; scoring never cuts.
+#: Longer training sequences are worked on in blocks of so many tokens, with what crosses their borders carried over.
 SEGMENT = 512
 PRIOR = 50.0
 ADD = 0.1
@@ -60,7 +60,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     frame = docs.select(F.col(text_col).cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             texts = [t or b"" for t in batch.column(0).to_pylist()]
             for lo, hi in chunks(texts, 8 << 20):
                 hashes, kinds, _ = tokens(texts[lo:hi])
@@ -72,7 +72,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """Counts of the most frequent tokens, and the symbol of each: its rank if that is below WORDS, else its class."""
+    """Counts of the most frequent tokens, and the symbol of each: its rank if that is below own, else its class."""
 
     hashes: np.ndarray  # sorted
     counts: np.ndarray
@@ -82,6 +82,7 @@ class Lexicon:
     total: int
     types: int
     unigram: np.ndarray
+    own: int  # words with a symbol of their own, the end among them
 
     @property
     def floor(self) -> float:
@@ -108,21 +109,22 @@ def lexicon(words: DataFrame) -> Lexicon:
     by_class = words.where(F.col("hash") != END).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow().to_pandas()
     n, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     n[by_class["kind"]], kinds[by_class["kind"]] = by_class["n"], by_class["types"]
-    own = top.iloc[:WORDS]
+    n_own = max(1, min(WORDS, int(((top["n"] >= OFTEN) | (top["hash"] == END)).sum())))
+    own = top.iloc[:n_own]
     own = own[own["hash"] != END]
     n -= np.bincount(own["kind"], weights=own["n"], minlength=CLASSES)
     kinds -= np.bincount(own["kind"], minlength=CLASSES)
-    symbol = np.where(np.arange(len(top)) < WORDS, np.arange(len(top)), -1)
+    symbol = np.where(np.arange(len(top)) < n_own, np.arange(len(top)), -1)
     if not len(top) or top["hash"].iloc[0] != END:  # nothing to learn from: the end is a symbol all the same
         top = pd.DataFrame({"hash": [END], "kind": [0], "n": [0]})
         symbol = np.zeros(1, np.int64)
-    unigram = np.zeros(WORDS + CLASSES)
-    unigram[: min(WORDS, len(top))] = top["n"].iloc[:WORDS]
-    unigram[WORDS:] = n
+    unigram = np.zeros(n_own + CLASSES)
+    unigram[: min(n_own, len(top))] = top["n"].iloc[:n_own]
+    unigram[n_own:] = n
     unigram[0] += ADD
-    unigram[WORDS:] += ADD
+    unigram[n_own:] += ADD
     order = np.argsort(top["hash"].to_numpy())
-    return Lexicon(top["hash"].to_numpy()[order], top["n"].to_numpy()[order].astype(float), symbol[order], n, kinds, int(total or 0), int(types or 0), unigram / unigram.sum())
+    return Lexicon(top["hash"].to_numpy()[order], top["n"].to_numpy()[order].astype(float), symbol[order], n, kinds, int(total or 0), int(types or 0), unigram / unigram.sum(), n_own)
 
 
 def encoded(docs: DataFrame, words: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,7 +144,7 @@ def encoded(docs: DataFrame, words: Lexicon, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         within = np.log10(lex.class_tokens + ADD * (lex.class_types + 1))
-        for batch in batches:
+        for batch in by_bytes(batches, 3):
             texts = [t or b"" for t in batch.column(3).to_pylist()]
             for lo, hi in chunks(texts):
                 hashes, kinds, ptr = tokens(texts[lo:hi])
@@ -151,7 +153,7 @@ def encoded(docs: DataFrame, words: Lexicon, id_col: str = "doc_id", text_col: s
                 in_class = symbol < 0
                 log_n = np.where(there, np.log10(lex.counts[at] + ADD), 0.0)
                 class_log = np.where(in_class, log_n - within[kinds], 0.0)
-                symbol = np.where(in_class, WORDS + kinds, symbol).astype("<u2")
+                symbol = np.where(in_class, lex.own + kinds, symbol).astype("<u4")
                 missing = ~there
                 cut = np.concatenate([[0], np.cumsum(missing)])[ptr]
                 arrays = [c.slice(lo, hi - lo) for c in batch.columns[:3]]
@@ -215,33 +217,88 @@ def log_likelihood(sequences: list[np.ndarray], model: Model) -> np.ndarray:
     return result
 
 
+def _blocks_of(sequences: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sequences in blocks of SEGMENT tokens, and each block's sequence."""
+    blocks, of = [], []
+    for i, s in enumerate(sequences):
+        for lo in range(0, len(s), SEGMENT):
+            blocks.append(s[lo : lo + SEGMENT])
+            of.append(i)
+    return blocks, np.array(of, np.int64)
+
+
+def _borders(blocks: list[np.ndarray], of: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """For each block the state's distribution before it (rows of nan for a first one) and the weights of its states after it (ones for a last one).
+
+    All blocks of longer sequences become matrices at once; then these run along each sequence, forth and back.
+    """
+    states = len(model.start)
+    before, after = np.full((len(blocks), states), np.nan), np.ones((len(blocks), states))
+    long = np.flatnonzero(np.bincount(of, minlength=of.max() + 1)[of] > 1) if len(of) else np.zeros(0, np.int64)
+    if not len(long):
+        return before, after
+    flat, at, order = _packed([blocks[k] for k in long])
+    first = np.append(True, of[long][1:] != of[long][:-1])[order]
+    step = np.broadcast_to(np.eye(states), (len(long), states, states)).copy()
+    for t in range(len(at) - 1):
+        n = at[t + 1] - at[t]
+        moved = step[:n] @ model.move
+        if not t:  # nothing moves into a first token: all rows are the start
+            moved[first] = model.start
+        step[:n] = moved * model.emit[flat[at[t] : at[t + 1]]][:, None, :]
+        step[:n] /= step[:n].sum(axis=(1, 2))[:, None, None]
+    through = np.empty_like(step)
+    through[order] = step
+    for j in range(1, len(long)):
+        if of[long[j]] == of[long[j - 1]]:
+            was = before[long[j - 1]]
+            a = (through[j - 1][0] if np.isnan(was[0]) else was @ through[j - 1])
+            before[long[j]] = a / a.sum()
+    for j in range(len(long) - 2, -1, -1):
+        if of[long[j]] == of[long[j + 1]]:
+            b = through[j + 1] @ after[long[j + 1]]
+            after[long[j]] = b / b.sum()
+    return before, after
+
+
 def expected_counts(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of starts, moves and emissions, by the forward-backward recursion."""
-    flat, at, _ = _packed(sequences)
+    """Of starts, moves and emissions, by the forward-backward recursion over whole sequences."""
+    blocks, of = _blocks_of(sequences)
+    before, after = _borders(blocks, of, model)
+    flat, at, order = _packed(blocks)
+    before, after = before[order], after[order]
+    goes_on = ~np.isnan(before[:, 0])
     states = len(model.start)
     emitted = model.emit[flat]
     alpha, scales = np.empty((len(flat), states)), np.empty(len(flat))
     for t in range(len(at) - 1):
         now = slice(at[t], at[t + 1])
         n = at[t + 1] - at[t]
-        a = (alpha[at[t - 1] : at[t - 1] + n] @ model.move if t else model.start[None, :]) * emitted[now]
+        if t:
+            come = alpha[at[t - 1] : at[t - 1] + n] @ model.move
+        else:
+            come = np.where(goes_on[:, None], np.nan_to_num(before) @ model.move, model.start[None, :])
+        a = come * emitted[now]
         scales[now] = a.sum(axis=1)
         alpha[now] = a / scales[now][:, None]
     moves = np.zeros((states, states))
     gamma = alpha  # alpha is turned into gamma from the end on
-    beta = np.ones((at[-1] - at[-2], states))
-    for t in range(len(at) - 2, 0, -1):
+    beta = np.zeros((0, states))
+    for t in range(len(at) - 2, -1, -1):
         now = slice(at[t], at[t + 1])
-        n = at[t + 1] - at[t]
+        n, ending = at[t + 1] - at[t], slice(len(beta), at[t + 1] - at[t])
+        # Blocks that end here: what follows them, so that their states' weights sum to one.
+        last = after[ending]
+        beta = np.concatenate([beta, last / (alpha[now][ending] * last).sum(axis=1, keepdims=True)])
         ahead = emitted[now] * beta / scales[now][:, None]
-        before = alpha[at[t - 1] : at[t - 1] + n]
-        moves += before.T @ ahead
+        if t:
+            moves += alpha[at[t - 1] : at[t - 1] + n].T @ ahead
+        else:
+            moves += before[goes_on].T @ ahead[goes_on]
         gamma[now] *= beta
-        beta = np.ones((at[t] - at[t - 1], states))
-        beta[:n] = ahead @ model.move.T
-    gamma[at[0] : at[1]] *= beta
+        beta = ahead @ model.move.T
     emissions = np.column_stack([np.bincount(flat, weights=gamma[:, k], minlength=len(model.emit)) for k in range(states)])
-    return gamma[: at[1]].sum(axis=0), moves * model.move, emissions
+    return gamma[: at[1]][~goes_on].sum(axis=0), moves * model.move, emissions
 
 
 def baum_welch(codes: DataFrame, unigram: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> Model:
@@ -264,15 +321,13 @@ def baum_welch(codes: DataFrame, unigram: np.ndarray, states: int = STATES, iter
                 total[size : size + states] += moves
                 total[size + states] += start
 
-            for batch in batches:
+            for batch in by_bytes(batches, 0):
                 for data in batch.column(0).to_pylist():
-                    own = np.frombuffer(data, "<u2")
-                    for lo in range(0, len(own), SEGMENT):
-                        held.append(own[lo : lo + SEGMENT])
-                        n += len(held[-1])
-                        if n >= 1 << 19:
-                            add()
-                            held, n = [], 0
+                    held.append(np.frombuffer(data, "<u4"))
+                    n += len(held[-1])
+                    if n >= 1 << 18:
+                        add()
+                        held, n = [], 0
             if held:
                 add()
             row = np.flatnonzero(total.any(axis=1))
@@ -309,8 +364,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", itera
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.frombuffer(s, "<u2") for s in batch.column(7).to_pylist()]
+        for batch in by_bytes(batches, 7, 1 << 20):
+            own = [np.frombuffer(s, "<u4") for s in batch.column(7).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(log_likelihood(own, shared.value))], names=schema.names)
 
     d = frame.mapInArrow(run, schema).join(found, "_row", "left")
