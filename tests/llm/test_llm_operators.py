@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fathom.llm.stage import text_key
 from fathom.llm import chat, hmm, html, media, mixing, neardup, packing, quality, sharding, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -426,7 +427,7 @@ def test_repeats_against_brute_force(docs, empty, monkeypatch, length, gram):
         kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
         want.append((i, len(t), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), kept))
     found = substrings.removed(docs, "text", length, gram)
-    ids = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tid")).join(found, "_tid").collect()
+    ids = docs.select("doc_id", text_key(F.col("text")).alias("_tid")).join(found, "_tid").collect()
     got = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in ids]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert substrings.remove_repeats(empty).count() == 0
@@ -486,3 +487,167 @@ def test_training_raises_the_likelihood():
         start, moves, emissions = hmm.expected_counts(data, model)
         model = hmm.Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0))
     assert math.isclose(emissions.sum(), 1200)
+
+
+def test_counts_of_whole_chains(monkeypatch):
+    """Baum-Welch counts against sums over plain recursions, whatever the length of the blocks."""
+    r = np.random.default_rng(1)
+    model = hmm.Model(r.dirichlet(np.ones(3)), r.dirichlet(np.ones(3), 3), r.dirichlet(np.ones(7), 3).T)
+    data = [r.integers(0, 7, n) for n in (1, 5, 23, 7, 40, 2, 16)]
+    start, moves, emissions = np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))
+    for s in data:
+        alpha = [model.start * model.emit[s[0]]]
+        for x in s[1:]:
+            alpha.append((alpha[-1] @ model.move) * model.emit[x])
+        beta = [np.ones(3)]
+        for x in s[:0:-1]:
+            beta.insert(0, model.move @ (model.emit[x] * beta[0]))
+        whole = alpha[-1].sum()
+        start += alpha[0] * beta[0] / whole
+        for t, x in enumerate(s):
+            emissions[x] += alpha[t] * beta[t] / whole
+            if t:
+                moves += alpha[t - 1][:, None] * model.move * (model.emit[x] * beta[t])[None, :] / whole
+    for block in (512, 8, 3, 1):
+        monkeypatch.setattr(hmm, "SEGMENT", block)
+        for got, want in zip(hmm.expected_counts(data, model), (start, moves, emissions), strict=True):
+            np.testing.assert_allclose(got, want, atol=1e-12)
+
+
+def test_scores_are_those_of_a_plain_model(spark, docs):
+    """score, from the vocabulary to the forward recursion, against a plain version that learns by the same counts."""
+    iterations = 2
+    rows = [r for r in hmm.score(docs, iterations=iterations).collect() if r.doc_id is not None]
+    every = [("" if r.doc_id is None else str(r.doc_id), r.text) for r in docs.collect()]
+    words = lambda t: [w.encode() for w in WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))]
+    learn = [t for i, t in every if zlib.crc32(i.encode()) % 10]
+    count = collections.Counter(w for t in learn for w in [*words(t), None])
+    kind = {w: int(k) for w in {w for _, t in every for w in words(t)} for k in [hmm.tokens([w])[1][0]]}
+    key = {w: int(hmm.tokens([w])[0][0]) for w in kind}
+    often = sorted((w for w in count if w is not None and count[w] >= hmm.OFTEN), key=lambda w: (-count[w], key[w]))
+    symbol = {None: 0} | {w: k + 1 for k, w in enumerate(often)}
+    n_own = len(symbol)
+    class_n, class_types = np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES)
+    for w, n in count.items():
+        if w not in symbol:
+            class_n[kind[w]] += n
+            class_types[kind[w]] += 1
+    unigram = np.zeros(n_own + hmm.CLASSES)
+    for w, k in symbol.items():
+        unigram[k] = count[w]
+    unigram[n_own:] = class_n
+    unigram[0] += hmm.ADD
+    unigram[n_own:] += hmm.ADD
+    unigram /= unigram.sum()
+    code = lambda t: np.array([symbol[w] if w in symbol else n_own + kind[w] for w in [*words(t), None]])
+    model = hmm.first_model(unigram)
+    for _ in range(iterations):
+        start, moves, emissions = hmm.expected_counts([code(t) for t in learn], model)
+        start, moves, emissions = start + 1, moves + 1, emissions + hmm.PRIOR * unigram[:, None]
+        model = hmm.Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0))
+    texts = dict(enumerate(base_texts()))
+    for r in rows:
+        own = code(texts[r.doc_id])
+        p = model.start * model.emit[own[0]]
+        total = 0.0
+        for x in own[1:]:
+            total += math.log10(p.sum())
+            p = (p / p.sum()) @ model.move * model.emit[x]
+        total += math.log10(p.sum())
+        for w in words(texts[r.doc_id]):
+            if w not in symbol:
+                total += math.log10((count[w] + hmm.ADD) / (class_n[kind[w]] + hmm.ADD * (class_types[kind[w]] + 1)))
+        assert math.isclose(r.score, total, rel_tol=1e-9), r.doc_id
+
+
+def test_clashing_columns_and_keys(spark):
+    d = spark.createDataFrame([(1, "a b", 7, 8, "g", 5, 2), (2, None, 7, 8, "g", 5, 2), (None, "", 7, 8, "g", 5, 2)], "doc_id long, text string, shard int, slot int, _group string, _tid int, _key int")
+    got = sharding.assign_shards(d, 2)
+    assert got.columns == ["doc_id", "text", "_group", "_tid", "_key", "size", "text_crc32", "shard", "slot"] and got.count() == 3
+    near = neardup.near_duplicates(d)
+    assert near.columns == [*d.columns, "class_id", "class_size"] and {(r.doc_id, r.class_id) for r in near.collect()} == {(1, 1), (2, 2), (None, 2)}
+    assert neardup.one_of_each(d).columns == d.columns and neardup.one_of_each(d).count() == 2
+    assert substrings.remove_repeats(d.withColumnRenamed("doc_id", "_TID2").withColumnRenamed("_tid", "x").withColumnRenamed("_TID2", "_tid"), id_col="_tid").count() == 3
+    media_rows = media.payload_digests(media.store_payloads(d).withColumn("Payload_Bytes", F.lit(1)))
+    assert media_rows.columns.count("payload_bytes") == 1 and media_rows.count() == 3
+
+
+def test_every_group_is_placed_by_the_dot_product():
+    """Placement of single vectors against plain loops."""
+    r = np.random.default_rng(2)
+    v = r.random((200, 3))
+    v /= v.sum(axis=0)
+    room, want = [[0.25] * 3 for _ in range(4)], [0] * 200
+    for i in sorted(range(200), key=lambda i: (-max(v[i]), i)):
+        gain = [sum(a * b for a, b in zip(v[i], s, strict=True)) for s in room]
+        fits = [all(a >= b for a, b in zip(s, v[i], strict=True)) for s in room]
+        best = max(range(4), key=lambda s: (gain[s] if fits[s] or not any(fits) else -9, -s))
+        want[i] = best
+        room[best] = [a - b for a, b in zip(room[best], v[i], strict=True)]
+    assert sharding.pack_vectors(v, 4).tolist() == want
+
+
+def test_broken_media_give_nulls(spark):
+    beyond = bytearray(media.encode_bmp(np.full((2, 2), 9, np.uint8)))
+    beyond[46:50] = (4).to_bytes(4, "little")
+    for data in (bytes(beyond), b"P5 0 0 255\n", b"P5 1 0 255\n", b"P5 1 1 0\n\x00", b"P6", None, b""):
+        r = media.payload_digests(media.tiles(spark.createDataFrame([(data,)], "media binary"))).first()
+        assert (r.tile, r.dhash, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (None,) * 5
+
+
+def test_records_nested_too_deep_are_unknown(spark):
+    deep = '{"messages": ' + "[" * 50000 + "]" * 50000 + "}"
+    d = spark.createDataFrame([(1, 0, deep), (2, 0, '{"messages": [{"role": "user", "content": "x"}]}')], "conv_id long, turn long, record string")
+    got = {r.conv_id: r.formatted for r in chat.format_records(d, "conv_id", "turn", "record").collect()}
+    assert got[1] is None and got[2] is not None
+
+
+def test_another_tokenizer_is_used_as_it_is(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    declared = json.loads(open(packing.default_tokenizer(), encoding="utf-8").read())
+    declared["normalizer"] = None
+    path = str(tmp_path / "cased.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(declared, file)
+    plain, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    assert not own.by_match and packing.WordTokenizer(packing.default_tokenizer()).by_match
+    for text in ("Hello World hello", "Σ ß", ""):
+        assert np.frombuffer(own(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_score_like_their_grams(monkeypatch):
+    """Quality features in blocks equal those in one."""
+    r = np.random.default_rng(0)
+    weights = r.normal(size=2 * quality.DIM).astype(np.float32)
+    texts = [" ".join(words_of(k, 50 + 100 * k)).encode() for k in range(6)] + [b"", b"x"]
+    whole = quality.margins(texts, weights)
+    monkeypatch.setattr(quality, "GRAMS", 37)
+    np.testing.assert_allclose(quality.margins(texts, weights), whole, atol=1e-5)
+
+
+def test_bytes_bound_the_parts_of_a_batch():
+    import pyarrow as pa
+
+    from fathom.llm.stage import by_bytes
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([b"x" * n for n in (10, 3000, 10, 10, 5000, 1, 1, 1, 2000)] )], names=["a", "b"])
+    cut = list(by_bytes(iter([batch, batch.slice(0, 0)]), 1, 2500))
+    assert [x for c in cut for x in c.column(0).to_pylist()] == list(range(9)) and len(cut) > 2
+
+
+def test_a_hot_passage_is_found_across_parts(spark, monkeypatch):
+    """Many texts share a passage; each part of a batch joins its places, and small batches are solved one by one."""
+    monkeypatch.setattr(substrings, "STRETCH_BYTES", 500)
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 2000)
+    passage = " ".join(words_of(1, 60))
+    rows = [(k, f"{' '.join(words_of(100 + k, 30))} {passage} {' '.join(words_of(500 + k, 20))}") for k in range(60)] + [(99, "short")]
+    got = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    seen = collections.Counter(t[k : k + 200] for _, x in rows for t in [x.encode()] for k in range(len(t) - 199))
+    for i, x in rows:
+        t = x.encode()
+        gone = {j for k in range(len(t) - 199) if seen[t[k : k + 200]] > 1 for j in range(k, k + 200)}
+        assert got[i].n_removed == len(gone) and got[i].kept == bytes(b for j, b in enumerate(t) if j not in gone)
+    assert all(got[k].n_removed >= len(passage.encode()) for k in range(60)) and got[99].n_removed == 0
