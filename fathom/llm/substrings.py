@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.stage import by_bytes, fresh, text_key
+from fathom.llm.stage import by_bytes, fresh, sized, stored, text_key
 from fathom.llm.textkernel import _BASE, _BASE_INVERSE, U64, mix, powers, prefix_hash
 
 LENGTH = 200
@@ -27,6 +27,8 @@ GRAM = 64
 SHALLOW = 16
 #: Bytes of stretches that are sorted at a time; a hash whose stretches exceed them is sorted alone.
 BATCH_BYTES = 16 << 20
+#: A place of a stretch: the text's 128 bits, and where the anchor stands in it.
+SPOT = np.dtype([("tid", "V16"), ("place", "<i4")])
 #: Bytes of different stretches that a task gathers the places of before it hands them on.
 STRETCH_BYTES = 8 << 20
 BLOCK = 1 << 20
@@ -284,13 +286,14 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             yield pa.RecordBatch.from_arrays(arrays, names=["hash", "_tid", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
         rows: dict[tuple[int, int, bytes], list] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
-            columns = [[k[0] for k in rows], [k[1] for k in rows], *([v[c] for v in rows.values()] for c in range(4)), [k[2] for k in rows]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["hash", "first", "last", "tids", "places", "weight", "stretch"])
+            columns = [[k[0] for k in rows], [k[1] for k in rows], *([v[c] for v in rows.values()] for c in (0, 1, 2)), [k[2] for k in rows]]
+            columns[3] = [b"".join(spots) for spots in columns[3]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["hash", "first", "last", "spots", "weight", "stretch"])
 
         for batch in by_bytes(batches, 1):
             for tid, text, copies, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -300,11 +303,10 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                     stretch = text[lo[k] : hi[k] + length]
                     key = (int(h.view(np.int64)[k]), int(place[k] - lo[k]), stretch)
                     if (row := rows.get(key)) is None:
-                        row = rows[key] = [int(place[k] - hi[k]), [], [], 0]
+                        row = rows[key] = [int(place[k] - hi[k]), [], 0]
                         size += len(stretch) + 100
-                    row[1].append(tid)
-                    row[2].append(int(place[k]))
-                    row[3] += copies
+                    row[1].append(tid + int(place[k]).to_bytes(4, "little"))
+                    row[2] += copies
             if size > STRETCH_BYTES:
                 yield flush()
                 rows.clear()
@@ -331,11 +333,11 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             if not each:
                 return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int64()), pa.array([], pa.int64())], names=names)
             row, lo, hi = (np.array(x) for x in zip(*each, strict=True))
-            offsets = column["places"].offsets.to_numpy().astype(np.int64)
-            n = np.diff(offsets)[row]
-            flat = np.repeat(offsets[row] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            place = column["places"].values.to_numpy()[flat].astype(np.int64)
-            tids = column["tids"].values.take(pa.array(flat))
+            spots = [column["spots"][int(k)].as_py() for k in row]
+            n = np.array([len(x) // SPOT.itemsize for x in spots])
+            flat = np.frombuffer(b"".join(spots), SPOT)
+            place = flat["place"].astype(np.int64)
+            tids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(flat), [None, pa.py_buffer(np.ascontiguousarray(flat["tid"]).tobytes())]).cast(pa.binary())
             return pa.RecordBatch.from_arrays([tids, pa.array(place - np.repeat(hi, n)), pa.array(place - np.repeat(lo, n) + length)], names=names)
 
         held: list[pa.RecordBatch] = []
@@ -360,10 +362,11 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             yield solved([h for h in held if len(h)])
 
     found = texts.mapInArrow(sketch, "hash long, _tid binary, n long")
-    twice = found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+    # Where the repeated anchors are few, they go to the texts; else both are shuffled.
+    twice = sized(stored(found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"), "anchors"), 8)
     wanted = found.join(twice, "hash").groupBy("_tid").agg(F.collect_list("hash").alias("_wanted"))
     stretches = texts.join(wanted, "_tid").select("_tid", "_text", "_copies", "_wanted")
-    stretches = stretches.mapInArrow(cut, "hash long, first int, last int, tids array<binary>, places array<int>, weight long, stretch binary")
+    stretches = stretches.mapInArrow(cut, "hash long, first int, last int, spots binary, weight long, stretch binary")
     met = stretches.repartition(F.col("hash")).sortWithinPartitions("hash", "first", "stretch")
     runs = met.mapInArrow(match, "_tid binary, start long, end long")
     return runs.groupBy("_tid").agg(F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends"))
