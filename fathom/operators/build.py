@@ -21,6 +21,7 @@ from fathom.operators.tables import small, stored
 
 # The quality gates, and what is only warned about.
 MAX_RAIL_FRAC, MIN_STD_MM, MIN_FACE_COVERAGE = 0.02, 0.5, 0.5
+JITTER = 2
 WARN_FACE_COVERAGE, DRIFT_WARN_MM, LEAST_SESSIONS, LEAST_TRAIN_SHARE = 0.8, 2.0, 3, 0.4
 
 
@@ -308,11 +309,12 @@ def write(built: dict[str, DataFrame], path: str) -> None:
     built["clips"].write.parquet(f"{path}/clips")
 
 
-def dataset_clips(built: dict[str, DataFrame], params: Params, split: str | None = "train", mode: str = "absolute", labels: list[str] | None = None, length_of: int = 16, jitter: int = 0, seed: int = 0) -> DataFrame:
+def dataset_clips(built: dict[str, DataFrame], params: Params, split: str | None = "train", mode: str = "absolute", labels: list[str] | None = None, augment: int | None = None) -> DataFrame:
     """Training samples: clip_id, session, label, y, steps (a struct(depth, mask) per frame, in order).
 
     labels gives the label space, numbered from 0, else the label map does; clips
-    with other labels are left out. mode as in model_input().
+    with other labels are left out. mode as in model_input(). augment is a seed: clips
+    start up to JITTER frames off, and their frames are augmented().
     """
     clips = splits.of_split(built["clips"], split)
     if labels is None:
@@ -321,11 +323,14 @@ def dataset_clips(built: dict[str, DataFrame], params: Params, split: str | None
         space = clips.sparkSession.createDataFrame([(x, k) for k, x in enumerate(labels)], "label string, y int")
     clips = clips.join(F.broadcast(space), "label")
     lengths = built["sessions"].select("session", "n_frames")
-    rows = frames.clip_frames(clips.select("clip_id", "session", "start", "length", "label", "y"), lengths, jitter, seed).join(built["rel"], ["session", "pos"])
-    reference = None
+    own = clips.select("clip_id", "session", "start", "length", "label", "y")
+    rows = frames.clip_frames(own, lengths, 0 if augment is None else JITTER, augment or 0).join(built["rel"], ["session", "pos"])
+    reference = F.col("reference_image") if mode == "deform" else None
     if mode == "deform":
         rows = rows.join(built["states"].select("session", "reference_image"), "session")
-        reference = F.col("reference_image")
+    if augment is not None:
+        rows = rows if mode == "deform" else rows.withColumn("reference_image", F.lit(None).cast("array<double>"))
+        rows = preprocess.augmented(rows, params.out_size, augment)
     rows = rows.select("clip_id", "session", "label", "y", "step", preprocess.model_input(F.col("rel"), mode, params, reference).alias("x"))
     steps = F.transform(F.array_sort(F.collect_list(F.struct("step", "x"))), lambda s: s["x"])
     return rows.groupBy("clip_id", "session", "label", "y").agg(steps.alias("steps"))

@@ -7,7 +7,7 @@ batches; only statistics across images take pixels apart, by pixels().
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,9 @@ def pixels(frames: DataFrame, image: str, width: int) -> DataFrame:
 def each_image(frames: DataFrame, image: str, width: int, outputs: str, work: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
     """frames with outputs (a schema) in place of image: the rows that work gives for each image, with NaN for missing pixels.
 
-    Rows stay in their partitions; a null image gives none. Columns of frames that bear an output's name are replaced.
+    An output that is an array comes as a numpy array, NaN for null; one of structs
+    as a table of theirs. Rows stay in their partitions; a null image gives none.
+    Columns of frames that bear an output's name are replaced.
     """
     extra = frames.sparkSession.createDataFrame([], outputs).schema
     gone = {image.lower(), *(f.name.lower() for f in extra)}
@@ -51,7 +53,7 @@ def each_image(frames: DataFrame, image: str, width: int, outputs: str, work: Ca
                 take = pa.array(of, pa.int64())
                 columns = list(zip(*rows, strict=True)) if rows else [()] * len(extra)
                 arrays = [part.column(k).take(take) for k in range(len(rest))]
-                arrays += [pa.array(c, _arrow(f.dataType.simpleString()), from_pandas=True) for c, f in zip(columns, extra, strict=True)]
+                arrays += [column_of(c, f.dataType.simpleString()) for c, f in zip(columns, extra, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return d.mapInArrow(run, schema)
@@ -65,8 +67,20 @@ def _arrow(kind: str) -> pa.DataType:
     return {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}[kind]
 
 
-def _nulls(values: np.ndarray) -> pa.Array:
-    return pa.array(values.ravel(), from_pandas=True).to_pylist()
+def column_of(values: Sequence, kind: str) -> pa.Array:
+    """An Arrow column of values: numbers, or a numpy array or None per row for arrays."""
+    if not kind.startswith("array<"):
+        return pa.array(values, _arrow(kind), from_pandas=True)
+    inner = _arrow(kind[6:-1])
+    offsets = np.append(0, np.cumsum([0 if v is None else len(v) for v in values]))
+    held = [v for v in values if v is not None and len(v)]
+    if pa.types.is_struct(inner):
+        flat = np.concatenate(held) if held else np.zeros((0, inner.num_fields))
+        items = pa.StructArray.from_arrays([pa.array(flat[:, k], from_pandas=True).cast(inner.field(k).type) for k in range(inner.num_fields)], fields=list(inner))
+    else:
+        items = pa.array(np.concatenate(held) if held else np.zeros(0), from_pandas=True).cast(inner)
+    mask = pa.array([v is None for v in values], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, mask=mask)
 
 
 def metric(image: Column, scale: float) -> Column:
@@ -169,7 +183,7 @@ def masked_resize(values: np.ndarray, valid: np.ndarray, size: int, support: flo
 
 def resized(frames: DataFrame, image: str, width: int, size: int, support: float) -> DataFrame:
     """frames with image as size x size area averages of the valid pixels; null where their share is support or less."""
-    d = each_image(frames, image, width, "_cells array<double>", lambda a: [(_nulls(masked_resize(a, np.isfinite(a), size, support)),)])
+    d = each_image(frames, image, width, "_cells array<double>", lambda a: [(masked_resize(a, np.isfinite(a), size, support).ravel(),)])
     return d.withColumnRenamed("_cells", image)
 
 
@@ -227,14 +241,11 @@ def meshes(frames: DataFrame, image: str, width: int, fx: float, fy: float, cx:
     center, vertices are less their mean.
     """
 
-    def structs(rows: np.ndarray, names: str) -> list[dict]:
-        return [dict(zip(names.split(), r, strict=True)) for r in rows.tolist()]
-
     def work(a: np.ndarray) -> list[tuple]:
         vertex, face, normal = mesh_arrays(a, fx, fy, cx, cy, max_edge, scale, step)
         if center and len(vertex):
             vertex = vertex - vertex.mean(axis=0)
-        return [(structs(vertex, "x y z"), structs(face, "i0 i1 i2"), structs(normal, "nx ny nz"))]
+        return [(vertex, face, normal)]
 
     outputs = "vertices array<struct<x:double,y:double,z:double>>, faces array<struct<i0:int,i1:int,i2:int>>, normals array<struct<nx:double,ny:double,nz:double>>"
     return each_image(frames, image, width, outputs, work)
@@ -303,7 +314,7 @@ def relative(frames: DataFrame, image: str, reference: float, clip: float, cente
             if valid.any():
                 rel = rel - np.median(rel[valid])
                 valid = (a > 0) & (np.abs(rel) <= clip)
-        return [(_nulls(np.where(valid, rel, np.nan)),)]
+        return [(np.where(valid, rel, np.nan).ravel(),)]
 
     return each_image(frames, image, 1, "_rel array<double>", work).withColumnRenamed("_rel", image)
 
@@ -316,10 +327,10 @@ def gradients(frames: DataFrame, image: str, width: int) -> DataFrame:
 
     def work(a: np.ndarray) -> list[tuple]:
         if not np.isfinite(a).any():
-            return [([None] * a.size, [None] * a.size)]
+            return [(np.full(a.size, np.nan), np.full(a.size, np.nan))]
         full = np.where(np.isfinite(a), a, np.nanmedian(a))
         gy, gx = (np.gradient(full, axis=k) if full.shape[k] > 1 else np.zeros_like(full) for k in (0, 1))
-        return [(gx.ravel().tolist(), gy.ravel().tolist())]
+        return [(gx.ravel(), gy.ravel())]
 
     return each_image(frames, image, width, "gx array<double>, gy array<double>", work)
 
@@ -335,7 +346,7 @@ def shaded(frames: DataFrame, image: str, width: int, fx: float, fy: float, cx:
     def work(a: np.ndarray) -> list[tuple]:
         z = np.where(a > 0, a, np.nan) * scale
         if not np.isfinite(z).any():
-            return [([None] * a.size,)]
+            return [(np.full(a.size, np.nan),)]
         full = np.where(np.isfinite(z), z, np.nanmedian(z))
         gy, gx = (np.gradient(full, axis=k) if full.shape[k] > 1 else np.zeros_like(full) for k in (0, 1))
         x = (np.arange(a.shape[1])[None, :] - cx) * z / fx
@@ -350,7 +361,7 @@ def shaded(frames: DataFrame, image: str, width: int, fx: float, fy: float, cx:
         normal /= np.sqrt((normal**2).sum(axis=0))
         lit = np.clip(-np.tensordot(light, normal, 1), 0, 1)
         shade = np.floor(np.clip(AMBIENT + DIFFUSE * lit, 0, 1) * 255)
-        return [([None if hole else int(s) for s, hole in zip(shade.ravel(), np.isnan(z).ravel(), strict=True)],)]
+        return [(np.where(np.isnan(z), np.nan, shade).ravel(),)]
 
     return each_image(frames, image, width, "shade array<int>", work)
 
@@ -408,10 +419,10 @@ def keep_largest_surface(frames: DataFrame, image: str, width: int, least: int =
         label = parts(valid)
         best = largest_part(valid, label)
         if len(best) < max(1, least):
-            return [(_nulls(a), 0)]
+            return [(a.ravel(), 0)]
         keep = np.zeros(a.size, bool)
         keep[best] = True
-        return [(_nulls(np.where(keep.reshape(a.shape), a, np.nan)), len(np.unique(label[valid])) - 1)]
+        return [(np.where(keep.reshape(a.shape), a, np.nan).ravel(), len(np.unique(label[valid])) - 1)]
 
     return each_image(frames, image, width, "_kept array<double>, others int", work).withColumnRenamed("_kept", image)
 

@@ -222,7 +222,7 @@ def with_ply(meshed: DataFrame, normals: bool = True, colours: bool = True, bina
         for batch in batches:
             made = []
             for row in range(len(batch)):
-                parts = [np.array(batch.column(len(rest) + k)[row].as_py() or [], float) for k in range(9)]
+                parts = [batch.column(len(rest) + k)[row].values.to_numpy(zero_copy_only=False).astype(float) for k in range(9)]
                 vertex, face, normal = (np.stack(parts[k : k + 3], axis=1) for k in (0, 3, 6))
                 shade = None
                 if colours and len(vertex):

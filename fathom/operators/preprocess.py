@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.operators.depth import clipped, deform, largest_part, masked_resize
+from fathom.operators.depth import clipped, column_of, deform, largest_part, masked_resize
 from fathom.operators.tables import small
 
 #: Fixed value: states of another version are refused.
@@ -264,7 +264,7 @@ def transform(frames: DataFrame, states: DataFrame, params: Params, depth_scale:
     d = d.select(*rest, "depth", "_scale", "_state")
     at = {c: k for k, c in enumerate(d.columns)}
     schema = d.select(*rest).selectExpr("*", "cast(null as array<double>) rel", *[f"cast(null as double) {c}" for c in STATS], "false misfit").schema
-    blank = [None] * params.out_size**2
+    blank = np.full(params.out_size**2, np.nan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,11 +283,11 @@ def transform(frames: DataFrame, states: DataFrame, params: Params, depth_scale:
                     rel = relative_frame(image, (s["roi"]["x"], s["roi"]["y"], s["roi"]["side"]), s["reference_mm"], params, scale.as_py())
                     face = np.array(s["foot"], bool)
                     cover = float(np.isfinite(rel.ravel()[face]).mean()) if face.any() else 0.0
-                    made.append((pa.array(rel.ravel(), from_pandas=True), *image_stats(rel, params.clip_mm), cover, False))
+                    made.append((rel.ravel(), *image_stats(rel, params.clip_mm), cover, False))
                 columns = list(zip(*made, strict=True)) if made else [()] * 7
-                kinds = [pa.list_(pa.float64()), *[pa.float64()] * 5, pa.bool_()]
+                kinds = ["array<double>", *["double"] * 5, "boolean"]
                 arrays = [part.column(at[c]) for c in rest]
-                arrays += [pa.array([x.to_pylist() if isinstance(x, pa.Array) else x for x in v], k) for v, k in zip(columns, kinds, strict=True)]
+                arrays += [column_of(v, k) for v, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return d.mapInArrow(run, schema)
@@ -309,6 +309,55 @@ def model_input(frame: Column, mode: str, params: Params, reference: Column | No
     return F.struct(F.transform(frame, lambda x: F.coalesce(clipped(x / scale, -1.0, 1.0), F.lit(0.0))).alias("depth"), mask.alias("mask"))
 
 
+#: How far augmentation goes.
+SHIFT_PX, DEPTH_MM, NOISE_MM, DROPOUT = 4, 3.0, 0.3, 0.05
+
+
+def augmented(frames: DataFrame, size: int, seed: int, shift_px: int = SHIFT_PX, depth_mm: float = DEPTH_MM, noise_mm: float = NOISE_MM, dropout: float = DROPOUT, flip: bool = False) -> DataFrame:
+    """frames of clips (clip_id, step, rel, reference_image) with rel and reference_image varied for training.
+
+    All frames of a clip, and its reference, are shifted alike, around the edges, and
+    with flip half of the clips are mirrored; a distance is added to the frames of
+    a clip but not to its reference; each pixel gets noise, and some are lost. All
+    of it follows from seed, clip_id and step. A null reference stays null.
+    """
+    rest = [c for c in frames.columns if c not in ("rel", "reference_image")]
+    at = {c: k for k, c in enumerate(rest)}
+    d = frames.select(*rest, F.col("rel").cast("array<double>"), F.col("reference_image").cast("array<double>"))
+    names = d.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 16):
+                part = batch.slice(lo, 16)
+                images: list = []
+                references: list = []
+                keys = (part.column(at["clip_id"]).to_pylist(), part.column(at["step"]).to_pylist())
+                for clip, step, rel, reference in zip(*keys, part.column(len(rest)), part.column(len(rest) + 1), strict=True):
+                    whole = np.random.default_rng([seed, int(clip)])
+                    move = tuple(whole.integers(-shift_px, shift_px + 1, 2)) if shift_px else (0, 0)
+                    mirror = flip and whole.random() < 0.5
+                    offset = whole.uniform(-depth_mm, depth_mm)
+                    own = np.random.default_rng([seed, int(clip), int(step)])
+                    made = []
+                    for values in (rel, reference):
+                        image = values.values.to_numpy(zero_copy_only=False).reshape(size, size) if values.is_valid else None
+                        if image is not None:
+                            image = np.roll(image, move, axis=(0, 1))
+                            image = image[:, ::-1] if mirror else image
+                        made.append(image)
+                    image, reference_of = made
+                    if image is not None:
+                        image = image + offset + own.normal(0, noise_mm, image.shape)
+                        image = np.where(own.random(image.shape) < dropout, np.nan, image).ravel()
+                    images.append(image)
+                    references.append(None if reference_of is None else reference_of.ravel())
+                arrays = [part.column(k) for k in range(len(rest))] + [column_of(x, "array<double>") for x in (images, references)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return d.mapInArrow(run, d.schema)
+
+
 def state_json(states: DataFrame, params: Params, depth_scale: float = 0.0001) -> DataFrame:
     """(session, state): fitted states as JSON, with the version and the params that they hold for."""
     given = {k: list(v) if isinstance(v, tuple) else v for k, v in params.as_dict().items() if v is not None}

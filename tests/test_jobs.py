@@ -124,8 +124,21 @@ def test_training_samples(spark, built):
     assert absolute and all(len(r.steps) == 4 and len(r.steps[0].depth) == 256 for r in absolute)
     values = np.array([s.depth for r in absolute for s in r.steps])
     assert np.isfinite(values).all() and abs(values).max() <= 1
-    some = build.dataset_clips(built, PARAMS, None, "deform", labels=["smile", "neutral"], jitter=1)
-    assert {(r.label, r.y) for r in some.collect()} == {("smile", 0), ("neutral", 1)} and some.count() == 15
+    some = build.dataset_clips(built, PARAMS, None, "deform", labels=["smile", "neutral"], augment=7).collect()
+    assert {(r.label, r.y) for r in some} == {("smile", 0), ("neutral", 1)} and len(some) == 15
+    again = build.dataset_clips(built, PARAMS, None, "deform", labels=["smile", "neutral"], augment=7).collect()
+    assert sorted(some) == sorted(again) and build.dataset_clips(built, PARAMS, "train", augment=3).count() == len(absolute)
+
+
+def test_augmentation_moves_frames_and_reference_alike(spark):
+    image = np.arange(64, dtype=float)
+    d = spark.createDataFrame([(5, 0, image.tolist(), image.tolist()), (5, 1, image.tolist(), image.tolist()), (6, 0, image.tolist(), None)], "clip_id long, step int, rel array<double>, reference_image array<double>")
+    still = {(r.clip_id, r.step): r for r in preprocess.augmented(d, 8, 1, depth_mm=2.0, noise_mm=0.0, dropout=0.0).collect()}
+    a, b = (np.array(still[5, k].rel) - np.array(still[5, k].reference_image) for k in (0, 1))
+    assert np.allclose(a, a[0]) and np.allclose(a, b) and 0 < abs(a[0]) <= 2 and still[6, 0].reference_image is None
+    assert sorted(still[5, 0].reference_image) == image.tolist()
+    lost = np.array(preprocess.augmented(d, 8, 1, dropout=0.5).first().rel, float)
+    assert 8 < np.isnan(lost).sum() < 56
 
 
 def test_gates(spark):
