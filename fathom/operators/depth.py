@@ -260,10 +260,11 @@ def distance_histogram(values: DataFrame, low: float, high: float, bins: int, le
     width = (high - low) / bins
     b = d.groupBy(F.least(F.floor((F.col("d") - low) / width), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
     best = b.agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("bin"), F.sum("n").alias("total"))
-    best = best.select(F.when(F.col("total") >= least, low + (F.col("bin") + 0.5) * width).alias("distance"))
-    # best is one row: an aggregate without a key.
-    near = F.avg((F.abs(F.col("d") - F.col("distance")) <= around).cast("double"))
-    return F.broadcast(best).join(d, F.lit(True), "left").groupBy("distance").agg(F.coalesce(near, F.lit(0.0)).alias("share"))
+    best = F.broadcast(best.select(F.when(F.col("total") >= least, low + (F.col("bin") + 0.5) * width).alias("distance"), "total"))
+    # best and near are one row each: aggregates without a key.
+    near = d.join(best, F.abs(F.col("d") - F.col("distance")) <= around).agg(F.count("*").alias("near"))
+    share = F.when(F.col("distance").isNotNull(), F.col("near") / F.col("total")).otherwise(0.0)
+    return near.join(best, F.lit(True)).select("distance", share.alias("share"))
 
 
 def relief(px: DataFrame, key: str, scale: float = 1000.0) -> DataFrame:

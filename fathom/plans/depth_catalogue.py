@@ -13,7 +13,7 @@ from fathom.functions import text
 from fathom.operators import build, depth, export, frames, preprocess
 from fathom.operators.preprocess import Params
 from fathom.operators.tables import shared_path, stored
-from fathom.plans.catalogue import CLIPS, EVENT_SPLIT, FRAMES, PIXELS, event_clips, event_frames, images, query, read
+from fathom.plans.catalogue import CLIPS, EVENT_SPLIT, FRAMES, PIXELS, event_clips, event_frames, image_meshes, images, query, read
 from fathom.streaming import live
 
 SCALE = 0.0001
@@ -187,13 +187,13 @@ def decimated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RAW}, m AS (SELECT session, pos, r, c, d, (c - 7.5) * d / 12 AS x, (r - 7.5) * d / 12 AS y FROM px WHERE d > 0)
-  SELECT session, pos, floor((max(x) - min(x)) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS dx, floor((max(y) - min(y)) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS dy, floor((max(d) - min(d)) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS dz,
-  floor(avg(x) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS x, floor(avg(y) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS y, floor(avg(d) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS z FROM m GROUP BY session, pos""")
+  SELECT session, pos, floor((max(x) - min(x)) * 1e6 + 0.3183::DOUBLE)::BIGINT AS dx, floor((max(y) - min(y)) * 1e6 + 0.3183::DOUBLE)::BIGINT AS dy, floor((max(d) - min(d)) * 1e6 + 0.3183::DOUBLE)::BIGINT AS dz,
+  floor(avg(x) * 1e6 + 0.3183::DOUBLE)::BIGINT AS x, floor(avg(y) * 1e6 + 0.3183::DOUBLE)::BIGINT AS y, floor(avg(d) * 1e6 + 0.3183::DOUBLE)::BIGINT AS z FROM m GROUP BY session, pos""")
 def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = raw_frames(spark, sf_dir).select(F.struct("session", "pos").alias("k"), depth.metric(F.col("depth"), SCALE).alias("image"))
     d = d.select("k", F.explode(depth.deproject(F.col("image"), 16, 12.0, 12.0, 7.5, 7.5)).alias("p")).where("p IS NOT NULL").select("k", "p.*")
     d = depth.extents(d, "k")
-    return d.select("k.session", F.col("k.pos").cast("long").alias("pos"), *[steps(c, 1e6).alias(c) for c in ("dx", "dy", "dz", "x", "y", "z")])
+    return d.select("k.session", F.col("k.pos").cast("long").alias("pos"), *[F.floor(F.col(c) * 1e6 + 0.3183).alias(c) for c in ("dx", "dy", "dz", "x", "y", "z")])
 
 
 @query(f"""WITH {PIXELS}, z AS (SELECT vec_id, px, d, quantile_cont(d, 0.02) OVER (PARTITION BY vec_id) AS lo, quantile_cont(d, 0.98) OVER (PARTITION BY vec_id) AS hi FROM p)
@@ -222,6 +222,55 @@ def measured_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(steps("distance", 1e6).alias("distance"), steps("share", 1e6).alias("share"))
 
 
+@query(f"""WITH RECURSIVE {RAW}, q AS (SELECT session, pos, r, c, r * 16 + c AS px, raw, d FROM px WHERE d BETWEEN 0.15 AND 0.17 AND session = 1 AND pos % 2 = 0),
+  w(session, pos, px, r, c, root) AS (SELECT session, pos, px, r, c, px FROM q UNION
+    SELECT q.session, q.pos, q.px, q.r, q.c, w.root FROM w JOIN q ON q.session = w.session AND q.pos = w.pos AND abs(q.r - w.r) <= 1 AND abs(q.c - w.c) <= 1),
+  part AS (SELECT pos, px, min(root) AS root FROM w GROUP BY pos, px),
+  best AS (SELECT pos, root, count(*) AS n FROM part GROUP BY pos, root QUALIFY row_number() OVER (PARTITION BY pos ORDER BY count(*) DESC, root) = 1),
+  kept AS (SELECT q.* FROM q JOIN part USING (pos, px) JOIN best ON best.pos = q.pos AND (best.root = part.root OR best.n < 200))
+  SELECT pos AS frame_index, count(*) AS n, floor(sum((c - 7.5) * d / 12 * 1000) * 1e4 + 0.3183::DOUBLE)::BIGINT AS x, floor(sum((r - 7.5) * d / 12 * 1000) * 1e4 + 0.3183::DOUBLE)::BIGINT AS y, sum(raw)::BIGINT AS z FROM kept GROUP BY pos""")
+def point_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other frame of one session as points between 150 and 170 mm, their largest surface if it has 200 pixels."""
+    raw = raw_frames(spark, sf_dir)
+    name = text.frame_filename(F.col("pos"))
+    label = F.concat(F.lit("session "), F.col("session").cast("string"))
+    log = raw.select("session", "pos", F.col("pos").alias("frame_index"), name.alias("filename"), label.alias("label"))
+    pictures = raw.select("session", name.alias("filename"), "h", "w", "depth")
+    d = export.iter_points(log, pictures, 16, export.Lens(12.0, 12.0, 7.5, 7.5), SCALE, label="session 1", every=2, distance=0.16, half_mm=10.0)
+    d = d.select("frame_index", F.explode("points").alias("p")).where("p IS NOT NULL").groupBy(F.col("frame_index").cast("long").alias("frame_index"))
+    return d.agg(F.count("*").alias("n"), F.floor(F.sum("p.x") * 1e4 + 0.3183).alias("x"), F.floor(F.sum("p.y") * 1e4 + 0.3183).alias("y"), F.sum(F.rint(F.col("p.z") * 10).cast("long")).alias("z"))
+
+
+@query(f"""WITH {PIXELS}, q AS (SELECT *, (u - 3.5) * d / 6.0 AS x, (v - 3.5) * d / 6.0 AS y, (row_number() OVER (PARTITION BY vec_id ORDER BY v, u) - 1)::INT AS id FROM p WHERE d > 0),
+  t AS (
+    SELECT a.vec_id, 0 AS kind, a.v, a.u, a.id i0, b.id i1, c.id i2, a.x ax, a.y ay, a.d az, b.x bx, b.y by_, b.d bz, c.x cx, c.y cy, c.d cz
+    FROM q a JOIN q b ON b.vec_id = a.vec_id AND b.u = a.u + 1 AND b.v = a.v JOIN q c ON c.vec_id = a.vec_id AND c.u = a.u AND c.v = a.v + 1
+    UNION ALL
+    SELECT a.vec_id, 1, a.v, a.u, a.id, b.id, c.id, a.x, a.y, a.d, b.x, b.y, b.d, c.x, c.y, c.d
+    FROM q a JOIN q b ON b.vec_id = a.vec_id AND b.u = a.u AND b.v = a.v + 1 JOIN q c ON c.vec_id = a.vec_id AND c.u = a.u - 1 AND c.v = a.v + 1
+  ), f AS (SELECT * FROM t WHERE sqrt((ax-bx)**2 + (ay-by_)**2 + (az-bz)**2) < 0.1 AND sqrt((cx-bx)**2 + (cy-by_)**2 + (cz-bz)**2) < 0.1 AND sqrt((ax-cx)**2 + (ay-cy)**2 + (az-cz)**2) < 0.1),
+  vt AS (SELECT vec_id, string_agg(printf('v %.4f %.4f %.4f', x, y, d), chr(10) ORDER BY id) AS lines FROM q GROUP BY 1),
+  ft AS (SELECT vec_id, string_agg('f ' || (i0 + 1) || ' ' || (i1 + 1) || ' ' || (i2 + 1), chr(10) ORDER BY kind, v, u) AS lines FROM f GROUP BY 1)
+  SELECT e.vec_id, md5(concat_ws(chr(10), vt.lines, ft.lines) || chr(10)) AS digest FROM embeddings e LEFT JOIN vt USING (vec_id) LEFT JOIN ft USING (vec_id)""")
+def obj_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.obj_text(image_meshes(spark, sf_dir), normals=False).select("vec_id", F.md5("obj").alias("digest"))
+
+
+@query(f"""WITH {PIXELS}, z AS (SELECT vec_id, px, u, v, CASE WHEN d > 0 THEN d * 1000 END AS z FROM p), m AS (SELECT vec_id, median(z) AS m FROM z GROUP BY 1),
+  a AS (SELECT *, coalesce(z, m) AS full_z, (u - 3.5) * z / 6.0 AS x, (v - 3.5) * z / 6.0 AS y FROM z JOIN m USING (vec_id)),
+  g AS (SELECT *, (coalesce(lead(full_z) OVER r, full_z) - coalesce(lag(full_z) OVER r, full_z)) / CASE WHEN u IN (0, 7) THEN 1 ELSE 2 END AS gx,
+    (coalesce(lead(full_z) OVER c, full_z) - coalesce(lag(full_z) OVER c, full_z)) / CASE WHEN v IN (0, 7) THEN 1 ELSE 2 END AS gy, abs(lead(x) OVER r - x) AS dx, abs(lead(y) OVER c - y) AS dy
+    FROM a WINDOW r AS (PARTITION BY vec_id, v ORDER BY u), c AS (PARTITION BY vec_id, u ORDER BY v)),
+  p2 AS (SELECT vec_id, coalesce(nullif(median(dx), 0), 1) AS px_x, coalesce(nullif(median(dy), 0), 1) AS px_y FROM g GROUP BY 1),
+  n AS (SELECT g.vec_id, px, z, -gx / px_x AS nx, -gy / px_y AS ny FROM g JOIN p2 USING (vec_id)),
+  s AS (SELECT *, (-0.35 * nx - 0.55 * ny - 1.0) / sqrt(nx * nx + ny * ny + 1) / sqrt(0.35::DOUBLE * 0.35 + 0.55::DOUBLE * 0.55 + 1) AS lit FROM n)
+  SELECT vec_id, count(z) AS n, round(avg(floor(greatest(0, least(1, 0.18::DOUBLE + 0.85::DOUBLE * greatest(0, least(1, -lit)))) * 255)) FILTER (z IS NOT NULL))::BIGINT AS shade FROM s GROUP BY 1""")
+def shaded_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean brightness of each lit image, as a whole number."""
+    d = depth.shaded(images(spark, sf_dir), "image", 8, 6.0, 6.0, 3.5, 3.5).select("vec_id", F.explode("shade").alias("s"))
+    return d.groupBy("vec_id").agg(F.count("s").alias("n"), F.round(F.avg("s")).cast("long").alias("shade"))
+
+
 @query(f"WITH {RAW}, m AS (SELECT session, median(raw) FILTER (raw > 0) / 10 AS mm FROM px GROUP BY 1) SELECT session, floor(CASE WHEN session = 1 THEN 6 ELSE greatest(5, mm * 0.05::DOUBLE) END * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS tolerance FROM m")
 def spread_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = raw_frames(spark, sf_dir).select("session", F.explode("depth").alias("raw")).where("raw > 0").groupBy("session").agg((F.median("raw") / 10).alias("mm"))
