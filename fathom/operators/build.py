@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.text import UNLABELED, frame_times_ms
@@ -79,8 +79,10 @@ def reference_images(log: DataFrame, images: DataFrame, meta: DataFrame, options
 
 
 def session_rollup(stats: DataFrame) -> DataFrame:
-    """Per session: n_frames, valid_frac, rail_frac and coverage as means over frames, std_mm as their median."""
+    """Per session: n_frames, valid_frac, rail_frac and coverage as means over frames, std_mm as their median, and n_unreadable where stats has it."""
+    unreadable = [F.count_if("unreadable").alias("n_unreadable")] if "unreadable" in stats.columns else []
     return stats.groupBy("session").agg(
+        *unreadable,
         F.count("*").alias("n_frames"),
         F.avg("valid_frac").alias("valid_frac"),
         F.avg("rail_frac").alias("rail_frac"),
@@ -231,7 +233,8 @@ def dataset_spec(built: dict[str, DataFrame], params: Params, options: Options)
 def build(log: DataFrame, images: DataFrame, meta: DataFrame, params: Params | None = None, options: Options | None = None, before: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """The whole build. Returns sessions, refused, states, stats, rel, splits, labels, frames, clips, counts, warnings and spec.
 
-    rel holds the relative frames, stats a row of numbers per frame. before holds
+    Further columns of meta go to sessions. rel holds the relative frames, stats a
+    row of numbers per frame. before holds
     the tables of an earlier build: sessions that haven't changed keep their
     pixels, fit and statistics (a relabelled one keeps its reference and its label
     means), and their splits unless reshuffle_splits. Sessions without enough
@@ -253,7 +256,7 @@ def build(log: DataFrame, images: DataFrame, meta: DataFrame, params: Params | N
     rel = made.select("session", "pos", "rel")
     if before:
         keep = keys.where("action <> 'build'").select("session")
-        columns = ["session", "pos", *preprocess.STATS, "misfit"]
+        columns = ["session", "pos", *preprocess.STATS, "misfit", "unreadable"]
         stats = stats.select(*columns).unionByName(before["stats"].select(*columns).join(keep, "session", "left_semi"))
         rel = rel.unionByName(before["rel"].join(keep, "session", "left_semi"))
         states = states.unionByName(before["states"].join(keep, "session", "left_semi"))
@@ -276,7 +279,8 @@ def build(log: DataFrame, images: DataFrame, meta: DataFrame, params: Params | N
     previous = before["sessions"].select("session", "split") if before and not options.reshuffle_splits else None
     session_splits = stored(splits.assign_splits(good.select("session"), options.val_frac, options.test_frac, previous), "splits")
     sessions = good.join(session_splits, "session").join(keys, "session").join(sources, "session", "left")
-    sessions = stored(sessions.join(states.select("session", "roi", "reference_mm", "n_reference_frames", "fit_notes"), "session"), "sessions")
+    sessions = sessions.join(states.select("session", "roi", "reference_mm", "n_reference_frames", "fit_notes"), "session")
+    sessions = stored(sessions.join(small(meta, 256), "session"), "sessions")
     kept = stats.join(small(session_splits.select("session"), 32), "session", "left_semi")
     labels = stored(frames.label_ids(kept), "labels")
     windows = stored(clip_index(kept, meta, options), "windows")
@@ -309,6 +313,31 @@ def write(built: dict[str, DataFrame], path: str) -> None:
     built["clips"].write.parquet(f"{path}/clips")
 
 
+def read(spark: SparkSession, path: str, strict: bool = True) -> dict[str, DataFrame]:
+    """The tables that write() left under path; with strict, a dataset of another version is refused."""
+    spec = spark.read.text(f"{path}/dataset_spec")
+    version = spec.select(F.get_json_object("value", "$.preproc_version")).first()[0]
+    if strict and version != preprocess.VERSION:
+        raise ValueError(f"the dataset was built with preprocessing {version}, this is {preprocess.VERSION}: build it again")
+    names = ("sessions", "refused", "states", "stats", "rel", "splits", "labels", "clips", "counts", "warnings")
+    out = {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    frames_of = "session string, frame_index int, label string, label_id int, trial_id int, split string, valid_frac double, device_timestamp_ms string, host_time_unix string"
+    return out | {"frames": spark.read.csv(f"{path}/manifest_frames", schema=frames_of, header=True), "spec": spec.withColumnRenamed("value", "spec")}
+
+
+def quality_tiles(built: dict[str, DataFrame], params: Params, n: int = 5) -> DataFrame:
+    """(session, nth, pos, tile): for a look at each session its reference (nth -1) and up to n evenly spaced frames, as bytes.
+
+    0 to 255 span -clip_mm to clip_mm; missing pixels are null.
+    """
+    scaled = lambda image: F.transform(image, lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v / params.clip_mm + 1) / 2)) * 255).cast("int"))
+    known = lambda image: F.transform(F.arrays_zip(image.alias("v"), scaled(image).alias("s")), lambda x: F.when(x["v"].isNotNull(), x["s"]))
+    picked = frames.even_sample(built["sessions"].select("session", "n_frames"), n).join(built["rel"], ["session", "pos"])
+    reference = built["states"].where("problem IS NULL").join(built["sessions"].select("session"), "session", "left_semi")
+    reference = reference.select("session", F.lit(-1).alias("nth"), F.lit(None).cast("int").alias("pos"), F.col("reference_image").alias("rel"))
+    return picked.select("session", "nth", "pos", "rel").unionByName(reference).select("session", "nth", "pos", known(F.col("rel")).alias("tile"))
+
+
 def dataset_clips(built: dict[str, DataFrame], params: Params, split: str | None = "train", mode: str = "absolute", labels: list[str] | None = None, augment: int | None = None) -> DataFrame:
     """Training samples: clip_id, session, label, y, steps (a struct(depth, mask) per frame, in order).
 

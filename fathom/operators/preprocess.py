@@ -248,13 +248,13 @@ STATS = ("valid_frac", "rail_frac", "std_mm", "median_mm", "face_coverage")
 
 
 def transform(frames: DataFrame, states: DataFrame, params: Params, depth_scale: float | str = 0.0001) -> DataFrame:
-    """frames of the fitted sessions with rel (relative mm, null where missing), the statistics of STATS and misfit.
+    """frames of the fitted sessions with rel (relative mm, null where missing), the statistics of STATS, misfit and unreadable.
 
     face_coverage is the share of the neutral surface's pixels that the frame has.
-    An unreadable frame has a rel of nulls and 0, 0, 0, null, 0; one whose shape
+    An unreadable frame (a null depth) has a rel of nulls and 0, 0, 0, null, 0; one whose shape
     isn't its session's has misfit set and no rel. depth goes; other columns stay.
     """
-    taken = {"depth", "rel", "misfit", *STATS}
+    taken = {"depth", "rel", "misfit", "unreadable", *STATS}
     rest = [c for c in frames.columns if c.lower() not in taken]
     scale = F.col(depth_scale) if isinstance(depth_scale, str) else F.lit(float(depth_scale))
     # Of the neutral surface only the footprint is needed: a byte per output pixel.
@@ -263,7 +263,7 @@ def transform(frames: DataFrame, states: DataFrame, params: Params, depth_scale:
     d = frames.select(*rest, "depth", scale.alias("_scale")).join(small(own, 64 + params.out_size**2), "session")
     d = d.select(*rest, "depth", "_scale", "_state")
     at = {c: k for k, c in enumerate(d.columns)}
-    schema = d.select(*rest).selectExpr("*", "cast(null as array<double>) rel", *[f"cast(null as double) {c}" for c in STATS], "false misfit").schema
+    schema = d.select(*rest).selectExpr("*", "cast(null as array<double>) rel", *[f"cast(null as double) {c}" for c in STATS], "false misfit", "false unreadable").schema
     blank = np.full(params.out_size**2, np.nan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,19 +273,19 @@ def transform(frames: DataFrame, states: DataFrame, params: Params, depth_scale:
                 made: list[tuple] = []
                 for h, w, depth, scale, state in zip(*(part.column(at[c]) for c in ("h", "w", "depth", "_scale", "_state")), strict=True):
                     if not depth.is_valid:
-                        made.append((blank, 0.0, 0.0, 0.0, None, 0.0, False))
+                        made.append((blank, 0.0, 0.0, 0.0, None, 0.0, False, True))
                         continue
                     s = state.as_py()
                     if (h.as_py(), w.as_py()) != (s["h"], s["w"]):
-                        made.append((None, None, None, None, None, None, True))
+                        made.append((None, None, None, None, None, None, True, False))
                         continue
                     image = depth.values.to_numpy(zero_copy_only=False).reshape(s["h"], s["w"])
                     rel = relative_frame(image, (s["roi"]["x"], s["roi"]["y"], s["roi"]["side"]), s["reference_mm"], params, scale.as_py())
                     face = np.array(s["foot"], bool)
                     cover = float(np.isfinite(rel.ravel()[face]).mean()) if face.any() else 0.0
-                    made.append((rel.ravel(), *image_stats(rel, params.clip_mm), cover, False))
-                columns = list(zip(*made, strict=True)) if made else [()] * 7
-                kinds = ["array<double>", *["double"] * 5, "boolean"]
+                    made.append((rel.ravel(), *image_stats(rel, params.clip_mm), cover, False, False))
+                columns = list(zip(*made, strict=True)) if made else [()] * 8
+                kinds = ["array<double>", *["double"] * 5, "boolean", "boolean"]
                 arrays = [part.column(at[c]) for c in rest]
                 arrays += [column_of(v, k) for v, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)

@@ -78,6 +78,7 @@ def test_vocabulary_files(spark, tmp_path):
 def test_the_build(spark, root, built):
     assert {r.session: r.reason for r in built["refused"].collect()}.keys() == {"2024_flat", "2024_none"}
     sessions = {r.session: r for r in built["sessions"].collect()}
+    assert all(s.n_unreadable == 1 and s.fps == 30 for s in sessions.values())
     assert set(sessions) == {"2024_a", "2024_b", "2024_c"} and {s.split for s in sessions.values()} == {"train", "test"}
     frames_of = built["frames"].where("session = '2024_a'").orderBy("frame_index").collect()
     assert [r.label for r in frames_of] == LABELS and [r.label_id for r in frames_of] == [2] * 8 + [3] * 6 + [1] * 6
@@ -117,6 +118,20 @@ def test_a_written_dataset_is_read_back(spark, built, tmp_path):
     assert spark.read.csv(f"{path}/manifest_clips", header=True).count() == 21
     assert {r.session: r["split"] for r in recordings.previous_splits(spark, f"{path}/dataset_spec").collect()} == {r.session: r["split"] for r in built["splits"].collect()}
     assert recordings.previous_splits(spark, f"{path}/nothing").count() == 0
+    back = build.read(spark, path)
+    assert back["clips"].count() == 21 and back["frames"].count() == 60 and set(back) == set(built)
+    assert build.dataset_clips(back, PARAMS, "train").count() == build.dataset_clips(built, PARAMS, "train").count()
+    spec = built["spec"].first()[0]
+    spark.createDataFrame([(spec.replace('"v2"', '"v1"'),)], "spec string").write.mode("overwrite").text(f"{path}/dataset_spec")
+    with pytest.raises(ValueError, match="v1"):
+        build.read(spark, path)
+    assert build.read(spark, path, strict=False)["clips"].count() == 21
+
+
+def test_quality_tiles(spark, built):
+    rows = build.quality_tiles(built, PARAMS).where("session = '2024_a'").orderBy("nth").collect()
+    assert [(r.nth, r.pos) for r in rows] == [(-1, None), (0, 0), (1, 4), (2, 9), (3, 14), (4, 19)]
+    assert all(len(r.tile) == 256 and all(v is None or 0 <= v <= 255 for v in r.tile) for r in rows) and any(v is not None for v in rows[0].tile)
 
 
 def test_training_samples(spark, built):
