@@ -97,8 +97,8 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), of_kept=lambda kept: F.sha2(kept, 256))
+    return found.withColumnRenamed("kept", "kept_sha256")
 
 
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

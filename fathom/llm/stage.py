@@ -67,8 +67,11 @@ def sized(frame: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def text_key(text: object) -> object:
-    """128 bits that stand for a text, as bytes; a null text is an empty one."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    """128 bits that stand for a text, as bytes; a null text is an empty one.
+
+    The last coalesce only tells Spark that a key is never null: no filter for that parts plans that are alike.
+    """
+    return F.coalesce(F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))), F.lit(b""))
 
 
 def fresh(frame: DataFrame, *wanted: str) -> list[str]:

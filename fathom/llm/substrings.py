@@ -12,11 +12,11 @@ are equal if and only if both sorted orders put their parts in the same class.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.stage import by_bytes, fresh, sized, stored, text_key
@@ -265,25 +265,36 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_anchors(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(hash): the anchors that stand in more than one place of rows (_text, a row per document, copies too), as a stored table.
+
+    It reads the documents as they are; anchors are counted in each part of a batch before the shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 0):
+            found = [anchors(text or b"", length, gram)[0] for text in batch.column(0).to_pylist()]
+            h, count = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(count, 2).astype(np.int8))], names=["hash", "n"])
+
+    found = rows.mapInArrow(run, "hash long, n byte").groupBy("hash").agg(F.sum("n").alias("n"))
+    return stored(found.where("n > 1").select("hash"), "anchors")
+
+
+def find_repeats(texts: DataFrame, twice: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(_tid, _starts, _ends): the runs of each text of texts (_tid, _text, _copies) that repeat somewhere.
 
     texts has a row per different text, identified by the 128 bits of _tid; _copies
-    counts its rows. Equal stretches around an anchor become one row with all their
+    counts its rows; twice are its repeated_anchors(). Equal stretches around an anchor become one row with all their
     places before they are shuffled.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1):
-            copies = batch.column(2).to_numpy()
-            found, of, n = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                h, count = np.unique(anchors(text, length, gram)[0], return_counts=True)
-                found.append(h.view(np.int64))
-                of.append(np.full(len(h), i))
-                n.append(np.minimum(count * copies[i], 2))
-            arrays = [pa.array(np.concatenate(found)), batch.column(0).take(pa.array(np.concatenate(of))), pa.array(np.concatenate(n))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["hash", "_tid", "n"])
+            found = [np.unique(anchors(text, length, gram)[0]) for text in batch.column(1).to_pylist()]
+            of = np.repeat(np.arange(len(found)), [len(h) for h in found])
+            arrays = [pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(pa.array(of))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["hash", "_tid"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
@@ -361,10 +372,10 @@ def find_repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         if any(len(h) for h in held):
             yield solved([h for h in held if len(h)])
 
-    found = texts.mapInArrow(sketch, "hash long, _tid binary, n long")
+    # With all columns, as in the joins below, the grouped texts are shuffled once for all.
+    found = texts.mapInArrow(sketch, "hash long, _tid binary")
     # Where the repeated anchors are few, they go to the texts; else both are shuffled.
-    twice = sized(stored(found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"), "anchors"), 8)
-    wanted = found.join(twice, "hash").groupBy("_tid").agg(F.collect_list("hash").alias("_wanted"))
+    wanted = found.join(sized(twice, 8), "hash").groupBy("_tid").agg(F.collect_list("hash").alias("_wanted"))
     stretches = texts.join(wanted, "_tid").select("_tid", "_text", "_copies", "_wanted")
     stretches = stretches.mapInArrow(cut, "hash long, first int, last int, spots binary, weight long, stretch binary")
     met = stretches.repartition(F.col("hash")).sortWithinPartitions("hash", "first", "stretch")
@@ -385,7 +396,8 @@ def different_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def removed(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(_tid, n_bytes, spans, kept) per different text: the maximal removed runs [start, end) and the bytes left."""
     texts = different_texts(docs, text_col)
-    d = texts.join(find_repeats(texts, length, gram), "_tid", "left").select("_tid", "_text", "_copies", "_starts", "_ends")
+    twice = repeated_anchors(docs.select(F.col(text_col).cast("binary")), length, gram)
+    d = texts.join(find_repeats(texts, twice, length, gram), "_tid", "left").select("_tid", "_text", "_copies", "_starts", "_ends")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -407,8 +419,8 @@ def removed(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     return d.mapInArrow(cut, "_tid binary, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """A row per row of docs: id, n_bytes, n_removed, n_spans and kept (bytes).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, of_kept: Callable[[Column], Column] | None = None) -> DataFrame:
+    """A row per row of docs: id, n_bytes, n_removed, n_spans and kept: the bytes left, or what of_kept makes of them before they are shuffled.
 
     Every byte that a string of length bytes covers which also starts anywhere
     else, in the same text or another, is removed; all places count by the input.
@@ -419,7 +431,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (key,) = fresh(docs, "_tid")
     ids = docs.select(F.col(id_col), text_key(F.col(text_col)).alias(key))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    found = removed(docs, text_col, length).select(F.col("_tid").alias(key), "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept")
+    found = removed(docs, text_col, length).select(F.col("_tid").alias(key), "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), (of_kept(F.col("kept")) if of_kept else F.col("kept")).alias("kept"))
     return ids.join(found, key).drop(key)
 
 
@@ -446,7 +458,8 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | N
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_tid", "_cut"])
 
     texts = different_texts(docs, text_col)
-    changed = texts.join(find_repeats(texts, length), "_tid").select("_tid", "_text", "_copies", "_starts", "_ends").mapInArrow(whole, "_tid binary, _cut string")
+    twice = repeated_anchors(docs.select(F.col(text_col).cast("binary")), length)
+    changed = texts.join(find_repeats(texts, twice, length), "_tid").select("_tid", "_text", "_copies", "_starts", "_ends").mapInArrow(whole, "_tid binary, _cut string")
     d = docs.select(F.struct("*").alias("_doc"), text_key(F.col(text_col)).alias("_tid")).join(changed, "_tid", "left")
     text = F.coalesce(F.col("_cut"), F.col("_doc").getField(text_col))
     replaced = {text_col: text} | ({length_col: F.when(F.col("_cut").isNull(), F.col("_doc").getField(length_col)).otherwise(F.length("_cut"))} if length_col in docs.columns else {})
