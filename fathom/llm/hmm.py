@@ -29,6 +29,8 @@ LOOKUP = 1 << 18
 ITERATIONS = 4
 #: Longer training sequences are worked on in blocks of so many tokens, with what crosses their borders carried over.
 SEGMENT = 512
+#: Steps after which products are scaled; no product of so many emissions is too small a number.
+RESCALE = 12
 PRIOR = 50.0
 ADD = 0.1
 
@@ -242,17 +244,18 @@ def _borders(blocks: list[np.ndarray], of: np.ndarray, model: Model) -> tuple[np
     step = np.broadcast_to(np.eye(states), (len(long), states, states)).copy()
     for t in range(len(at) - 1):
         n = at[t + 1] - at[t]
-        moved = step[:n] @ model.move
+        moved = (step[:n].reshape(-1, states) @ model.move).reshape(n, states, states)
         if not t:  # nothing moves into a first token: all rows are the start
             moved[first] = model.start
-        step[:n] = moved * model.emit[flat[at[t] : at[t + 1]]][:, None, :]
-        step[:n] /= step[:n].sum(axis=(1, 2))[:, None, None]
+        np.multiply(moved, model.emit[flat[at[t] : at[t + 1]]][:, None, :], out=step[:n])
+        if t % RESCALE == RESCALE - 1:
+            step[:n] /= step[:n].sum(axis=(1, 2))[:, None, None]
     through = np.empty_like(step)
     through[order] = step
     for j in range(1, len(long)):
         if of[long[j]] == of[long[j - 1]]:
             was = before[long[j - 1]]
-            a = (through[j - 1][0] if np.isnan(was[0]) else was @ through[j - 1])
+            a = through[j - 1][0] if np.isnan(was[0]) else was @ through[j - 1]
             before[long[j]] = a / a.sum()
     for j in range(len(long) - 2, -1, -1):
         if of[long[j]] == of[long[j + 1]]:
@@ -325,7 +328,7 @@ def baum_welch(codes: DataFrame, unigram: np.ndarray, states: int = STATES, iter
                 for data in batch.column(0).to_pylist():
                     held.append(np.frombuffer(data, "<u4"))
                     n += len(held[-1])
-                    if n >= 1 << 18:
+                    if n >= 1 << 19:
                         add()
                         held, n = [], 0
             if held:
@@ -364,7 +367,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", itera
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 7, 1 << 20):
+        for batch in by_bytes(batches, 7, 8 << 20):
             own = [np.frombuffer(s, "<u4") for s in batch.column(7).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(log_likelihood(own, shared.value))], names=schema.names)
 
