@@ -75,7 +75,8 @@ def reference_images(log: DataFrame, images: DataFrame, meta: DataFrame, options
     first = F.coalesce("start", F.lit(0))
     d = d.where((F.col("pos") >= first) & (F.col("pos") < first + F.least(F.coalesce("length", "_want"), "_want")))
     source = F.when(F.col("start").isNull(), "session_start").otherwise(f"label:{options.ref_label}")
-    return images.join(d.select("session", "filename", "depth_scale", source.alias("source")), ["session", "filename"]).select("session", "h", "w", "depth", "depth_scale", "source")
+    chosen = small(d.select("session", "filename", "depth_scale", source.alias("source")), 96)  # some tens a session
+    return images.join(chosen, ["session", "filename"]).select("session", "h", "w", "depth", "depth_scale", "source")
 
 
 def session_rollup(stats: DataFrame) -> DataFrame:
@@ -249,11 +250,18 @@ def build(log: DataFrame, images: DataFrame, meta: DataFrame, params: Params | N
     chosen = reference_images(own_log, images, meta, options)
     states = stored(preprocess.fit(chosen.drop("source"), params, "depth_scale", options.min_ref_frames), "states")
     sources = stored(chosen.groupBy("session").agg(F.first("source").alias("reference_source")), "sources")
-    # Every logged frame: one whose image is missing is an unreadable one.
-    d = own_log.select("session", "pos", "filename").join(images, ["session", "filename"], "left").join(small(meta.select("session", "depth_scale"), 64), "session")
-    made = stored(preprocess.transform(d.drop("filename"), states, params, "depth_scale"), "relative")
-    stats = made.drop("rel", "h", "w", "depth_scale")
-    rel = made.select("session", "pos", "rel")
+    # Images are transformed where they lie; what they become is a tenth of them, and statistics are a few numbers.
+    d = images.join(small(meta.select("session", "depth_scale").join(work, "session"), 64), "session")
+    made = stored(preprocess.transform(d, states, params, "depth_scale"), "relative")
+    # Every logged frame of a fitted session: one whose image is missing is an unreadable one.
+    places = own_log.select("session", "pos", "filename").join(small(states.where("problem IS NULL").select("session"), 32), "session")
+    stats = places.join(made.drop("rel", "h", "w", "depth_scale"), ["session", "filename"], "left").drop("filename")
+    lost = F.col("unreadable").isNull()
+    for c in ("valid_frac", "rail_frac", "std_mm", "face_coverage"):
+        stats = stats.withColumn(c, F.when(lost, 0.0).otherwise(F.col(c)))
+    stats = stats.withColumns({"misfit": F.coalesce("misfit", F.lit(False)), "unreadable": F.coalesce("unreadable", F.lit(True))})
+    blank = F.array_repeat(F.lit(None).cast("double"), params.out_size**2)
+    rel = places.join(made.select("session", "filename", "rel"), ["session", "filename"], "left").select("session", "pos", F.coalesce("rel", blank).alias("rel"))
     if before:
         keep = keys.where("action <> 'build'").select("session")
         columns = ["session", "pos", *preprocess.STATS, "misfit", "unreadable"]

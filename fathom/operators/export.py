@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fathom.operators import depth, frames, preprocess
 from fathom.operators.preprocess import Params
+from fathom.operators.tables import small
 
 #: Frames that a distance or a face is looked for in.
 PROBES, FACE_FRAMES = 8, 40
@@ -69,7 +70,7 @@ def face_region(images: DataFrame, log: DataFrame, params: Params, depth_scale:
     first = d.join(d.groupBy("session").agg(F.min("pos").alias("_first")), "session").where(F.col("pos") < F.col("_first") + 100 * FACE_FRAMES)
     ranked = F.row_number().over(frames.by_session())
     first = first.withColumn("_k", ranked).where(F.col("_k") <= FACE_FRAMES).select("session", "filename")
-    states = preprocess.fit(images.join(first, ["session", "filename"], "left_semi"), params, depth_scale, least=3)
+    states = preprocess.fit(images.join(small(first, 96), ["session", "filename"], "left_semi"), params, depth_scale, least=3)
     return log.select("session").distinct().join(states.select("session", "roi", "reference_mm"), "session", "left")
 
 
@@ -92,14 +93,14 @@ def surface(images: DataFrame, width: int, low: float, high: float, roi: tuple[i
 def iter_points(log: DataFrame, images: DataFrame, width: int, lens: Lens, depth_scale: float, label: str | None = None, every: int = 1, distance: float | None = None, half_mm: float = 80.0, roi: tuple[int, int, int] | None = None, units: str = "mm", largest_only: bool = True) -> DataFrame:
     """(session, frame_index, label, points): for every frame at hand its points row by row, null where there is no depth.
 
-    Frames are chosen before any image is read; unreadable ones give no row.
+    Frames are chosen first and sent to the images, which stay where they are; unreadable ones give no row.
     """
     chosen = log if label is None else log.where(F.col("label") == label)
     metric = images.where("depth IS NOT NULL").withColumn("depth", depth.metric(F.col("depth"), depth_scale))
     if distance is None:
         distance = expected_distance(metric, chosen)
     chosen = frames.every_nth(chosen, every).select("session", "pos", "filename", "frame_index", "label")
-    d = metric.join(chosen, ["session", "filename"])
+    d = metric.join(small(chosen, 128), ["session", "filename"])
     d = surface(d, width, distance - half_mm / 1000, distance + half_mm / 1000, roi, not largest_only)
     scale = 1000.0 if units == "mm" else 1.0
     return d.select("session", "frame_index", "label", depth.deproject(F.col("depth"), width, lens.fx, lens.fy, lens.cx, lens.cy, scale).alias("points"))
@@ -108,7 +109,7 @@ def iter_points(log: DataFrame, images: DataFrame, width: int, lens: Lens, depth
 def averaged(log: DataFrame, images: DataFrame, width: int, depth_scale: float, tolerance_mm: float, n: int = 30) -> tuple[DataFrame, DataFrame]:
     """(session, depth) and (session, share): the median image of each session's first n frames of log, and how much of it was dropped as moving."""
     window = log.withColumn("_k", F.row_number().over(frames.by_session())).where(F.col("_k") <= max(2, n)).select("session", "filename")
-    metric = images.join(window, ["session", "filename"], "left_semi").where("depth IS NOT NULL").select("session", depth.metric(F.col("depth"), depth_scale).alias("depth"))
+    metric = images.join(small(window, 96), ["session", "filename"], "left_semi").where("depth IS NOT NULL").select("session", depth.metric(F.col("depth"), depth_scale).alias("depth"))
     px = depth.average_depth(depth.pixels(metric, "depth", width), "session", tolerance_mm / 1000)
     image = F.transform(F.array_sort(F.collect_list(F.struct("px", "d"))), lambda x: x["d"])
     return px.groupBy("session").agg(image.alias("depth")), depth.dropped_share(px, "session")
@@ -249,7 +250,7 @@ def export(log: DataFrame, images: DataFrame, width: int, lens: Lens, depth_scal
     single = not sequence and log.limit(2).count() < 2
     if sequence or single:
         chosen = frames.every_nth(log, every) if sequence else log
-        d = images.where("depth IS NOT NULL").join(chosen.select("session", "filename", "frame_index"), ["session", "filename"])
+        d = images.where("depth IS NOT NULL").join(small(chosen.select("session", "filename", "frame_index"), 96), ["session", "filename"])
         d = d.select("session", frame_tag(F.col("frame_index")).alias("tag"), depth.metric(F.col("depth"), depth_scale).alias("depth"))
     else:
         tolerance = images.sparkSession.range(1).select(depth.spread_tolerance_mm(F.lit(middle * 1000), max_spread_mm)).first()[0]

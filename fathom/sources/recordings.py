@@ -159,10 +159,15 @@ def decode_png16(data: bytes) -> np.ndarray | None:
     return out[1:].view(">u2").astype(np.int32)
 
 
-def depth_frames(spark: SparkSession, root: str) -> DataFrame:
-    """(session, filename, h, w, depth) of every depth image; h, w and depth are null where it can't be read."""
+def depth_frames(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(session, filename, h, w, depth) of every depth image; h, w and depth are null where it can't be read.
+
+    With wanted (session, filename), only those are decoded.
+    """
     d = spark.read.format("binaryFile").load(f"{root}/*/depth/*.png")
     d = d.select(_session("path").alias("session"), F.concat(F.lit("depth/"), F.element_at(F.split("path", "/"), -1)).alias("filename"), "content")
+    if wanted is not None:
+        d = d.join(small(wanted.select("session", "filename"), 96), ["session", "filename"], "left_semi").select("session", "filename", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

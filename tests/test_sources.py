@@ -38,6 +38,8 @@ def test_recordings(spark, tmp_path):
     assert [(r.session, r.pos, r.frame_index, r.label, r.trial_id) for r in log] == [("s1", 0, 5, "unlabeled", 0), ("s1", 1, 3, "up", 4)]
     got = {r.filename: r for r in recordings.depth_frames(spark, str(tmp_path)).collect()}
     assert got["depth/depth_000003.png"].depth is None
+    one = recordings.depth_frames(spark, str(tmp_path), spark.createDataFrame([("s1", "depth/depth_000005.png"), ("s2", "x")], "session string, filename string"))
+    assert [r.filename for r in one.collect()] == ["depth/depth_000005.png"]
     good = got["depth/depth_000005.png"]
     assert (good.h, good.w) == image.shape and good.depth == image.ravel().tolist()
 
