@@ -34,8 +34,8 @@ LARGE_SHARE = 1 / 3
 GROUPS = 64
 #: Unit of the first search for configurations.
 COARSE = 16
-#: Entries of the tokenizer's cache of words in a task.
-CACHED_WORDS = 250_000
+#: Entries of the tokenizer's cache of words, in each Python worker: about 100 MB.
+CACHED_WORDS = 400_000
 
 END_ID = 0
 
@@ -125,7 +125,7 @@ class WordTokenizer:
 
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One for all tasks of a Python worker, in its one thread; its cache of words lasts for a task."""
+    """One for all tasks of a Python worker, in its one thread."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordTokenizer(path)
 
@@ -156,7 +156,6 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             columns = [part.column(0).take(pa.array(of, pa.int64())), pa.array(at // capacity, pa.int32()), pa.array(at)]
             columns += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        tokenize.known.clear()
 
     return frame.mapInArrow(run, schema)
 
