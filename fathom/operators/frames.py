@@ -6,30 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import UNLABELED
+from fathom.operators import scans
+from fathom.operators.scans import runs
 from fathom.operators.tables import numbered, small
 
-
-def positions(events: DataFrame, session: str = "user_id", order: tuple[str, ...] = ("ts", "event_id"), trial_length: int = 40) -> DataFrame:
-    """A frame per event: session, pos (from 0), label, t_ms, value, trial. A missing label is "unlabeled"."""
-    nth = F.row_number().over(Window.partitionBy(session).orderBy(*order)) - 1
-    label = F.coalesce(F.nullif("event_type", F.lit("")), F.lit(UNLABELED))
-    t_ms = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000.0)
-    d = events.select(F.col(session).alias("session"), nth.alias("pos"), label.alias("label"), t_ms.alias("t_ms"), "value")
-    return d.withColumn("trial", F.floor(F.col("pos") / trial_length).cast("int"))
+#: Rows of a session up to which one task puts them in order; beyond, all are ordered in ranges.
+SESSION_ROWS = 1 << 18
 
 
-def by_session() -> Window:
-    """Frames of a session in their order."""
-    return Window.partitionBy("session").orderBy("pos")
+def positions(events: DataFrame, session: str = "user_id", order: tuple[str, ...] = ("ts", "event_id"), trial_length: int = 40, most: int = SESSION_ROWS) -> DataFrame:
+    """A frame per event: session, pos (from 0), label, t_ms, value, trial. A missing label is "unlabeled".
 
-
-def runs(frames: DataFrame) -> DataFrame:
-    """Contiguous runs of a label: session, label, start, length."""
-    whole = Window.partitionBy("session").orderBy("pos")
-    own = Window.partitionBy("session", "label").orderBy("pos")
-    island = F.row_number().over(whole) - F.row_number().over(own)
-    d = frames.withColumn("island", island).groupBy("session", "label", "island")
-    return d.agg(F.min("pos").alias("start"), F.count("*").alias("length")).drop("island")
+    Sessions, counted first, are put in order by one task each if none has more
+    than `most` rows, else in ranges of the order; the rows are the same.
+    """
+    label = F.coalesce(F.nullif("event_type", F.lit("")), F.lit(UNLABELED))
+    t_ms = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000.0)
+    columns = [F.col(session).alias("session"), "pos", label.alias("label"), t_ms.alias("t_ms"), "value"]
+    if (events.groupBy(session).count().agg(F.max("count")).first()[0] or 0) > most:
+        d = numbered(events, "pos", session, *order, by=session).withColumn("pos", F.col("pos").cast("int"))
+    else:
+        d = events.withColumn("pos", F.row_number().over(Window.partitionBy(session).orderBy(*order)) - 1)
+    return d.select(*columns).withColumn("trial", F.floor(F.col("pos") / trial_length).cast("int"))
 
 
 def longest_run(frames: DataFrame) -> DataFrame:
@@ -102,17 +100,24 @@ def label_ids(labels: DataFrame) -> DataFrame:
     return labels.sparkSession.createDataFrame([(UNLABELED, 0)], "label string, label_id int").unionByName(d)
 
 
+def blend(before: object, new: object, alpha: float) -> object:
+    """A smoothed value: alpha of the one before it, the rest of the new one; columns, numbers or arrays. alpha of 0 or less doesn't smooth."""
+    alpha = max(alpha, 0.0)
+    return alpha * before + (1 - alpha) * new
+
+
 def ema(values: Column, alpha: float = 0.6) -> Column:
-    """The exponential moving average after the last of an array of values."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda s, p: F.when(s.isNull(), p).otherwise(alpha * p + (1 - alpha) * s))
+    """The smoothed value after the last of an array of values; see blend()."""
+    return F.aggregate(values, F.lit(None).cast("double"), lambda s, p: F.when(s.isNull(), p).otherwise(blend(s, p, alpha)))
 
 
 def ema_last(frames: DataFrame, value: str, alpha: float = 0.6) -> DataFrame:
-    """(session, ema): the exponential moving average of value after a session's last frame, as a weighted sum over its frames."""
+    """(session, ema): the smoothed value after a session's last frame, as a weighted sum over its frames; see blend()."""
+    alpha = max(alpha, 0.0)
     last = small(frames.groupBy("session").agg(F.max("pos").alias("_last")), 24)
     d = frames.select("session", "pos", value).join(last, "session")
-    fade = F.pow(F.lit(1 - alpha), F.col("_last") - F.col("pos"))
-    return d.groupBy("session").agg(F.sum(F.when(F.col("pos") == 0, fade).otherwise(alpha * fade) * F.col(value)).alias("ema"))
+    fade = F.pow(F.lit(alpha), F.col("_last") - F.col("pos"))
+    return d.groupBy("session").agg(F.sum(F.when(F.col("pos") == 0, fade).otherwise((1 - alpha) * fade) * F.col(value)).alias("ema"))
 
 
 def label_digest(frames: DataFrame) -> DataFrame:
@@ -138,8 +143,8 @@ def prediction_ticks(frames: DataFrame, length: int = 16, every: int = 4) -> Dat
 
     frames have an epoch that a pause begins; the counter runs on through pauses.
     """
-    filled = F.row_number().over(Window.partitionBy("session", "epoch").orderBy("pos"))
-    return frames.withColumn("filled", filled).where((F.col("filled") >= length) & (F.col("pos") % every == 0)).drop("filled")
+    d = scans.ranked(frames, "_filled", "session", "epoch")
+    return d.where((F.col("_filled") + 1 >= length) & (F.col("pos") % every == 0)).drop("_filled")
 
 
 def numbered_clips(clips: DataFrame) -> DataFrame:
@@ -173,8 +178,9 @@ def even_sample(lengths: DataFrame, n: int = 5) -> DataFrame:
 
 def every_nth(frames: DataFrame, n: int) -> DataFrame:
     """Every n-th of the rows at hand of each session, by pos, from the first."""
-    nth = F.row_number().over(Window.partitionBy("session").orderBy("pos")) - 1
-    return frames.withColumn("_nth", nth).where(F.col("_nth") % max(1, n) == 0).drop("_nth")
+    if n <= 1:
+        return frames
+    return scans.ranked(frames, "_nth").where(F.col("_nth") % n == 0).drop("_nth")
 
 
 def select_rows(frames: DataFrame, label: str | None = None, trial: int | None = None, frame: int | None = None, span: tuple[int, int] | None = None) -> DataFrame:
@@ -202,9 +208,9 @@ def select_rows(frames: DataFrame, label: str | None = None, trial: int | None =
 
 def rolling_rate(frames: DataFrame, n: int = 30) -> DataFrame:
     """frames with rate, the frames a second over the last n; 0 without a span of time."""
-    w = Window.partitionBy("session").orderBy("pos").rowsBetween(1 - n, 0)
-    span = F.col("t_ms") - F.first("t_ms").over(w)
-    return frames.withColumn("rate", F.when(span > 0, (F.count("*").over(w) - 1) / (span / 1000)).otherwise(0.0))
+    span = F.col("t_ms") - F.col("_since")
+    d = scans.clock_before(frames, "_since", n)
+    return d.withColumn("rate", F.when(span > 0, (F.col("_rows") - 1) / (span / 1000)).otherwise(0.0)).drop("_since", "_rows")
 
 
 def trial_numbers(frames: DataFrame, toggle: Column, order: tuple[str, ...], by: str | None = None) -> DataFrame:
@@ -226,9 +232,8 @@ def carried_labels(frames: DataFrame, events: DataFrame) -> DataFrame:
     rest = [c for c in frames.columns if c not in ("session", "elapsed_s", "label")]
     both = frames.select("session", "elapsed_s", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_label"), *rest)
     both = both.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy("session").orderBy("elapsed_s", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    d = both.withColumn("label", F.coalesce(F.last("_label", ignorenulls=True).over(w), F.lit(UNLABELED)))
-    return d.where("_kind = 1").drop("_kind", "_label")
+    d = scans.carried(both, "_label", "elapsed_s", "_kind").where("_kind = 1")
+    return d.withColumn("label", F.coalesce("_label", F.lit(UNLABELED))).drop("_kind", "_label")
 
 
 def capture_counts(frames: DataFrame) -> DataFrame:

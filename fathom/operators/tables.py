@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join up to this size is broadcast.
@@ -33,22 +34,26 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 def numbered(frame: DataFrame, name: str, *order: str, running: str | None = None, by: str | None = None) -> DataFrame:
     """frame with name: the place of each row in the order, from 0, counted in ranges of it.
 
-    With running, that number column becomes its running sum instead, of each value
-    of `by` where given, which must lead the order. Rows that agree in the whole
-    order stand in any sequence. Only a count per range and value of `by` is summed
-    up in one place.
+    With by, which must lead the order, places count within each value of it. With
+    running, that number column becomes its running sum, within each value of by
+    too. Rows that agree in the whole order stand in any sequence. Only a count
+    per range and value of `by` is summed up in one place.
     """
-    whole = Window.partitionBy(*([by] if by else []), "_part").orderBy(*order)
-    d = frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    keys = [*([by] if by else []), "_part"]
+    # Ids of sorted ranges count the range in the upper bits and the row in the lower ones.
+    d = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_nth", F.monotonically_increasing_id())
+    d = d.withColumns({"_part": F.shiftright("_nth", 33), "_nth": F.col("_nth").bitwiseAND((1 << 33) - 1)})
     if running:
-        d = d.withColumn(running, F.sum(running).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+        whole = Window.partitionBy(*keys).orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn(running, F.sum(running).over(whole))
     d = stored(d, "numbered")
-    keys = [*([by] if by and running else []), "_part"]
-    counts = d.groupBy(*keys).agg(F.count("*").alias("_n"), *([F.max(running).alias("_sum")] if running else []))
+    counts = d.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_nth").alias("_first"), *([F.max(running).alias("_sum")] if running else []))
     earlier = Window.partitionBy(*keys[:-1]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    start = [F.coalesce(F.sum("_sum" if running else "_n").over(earlier), F.lit(0)).alias("_start")]
-    out = d.join(small(counts.select(*keys, *start), 24), keys)
+    start = F.coalesce(F.sum("_sum" if running else "_n").over(earlier), F.lit(0)).alias("_start")
+    own = counts.select(*[F.col(k).alias(f"_own_{k}") for k in keys], "_first", start)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_own_{k}")) for k in keys])
+    out = d.join(small(own, 32), same)
+    gone = ["_part", "_start", "_first", "_nth", *own.columns]
     if running:
-        return out.withColumn(running, F.col(running) + F.col("_start")).withColumnRenamed("_nth", name).drop("_part", "_start")
-    return out.withColumn(name, (F.col("_nth") + F.col("_start")).cast("long")).drop("_part", "_nth", "_start")
+        return out.withColumns({running: F.col(running) + F.col("_start"), name: F.col("_nth")}).drop(*gone)
+    return out.withColumn(name, (F.col("_nth") - F.col("_first") + F.col("_start")).cast("long")).drop(*gone)

@@ -234,7 +234,7 @@ def trial_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FRAMES}, l AS (SELECT session, list(value ORDER BY pos) AS v FROM f GROUP BY 1)
-  SELECT session, floor(list_reduce(v, lambda s, p: 0.6::DOUBLE * p + (1 - 0.6::DOUBLE) * s) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS ema FROM l""")
+  SELECT session, floor(list_reduce(v, lambda s, p: 0.6::DOUBLE * s + (1 - 0.6::DOUBLE) * p) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS ema FROM l""")
 def ema_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     # With a third added, no value of finite decimals stands at a step of floor.
     return frames.ema_last(event_frames(spark, sf_dir), "value").select("session", F.floor(F.col("ema") * 1e6 + 1 / 3).alias("ema"))
@@ -535,7 +535,7 @@ def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FRAMES}, m AS (SELECT session, pos, avg(value) OVER (PARTITION BY session ORDER BY pos ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS mean FROM f),
   t AS (SELECT session, pos, list(mean) OVER (PARTITION BY session ORDER BY pos) AS means FROM m WHERE pos >= 15 AND pos % 4 = 0)
-  SELECT session, pos::BIGINT AS pos, floor(list_reduce(means, lambda s, x: 0.6::DOUBLE * x + (1 - 0.6::DOUBLE) * s) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS smoothed FROM t""")
+  SELECT session, pos::BIGINT AS pos, floor(list_reduce(means, lambda s, x: 0.6::DOUBLE * s + (1 - 0.6::DOUBLE) * x) * 1e6 + 1 / 3.0::DOUBLE)::BIGINT AS smoothed FROM t""")
 def live_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     # A file stream takes folders and patterns; this pattern matches the table's path alone, file or folder.

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.operators.frames import blend
 from fathom.operators.preprocess import Params, fit_frames, input_scale, relative_frame
 
 OUTPUT = "session long, pos long, smoothed double"
@@ -43,7 +44,7 @@ def live_predictions(stream: DataFrame, length: int = 16, every: int = 4, alpha:
             if len(hit):
                 windows = np.lib.stride_tricks.sliding_window_view(own, length)
                 for k, mean in zip(at[hit], windows[hit + len(buffer) - length + 1].mean(axis=1), strict=True):
-                    smoothed = float(mean) if smoothed is None else alpha * float(mean) + (1 - alpha) * smoothed
+                    smoothed = float(mean) if smoothed is None else blend(smoothed, float(mean), alpha)
                     found.append((int(k), smoothed))
             buffer = own[max(0, len(own) - length + 1) :] if length > 1 else own[:0]
             if end < len(paused):
@@ -114,7 +115,7 @@ class Reader:
         logits = np.asarray(model(self.input()), float)
         p = np.exp(logits - logits.max())
         p /= p.sum()
-        self.smoothed = p if self.smoothed is None or self.alpha <= 0 else self.alpha * self.smoothed + (1 - self.alpha) * p
+        self.smoothed = p if self.smoothed is None else blend(self.smoothed, p, self.alpha)
         return self.smoothed
 
     def input(self) -> np.ndarray:

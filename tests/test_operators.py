@@ -152,8 +152,12 @@ def test_average_depth_drops_what_moves(spark):
 
 
 def test_the_smoothed_value(spark):
-    got = spark.sql("SELECT array(1D, 2D, 3D) AS v").select(frames.ema(F.col("v")).alias("e")).first().e
-    assert abs(got - (0.6 * 3 + 0.4 * (0.6 * 2 + 0.4 * 1))) < 1e-12
+    """By hand: 0.6 of the value before, 0.4 of the new one; 0, 10 give 4, and 1, 2, 3 give 0.6 * 1.4 + 1.2."""
+    for values, want in (([0, 10], 4.0), ([1, 2, 3], 2.04), ([7], 7.0)):
+        d = spark.createDataFrame([("s", k, float(v)) for k, v in enumerate(values)], "session string, pos int, v double")
+        assert abs(frames.ema_last(d, "v").first().ema - want) < 1e-12
+        assert abs(d.agg(frames.ema(F.sort_array(F.collect_list("v"))).alias("e")).first().e - want) < 1e-12
+    assert frames.blend(3.0, 5.0, 0.0) == frames.blend(3.0, 5.0, -1.0) == 5.0
 
 
 def test_many_names_are_split_by_their_ranks(spark):
