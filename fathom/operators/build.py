@@ -9,8 +9,11 @@ statistics, labels and clips are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -252,7 +255,8 @@ def build(log: DataFrame, images: DataFrame, meta: DataFrame, params: Params | N
     sources = stored(chosen.groupBy("session").agg(F.first("source").alias("reference_source")), "sources")
     # Images are transformed where they lie; what they become is a tenth of them, and statistics are a few numbers.
     d = images.join(small(meta.select("session", "depth_scale").join(work, "session"), 64), "session")
-    made = stored(preprocess.transform(d, states, params, "depth_scale"), "relative")
+    made = preprocess.transform(d, states, params, "depth_scale")
+    made = stored(made.withColumn("rel", F.col("rel").cast("array<float>")), "relative")
     # Every logged frame of a fitted session: one whose image is missing is an unreadable one.
     places = own_log.select("session", "pos", "filename").join(small(states.where("problem IS NULL").select("session"), 32), "session")
     stats = places.join(made.drop("rel", "h", "w", "depth_scale"), ["session", "filename"], "left").drop("filename")
@@ -260,8 +264,12 @@ def build(log: DataFrame, images: DataFrame, meta: DataFrame, params: Params | N
     for c in ("valid_frac", "rail_frac", "std_mm", "face_coverage"):
         stats = stats.withColumn(c, F.when(lost, 0.0).otherwise(F.col(c)))
     stats = stats.withColumns({"misfit": F.coalesce("misfit", F.lit(False)), "unreadable": F.coalesce("unreadable", F.lit(True))})
-    blank = F.array_repeat(F.lit(None).cast("double"), params.out_size**2)
-    rel = places.join(made.select("session", "filename", "rel"), ["session", "filename"], "left").select("session", "pos", F.coalesce("rel", blank).alias("rel"))
+    # Places go to the images, which stay where they are as long as the places are few; then they are written once.
+    blank = F.array_repeat(F.lit(None).cast("float"), params.out_size**2).alias("rel")
+    there = made.where("rel IS NOT NULL")
+    rel = there.select("session", "filename", "rel").join(small(places, 64), ["session", "filename"]).select("session", "pos", "rel")
+    rel = rel.unionByName(places.join(there.select("session", "filename"), ["session", "filename"], "left_anti").select("session", "pos", blank))
+    rel = stored(rel, "placed")
     if before:
         keep = keys.where("action <> 'build'").select("session")
         columns = ["session", "pos", *preprocess.STATS, "misfit", "unreadable"]
@@ -346,28 +354,90 @@ def quality_tiles(built: dict[str, DataFrame], params: Params, n: int = 5) -> Da
     return picked.select("session", "nth", "pos", "rel").unionByName(reference).select("session", "nth", "pos", known(F.col("rel")).alias("tile"))
 
 
+#: Places of a stretch of frames that clips are cut from; a multiple of what stands at its end a second time.
+STRETCH, HALOS = 192, 16
+#: Clips that a task hands on at a time.
+CLIPS_AT_ONCE = 8
+
+
 def dataset_clips(built: dict[str, DataFrame], params: Params, split: str | None = "train", mode: str = "absolute", labels: list[str] | None = None, augment: int | None = None) -> DataFrame:
     """Training samples: clip_id, session, label, y, steps (a struct(depth, mask) per frame, in order).
 
     labels gives the label space, numbered from 0, else the label map does; clips
     with other labels are left out. mode as in model_input(). augment is a seed: clips
-    start up to JITTER frames off, and their frames are augmented().
+    start up to JITTER frames off, and their frames are varied (see Variation).
+
+    Frames are cut into stretches of a session. The first frames of a stretch are
+    also at the end of the one before it, as many as the longest clip needs, so
+    each image is moved about once, however many clips hold it. A task runs
+    through its stretches in order and keeps the frames of one clip.
     """
     clips = splits.of_split(built["clips"], split)
     if labels is None:
         space = built["labels"].select("label", F.col("label_id").alias("y"))
     else:
         space = clips.sparkSession.createDataFrame([(x, k) for k, x in enumerate(labels)], "label string, y int")
-    clips = clips.join(F.broadcast(space), "label")
-    lengths = built["sessions"].select("session", "n_frames")
-    own = clips.select("clip_id", "session", "start", "length", "label", "y")
-    rows = frames.clip_frames(own, lengths, 0 if augment is None else JITTER, augment or 0).join(built["rel"], ["session", "pos"])
-    reference = F.col("reference_image") if mode == "deform" else None
+    # A vocabulary: a row per label.
+    clips = clips.join(F.broadcast(space), "label").select("clip_id", "session", "start", F.col("length").cast("int").alias("length"), "label", "y")
+    lengths = built["sessions"].select("session", F.col("n_frames").cast("int").alias("n_frames"))
+    clips = frames.moved_starts(clips, lengths, 0 if augment is None else JITTER, augment or 0)
+    halo = (clips.agg(F.max("length")).first()[0] or 1) - 1
+    size = max(STRETCH, HALOS * halo)
+    stretch = lambda pos: F.floor(F.col(pos) / size).cast("int")
+    ends = F.least(F.col("start") + F.col("length"), F.col("n_frames")) - 1
+    none = F.lit(None).cast("array<float>").alias("rel")
+    wanted = clips.select("session", stretch("start").alias("stretch"), ends.alias("at"), F.lit(2).alias("kind"), none, F.struct(*clips.columns).alias("clip"))
+    parts = wanted.select("session", "stretch").distinct()
+    clip_type = F.lit(None).cast(wanted.schema["clip"].dataType).alias("clip")
+    again = F.when((F.col("pos") % size < halo) & (F.col("pos") >= size), F.array(stretch("pos") - 1, stretch("pos"))).otherwise(F.array(stretch("pos")))
+    held = built["rel"].join(small(clips.select("session").distinct(), 32), "session", "left_semi")
+    held = held.select("session", F.explode(again).alias("stretch"), F.col("pos").alias("at"), F.lit(1).alias("kind"), F.col("rel").cast("array<float>").alias("rel"), clip_type)
     if mode == "deform":
-        rows = rows.join(built["states"].select("session", "reference_image"), "session")
-    if augment is not None:
-        rows = rows if mode == "deform" else rows.withColumn("reference_image", F.lit(None).cast("array<double>"))
-        rows = preprocess.augmented(rows, params.out_size, augment)
-    rows = rows.select("clip_id", "session", "label", "y", "step", preprocess.model_input(F.col("rel"), mode, params, reference).alias("x"))
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("step", "x"))), lambda s: s["x"])
-    return rows.groupBy("clip_id", "session", "label", "y").agg(steps.alias("steps"))
+        references = built["states"].select("session", F.col("reference_image").cast("array<float>").alias("rel")).join(parts, "session")
+        held = held.unionByName(references.select("session", "stretch", F.lit(-1).alias("at"), F.lit(0).alias("kind"), "rel", clip_type))
+    d = held.unionByName(wanted).repartition("session", "stretch").sortWithinPartitions("session", "stretch", "at", "kind")
+    d = d.select("session", "stretch", "kind", F.col("at").cast("int").alias("at"), "rel", "clip.clip_id", "clip.label", "clip.y", "clip.start", "clip.length", "clip.n_frames")
+    vary = None if augment is None else preprocess.Variation(augment)
+    side = params.out_size
+    outputs = "clip_id long, session string, label string, y int, steps array<struct<depth:array<float>,mask:array<float>>>"
+
+    def sample(images: dict[int, np.ndarray], reference: np.ndarray | None, clip: int, start: int, length: int, n_frames: int) -> np.ndarray:
+        made = [(images[min(start + k, n_frames - 1)], reference) for k in range(length)]
+        if vary:
+            made = [vary.of(clip, k, *pair) for k, pair in enumerate(made)]
+        # The reference is varied alike for all steps of a clip.
+        depth, mask = preprocess.clip_input(np.stack([m[0] for m in made]), params, mode, made[0][1])
+        return np.stack([depth, mask], axis=1).reshape(length, 2, -1).astype(np.float32)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        values = np.concatenate([r[-1] for r in rows])
+        edges = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[2])
+        parts = [pa.ListArray.from_arrays(edges, pa.array(values[:, k].ravel())) for k in (0, 1)]
+        ends = pa.array(np.cumsum([0, *(len(r[-1]) for r in rows)]).astype(np.int32))
+        steps = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["depth", "mask"]))
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, steps], names=["clip_id", "session", "label", "y", "steps"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, images, reference, rows = None, {}, None, []
+        for batch in batches:
+            keys = [c.to_pylist() for k, c in enumerate(batch.columns) if k != 4]
+            for row, (session, part, kind, at, clip, label, y, start, length, n_frames) in enumerate(zip(*keys, strict=True)):
+                if (session, part) != here:
+                    here, images, reference = (session, part), {}, None
+                if kind == 2:
+                    rows.append((clip, session, label, y, sample(images, reference, clip, start, length, n_frames)))
+                    if len(rows) == CLIPS_AT_ONCE:
+                        yield batch_of(rows)
+                        rows = []
+                    continue
+                image = batch.column(4)[row].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(side, side)
+                if kind:
+                    images[at] = image
+                    images.pop(at - halo - 1, None)
+                else:
+                    reference = image
+        if rows:
+            yield batch_of(rows)
+
+    return d.mapInArrow(run, outputs)

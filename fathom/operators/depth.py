@@ -292,6 +292,124 @@ def average_depth(px: DataFrame, key: str, spread: float, least: int = 3) -> Dat
     return d.select(key, "px", F.when(steady, F.col("p")[1]).alias("d"), (F.coalesce(~steady, F.lit(True)) & (F.col("n") > 0)).alias("dropped"), (F.col("n") > 0).alias("had"))
 
 
+#: Numbers of a group of strips, and pixels of a strip at most.
+STRIP_CELLS, STRIP = 1 << 22, 8192
+
+
+def across(frames: DataFrame, key: str, image: str, outputs: str, work: Callable[[np.ndarray], list[np.ndarray]], size: int | None = None) -> DataFrame:
+    """(key, outputs): images that work makes of all images of a key, pixel by pixel.
+
+    Images are cut into strips, and the strips of a key with the same place come
+    together as one matrix, images by pixels with NaN where missing, from which
+    work gives an array per output (a schema of arrays of numbers). The more
+    images a key has, the narrower the strips, so a group stays bounded. Nothing
+    is taken apart into rows of pixels. size is the number of pixels, else the
+    longest image's; shorter images lack the rest.
+    """
+    extra = frames.sparkSession.createDataFrame([], outputs).schema
+    names = [f.name for f in extra]
+    most = frames.groupBy(key).agg(F.count("*").alias("n"), *([] if size else [F.max(F.size(image)).alias("size")])).agg(F.max("n"), *([] if size else [F.max("size")])).first()
+    many, size = most[0] or 1, max(1, size or most[1] or 1)
+    strip = max(1, min(STRIP, size, STRIP_CELLS // many))
+    # Even strips: a short last one would be a group of its own.
+    strip = -(-size // -(-size // strip))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(-(-size // strip) - 1)), lambda k: F.slice(image, k * strip + 1, F.lit(strip)))
+    kind = frames.schema[key].dataType.simpleString()
+    d = frames.where(F.col(image).isNotNull()).select(F.col(key).alias("_key"), F.posexplode(cut).alias("_strip", "_values"))
+
+    def run(group: pa.Table) -> pa.Table:
+        lists = group.column("_values").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        stack = np.full((len(sizes), int(sizes.max(initial=0))), np.nan)
+        stack[np.arange(stack.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        made = [column_of([x], f.dataType.simpleString()) for x, f in zip(work(stack), extra, strict=True)]
+        return pa.Table.from_arrays([group.column("_key").slice(0, 1), group.column("_strip").slice(0, 1), *made], names=["_key", "_strip", *names])
+
+    whole = d.groupBy("_key", "_strip").applyInArrow(run, f"_key {kind}, _strip int, {outputs}").groupBy("_key")
+    whole = whole.agg(F.array_sort(F.collect_list(F.struct("_strip", *names))).alias("_all"))
+    return whole.select(F.col("_key").alias(key), *[F.flatten(F.col(f"_all.`{n}`")).alias(n) for n in names])
+
+
+def quantiles(stack: np.ndarray, shares: Sequence[float]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The interpolated quantiles of each column of images by pixels, NaN without any, and how many numbers a column has."""
+    n = np.isfinite(stack).sum(axis=0)
+    ordered = np.sort(stack, axis=0)  # NaN last
+    columns = np.arange(stack.shape[1])
+    out = []
+    for share in shares:
+        at = share * np.maximum(n - 1, 0)
+        low = np.floor(at).astype(int)
+        high = np.minimum(low + 1, np.maximum(n - 1, 0))
+        a, b = ordered[low, columns], ordered[high, columns]
+        out.append(np.where(n > 0, a + (b - a) * (at - low), np.nan))
+    return out, n
+
+
+def median_images(frames: DataFrame, key: str, image: str, size: int | None = None) -> DataFrame:
+    """(key, image): each pixel's median over the images of a key."""
+    return across(frames, key, image, f"`{image}` array<double>", lambda stack: quantiles(stack, [0.5])[0], size)
+
+
+def average_images(frames: DataFrame, key: str, image: str, spread: float, least: int = 3, scale: float = 1.0, size: int | None = None) -> DataFrame:
+    """(key, image, dropped, n, share): what average_depth() and dropped_share() give, as images.
+
+    image is the median of each pixel's samples over 0, times scale, null where they
+    are fewer than least or spread too far; dropped tells for each pixel whether
+    such samples were there, n counts the images that aren't null.
+    """
+
+    def work(stack: np.ndarray) -> list[np.ndarray]:
+        stack = np.where(stack > 0, stack, np.nan) * scale
+        (low, middle, high), n = quantiles(stack, (0.1, 0.5, 0.9))
+        good = (n >= least) & (np.nan_to_num(high - low, nan=np.inf) <= spread)
+        return [np.where(good, middle, np.nan), ~good & (n > 0), n > 0]
+
+    made = across(frames, key, image, f"`{image}` array<double>, dropped array<boolean>, _had array<boolean>", work, size)
+    many = lambda c: F.size(F.filter(c, lambda x: x)).cast("double")
+    share = F.coalesce(many("dropped") / F.nullif(many("_had"), F.lit(0.0)), F.lit(1.0))
+    counts = frames.where(F.col(image).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return made.withColumn("share", share).drop("_had").join(counts, key)
+
+
+def inside_shares(frames: DataFrame, key: str, image: str, near: float, far: float) -> DataFrame:
+    """(key, shares, n): for each pixel in what share of a key's n images it is strictly inside the band.
+
+    Each task counts its own images first, so what is brought together is an image
+    of counts per task and key; a task with many keys hands them on in parts.
+    """
+    kind = frames.schema[key].dataType.simpleString()
+    d = frames.where(F.col(image).isNotNull()).select(F.col(key).alias("_key"), F.col(image).cast("array<double>").alias("_image"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def handed() -> pa.RecordBatch:
+            keys = pa.array(list(held), key_type)
+            made = [np.append(n, counts).astype(np.int64) for n, counts in held.values()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([keys, column_of(made, "array<bigint>")], names=["_key", "_counts"])
+
+        for batch in batches:
+            key_type = batch.schema.field(0).type
+            for k, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = values.values.to_numpy(zero_copy_only=False)
+                n, counts = held.get(k, (0, np.zeros(len(v), np.int64)))
+                if len(counts) < len(v):
+                    counts = np.append(counts, np.zeros(len(v) - len(counts), np.int64))
+                counts[: len(v)] += (v > near) & (v < far)
+                held[k] = n + 1, counts
+                if len(held) * len(counts) > STRIP_CELLS:
+                    yield handed()
+        if held:
+            yield handed()
+
+    parts = d.mapInArrow(run, f"_key {kind}, _counts array<bigint>")
+    total = across(parts, "_key", "_counts", "_sums array<bigint>", lambda stack: [np.nansum(stack, axis=0).astype(np.int64)])
+    share = F.transform(F.slice("_sums", 2, F.size("_sums")), lambda x: x / F.col("_sums")[0])
+    return total.select(F.col("_key").alias(key), share.alias("shares"), F.col("_sums")[0].alias("n"))
+
+
 def dropped_share(averaged: DataFrame, key: str) -> DataFrame:
     """(key, share): of the pixels with samples, the share that average_depth() dropped; 1 without any."""
     share = F.sum(F.col("dropped").cast("double")) / F.nullif(F.sum(F.col("had").cast("double")), F.lit(0.0))

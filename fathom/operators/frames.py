@@ -152,17 +152,26 @@ def numbered_clips(clips: DataFrame) -> DataFrame:
     return numbered(clips, "clip_id", "session", "start")
 
 
-def clip_frames(clips: DataFrame, lengths: DataFrame, jitter: int = 0, seed: int = 0) -> DataFrame:
-    """A row per frame of each clip: clips' columns, step (0 to length - 1) and pos.
+def moved_starts(clips: DataFrame, lengths: DataFrame, jitter: int = 0, seed: int = 0) -> DataFrame:
+    """clips with n_frames of lengths (session, n_frames), and with start moved.
 
-    lengths (session, n_frames). With jitter, a clip's start moves by up to so many
-    frames, by a hash of its place and seed, inside its session; a clip longer than
-    what is left repeats the last frame.
+    A clip's start moves by up to jitter frames, by a hash of its place and seed,
+    inside its session.
     """
     d = clips.join(lengths.select("session", "n_frames"), "session")
-    if jitter:
-        move = F.pmod(F.xxhash64("session", "start", F.lit(seed)), F.lit(2 * jitter + 1)) - jitter
-        d = d.withColumn("start", F.greatest(F.lit(0), F.least(F.col("start") + move, F.greatest(F.lit(0), F.col("n_frames") - F.col("length")))).cast("int"))
+    if not jitter:
+        return d
+    move = F.pmod(F.xxhash64("session", "start", F.lit(seed)), F.lit(2 * jitter + 1)) - jitter
+    room = F.greatest(F.lit(0), F.col("n_frames") - F.col("length"))
+    return d.withColumn("start", F.greatest(F.lit(0), F.least(F.col("start") + move, room)).cast("int"))
+
+
+def clip_frames(clips: DataFrame, lengths: DataFrame, jitter: int = 0, seed: int = 0) -> DataFrame:
+    """A row per frame of each clip, moved as by moved_starts(): clips' columns, step (0 to length - 1) and pos.
+
+    A clip longer than what is left of its session repeats the last frame.
+    """
+    d = moved_starts(clips, lengths, jitter, seed)
     d = d.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("length").cast("int") - 1)))
     return d.withColumn("pos", F.least(F.col("start") + F.col("step"), F.col("n_frames").cast("int") - 1)).drop("n_frames")
 

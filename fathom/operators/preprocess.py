@@ -313,51 +313,72 @@ def model_input(frame: Column, mode: str, params: Params, reference: Column | No
 SHIFT_PX, DEPTH_MM, NOISE_MM, DROPOUT = 4, 3.0, 0.3, 0.05
 
 
-def augmented(frames: DataFrame, size: int, seed: int, shift_px: int = SHIFT_PX, depth_mm: float = DEPTH_MM, noise_mm: float = NOISE_MM, dropout: float = DROPOUT, flip: bool = False) -> DataFrame:
-    """frames of clips (clip_id, step, rel, reference_image) with rel and reference_image varied for training.
-
-    All frames of a clip, and its reference, are shifted alike, around the edges, and
-    with flip half of the clips are mirrored; a distance is added to the frames of
-    a clip but not to its reference; each pixel gets noise, and some are lost. All
-    of it follows from seed, clip_id and step. A null reference stays null.
-    """
+@dataclass(frozen=True)
+class Variation:
+    """How far augmentation goes, and the seed that all of it follows from, with clip and step."""
+
+    seed: int
+    shift_px: int = SHIFT_PX
+    depth_mm: float = DEPTH_MM
+    noise_mm: float = NOISE_MM
+    dropout: float = DROPOUT
+    flip: bool = False
+
+    def of(self, clip: int, step: int, image: np.ndarray | None, reference: np.ndarray | None) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """A frame of a clip and its reference, each a square or None, varied.
+
+        All frames of a clip, and its reference, are shifted alike, around the edges,
+        and with flip half of the clips are mirrored; a distance is added to the frames
+        of a clip but not to its reference; each pixel gets noise, and some are lost.
+        """
+        whole = np.random.default_rng([self.seed, clip])
+        move = tuple(whole.integers(-self.shift_px, self.shift_px + 1, 2)) if self.shift_px else (0, 0)
+        mirror = self.flip and whole.random() < 0.5
+        offset = whole.uniform(-self.depth_mm, self.depth_mm)
+        own = np.random.default_rng([self.seed, clip, step])
+        moved = [x if x is None else np.roll(x, move, axis=(0, 1))[:, :: -1 if mirror else 1] for x in (image, reference)]
+        if moved[0] is not None:
+            varied = moved[0] + offset + own.normal(0, self.noise_mm, moved[0].shape)
+            moved[0] = np.where(own.random(varied.shape) < self.dropout, np.nan, varied)
+        return moved[0], moved[1]
+
+
+def augmented(frames: DataFrame, size: int, seed: int, **how: float) -> DataFrame:
+    """frames of clips (clip_id, step, rel, reference_image) with rel and reference_image varied for training; see Variation. A null stays null."""
+    vary = Variation(seed, **how)
     rest = [c for c in frames.columns if c not in ("rel", "reference_image")]
     at = {c: k for k, c in enumerate(rest)}
     d = frames.select(*rest, F.col("rel").cast("array<double>"), F.col("reference_image").cast("array<double>"))
     names = d.columns
 
+    def square(values: pa.Scalar) -> np.ndarray | None:
+        return values.values.to_numpy(zero_copy_only=False).reshape(size, size) if values.is_valid else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 16):
                 part = batch.slice(lo, 16)
-                images: list = []
-                references: list = []
                 keys = (part.column(at["clip_id"]).to_pylist(), part.column(at["step"]).to_pylist())
-                for clip, step, rel, reference in zip(*keys, part.column(len(rest)), part.column(len(rest) + 1), strict=True):
-                    whole = np.random.default_rng([seed, int(clip)])
-                    move = tuple(whole.integers(-shift_px, shift_px + 1, 2)) if shift_px else (0, 0)
-                    mirror = flip and whole.random() < 0.5
-                    offset = whole.uniform(-depth_mm, depth_mm)
-                    own = np.random.default_rng([seed, int(clip), int(step)])
-                    made = []
-                    for values in (rel, reference):
-                        image = values.values.to_numpy(zero_copy_only=False).reshape(size, size) if values.is_valid else None
-                        if image is not None:
-                            image = np.roll(image, move, axis=(0, 1))
-                            image = image[:, ::-1] if mirror else image
-                        made.append(image)
-                    image, reference_of = made
-                    if image is not None:
-                        image = image + offset + own.normal(0, noise_mm, image.shape)
-                        image = np.where(own.random(image.shape) < dropout, np.nan, image).ravel()
-                    images.append(image)
-                    references.append(None if reference_of is None else reference_of.ravel())
-                arrays = [part.column(k) for k in range(len(rest))] + [column_of(x, "array<double>") for x in (images, references)]
+                made = [vary.of(clip, step, square(rel), square(reference)) for clip, step, rel, reference in zip(*keys, part.column(len(rest)), part.column(len(rest) + 1), strict=True)]
+                images = [[None if m[k] is None else m[k].ravel() for m in made] for k in (0, 1)]
+                arrays = [part.column(k) for k in range(len(rest))] + [column_of(x, "array<double>") for x in images]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return d.mapInArrow(run, d.schema)
 
 
+def clip_input(clip: np.ndarray, params: Params, mode: str, reference: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What model_input() makes of a whole clip (frames first, NaN where missing): its depth and its mask."""
+    if mode not in ("absolute", "deform"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "deform":
+        if reference is None:
+            raise ValueError("mode 'deform' needs the session's reference image")
+        clip = clip - reference
+    mask = np.isfinite(clip)
+    return np.clip(np.where(mask, clip, 0) / input_scale(params, mode), -1, 1), mask
+
+
 def state_json(states: DataFrame, params: Params, depth_scale: float = 0.0001) -> DataFrame:
     """(session, state): fitted states as JSON, with the version and the params that they hold for."""
     given = {k: list(v) if isinstance(v, tuple) else v for k, v in params.as_dict().items() if v is not None}

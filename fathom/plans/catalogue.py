@@ -311,19 +311,19 @@ def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PIXELS} SELECT px::INT AS px, avg((d > -0.02 AND d < 0.3)::INT) AS share FROM p GROUP BY 1 HAVING avg((d > -0.02 AND d < 0.3)::INT) >= 0.5")
 def stable_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return depth.stable_pixels(image_pixels(spark, sf_dir), -0.02, 0.3)
+    d = depth.inside_shares(images(spark, sf_dir).withColumn("all", F.lit(0)), "all", "image", -0.02, 0.3)
+    return d.select(F.posexplode("shares").alias("px", "share")).where("share >= 0.5")
 
 
 @query(f"WITH {PIXELS} SELECT label, px::INT AS px, median(d) AS d FROM p GROUP BY label, px")
 def pixel_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return depth.pixel_median(image_pixels(spark, sf_dir), "label")
+    return depth.median_images(images(spark, sf_dir), "label", "image").select("label", F.posexplode("image").alias("px", "d"))
 
 
 @query(f"""WITH {PIXELS}, r AS (SELECT label, px, median(d) AS r FROM p GROUP BY ALL)
   SELECT vec_id, sum(floor(greatest(-1, least(1, (d - r) / 0.2)) * 1e6))::BIGINT AS depth, count(d - r) AS mask FROM p JOIN r USING (label, px) GROUP BY 1""")
 def deform_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    image = F.transform(F.sort_array(F.collect_list(F.struct("px", "d"))), lambda x: x["d"])
-    reference = image_pixels(spark, sf_dir).groupBy("label", "px").agg(F.median("d").alias("d")).groupBy("label").agg(image.alias("reference"))
+    reference = depth.median_images(images(spark, sf_dir), "label", "image").withColumnRenamed("image", "reference")
     d = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("image")).join(reference, "label")
     d = d.select("vec_id", depth.deform(F.col("image"), F.col("reference"), 0.2).alias("m"))
     total = F.aggregate("m.depth", F.lit(0).cast("long"), lambda s, x: s + F.floor(x * 1e6))
@@ -474,13 +474,14 @@ def relief(spark: SparkSession, sf_dir: str) -> DataFrame:
   s AS (SELECT label, px, quantile_cont(d, 0.5) AS d, count(d) AS n, quantile_cont(d, 0.9) - quantile_cont(d, 0.1) AS spread FROM g GROUP BY label, px)
   SELECT label, px::INT AS px, CASE WHEN n >= 3 AND spread <= 0.2 THEN d END AS d, n > 0 AND NOT (n >= 3 AND coalesce(spread <= 0.2, false)) AS dropped FROM s""")
 def temporal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return depth.average_depth(image_pixels(spark, sf_dir), "label", 0.2).drop("had")
+    d = depth.average_images(images(spark, sf_dir), "label", "image", 0.2)
+    return d.select("label", F.posexplode(F.arrays_zip("image", "dropped")).alias("px", "x")).select("label", "px", F.col("x.image").alias("d"), "x.dropped")
 
 
 @query(f"""WITH {PIXELS}, g AS (SELECT label, px, d FROM p WHERE d > 0), s AS (SELECT label, px, count(d) >= 3 AND quantile_cont(d, 0.9) - quantile_cont(d, 0.1) <= 0.2 AS good FROM g GROUP BY label, px)
   SELECT l.label, CASE WHEN count(good) > 0 THEN sum((NOT good)::INT) / count(good) ELSE 1 END AS share FROM (SELECT DISTINCT label FROM embeddings) l LEFT JOIN s ON s.label = l.label GROUP BY 1""")
 def dropped_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return depth.dropped_share(depth.average_depth(image_pixels(spark, sf_dir), "label", 0.2), "label")
+    return depth.average_images(images(spark, sf_dir), "label", "image", 0.2).select("label", "share")
 
 
 @query(f"WITH {PIXELS}, b AS (SELECT px FROM p GROUP BY px HAVING avg((d > -0.02 AND d < 0.3)::INT) >= 0.5) SELECT floor(median(d) * 1e9)::BIGINT AS reference FROM p JOIN b USING (px) WHERE d > -0.02 AND d < 0.3")

@@ -387,18 +387,26 @@ def parsed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The jobs.
 
 
-@query(f"""WITH RECURSIVE {FACE_STATS}, sess AS (SELECT session, avg(rail_frac) AS rail, median(std_mm) AS std, avg(coverage) AS cover, count(*) AS n FROM fs GROUP BY 1),
+#: The clips of the build over all frames.
+BUILT = f"""WITH RECURSIVE {FACE_STATS}, sess AS (SELECT session, avg(rail_frac) AS rail, median(std_mm) AS std, avg(coverage) AS cover, count(*) AS n FROM fs GROUP BY 1),
   good AS (SELECT session, n, row_number() OVER (ORDER BY session) AS k FROM sess WHERE rail <= 0.02 AND std >= 0.5 AND cover >= 0.5),
   fr AS (SELECT session, pos, CASE pos // 20 % 3 WHEN 0 THEN 'neutral' WHEN 1 THEN 'smile' ELSE 'blink' END AS label, pos // 20 AS trial, round(valid_frac, 4) AS valid FROM fs JOIN good USING (session)),
   ids AS (SELECT label, row_number() OVER (ORDER BY label)::INT AS label_id FROM (SELECT DISTINCT label FROM fr)),
   st AS (SELECT session, k, unnest(generate_series(0, n - 16, 4)) AS start FROM good WHERE n >= 16),
   wd AS (SELECT st.session, st.k, st.start, count(DISTINCT trial) AS trials, avg(valid) AS valid, min(trial) AS trial FROM st JOIN fr ON fr.session = st.session AND fr.pos BETWEEN st.start AND st.start + 15 GROUP BY ALL),
   ml AS (SELECT st.session, st.start, label, count(*) AS n_label FROM st JOIN fr ON fr.session = st.session AND fr.pos BETWEEN st.start AND st.start + 15 GROUP BY st.session, st.start, label
-    QUALIFY row_number() OVER (PARTITION BY st.session, st.start ORDER BY count(*) DESC, min(pos)) = 1)
-  SELECT (row_number() OVER (ORDER BY session, start) - 1)::BIGINT AS clip_id, 's' || session AS session, start::INT AS start, 16::BIGINT AS length, label, label_id, trial::INT AS trial_id,
-  CASE k WHEN 2 THEN 'test' ELSE 'train' END AS split, round(n_label / 16, 3) AS purity FROM wd JOIN ml USING (session, start) JOIN ids USING (label) WHERE trials = 1 AND valid >= 0.1 AND n_label / 16 >= 0.9""")
+    QUALIFY row_number() OVER (PARTITION BY st.session, st.start ORDER BY count(*) DESC, min(pos)) = 1),
+  clips AS (SELECT (row_number() OVER (ORDER BY session, start) - 1)::BIGINT AS clip_id, 's' || session AS session, start::INT AS start, 16::BIGINT AS length, label, label_id, trial::INT AS trial_id,
+  CASE k WHEN 2 THEN 'test' ELSE 'train' END AS split, round(n_label / 16, 3) AS purity FROM wd JOIN ml USING (session, start) JOIN ids USING (label) WHERE trials = 1 AND valid >= 0.1 AND n_label / 16 >= 0.9)"""
+
+
+@query(f"{BUILT} SELECT * FROM clips")
 def dataset_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole build over the frames of all three sessions: the clips' manifest."""
+    return built_dataset(spark, sf_dir)["clips"]
+
+
+def built_dataset(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     raw = raw_frames(spark, sf_dir)
     name = F.concat(F.lit("s"), F.col("session").cast("string"))
     label = F.element_at(F.array(*map(F.lit, ("neutral", "smile", "blink"))), (F.floor(F.col("pos") / 20) % 3 + 1).cast("int"))
@@ -414,7 +422,17 @@ def dataset_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pictures = raw.select(name.alias("session"), text.frame_filename(F.col("pos")).alias("filename"), "h", "w", "depth")
     meta = log.select("session").distinct().withColumns({"fps": F.lit(30.0), "depth_scale": F.lit(SCALE)})
-    return build.build(log, pictures, meta, PARAMS, build.Options(min_clip_valid=0.1))["clips"]
+    return build.build(log, pictures, meta, PARAMS, build.Options(min_clip_valid=0.1))
+
+
+@query(f"""{BUILT} SELECT clip_id, step::INT AS step, (v * {SIZE} + u)::INT AS cell, (mm IS NOT NULL)::INT AS mask,
+    floor((CASE WHEN mm IS NULL THEN 0 ELSE greatest(-1, least(1, mm::FLOAT::DOUBLE / {PARAMS.clip_mm})) END)::FLOAT::DOUBLE * 1e4 + 1 / 3.0::DOUBLE)::BIGINT AS depth
+  FROM (SELECT clip_id, session[2:]::INT AS session, start, unnest(range(0, 16)) AS step FROM clips WHERE split = 'train') c JOIN relative r ON r.session = c.session AND r.pos = start + step""")
+def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pixel of every training clip of the build, as a model takes it."""
+    samples = build.dataset_clips(built_dataset(spark, sf_dir), PARAMS, "train").select("clip_id", F.posexplode("steps").alias("step", "x"))
+    pixels = samples.select("clip_id", "step", F.posexplode(F.arrays_zip("x.depth", "x.mask")).alias("cell", "p"))
+    return pixels.select("clip_id", "step", "cell", F.col("p.mask").cast("int").alias("mask"), steps(F.col("p.depth").cast("double")).alias("depth"))
 
 
 @query()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.operators.frames import blend
-from fathom.operators.preprocess import Params, fit_frames, input_scale, relative_frame
+from fathom.operators.preprocess import Params, clip_input, fit_frames, relative_frame
 
 OUTPUT = "session long, pos long, smoothed double"
 STATE = "pos long, buffer array<double>, smoothed double"
@@ -121,10 +121,8 @@ class Reader:
     def input(self) -> np.ndarray:
         """The buffer as a model takes it: depth in [-1, 1], 0 where masked, and the mask."""
         clip = np.stack(self.buffer)
-        if self.mode == "deform":
-            clip = clip - np.array(self.fitted["reference_image"], float).reshape(clip.shape[1:])
-        mask = np.isfinite(clip)
-        return np.stack([np.clip(np.where(mask, clip, 0) / input_scale(self.params, self.mode), -1, 1), mask])
+        reference = np.array(self.fitted["reference_image"], float).reshape(clip.shape[1:]) if self.mode == "deform" else None
+        return np.stack(clip_input(clip, self.params, self.mode, reference))
 
 
 def live_readout(

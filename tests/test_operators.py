@@ -217,3 +217,26 @@ def test_labels_carry_on(spark):
     f = spark.createDataFrame([("s", float(t)) for t in range(5)], "session string, elapsed_s double")
     e = spark.createDataFrame([("s", 1.0, "label", "up"), ("s", 2.5, "trial_start", "1"), ("s", 3.5, "label", "down")], "session string, elapsed_s double, kind string, value string")
     assert [r.label for r in frames.carried_labels(f, e).orderBy("elapsed_s").collect()] == ["unlabeled", "up", "up", "up", "down"]
+
+
+def test_statistics_across_images_need_no_rows_of_pixels(spark, monkeypatch):
+    """Strips of three pixels and less against plain numpy, with holes, a null image and a short one."""
+    r = np.random.default_rng(8)
+    stack = {k: np.where(r.random((n, 11)) < 0.3, 0.0, r.normal(5, 1, (n, 11))) for k, n in (("a", 9), ("b", 2))}
+    rows = [(k, x.tolist()) for k, v in stack.items() for x in v] + [("a", None), ("c", [1.0] * 4)]
+    d = spark.createDataFrame(rows, "k string, image array<double>").repartition(4)
+    monkeypatch.setattr(depth, "STRIP_CELLS", 30)
+    got = {x.k: x for x in depth.average_images(d, "k", "image", 2.0, scale=2.0).collect()}
+    for k, v in stack.items():
+        v = np.where(v > 0, v, np.nan) * 2
+        n = np.isfinite(v).sum(axis=0)
+        low, middle, high = (np.array([np.percentile(c[np.isfinite(c)], q) if np.isfinite(c).any() else np.nan for c in v.T]) for q in (10, 50, 90))
+        good = (n >= 3) & (high - low <= 2.0)
+        np.testing.assert_allclose(np.array(got[k].image, float), np.where(good, middle, np.nan))
+        assert got[k].dropped == (~good & (n > 0)).tolist() and got[k].n == len(v)
+        assert got[k].share == (~good & (n > 0)).sum() / (n > 0).sum()
+        median = np.array(depth.median_images(d.where(F.col("k") == k), "k", "image").first().image)
+        np.testing.assert_allclose(median, np.median(stack[k], axis=0))
+        inside = depth.inside_shares(d, "k", "image", 4.5, 5.5).where(F.col("k") == k).first()
+        assert inside.n == len(v) and np.allclose(inside.shares, ((stack[k] > 4.5) & (stack[k] < 5.5)).mean(axis=0))
+    assert got["c"].image == [None] * 4 and got["c"].share == 1.0
