@@ -9,7 +9,7 @@ statistics, labels and clips are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -69,17 +69,27 @@ def cache_actions(keys: DataFrame, cached: DataFrame | None, rebuild: bool = Fal
     return keys.join(old, "session", "left").withColumn("action", action).drop("_key", "_digest")
 
 
-def reference_images(log: DataFrame, images: DataFrame, meta: DataFrame, options: Options) -> DataFrame:
-    """(session, h, w, depth, depth_scale, source): the frames that each session is fitted on; sessions without give none."""
+def reference_rows(log: DataFrame, meta: DataFrame, options: Options) -> DataFrame:
+    """(session, filename, depth_scale, source): the rows that each session is fitted on, some tens; sessions without give none."""
     want = F.greatest(F.lit(options.min_ref_frames), F.rint(F.lit(options.ref_seconds) * F.col("fps"))).cast("int")
     run = frames.longest_run(log).where((F.col("label") == options.ref_label) & (F.col("length") >= options.min_ref_frames))
-    d = log.select("session", "pos", "filename").join(small(meta.select("session", "depth_scale", want.alias("_want")), 64), "session")
-    d = d.join(small(run.select("session", "start", "length"), 64), "session", "left" if options.allow_session_start_reference else "inner")
+    d = log.select("session", "pos", "filename").join(meta.select("session", "depth_scale", want.alias("_want")), "session")
+    d = d.join(run.select("session", "start", "length"), "session", "left" if options.allow_session_start_reference else "inner")
     first = F.coalesce("start", F.lit(0))
     d = d.where((F.col("pos") >= first) & (F.col("pos") < first + F.least(F.coalesce("length", "_want"), "_want")))
     source = F.when(F.col("start").isNull(), "session_start").otherwise(f"label:{options.ref_label}")
-    chosen = small(d.select("session", "filename", "depth_scale", source.alias("source")), 96)  # some tens a session
-    return images.join(chosen, ["session", "filename"]).select("session", "h", "w", "depth", "depth_scale", "source")
+    return d.select("session", "filename", "depth_scale", source.alias("source"))
+
+
+#: Images as a table, or what gives those of some rows (session, and filename where given), so that only these are decoded.
+Images = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def pictures(images: Images, wanted: DataFrame) -> DataFrame:
+    """The images of wanted (session, and filename where it has one), a stored table."""
+    if callable(images):
+        return images(wanted)
+    return images.join(small(wanted, 96), wanted.columns, "left_semi")
 
 
 def session_rollup(stats: DataFrame) -> DataFrame:
@@ -158,34 +168,36 @@ def clip_counts(windows: DataFrame, session_splits: DataFrame) -> DataFrame:
 
 
 def build_warnings(sessions: DataFrame, refused: DataFrame, clips: DataFrame, val: float = 0.2, test: float = 0.2) -> DataFrame:
-    """(rule, detail): what makes a dataset doubtful, eight rules.
+    """(rule, detail): what makes a dataset doubtful, eight rules; those about sessions have a row per session.
 
     sessions (session, spread, coverage), refused (session), clips (split, label).
+    Clips are counted once, by split and label; their rules only read these counts.
     """
-    known = F.col("label") != UNLABELED
-    names = lambda c: F.to_json(F.array_sort(F.collect_set(c)))
-    spark_labels = clips.where(known).agg(F.collect_set("label").alias("every"))
-    by_split = clips.groupBy("split").agg(F.count("*").alias("n"), F.collect_set(F.when(known, F.col("label"))).alias("own"))
-    total = clips.agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("train"), *[F.count_if(F.col("split") == s).alias(s) for s in ("val", "test")])
+    counts = stored(clips.groupBy("split", "label").agg(F.count("*").alias("n")), "clip-counts")
+    known = counts.where(F.col("label") != UNLABELED)
+    every = known.agg(F.collect_set("label").alias("every"))
+    by_split = counts.groupBy("split").agg(F.collect_set(F.when(F.col("label") != UNLABELED, F.col("label"))).alias("own"))
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n"))), F.lit(0)).alias(s)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *map(of, ("train", "val", "test")))
 
     def rule(frame: DataFrame, name: str, holds: Column, detail: Column) -> DataFrame:
         return frame.where(holds).select(F.lit(name).alias("rule"), detail.cast("string").alias("detail"))
 
     found = [
-        rule(refused.agg(F.count("*").alias("n"), names("session").alias("x")), "refused", F.col("n") > 0, F.col("x")),
+        rule(refused.select("session").distinct(), "refused", F.lit(True), F.col("session")),
+        rule(sessions.where(F.col("spread") > DRIFT_WARN_MM), "drift", F.lit(True), F.col("session")),
+        rule(sessions.where(F.col("coverage") < WARN_FACE_COVERAGE), "low_coverage", F.lit(True), F.col("session")),
         rule(sessions.agg(F.count("*").alias("n")), "few_sessions", F.col("n") < LEAST_SESSIONS, F.col("n")),
         *[rule(total, "empty_split", F.col(s) == 0, F.lit(s)) for s, share in (("val", val), ("test", test)) if share > 0],
         rule(total, "small_train", (F.col("n") > 0) & (F.col("train") < LEAST_TRAIN_SHARE * F.col("n")), F.concat_ws("/", "train", "n")),
-        rule(spark_labels, "few_classes", F.size("every") < 2, F.size("every")),
-        # One row of labels.
+        rule(every, "few_classes", F.size("every") < 2, F.size("every")),
+        # One row of labels, a vocabulary.
         rule(
-            by_split.join(F.broadcast(spark_labels), F.size("own") < F.size("every")),
+            by_split.join(F.broadcast(every), F.size("own") < F.size("every")),
             "missing_class",
             F.lit(True),
             F.concat_ws(" ", "split", F.to_json(F.array_sort(F.array_except("every", "own")))),
         ),
-        rule(sessions.where(F.col("spread") > DRIFT_WARN_MM).agg(F.count("*").alias("n"), names("session").alias("x")), "drift", F.col("n") > 0, F.col("x")),
-        rule(sessions.where(F.col("coverage") < WARN_FACE_COVERAGE).agg(F.count("*").alias("n"), names("session").alias("x")), "low_coverage", F.col("n") > 0, F.col("x")),
     ]
     out = found[0]
     for f in found[1:]:
@@ -234,8 +246,8 @@ def dataset_spec(built: dict[str, DataFrame], params: Params, options: Options)
     return d.select(F.to_json(F.struct(*fixed, "label_map", "refused_sessions", "sessions", "split_sessions", total.alias("counts"))).alias("spec"))
 
 
-def build(log: DataFrame, images: DataFrame, meta: DataFrame, params: Params | None = None, options: Options | None = None, before: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """The whole build. Returns sessions, refused, states, stats, rel, splits, labels, frames, clips, counts, warnings and spec.
+def build(log: DataFrame, images: Images, meta: DataFrame, params: Params | None = None, options: Options | None = None, before: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The whole build; images as told at Images. Returns sessions, refused, states, stats, rel, splits, labels, frames, clips, counts, warnings and spec.
 
     Further columns of meta go to sessions. rel holds the relative frames, stats a
     row of numbers per frame. before holds
@@ -246,15 +258,18 @@ def build(log: DataFrame, images: DataFrame, meta: DataFrame, params: Params | N
     refused, with the reason.
     """
     params, options = params or Params(), options or Options()
-    log = log.withColumn("t_ms", frame_times_ms(F.col("device_timestamp_ms"), F.col("host_time_unix")))
+    log = stored(log.withColumn("t_ms", frame_times_ms(F.col("device_timestamp_ms"), F.col("host_time_unix"))), "log")
     keys = stored(cache_actions(cache_keys(log, meta, params, options), before["sessions"] if before else None, options.rebuild), "keys")
     work = small(keys.where("action = 'build'").select("session"), 32)
     own_log = log.join(work, "session", "left_semi")
-    chosen = reference_images(own_log, images, meta, options)
-    states = stored(preprocess.fit(chosen.drop("source"), params, "depth_scale", options.min_ref_frames), "states")
-    sources = stored(chosen.groupBy("session").agg(F.first("source").alias("reference_source")), "sources")
+    chosen = stored(reference_rows(own_log, meta, options), "reference-rows")
+    fitted_on = pictures(images, chosen.select("session", "filename")).select("session", "filename", "h", "w", "depth")
+    fitted_on = fitted_on.join(small(chosen.drop("source"), 96), ["session", "filename"])
+    states = stored(preprocess.fit(fitted_on, params, "depth_scale", options.min_ref_frames), "states")
+    sources = chosen.groupBy("session").agg(F.first("source").alias("reference_source"))
     # Images are transformed where they lie; what they become is a tenth of them, and statistics are a few numbers.
-    d = images.join(small(meta.select("session", "depth_scale").join(work, "session"), 64), "session")
+    d = pictures(images, keys.where("action = 'build'").select("session"))
+    d = d.join(small(stored(meta.select("session", "depth_scale"), "scales"), 64), "session")
     made = preprocess.transform(d, states, params, "depth_scale")
     made = stored(made.withColumn("rel", F.col("rel").cast("array<float>")), "relative")
     # Every logged frame of a fitted session: one whose image is missing is an unreadable one.

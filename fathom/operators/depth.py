@@ -527,21 +527,24 @@ def largest_surface(frames: DataFrame, key: str, image: str, width: int, least:
     return each_image(frames.select(key, image), image, width, "px int", work)
 
 
-def keep_largest_surface(frames: DataFrame, image: str, width: int, least: int = 200) -> DataFrame:
-    """frames with only the largest 8-connected part of each image, and others: how many more parts there were.
+def largest_of(image: np.ndarray, least: int = 200) -> tuple[np.ndarray, int]:
+    """image with only its largest 8-connected part, and how many more parts there were; as it is, and 0, where that has fewer than `least` pixels."""
+    valid = np.nan_to_num(image) > 0
+    label = parts(valid)
+    best = largest_part(valid, label)
+    if len(best) < max(1, least):
+        return image, 0
+    keep = np.zeros(image.size, bool)
+    keep[best] = True
+    return np.where(keep.reshape(image.shape), image, np.nan), len(np.unique(label[valid])) - 1
 
-    An image whose largest part has fewer than `least` pixels stays as it is, with 0 others.
-    """
+
+def keep_largest_surface(frames: DataFrame, image: str, width: int, least: int = 200) -> DataFrame:
+    """frames with only the largest 8-connected part of each image, and others; see largest_of()."""
 
     def work(a: np.ndarray) -> list[tuple]:
-        valid = np.nan_to_num(a) > 0
-        label = parts(valid)
-        best = largest_part(valid, label)
-        if len(best) < max(1, least):
-            return [(a.ravel(), 0)]
-        keep = np.zeros(a.size, bool)
-        keep[best] = True
-        return [(np.where(keep.reshape(a.shape), a, np.nan).ravel(), len(np.unique(label[valid])) - 1)]
+        kept, others = largest_of(a, least)
+        return [(kept.ravel(), others)]
 
     return each_image(frames, image, width, "_kept array<double>, others int", work).withColumnRenamed("_kept", image)
 

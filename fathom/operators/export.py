@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.operators import depth, frames, preprocess
+from fathom.functions.text import average_tag, export_name, frame_tag
+from fathom.operators import build, depth, frames, preprocess, scans
 from fathom.operators.preprocess import Params
-from fathom.operators.tables import small
+from fathom.operators.tables import small, stored
+from fathom.sources.recordings import write_files
 
-#: Frames that a distance or a face is looked for in.
-PROBES, FACE_FRAMES = 8, 40
+#: Frames that a distance, or a session's own distance, or a face is looked for in.
+PROBES, OWN_PROBES, FACE_FRAMES = 8, 12, 40
 
 
 @dataclass(frozen=True)
@@ -59,18 +61,43 @@ def expected_distance(images: DataFrame, log: DataFrame, otherwise: float = 0.15
     return found["distance"] / 1000 if found and found["distance"] else otherwise
 
 
-def face_region(images: DataFrame, log: DataFrame, params: Params, depth_scale: float) -> DataFrame:
-    """(session, roi, reference_mm): the region that the preprocessing finds in the first neutral frames, or in the first of all.
+def session_distances(images: DataFrame, depth_scale: float | str, low: float = 50.0, high: float = 900.0, bins: int = 43, least: int = 500) -> DataFrame:
+    """(session, distance): in mm, the centre of the fullest bin of each session's depths strictly between low and high, the first of equals; null under `least` of them.
 
-    Sessions without a face, or with fewer than 3 readable frames, have nulls: export then takes the full frame.
+    images (session, depth in raw units). Each image gives its counts of the bins, and these are summed.
     """
-    neutral = log.groupBy("session").agg(F.count_if(F.col("label") == "neutral").alias("n"))
-    d = log.join(neutral, "session").where("n = 0 OR label = 'neutral'")
-    d = frames.every_nth(d, 1)
-    first = d.join(d.groupBy("session").agg(F.min("pos").alias("_first")), "session").where(F.col("pos") < F.col("_first") + 100 * FACE_FRAMES)
-    ranked = F.row_number().over(frames.by_session())
-    first = first.withColumn("_k", ranked).where(F.col("_k") <= FACE_FRAMES).select("session", "filename")
-    states = preprocess.fit(images.join(small(first, 96), ["session", "filename"], "left_semi"), params, depth_scale, least=3)
+    scale = F.col(depth_scale) if isinstance(depth_scale, str) else F.lit(float(depth_scale))
+    d = images.where("depth IS NOT NULL").select("session", F.transform("depth", lambda x: x * scale * 1000.0).alias("_mm"))
+    kind = d.schema["session"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for values in batch.column(1):
+                v = values.values.to_numpy(zero_copy_only=False)
+                v = v[(v > low) & (v < high)]
+                made.append(np.bincount(np.minimum(((v - low) / ((high - low) / bins)).astype(int), bins - 1), minlength=bins))
+            yield pa.RecordBatch.from_arrays([batch.column(0), depth.column_of(made, "array<bigint>")], names=["session", "_counts"])
+
+    d = d.mapInArrow(run, f"session {kind}, _counts array<bigint>").select("session", F.posexplode("_counts").alias("bin", "n"))
+    d = d.groupBy("session", "bin").agg(F.sum("n").alias("n")).groupBy("session").agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("bin"), F.sum("n").alias("n"))
+    return d.select("session", F.when(F.col("n") >= least, low + (F.col("bin") + 0.5) * ((high - low) / bins)).alias("distance"))
+
+
+def face_region(images: build.Images, log: DataFrame, params: Params, depth_scale: float | str, expected: DataFrame | None = None) -> DataFrame:
+    """(session, roi, reference_mm): the region that the preprocessing finds in the first FACE_FRAMES neutral rows, wherever they are, or in the first of all where none is neutral.
+
+    expected (session, expected_m) may give the distance of each session. Sessions
+    without a face, or with fewer than 3 readable frames, have nulls: export then
+    takes the full frame.
+    """
+    neutral = log.groupBy("session").agg(F.count_if(F.col("label") == "neutral").alias("_neutral"))
+    d = log.select("session", "pos", "filename", "label").join(neutral, "session").where("_neutral = 0 OR label = 'neutral'")
+    first = stored(scans.ranked(d, "_k").where(F.col("_k") < FACE_FRAMES).select("session", "filename"), "face-rows")
+    d = build.pictures(images, first)
+    if expected is not None:
+        d = d.join(expected, "session")
+    states = preprocess.fit(d, params, depth_scale, least=3, expected="expected_m" if expected is not None else None)
     return log.select("session").distinct().join(states.select("session", "roi", "reference_mm"), "session", "left")
 
 
@@ -107,12 +134,10 @@ def iter_points(log: DataFrame, images: DataFrame, width: int, lens: Lens, depth
 
 
 def averaged(log: DataFrame, images: DataFrame, width: int, depth_scale: float, tolerance_mm: float, n: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(session, depth) and (session, share): the median image of each session's first n frames of log, and how much of it was dropped as moving."""
-    window = log.withColumn("_k", F.row_number().over(frames.by_session())).where(F.col("_k") <= max(2, n)).select("session", "filename")
-    metric = images.join(small(window, 96), ["session", "filename"], "left_semi").where("depth IS NOT NULL").select("session", depth.metric(F.col("depth"), depth_scale).alias("depth"))
-    px = depth.average_depth(depth.pixels(metric, "depth", width), "session", tolerance_mm / 1000)
-    image = F.transform(F.array_sort(F.collect_list(F.struct("px", "d"))), lambda x: x["d"])
-    return px.groupBy("session").agg(image.alias("depth")), depth.dropped_share(px, "session")
+    """(session, depth, n) and (session, share): the median image of each session's first n rows of log, of how many readable frames, and how much of it was dropped as moving."""
+    window = stored(scans.ranked(log, "_k").where(F.col("_k") < max(2, n)).select("session", "filename"), "window")
+    made = depth.average_images(build.pictures(images, window), "session", "depth", tolerance_mm / 1000, scale=depth_scale)
+    return made.select("session", "depth", "n"), made.select("session", "share")
 
 
 def why_empty(images: DataFrame, expected_mm: float) -> DataFrame:
@@ -140,7 +165,7 @@ def mesh_normals(meshed: DataFrame, key: str) -> DataFrame:
 
 
 def obj_text(meshed: DataFrame, normals: bool = True, comments: tuple[str, ...] = ()) -> DataFrame:
-    """meshed with obj, an OBJ text: comments, vertices, normals, faces from 1, each in order."""
+    """meshed with obj, an OBJ text: comments, also those of a column comments, vertices, normals, faces from 1, each in order."""
 
     def line(kind: str, x: Column, names: str) -> Column:
         return F.concat_ws(" ", F.lit(kind), *[F.format_string("%.4f", x[n]) for n in names.split()])
@@ -149,7 +174,8 @@ def obj_text(meshed: DataFrame, normals: bool = True, comments: tuple[str, ...]
         at = (x[n] + 1).cast("string")
         return F.concat_ws("//", at, at) if normals else at
 
-    lines = [F.array(*[F.lit(f"# {c}") for c in comments]).cast("array<string>")]
+    own = F.transform("comments", lambda c: F.concat(F.lit("# "), c)) if "comments" in meshed.columns else F.array().cast("array<string>")
+    lines = [F.concat(F.array(*[F.lit(f"# {c}") for c in comments]).cast("array<string>"), own)]
     lines.append(F.transform("vertices", lambda x: line("v", x, "x y z")))
     if normals:
         lines.append(F.transform("normals", lambda x: line("vn", x, "nx ny nz")))
@@ -214,7 +240,7 @@ def parse_ply(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_ply(meshed: DataFrame, normals: bool = True, colours: bool = True, binary: bool = True, comments: tuple[str, ...] = ()) -> DataFrame:
-    """meshed with ply, the bytes of a PLY file of each mesh, its vertices grey by depth between its 2nd and 98th percentile if colours."""
+    """meshed with ply, the bytes of a PLY file of each mesh, its vertices grey by depth between its 2nd and 98th percentile if colours; a column comments adds to its comments."""
     d = meshed.select("*", "vertices.x", "vertices.y", "vertices.z", "faces.i0", "faces.i1", "faces.i2", "normals.nx", "normals.ny", "normals.nz")
     rest = meshed.columns
     schema = meshed.withColumn("ply", F.lit(None).cast("binary")).schema
@@ -229,7 +255,8 @@ def with_ply(meshed: DataFrame, normals: bool = True, colours: bool = True, bina
                 if colours and len(vertex):
                     low, high = np.percentile(vertex[:, 2], [2, 98])
                     shade = np.repeat(np.floor(np.clip((vertex[:, 2] - low) / max(1e-6, high - low), 0, 1) * 255)[:, None], 3, axis=1)
-                made.append(ply_bytes(vertex, face.astype(np.int32), normal if normals else None, shade, binary, comments))
+                own = batch.column(rest.index("comments"))[row].as_py() if "comments" in rest else []
+                made.append(ply_bytes(vertex, face.astype(np.int32), normal if normals else None, shade, binary, (*comments, *own)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(made, pa.binary())], names=[*rest, "ply"])
 
     return d.mapInArrow(run, schema)
@@ -242,8 +269,6 @@ def export(log: DataFrame, images: DataFrame, width: int, lens: Lens, depth_scal
     several give the mesh of their median image. The band lies around reference_mm,
     or the expected distance. An image without usable depth gives an empty mesh.
     """
-    from fathom.functions.text import average_tag, frame_tag
-
     params = params or Params()
     middle = (reference_mm or params.expected_distance_m * 1000) / 1000
     low, high = middle - half_mm / 1000, middle + half_mm / 1000
@@ -255,11 +280,165 @@ def export(log: DataFrame, images: DataFrame, width: int, lens: Lens, depth_scal
     else:
         tolerance = images.sparkSession.range(1).select(depth.spread_tolerance_mm(F.lit(middle * 1000), max_spread_mm)).first()[0]
         d, _ = averaged(log, images, width, depth_scale, tolerance, average_frames)
-        ranked = log.withColumn("_k", F.row_number().over(frames.by_session())).where(F.col("_k") <= max(2, average_frames))
-        tags = ranked.groupBy("session").agg(average_tag(F.count("*"), F.min_by("frame_index", "pos")).alias("tag"))
-        d = d.join(tags, "session").select("session", "tag", "depth")
+        first = log.groupBy("session").agg(F.min_by("frame_index", "pos").alias("_first"))
+        d = d.join(first, "session").select("session", average_tag(F.col("n"), F.col("_first")).alias("tag"), "depth")
     d = surface(d, width, low, high, roi, keep_all, step)
     scale = 1000.0 if units == "mm" else 1.0
     edge = max_edge_mm * (1.0 if units == "mm" else 0.001)
     d = depth.meshes(d, "depth", -(-width // step), lens.fx, lens.fy, lens.cx, lens.cy, edge, scale, step, center)
     return d.select("session", "tag", "others", "vertices", "faces", "normals")
+
+
+@dataclass(frozen=True)
+class How:
+    """What an export takes and how it is written; its defaults are fixed values."""
+
+    label: str | None = None
+    trial: int | None = None
+    frame: int | None = None
+    span: tuple[int, int] | None = None
+    sequence: bool = False
+    every: int = 1
+    average: bool = False
+    average_frames: int = 30
+    max_spread_mm: float | None = None
+    expected_distance_m: float = 0.15
+    auto_distance: bool = False
+    full_frame: bool = False
+    roi: tuple[int, int, int] | None = None
+    face_depth_mm: float = 80.0
+    depth_range: tuple[float, float] | None = None
+    keep_all: bool = False
+    decimate: int = 1
+    units: str = "mm"
+    max_edge_mm: float = 4.0
+    points: bool = False
+    normals: bool = True
+    colours: bool = True
+    center: bool = False
+    lens: Lens | None = None
+    kind: str = "ply"
+    binary: bool = True
+
+
+def _targets(log: DataFrame, images: build.Images, settings: DataFrame, how: How) -> DataFrame:
+    """(session, tag, note, depth in metres, w): the images that are exported, one a session but for a sequence."""
+    chosen = stored(frames.select_rows(log, how.label, how.trial, how.frame, how.span).select("session", "pos", "filename", "frame_index", "label"), "chosen")
+    many = chosen.groupBy("session").agg(F.count("*").alias("_n"), F.min_by("frame_index", "pos").alias("_first"))
+    is_average = F.lit(how.average) | (F.lit(how.frame is None) & (F.col("_n") > 1))
+    single = frames.every_nth(chosen, how.every) if how.sequence else chosen.join(many.where(~is_average).select("session"), "session", "left_semi")
+    single = stored(single.drop("pos"), "single")
+    d = build.pictures(images, single.select("session", "filename")).where("depth IS NOT NULL").join(small(single, 128), ["session", "filename"])
+    d = d.join(settings.select("session", "depth_scale"), "session")
+    note = F.format_string("frame %d label=%s", "frame_index", "label")
+    note = note if how.sequence else F.concat(F.lit("single "), note)
+    tag = F.format_string("frame_%06d", "frame_index") if how.sequence else frame_tag(F.col("frame_index"))
+    scaled = F.transform("depth", lambda x: F.when(x > 0, x * F.col("depth_scale")))
+    d = d.select("session", tag.alias("tag"), note.alias("note"), scaled.alias("depth"), "w")
+    if how.sequence:
+        return d
+    window = scans.ranked(chosen.join(many.where(is_average).select("session"), "session", "left_semi"), "_k").where(F.col("_k") < max(2, how.average_frames))
+    window = stored(window.select("session", "filename"), "window")
+    tolerance = depth.spread_tolerance_mm(F.coalesce("reference_mm", F.col("expected_m") * 1000), how.max_spread_mm)
+    held = build.pictures(images, window).join(settings.select("session", "depth_scale", tolerance.alias("_spread")), "session")
+    # Samples and their spread in units of the tolerance: one bound holds for all sessions.
+    units = held.withColumn("depth", F.transform("depth", lambda x: x * F.col("depth_scale") * 1000.0 / F.col("_spread")))
+    made = depth.average_images(units.select("session", "depth"), "session", "depth", 1.0)
+    widths = held.groupBy("session").agg(F.first("w").alias("w"), F.first("_spread").alias("_spread"))
+    made = made.join(widths, "session").join(many, "session")
+    note = F.concat(F.format_string("temporal median of %d frames (motion tolerance %.1f mm)", "n", "_spread"), F.lit(f" labelled {how.label}" if how.label else ""))
+    metres = F.transform("depth", lambda x: x * F.col("_spread") / 1000.0)
+    return d.unionByName(made.select("session", average_tag(F.col("n"), F.col("_first")).alias("tag"), note.alias("note"), metres.alias("depth"), "w"))
+
+
+def _advice(image: np.ndarray, expected_mm: float) -> str:
+    """What to say of an image (metres, NaN where missing) that gives nothing."""
+    seen = image[np.isfinite(image) & (image > 0)] * 1000.0
+    near = seen[(seen > 50.0) & (seen < 900.0)]
+    if near.size >= 500:
+        counts, edges = np.histogram(near, bins=43, range=(50.0, 900.0))
+        k = int(counts.argmax())
+        return f"a surface at {(edges[k] + edges[k + 1]) / 2:.0f} mm, not at {expected_mm:.0f} mm"
+    if seen.size:
+        return f"depth spans {seen.min():.0f}-{seen.max():.0f} mm, median {np.median(seen):.0f}"
+    return "no depth measurements at all"
+
+
+def export_sessions(log: DataFrame, images: build.Images, meta: DataFrame, params: Params | None = None, how: How | None = None) -> DataFrame:
+    """Points or meshes of every session of log: session, tag, name, comments, note, others, vertices, faces, normals, advice.
+
+    meta holds depth_scale, and camera for the lens unless how gives one. Each
+    session has its own lens, distance (of its first OWN_PROBES chosen rows with
+    auto_distance), face region and depth band. name is the file's; a sequence's
+    files lie in a folder of the session. Where nothing is left there are no
+    vertices, and advice tells why; elsewhere it is null. Unreadable frames give no row.
+    """
+    how, params = how or How(), params or Params()
+    params = replace(params, expected_distance_m=how.expected_distance_m, roi_override=how.roi)
+    of = meta.select("session", "depth_scale", *(["camera"] if how.lens is None else []))
+    if how.lens is None:
+        of = of.join(intrinsics(meta), "session").drop("camera", "distorted")
+    else:
+        of = of.select("*", *[F.lit(float(v)).alias(n) for n, v in zip(("fx", "fy", "ppx", "ppy"), (how.lens.fx, how.lens.fy, how.lens.cx, how.lens.cy), strict=True)])
+    settings = of.withColumn("expected_m", F.lit(float(how.expected_distance_m)))
+    if how.auto_distance:
+        chosen = frames.select_rows(log, how.label, how.trial, how.frame, how.span)
+        probes = stored(scans.ranked(chosen, "_k").where(F.col("_k") < OWN_PROBES).select("session", "filename"), "probes")
+        found = session_distances(build.pictures(images, probes).join(of.select("session", "depth_scale"), "session"), "depth_scale")
+        settings = of.join(found, "session", "left").withColumn("expected_m", F.coalesce(F.col("distance") / 1000.0, F.lit(float(how.expected_distance_m)))).drop("distance")
+    settings = stored(settings, "settings")
+    if how.full_frame:
+        settings = settings.withColumns({"roi": F.lit(None).cast("struct<x:int,y:int,side:int>"), "reference_mm": F.lit(None).cast("double")})
+    else:
+        scaled = lambda wanted: build.pictures(images, wanted).join(settings.select("session", "depth_scale"), "session")
+        settings = stored(settings.join(face_region(scaled, log, params, "depth_scale", settings.select("session", "expected_m")), "session", "left"), "regions")
+    middle, half = F.coalesce(F.col("reference_mm") / 1000.0, "expected_m"), how.face_depth_mm / 1000.0
+    low, high = (F.lit(float(v)) for v in how.depth_range) if how.depth_range else (middle - half, middle + half)
+    d = _targets(log, images, settings, how).join(settings.select("session", "depth_scale", "fx", "fy", "ppx", "ppy", "expected_m", low.alias("low"), high.alias("high"), F.coalesce("roi.x", F.lit(-1)).alias("x"), F.col("roi.y").alias("y"), F.col("roi.side").alias("side")), "session")
+    named = export_name(F.col("session").cast("string"), F.lit(how.label), F.col("tag"), not how.points, how.kind)
+    if how.sequence:
+        named = F.concat(F.col("session").cast("string"), F.lit("_3d/"), "tag", F.lit("." + how.kind))
+    comments = F.array(F.concat(F.lit("from "), F.col("session").cast("string")), "note", F.lit(f"units {how.units}; camera axes +X right +Y down +Z away"), F.concat(F.lit("depth_scale "), F.col("depth_scale").cast("string"), F.lit(" m/unit")))
+    d = d.select("session", "tag", named.alias("name"), comments.alias("comments"), "note", "depth", "w", "fx", "fy", "ppx", "ppy", "expected_m", "low", "high", "x", "y", "side")
+    scale, step = (1000.0, max(1, how.decimate)) if how.units == "mm" else (1.0, max(1, how.decimate))
+    edge = how.max_edge_mm * scale / 1000.0
+    extra = "others int, vertices array<struct<x:double,y:double,z:double>>, faces array<struct<i0:int,i1:int,i2:int>>, normals array<struct<nx:double,ny:double,nz:double>>, advice string"
+    schema = f"session {d.schema['session'].dataType.simpleString()}, tag string, name string, comments array<string>, note string, {extra}"
+    kinds = [f.split(" ", 1)[1] for f in extra.split(", ")]
+
+    def work(image: np.ndarray, fx: float, fy: float, cx: float, cy: float, expected: float, low: float, high: float, x: int, y: int, side: int) -> tuple:
+        with np.errstate(invalid="ignore"):
+            own = np.where((image >= low) & (image <= high), image, np.nan)
+        if x >= 0:
+            inside = np.zeros(own.shape, bool)
+            inside[y : y + side, x : x + side] = True
+            own = np.where(inside, own, np.nan)
+        own, others = (own, 0) if how.keep_all else depth.largest_of(own)
+        own = own[::step, ::step]
+        vertex, face, normal = depth.mesh_arrays(own, fx, fy, cx, cy, edge, scale, step)
+        if not len(vertex):
+            return others, vertex, face[:0], normal, _advice(image, expected * 1000.0)
+        if how.center:
+            vertex = vertex - vertex.mean(axis=0)
+        if how.points:
+            face, normal = face[:0], normal[:0]
+        return others, vertex, face, normal if how.normals else normal[:0], None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                given = [batch.column(c)[k].as_py() for c in range(6, 17)]
+                image = batch.column(5)[k].values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, given[0])
+                made = [depth.column_of([v], kind) for v, kind in zip(work(image, *given[1:]), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(5)), *made], names=["session", "tag", "name", "comments", "note", "others", "vertices", "faces", "normals", "advice"])
+
+    return d.mapInArrow(run, schema)
+
+
+def write_exports(exported: DataFrame, folder: str, how: How | None = None) -> int:
+    """Writes a file for each row of export_sessions() that has vertices, under folder; the number of files."""
+    how = how or How()
+    d = exported.where(F.size("vertices") > 0)
+    if how.kind == "obj":
+        return write_files(obj_text(d, how.normals and not how.points), "name", "obj", folder)
+    return write_files(with_ply(d, how.normals and not how.points, how.colours, how.binary), "name", "ply", folder)

@@ -10,7 +10,7 @@ where 0 is no measurement and a null depth an unreadable frame.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, replace
 
 import numpy as np
 import pyarrow as pa
@@ -167,16 +167,19 @@ def fit_frames(stack: np.ndarray, params: Params, scale: float) -> dict[str, obj
     return {"roi": {"x": x, "y": y, "side": side}, "reference_mm": reference, "reference_image": [None if v != v else v for v in image.ravel().tolist()], "fit_notes": notes}
 
 
-def fit(reference_frames: DataFrame, params: Params, depth_scale: float | str = 0.0001, least: int = 1) -> DataFrame:
+def fit(reference_frames: DataFrame, params: Params, depth_scale: float | str = 0.0001, least: int = 1, expected: str | None = None) -> DataFrame:
     """A state per session of reference_frames (session, h, w, depth, and depth_scale where it names a column).
 
+    expected may name a column with each session's distance in metres, in place of that of params.
+
     problem tells why a session can't be fitted; its other columns are null then.
     A session has as many reference frames as the reference policy asks for, some
     tens, so its group is bounded. Unreadable frames don't count; sessions with
     fewer than `least` readable ones, or frames of different shapes, have a problem.
     """
     scale = F.col(depth_scale) if isinstance(depth_scale, str) else F.lit(float(depth_scale))
-    d = reference_frames.select("session", "h", "w", "depth", scale.alias("scale"))
+    distance = F.col(expected) if expected else F.lit(float(params.expected_distance_m))
+    d = reference_frames.select("session", "h", "w", "depth", scale.alias("scale"), distance.alias("distance"))
     schema = _STATE.format(session=dict(d.dtypes)["session"])
     names = [c.name for c in d.sparkSession.createDataFrame([], schema).schema]
 
@@ -191,7 +194,8 @@ def fit(reference_frames: DataFrame, params: Params, depth_scale: float | str =
         elif len(shapes) > 1:
             state = {"problem": "reference frames of different shapes"}
         else:
-            state = fit_frames(np.stack(images), params, table.column("scale")[0].as_py())
+            own = replace(params, expected_distance_m=table.column("distance")[0].as_py())
+            state = fit_frames(np.stack(images), own, table.column("scale")[0].as_py())
         h, w = shapes.pop() if len(shapes) == 1 else (None, None)
         row = dict.fromkeys(names) | state | {"session": key[0].as_py(), "h": h, "w": w, "n_reference_frames": len(images)}
         kinds = pa.schema([("session", key[0].type), *_ARROW_STATE])

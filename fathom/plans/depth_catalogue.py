@@ -425,6 +425,32 @@ def built_dataset(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return build.build(log, pictures, meta, PARAMS, build.Options(min_clip_valid=0.1))
 
 
+@query(f"""WITH RECURSIVE {FIT},
+  pts AS (SELECT x.session, x.pos, x.r, x.c, (x.c - 7.5) * d / 12 * 1000 AS x, (x.r - 7.5) * d / 12 * 1000 AS y, d * 1000 AS z FROM px x LEFT JOIN mm USING (session) LEFT JOIN roi ON roi.session = x.session
+    WHERE x.pos % 7 = 0 AND d BETWEEN coalesce(reference / 1000, {PARAMS.expected_distance_m}) - 0.008 AND coalesce(reference / 1000, {PARAMS.expected_distance_m}) + 0.008
+      AND (side IS NULL OR x.r >= roi.y AND x.r < roi.y + side AND x.c >= roi.x AND x.c < roi.x + side)),
+  near AS (SELECT a.session, a.pos, a.r, a.c, b.r - a.r AS dr, b.c - a.c AS dc FROM pts a JOIN pts b ON a.session = b.session AND a.pos = b.pos AND b.r - a.r BETWEEN 0 AND 1 AND b.c - a.c BETWEEN -1 AND 1
+    WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 20),
+  tri AS (SELECT h.session, h.pos, count(*) AS faces FROM near h JOIN near s ON s.session = h.session AND s.pos = h.pos AND h.dr = 0 AND h.dc = 1 AND s.dr = 1 AND s.dc = -1 AND s.r = h.r AND s.c = h.c + 1
+      JOIN near v ON v.session = h.session AND v.pos = h.pos AND v.dr = 1 AND v.dc = 0 AND v.r = h.r AND v.c = h.c GROUP BY ALL
+    UNION ALL SELECT v.session, v.pos, count(*) FROM near v JOIN near s ON s.session = v.session AND s.pos = v.pos AND v.dr = 1 AND v.dc = 0 AND s.dr = 1 AND s.dc = -1 AND s.r = v.r AND s.c = v.c
+      JOIN near h ON h.session = v.session AND h.pos = v.pos AND h.dr = 0 AND h.dc = 1 AND h.r = v.r + 1 AND h.c = v.c - 1 GROUP BY ALL),
+  f AS (SELECT session, pos, sum(faces)::BIGINT AS faces FROM tri GROUP BY ALL)
+  SELECT 's' || session AS session, printf('s%d_3d/frame_%06d.ply', session, pos) AS name, count(*) AS vertices, coalesce(any_value(faces), 0) AS faces,
+    sum(floor(z * 1000 + 0.5))::BIGINT AS z, sum(floor(x * 1000 + 1 / 3.0::DOUBLE))::BIGINT AS x FROM pts LEFT JOIN f USING (session, pos) GROUP BY session, pos""")
+def session_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export of all sessions as sequences, each around its own face, or at the expected distance without one: names, vertices and faces of each file."""
+    raw = raw_frames(spark, sf_dir).withColumn("session", F.concat(F.lit("s"), F.col("session").cast("string")))
+    raw = raw.withColumn("filename", text.frame_filename(F.col("pos")))
+    label = F.when(F.col("pos") < REFERENCE, "neutral").otherwise("smile")
+    log = raw.select("session", "pos", "filename", F.col("pos").alias("frame_index"), label.alias("label"), F.lit(0).alias("trial"))
+    meta = raw.select("session").distinct().withColumn("depth_scale", F.lit(SCALE))
+    how = export.How(sequence=True, every=7, expected_distance_m=PARAMS.expected_distance_m, face_depth_mm=8.0, keep_all=True, max_edge_mm=20.0, lens=export.Lens(12.0, 12.0, 7.5, 7.5))
+    d = export.export_sessions(log, raw.select("session", "filename", "h", "w", "depth"), meta, PARAMS, how).where(F.size("vertices") > 0)
+    total = lambda c, up: F.aggregate(f"vertices.{c}", F.lit(0).cast("long"), lambda s, v: s + F.floor(v * 1000 + up))
+    return d.select("session", "name", F.size("vertices").cast("long").alias("vertices"), F.size("faces").cast("long").alias("faces"), total("z", 0.5).alias("z"), total("x", THIRD).alias("x"))
+
+
 @query(f"""{BUILT} SELECT clip_id, step::INT AS step, (v * {SIZE} + u)::INT AS cell, (mm IS NOT NULL)::INT AS mask,
     floor((CASE WHEN mm IS NULL THEN 0 ELSE greatest(-1, least(1, mm::FLOAT::DOUBLE / {PARAMS.clip_mm})) END)::FLOAT::DOUBLE * 1e4 + 1 / 3.0::DOUBLE)::BIGINT AS depth
   FROM (SELECT clip_id, session[2:]::INT AS session, start, unnest(range(0, 16)) AS step FROM clips WHERE split = 'train') c JOIN relative r ON r.session = c.session AND r.pos = start + step""")

@@ -37,10 +37,13 @@ def _session(path: str):
 
 def sessions(spark: SparkSession, root: str) -> DataFrame:
     """(session, path, modified) of the folders with a metadata.json, by name; none at all is an error."""
-    d = spark.read.format("binaryFile").load(f"{root}/*/metadata.json")
+    try:
+        d = spark.read.format("binaryFile").load(f"{root}/*/metadata.json")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no recordings found in {root}") from error
     d = d.select(_session("path").alias("session"), F.regexp_replace("path", "/metadata.json$", "").alias("path"), F.col("modificationTime").alias("modified"))
-    if d.isEmpty():
-        raise FileNotFoundError(f"no recordings found in {root}")
     return d.orderBy("session")
 
 
@@ -162,12 +165,13 @@ def decode_png16(data: bytes) -> np.ndarray | None:
 def depth_frames(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
     """(session, filename, h, w, depth) of every depth image; h, w and depth are null where it can't be read.
 
-    With wanted (session, filename), only those are decoded.
+    With wanted (session, and filename where it has one), only those are decoded.
     """
     d = spark.read.format("binaryFile").load(f"{root}/*/depth/*.png")
     d = d.select(_session("path").alias("session"), F.concat(F.lit("depth/"), F.element_at(F.split("path", "/"), -1)).alias("filename"), "content")
     if wanted is not None:
-        d = d.join(small(wanted.select("session", "filename"), 96), ["session", "filename"], "left_semi").select("session", "filename", "content")
+        keys = [c for c in ("session", "filename") if c in wanted.columns]
+        d = d.join(small(wanted.select(*keys), 96), keys, "left_semi").select("session", "filename", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

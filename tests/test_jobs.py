@@ -64,7 +64,7 @@ def test_recordings_are_found(spark, root, tmp_path):
     assert [r.session for r in recordings.sessions(spark, str(root)).collect()] == ["2024_a", "2024_b", "2024_c", "2024_flat", "2024_none"]
     assert recordings.newest_recording(spark, str(root)) in ("2024_none", "2024_flat")
     (tmp_path / "x").mkdir()
-    with pytest.raises(Exception, match="no recordings|PATH_NOT_FOUND|does not exist"):
+    with pytest.raises(FileNotFoundError, match="no recordings found in"):
         recordings.sessions(spark, str(tmp_path))
 
 
@@ -272,3 +272,47 @@ def test_pauses_and_warming_again(spark, tmp_path):
         reader.frame(np.full((H, W), 9000), mean_model)
     assert reader.fitted is fit and reader.warming is None and "cm" in reader.problem
     assert reader.frame(scene(seed=5)[0], mean_model) is None and reader.frame(scene(seed=6)[0], mean_model) is not None
+
+
+def test_exports_of_all_sessions(spark, root, tmp_path):
+    """Each session by its own lens, face and distance; names, notes and files."""
+    log, images, meta = inputs(spark, root)
+    meta = recordings.metadata(spark, str(root)).select("session", "depth_scale", "camera")
+    log, meta = (d.where("session IN ('2024_a', '2024_b')") for d in (log, meta))
+    lens = meta.withColumn("camera", F.when(F.col("session") == "2024_b", F.col("camera").withField("depth_intrinsics.fx", F.lit(220.0))).otherwise(F.col("camera")))
+    decode = lambda wanted: recordings.depth_frames(spark, str(root), wanted)
+    how = export.How(label="neutral", expected_distance_m=0.145)
+    got = {r.session: r for r in export.export_sessions(log, decode, lens, PARAMS, how).collect()}
+    one = export.export_sessions(log.where("session = '2024_a'"), images, meta, PARAMS, export.How(label="neutral", expected_distance_m=0.145)).first()
+    assert set(got) == {"2024_a", "2024_b"} and got["2024_a"].name == "2024_a_neutral_avg8from000000_mesh.ply" and len(got["2024_a"].vertices) > 300
+    assert got["2024_a"].vertices == one.vertices and "temporal median of 8 frames" in one.note and one.note.endswith("labelled neutral")
+    wide, narrow = (np.ptp([v.x for v in got[s].vertices]) for s in ("2024_a", "2024_b"))
+    assert narrow < 0.7 * wide and got["2024_a"].advice is None and len(got["2024_a"].normals) == len(got["2024_a"].vertices)
+    # The wall fills most of the view: what is measured is its distance, where there is no face.
+    wall = export.export_sessions(log, decode, meta, PARAMS, export.How(label="neutral", auto_distance=True)).collect()
+    measured = {r.session: r.distance for r in export.session_distances(images.where("filename = 'depth/depth_000000.png'"), SCALE).collect()}
+    assert 500 < measured["2024_a"] < 600 and all(abs(v.z - measured[r.session]) <= 80 for r in wall for v in r.vertices[:50]) and len(wall) == 2
+    # A frame that can't be read counts for nothing: 17 is broken in every session.
+    broken = {r.tag for r in export.export_sessions(log, decode, meta, PARAMS, export.How(span=(15, 19))).collect()}
+    assert broken == {"avg3from000015"}
+    empty = export.export_sessions(log, images, meta, PARAMS, export.How(frame=3, depth_range=(2.0, 3.0), full_frame=True)).collect()
+    assert len(empty) == 2 and all(r.vertices == [] and r.faces == [] and "a surface at" in r.advice and r.tag == "frame000003" for r in empty)
+    points = export.How(sequence=True, every=5, points=True, decimate=2, center=True, units="m")
+    rows = export.export_sessions(log, images, meta, PARAMS, points)
+    assert {r.name for r in rows.collect()} == {f"{s}_3d/frame_{k:06d}.ply" for s in ("2024_a", "2024_b") for k in (0, 5, 10, 15)}
+    assert all(r.faces == [] and abs(np.mean([v.z for v in r.vertices])) < 1e-9 for r in rows.collect())
+    assert export.write_exports(rows, str(tmp_path / "out"), points) == 8
+    assert sorted(p.name for p in (tmp_path / "out" / "2024_b_3d").iterdir()) == [f"frame_{k:06d}.ply" for k in (0, 5, 10, 15)]
+    text_of = (tmp_path / "out" / "2024_b_3d" / "frame_000005.ply").read_bytes()[:400]
+    assert b"comment from 2024_b" in text_of and b"comment units m; camera axes" in text_of and b"comment frame 5 label=neutral" in text_of
+
+
+def test_the_face_is_looked_for_in_the_first_neutral_rows(spark, monkeypatch):
+    """Two neutral rows at the start and more after place 5000: both count."""
+    rows = [("s", k, f"f{k}", "neutral" if k < 2 or k > 5000 else "x") for k in [*range(0, 20), *range(5001, 5006)]]
+    log = spark.createDataFrame(rows, "session string, pos int, filename string, label string")
+    images = spark.createDataFrame([("s", f"f{p}", H, W, scene(0.15, seed=p)[0].ravel().tolist()) for _, p, _, x in rows if x == "neutral"], "session string, filename string, h int, w int, depth array<int>")
+    r = export.face_region(images, log, PARAMS, SCALE).first()
+    assert r.roi is not None and r.reference_mm == preprocess.fit(images, PARAMS, SCALE).first().reference_mm
+    monkeypatch.setattr(export, "FACE_FRAMES", 2)
+    assert export.face_region(images, log, PARAMS, SCALE).first().roi is None
