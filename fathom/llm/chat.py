@@ -40,9 +40,10 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 
 
 def paths(value: Any, at: str = "") -> set[str]:
-    """The paths of all leaves; items of a list share one path, [] stands for an item."""
+    """The paths of all leaves; items of a list share one path, [] stands for an item. A backslash tells a key's own "." or "[" from these."""
     if isinstance(value, dict):
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else {at}
+        named = ((re.sub(r"[\\.\[]", r"\\\g<0>", k), v) for k, v in value.items())
+        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in named)) if value else {at}
     if isinstance(value, list):
         return set().union(*(paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
     return {at}
@@ -139,7 +140,8 @@ def format_records(records: DataFrame, id_col: str, order_col: str, record_col:
 
     record_col holds JSON. nth counts the turns of a record from 0. loss_start and
     loss_end are code points of formatted. A record that isn't JSON, is nested too
-    deep to be read, or whose fingerprint no mapping has, gives one row with a null formatted. The formatted
+    deep to be read, holds an unpaired surrogate in a turn, or whose fingerprint no mapping has, gives
+    one row with a null formatted. The formatted
     conversation of an id is its rows' formatted texts, joined in the order of
     (order, nth). A null record is such an unknown one; an empty list of turns
     gives no row. Rows stay in their partitions.
@@ -156,9 +158,11 @@ def format_records(records: DataFrame, id_col: str, order_col: str, record_col:
             for i, data in enumerate(batch.column(2).to_pylist()):
                 try:
                     turns = canonical(json.loads(data), mappings) if data is not None else None
-                except (ValueError, RecursionError):  # not JSON, or nested too deep for a conversation
-                    turns = None
-                made = [(None, 0, 0)] if turns is None else [format_turn(*t) for t in turns]
+                    made = [(None, 0, 0)] if turns is None else [format_turn(*t) for t in turns]
+                    for line, _, _ in made:
+                        (line or "").encode()
+                except (ValueError, RecursionError):  # not JSON, nested too deep for a conversation, or half of a surrogate pair
+                    made = [(None, 0, 0)]
                 of += [i] * len(made)
                 nth += range(len(made))
                 lines += made

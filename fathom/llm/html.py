@@ -42,6 +42,8 @@ MAIN = frozenset("article main".split())
 #: Elements that can hold a page's main part.
 PARTS_OF = frozenset("html body div section article main td tr table tbody ul ol dl blockquote center".split())
 HEADINGS = frozenset("h1 h2".split())
+#: Elements of running text.
+BLOCKS = frozenset("p blockquote pre li dd dt td th figcaption h1 h2 h3 h4 h5 h6 q code em strong b i".split())
 # Words in class, id or role that speak for what isn't main text, and for what is.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar"
@@ -66,17 +68,21 @@ _WORDS = re.compile(r"[a-z]+")
 
 TEXT = "#"
 HIDDEN = "!"
-#: Words of an element's class, id and role that its symbol keeps.
+#: Words of an element's class, id and role up to which its symbol keeps those that say nothing.
 NAMES = 4
 
 
 def _names(attrs: str) -> list[str]:
-    """The words of class, id and role, in lower case, numbers of two digits or more folded."""
+    """The words of class, id and role, in lower case, numbers of two digits or more folded: all that say something, and others up to NAMES."""
     out: list[str] = []
     for m in _ATTR.finditer(attrs):
         if m[1].lower() in ("class", "id", "role"):
             out += re.sub(r"\d\d+", "0", (m[2] or m[3] or m[4] or "").lower()).split()
-    return sorted(set(out))[:NAMES]
+    words = sorted(set(out))
+    if len(words) <= NAMES:
+        return words
+    telling = [w for w in words if _said(w)]
+    return sorted(telling + [w for w in words if not _said(w)][: max(0, NAMES - len(telling))])
 
 
 def _symbol(name: str, attrs: str) -> str:
@@ -465,7 +471,8 @@ def main_slots(matcher: Matcher, seen: dict[int, Seen]) -> set[int]:
     do. From the whole page on, the part with nearly all of the weight is entered,
     unless it is main already or a heading stands beside it. There every slot
     counts but template, what is aside, and, where a part of it is marked as main
-    with most of the weight, what stands outside of that.
+    with most of the weight, what stands outside of that. Text that never changes
+    is no template inside of what is main, nor as running text of the part.
     """
     symbols = matcher.symbol
     inside = nesting(symbols)
@@ -519,10 +526,18 @@ def main_slots(matcher: Matcher, seen: dict[int, Seen]) -> set[int]:
     if marked and marked >= held[region] / 2:
         here = [i for i in here if main[inside[i]]]
 
+    # Inside of what is main, or of a part that was entered, running text that never changes belongs to it,
+    # unless the like of its element holds template elsewhere.
+    within = set(here)
+    elsewhere = {symbols[inside[i]] for i in slots if i not in within and template(i)}
+
+    def belongs(i: int) -> bool:
+        return main[inside[i]] and of(i) == "m" or region >= 0 and inside[i] >= 0 and name[inside[i]] in BLOCKS and symbols[inside[i]] not in elsewhere
+
     def kept(i: int) -> bool:
         s, k = seen.get(i, none), of(i)
         # Perhaps aside: only if it is mostly links.
-        return k not in ("-", "X") and not template(i) and not (k == "x" and s.links * 2 > s.chars)
+        return k not in ("-", "X") and (not template(i) or belongs(i)) and not (k == "x" and s.links * 2 > s.chars)
 
     return {i for i in here if kept(i)}
 

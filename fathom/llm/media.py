@@ -73,9 +73,13 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("no pixels, or no such samples")
     kind = np.dtype(np.uint8 if most < 256 else ">u2")
     n = width * height * channels
+    if n > 8 * len(data):  # not even a bit for each sample
+        raise ValueError("short Netpbm image")
     if plain:
         body = re.sub(rb"#[^\r\n]*", b"", data[at:])
         values = [int(x) for x in (re.findall(rb"[01]", body) if bitmap else body.split())[:n]]
+        if values and not 0 <= min(values) <= max(values) <= most:
+            raise ValueError("sample beyond the maximum")
         out = np.array(values, np.uint8 if most < 256 else np.uint16)
     elif bitmap:
         rows = np.frombuffer(data, np.uint8, (width + 7) // 8 * height, at + 1).reshape(height, -1)
@@ -97,6 +101,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height:
         raise ValueError("unsupported BMP")
     row = (width * bits + 31) // 32 * 4
+    if start + row * abs(height) > len(data):
+        raise ValueError("short BMP image")
     rows = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)
     rows = rows[::-1] if height > 0 else rows
     if bits >= 24:
@@ -116,7 +122,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 #: What a broken image raises when it is decoded.
-BROKEN = (ValueError, KeyError, IndexError, struct.error)
+BROKEN = (ValueError, KeyError, IndexError, OverflowError, struct.error)
 
 
 def decode(data: bytes) -> np.ndarray:

@@ -23,7 +23,7 @@ STEPS = 4
 PORTIONS = 64
 #: A group over 1 / ALONE of all bytes, tokens or rows is placed by itself: 3 * ALONE of them at most.
 ALONE = 4096
-#: A group over one shard's share is placed in so many parts, by the hash of the row's id.
+#: A group over one shard's share is placed in so many parts, by a hash of each row.
 PARTS = 64
 
 NAMES = ["bytes", "tokens", "rows"]
@@ -50,7 +50,8 @@ def place(measures: DataFrame, n_shards: int = 16, id_col: str = "doc_id", rows_
     """The rows of measured() with shard and slot; the struct _m goes.
 
     Equal texts share a shard unless they exceed a shard's share of bytes, tokens
-    or rows; such a group is split by the hash of the id. slot counts from 0 in
+    or rows; such a group is split by a hash of each row. measures is a
+    stored table. slot counts from 0 in
     each shard without gaps, in the order of the id's hash. A null text is
     an empty text, null ids are placed like any other, rows that agree in id and
     text are interchangeable, an empty table gives an empty table.
@@ -128,11 +129,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         F.crc32(text.cast("binary")).alias("crc"),
         word_count(F.col(text_col)).alias("tokens"),
         F.md5(text.cast("binary")).alias("text"),
-        F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(PARTS)).alias("part"),
+        # The row's place is in it, so that rows of one id are split too.
+        F.pmod(F.xxhash64(F.lit(1), id_col, F.monotonically_increasing_id()), F.lit(PARTS)).alias("part"),
     )
     return docs.select(m.alias("_m"))
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with size, text_crc32, shard and slot; see place(). Columns of docs with these names are replaced."""
-    return place(measured(docs, id_col, text_col), n_shards, id_col)
+    return place(stored(measured(docs, id_col, text_col), "sharding"), n_shards, id_col)
