@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
-import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.text import label_list
+from fathom.operators.depth import column_of
 from fathom.operators.tables import small
+from fathom.sources.png import decode_many
+
+#: Images that are decoded together.
+DECODED = 32
 
 #: Columns of a frame log, by name; their order in the file doesn't matter, and label and trial_id may be absent.
 LOG = "frame_index filename device_timestamp_ms host_time_unix host_time_iso label trial_id".split()
@@ -117,51 +120,6 @@ def previous_splits(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.explode(parsed).alias("session", "info")).select("session", "info.split")
 
 
-def decode_png16(data: bytes) -> np.ndarray | None:
-    """The pixels of a 16-bit grey PNG without interlace; None for anything else."""
-    try:
-        if data[:8] != b"\x89PNG\r\n\x1a\n":
-            return None
-        at, body, head = 8, [], None
-        while at < len(data):
-            size, kind = struct.unpack_from(">I4s", data, at)
-            chunk = data[at + 8 : at + 8 + size]
-            at += size + 12
-            if kind == b"IHDR":
-                head = struct.unpack(">IIBBBBB", chunk)
-            elif kind == b"IDAT":
-                body.append(chunk)
-        if head is None or head[2:4] != (16, 0) or head[6]:
-            return None
-        width, height = head[:2]
-        raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, 1 + 2 * width)
-    except (struct.error, zlib.error, ValueError):
-        return None
-    out = np.zeros((height + 1, 2 * width), np.uint8)
-    for y in range(height):
-        line, above = raw[y, 1:], out[y]
-        if raw[y, 0] == 0:
-            out[y + 1] = line
-        elif raw[y, 0] == 1:
-            out[y + 1] = np.cumsum(line.reshape(-1, 2), axis=0, dtype=np.uint8).ravel()
-        elif raw[y, 0] == 2:
-            out[y + 1] = line + above
-        elif raw[y, 0] <= 4:
-            own, up, left = [0, 0], [0, 0, *above.tolist()], raw[y, 0] == 3
-            for k, x in enumerate(line.tolist()):
-                a, b, c = own[k], up[k + 2], up[k]
-                if left:
-                    guess = (a + b) // 2
-                else:
-                    pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
-                own.append((x + guess) & 255)
-            out[y + 1] = own[2:]
-        else:
-            return None
-    return out[1:].view(">u2").astype(np.int32)
-
-
 def depth_frames(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
     """(session, filename, h, w, depth) of every depth image; h, w and depth are null where it can't be read.
 
@@ -175,11 +133,12 @@ def depth_frames(spark: SparkSession, root: str, wanted: DataFrame | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                image = decode_png16(batch.column(2)[k].as_py())
-                h, w = (None, None) if image is None else image.shape
-                columns = [pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([None if image is None else image.ravel()], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), *columns], names=["session", "filename", "h", "w", "depth"])
+            for lo in range(0, len(batch), DECODED):
+                part = batch.slice(lo, DECODED)
+                made = decode_many(part.column(2).to_pylist())
+                sides = [pa.array([None if x is None else x.shape[k] for x in made], pa.int32()) for k in (0, 1)]
+                depth = column_of([None if x is None else x.ravel() for x in made], "array<int>")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *sides, depth], names=["session", "filename", "h", "w", "depth"])
 
     return d.mapInArrow(run, "session string, filename string, h int, w int, depth array<int>")
 
