@@ -470,7 +470,7 @@ def live_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = stream.select(F.col("label").cast("string").alias("session"), F.timestamp_seconds("vec_id").alias("ts"), F.col("vec_id").alias("nth"), F.lit(8).alias("h"), F.lit(8).alias("w"), raw.alias("depth"), F.lit(None).cast("string").alias("control"))
     params = Params(out_size=4, expected_distance_m=0.15, search_band_m=0.05, clip_mm=30.0, min_relief_mm=0.5)
     d = live.live_readout(stream, mean_model, ["near", "far"], params, SCALE, "deform", length=4, every=2, warm_frames=8)
-    return live.run_available(d, shared_path(spark, "readout")).select("session", "ts", "top_label", steps("confidence", 1e6).alias("confidence"))
+    return live.run_available(d, shared_path(spark, "readout")).where("problem IS NULL").select("session", "ts", "top_label", steps("confidence", 1e6).alias("confidence"))
 
 
 def mean_model(x):

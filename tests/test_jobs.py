@@ -254,7 +254,8 @@ def test_live_equals_batch(spark, tmp_path):
             want.append(smoothed)
     np.testing.assert_allclose([r.p for r in got], want, atol=1e-9)
     assert all(r.top_label == ["up", "down"][int(np.argmax(r.p))] and r.confidence == max(r.p) for r in got)
-    log = live.prediction_log(spark.createDataFrame(got), ["up", "down"]).first()
+    told = "session string, ts timestamp, top_label string, confidence double, p array<double>, problem string"
+    log = live.prediction_log(spark.createDataFrame(got, told), ["up", "down"]).first()
     assert log.p_up == f"{got[0].p[0]:.4f}" and log.host_time_unix == "0.700000"
 
 
@@ -316,3 +317,31 @@ def test_the_face_is_looked_for_in_the_first_neutral_rows(spark, monkeypatch):
     assert r.roi is not None and r.reference_mm == preprocess.fit(images, PARAMS, SCALE).first().reference_mm
     monkeypatch.setattr(export, "FACE_FRAMES", 2)
     assert export.face_region(images, log, PARAMS, SCALE).first().roi is None
+
+
+def test_a_warm_up_ends_and_tells_its_problem(spark, tmp_path):
+    """Far frames fail to fit, the next four do; a frame of another shape is told of."""
+    far = np.full((H, W), 9000)
+    good = [scene(0.15, seed=k)[0] for k in range(12)]
+    shown = [*(("far", far, k * 0.1) for k in range(4)), *(("warm", good[k], 10.0 + 4.9 * k) for k in range(5)), *(("clip", good[5 + k], 40.0 + k) for k in range(4)), ("odd", far[:, :-2], 50.0), ("clip", good[9], 51.0), ("clip", good[10], 52.0)]
+    rows = pd.DataFrame([("s", at, k, *x.shape, x.ravel().tolist(), None) for k, (_, x, at) in enumerate(shown)], columns=["session", "at", "nth", "h", "w", "depth", "control"], dtype=object)
+    got = run_live(spark, tmp_path, rows, [2, 6, 11])
+    # Four frames up to 24.7 s are the warm-up; those at 42 and 51 s are the fourth and sixth after it.
+    told = [(round(r.ts.timestamp(), 3), r.problem) for r in got]
+    assert "cm" in got[0].problem and got[0].p is None and told[0][0] == 0.3
+    assert told[1:] == [(42.0, None), (50.0, f"a frame of {H}x{W - 2}, the session is fitted on {H}x{W}"), (51.0, None)]
+
+
+def test_too_few_frames_are_no_warm_up():
+    reader = live.Reader(PARAMS, SCALE, "absolute", 2, 1, 0.6, 45)
+    image = scene(seed=1)[0]
+    assert reader.frame(image, mean_model, 0.0) is None and reader.frame(image, mean_model, 19.9) is None and reader.frame(image, mean_model, 20.0) is None
+    assert reader.reports == ["the warm-up got 2 frames"] and len(reader.warming) == 1 and reader.since == 20.0
+    for k in range(3):
+        reader.frame(scene(seed=k)[0], mean_model, 21.0 + k)
+    assert reader.frame(image, mean_model, 40.0) is None and reader.warming is None and len(reader.buffer) == 1
+    other = live.Reader(PARAMS, SCALE, "absolute", 2, 1, 0.6, 45)
+    other.restore(reader.kept())
+    assert other.fitted["roi"] == reader.fitted["roi"] and np.array_equal(other.buffer[0], reader.buffer[0], equal_nan=True) and other.count == 1
+    assert other.frame(image[:, :-1], mean_model, 41.0) is None and "the session is fitted on" in other.reports[0]
+    assert other.frame(image, mean_model, 42.0).tolist() == reader.frame(image, mean_model, 42.0).tolist()
