@@ -27,18 +27,24 @@ def label_list(lines: DataFrame) -> DataFrame:
     return every.select(F.posexplode(named).alias("nth", "label"))
 
 
+#: A whole number between blanks. Failing casts are dear, so texts are matched first.
+_WHOLE = r"[\s\x00-\x1f]*[+-]?[0-9]+[\s\x00-\x1f]*"
+
+
 def parse_roi(text: Column) -> Column:
     """struct(x, y, side) of "X,Y,SIDE", exactly three whole numbers; null for anything else."""
+    likely = text.rlike(f"\\A{_WHOLE},{_WHOLE},{_WHOLE}\\z")
     part = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("int"))
     whole = (F.size(part) == 3) & ~F.exists(part, lambda x: x.isNull())
-    return F.when(whole, F.struct(part[0].alias("x"), part[1].alias("y"), part[2].alias("side")))
+    return F.when(likely, F.when(whole, F.struct(part[0].alias("x"), part[1].alias("y"), part[2].alias("side"))))
 
 
 def parse_range(text: Column) -> Column:
     """struct(start, end) of "START:END"; null for anything else."""
+    likely = text.rlike(f"\\A{_WHOLE}:{_WHOLE}\\z")
     part = F.transform(F.split(text, ":"), lambda x: F.trim(x).try_cast("int"))
     whole = (F.size(part) == 2) & ~F.exists(part, lambda x: x.isNull())
-    return F.when(whole, F.struct(part[0].alias("start"), part[1].alias("end")))
+    return F.when(likely, F.when(whole, F.struct(part[0].alias("start"), part[1].alias("end"))))
 
 
 def frame_filename(index: Column) -> Column:

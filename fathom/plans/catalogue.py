@@ -365,13 +365,13 @@ def mesh_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.mesh_faces(image_meshes(spark, sf_dir), "vec_id").drop("nth")
 
 
-@query("""WITH l AS (SELECT vec_id, k, exp(embedding[k]::DOUBLE) AS e FROM (SELECT vec_id, embedding, unnest([1, 2, 3, 4]) AS k FROM embeddings)), s AS (SELECT *, sum(e) OVER (PARTITION BY vec_id) AS t FROM l)
-  SELECT vec_id, (k - 1)::INT AS top, floor(e / t * 1e9)::BIGINT AS confidence FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, k) = 1""")
+@query("""WITH l AS (SELECT vec_id, k, exp(embedding[k]::DOUBLE) AS e FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS k FROM embeddings)), s AS (SELECT *, sum(e) OVER (PARTITION BY vec_id) AS t FROM l)
+  SELECT vec_id, (k - 1)::INT AS top, floor(e / t * 1e9 + 1 / 3.0::DOUBLE)::BIGINT AS confidence FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY e DESC, k) = 1""")
 def softmax_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 4), F.exp)
+    e = F.transform(F.col("embedding").cast("array<double>"), F.exp)
     d = read(spark, sf_dir, "embeddings").select("vec_id", e.alias("e")).withColumn("t", F.aggregate("e", F.lit(0.0), lambda s, x: s + x))
     top = F.array_max("e")
-    return d.select("vec_id", (F.array_position("e", top) - 1).cast("int").alias("top"), F.floor(top / F.col("t") * 1e9).alias("confidence"))
+    return d.select("vec_id", (F.array_position("e", top) - 1).cast("int").alias("top"), F.floor(top / F.col("t") * 1e9 + 1 / 3).alias("confidence"))
 
 
 # More of sessions and clips.

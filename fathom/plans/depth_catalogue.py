@@ -203,13 +203,13 @@ def depth_shades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depth.depth_shades(d, "vec_id").select("vec_id", "px", steps("shade", 1e6).alias("shade"))
 
 
-@query(f"""WITH RECURSIVE {RAW}, q AS (SELECT session, pos, r, c, r * 16 + c AS px FROM px WHERE d BETWEEN 0.15 AND 0.17 AND pos < 30),
+@query(f"""WITH RECURSIVE {RAW}, q AS (SELECT session, pos, r, c, r * 16 + c AS px FROM px WHERE d BETWEEN 0.15 AND 0.17),
   w(session, pos, px, r, c, root) AS (SELECT session, pos, px, r, c, px FROM q UNION
     SELECT q.session, q.pos, q.px, q.r, q.c, w.root FROM w JOIN q ON q.session = w.session AND q.pos = w.pos AND abs(q.r - w.r) <= 1 AND abs(q.c - w.c) <= 1),
   part AS (SELECT session, pos, px, min(root) AS root FROM w GROUP BY session, pos, px), n AS (SELECT session, pos, root, count(*) AS n FROM part GROUP BY ALL)
   SELECT session, pos, CASE WHEN max(n) >= 40 THEN max(n) ELSE sum(n) END::INT AS n, CASE WHEN max(n) >= 40 THEN count(*) - 1 ELSE 0 END::INT AS others FROM n GROUP BY session, pos""")
 def kept_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = raw_frames(spark, sf_dir).where("pos < 30").select("session", F.col("pos").cast("long").alias("pos"), depth.in_band(depth.metric(F.col("depth"), SCALE), 0.15, 0.17).alias("image"))
+    d = raw_frames(spark, sf_dir).select("session", F.col("pos").cast("long").alias("pos"), depth.in_band(depth.metric(F.col("depth"), SCALE), 0.15, 0.17).alias("image"))
     d = depth.keep_largest_surface(d, "image", 16, 40)
     return d.select("session", "pos", F.size(F.filter("image", lambda x: x.isNotNull())).alias("n"), "others").where("n > 0")
 
