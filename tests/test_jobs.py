@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.functions import text
-from fathom.operators import build, depth, export, preprocess
+from fathom.operators import build, depth, export, preprocess, snapshots
 from fathom.operators.preprocess import Params
 from fathom.sources import recordings
 from fathom.streaming import live
@@ -345,3 +345,40 @@ def test_too_few_frames_are_no_warm_up():
     assert other.fitted["roi"] == reader.fitted["roi"] and np.array_equal(other.buffer[0], reader.buffer[0], equal_nan=True) and other.count == 1
     assert other.frame(image[:, :-1], mean_model, 41.0) is None and "the session is fitted on" in other.reports[0]
     assert other.frame(image, mean_model, 42.0).tolist() == reader.frame(image, mean_model, 42.0).tolist()
+
+
+def test_snapshots_survive_broken_builds_and_bytes(spark, root, built, tmp_path, monkeypatch):
+    path = str(tmp_path / "dataset")
+    assert snapshots.load(spark, path) is None
+    first = snapshots.commit(built, path)
+    images = lambda tables: {(r.session, r.pos): r.rel for r in tables["rel"].collect()}
+    files = lambda: sorted(p for p in (tmp_path / "dataset" / "rel").rglob("*.parquet"))
+    back, old = snapshots.load(spark, path), files()
+    assert images(back) == images(built) and back["clips"].count() == 21 and len(old) == 3
+    # One session is changed; the build dies before the rename, and what was there is still read.
+    shutil.copytree(root, tmp_path / "r")
+    log = (tmp_path / "r" / "2024_b" / "frame_timestamps.csv").read_text()
+    (tmp_path / "r" / "2024_b" / "frame_timestamps.csv").write_text(log.replace("depth/depth_000003.png", "depth/depth_000004.png"))
+    again = build.build(*inputs(spark, tmp_path / "r"), PARAMS, OPTIONS, before=back)
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "_swap", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            snapshots.commit(again, path)
+    assert snapshots.current(spark, path)["snapshot"] == first and images(snapshots.load(spark, path)) == images(built)
+    actions = {r.session: r.action for r in again["sessions"].collect()}
+    second = snapshots.commit(again, path)
+    now = snapshots.load(spark, path)
+    assert second != first and {k: v for k, v in images(now).items() if k[0] != "2024_b"} == {k: v for k, v in images(built).items() if k[0] != "2024_b"}
+    # Sessions that didn't change keep their files: only those built are in the new snapshot.
+    assert sorted({p.parent.name for p in files() if f"snapshot={second}" in str(p)}) == [f"session={s}" for s, a in sorted(actions.items()) if a == "build"] and actions["2024_a"] == "reuse"
+    # A broken byte: the session is built again, the others are reused.
+    broken = next(p for p in old if "session=2024_a" in str(p))
+    data = bytearray(broken.read_bytes())
+    data[len(data) // 2] ^= 1
+    broken.write_bytes(bytes(data))
+    (broken.parent / f".{broken.name}.crc").unlink(missing_ok=True)
+    assert [r.session for r in snapshots.broken(spark, path).collect()] == ["2024_a"]
+    mended = build.build(*inputs(spark, tmp_path / "r"), PARAMS, OPTIONS, before=snapshots.load(spark, path))
+    assert {r.session: r.action for r in mended["sessions"].collect()} == {"2024_a": "build", "2024_b": "reuse", "2024_c": "reuse"}
+    snapshots.commit(mended, path)
+    assert snapshots.broken(spark, path).isEmpty() and images(snapshots.load(spark, path)) == images(now | {"rel": mended["rel"]})
