@@ -44,6 +44,7 @@ PARTS_OF = frozenset("html body div section article main td tr table tbody ul ol
 HEADINGS = frozenset("h1 h2".split())
 #: Elements of running text.
 BLOCKS = frozenset("p blockquote pre li dd dt td th figcaption h1 h2 h3 h4 h5 h6 q code em strong b i".split())
+LISTS = frozenset("ul ol dl table thead tbody tfoot tr figure".split())
 # Words in class, id or role that speak for what isn't main text, and for what is.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar"
@@ -472,7 +473,8 @@ def main_slots(matcher: Matcher, seen: dict[int, Seen]) -> set[int]:
     unless it is main already or a heading stands beside it. There every slot
     counts but template, what is aside, and, where a part of it is marked as main
     with most of the weight, what stands outside of that. Text that never changes
-    is no template inside of what is main, nor as running text of the part.
+    is no template inside of what is main, nor as running text of the part, where
+    it stands among text that does.
     """
     symbols = matcher.symbol
     inside = nesting(symbols)
@@ -526,13 +528,17 @@ def main_slots(matcher: Matcher, seen: dict[int, Seen]) -> set[int]:
     if marked and marked >= held[region] / 2:
         here = [i for i in here if main[inside[i]]]
 
-    # Inside of what is main, or of a part that was entered, running text that never changes belongs to it,
-    # unless the like of its element holds template elsewhere.
+    # Inside of what is main, or of a part that was entered, running text that never changes belongs to it where
+    # it stands among text that does (a box of its own is template), unless the like of its element holds template elsewhere.
     within = set(here)
     elsewhere = {symbols[inside[i]] for i in slots if i not in within and template(i)}
 
     def belongs(i: int) -> bool:
-        return main[inside[i]] and of(i) == "m" or region >= 0 and inside[i] >= 0 and name[inside[i]] in BLOCKS and symbols[inside[i]] not in elsewhere
+        e = inside[i]
+        while e >= 0 and (name[e] in BLOCKS or name[e] in LISTS):
+            e = inside[e]
+        known = main[inside[i]] and of(i) == "m" or region >= 0 and inside[i] >= 0 and name[inside[i]] in BLOCKS and symbols[inside[i]] not in elsewhere
+        return known and held[e] > 0
 
     def kept(i: int) -> bool:
         s, k = seen.get(i, none), of(i)
