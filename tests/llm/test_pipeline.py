@@ -222,7 +222,7 @@ def test_queries_with_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     got = queries.QUERIES[name](spark, sf_dir).toPandas()
     want = con.execute(queries.ORACLE[name]).fetch_df()
