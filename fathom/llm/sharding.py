@@ -1,41 +1,35 @@
 """Sharding by vector bin packing over bytes, tokens and rows.
 
-Groups are equal texts. Each group goes to the shard where the dot product of its
-vector and the residual capacity is highest. Groups whose vectors are alike to
-within a step of STEPS to the octave are a class: the classes, whose number the
-steps bound, are placed on the driver, each in equal portions of its groups; a
-group's portion follows from its rank in its class. Groups that are large against
-a shard are placed one by one.
+Groups are equal texts. Each group goes, by its own vector, to the shard where the
+dot product of that vector and the residual capacity is highest. Groups that are
+large against the whole are placed first, on the driver: their number is bounded.
+The others are dealt to parts of groups of about one size; a task places the groups
+of a part one by one into its part of the capacity that the large ones left.
 """
 
 from __future__ import annotations
 
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.mixing import word_count
 from fathom.llm.stage import sized, stored
 
-#: Steps of bytes, of tokens against bytes, and of copies, to the octave.
-STEPS = 4
-#: Portions that a class is placed in at most.
-PORTIONS = 64
-#: A group over 1 / ALONE of all bytes, tokens or rows is placed by itself: 3 * ALONE of them at most.
+#: A group over 1 / ALONE of all bytes, tokens or rows is placed on the driver: 3 * ALONE of them at most.
 ALONE = 4096
+#: Groups of a part of the others, about.
+PER_PART = 4096
 #: A group over one shard's share is placed in so many parts, by a hash of each row.
 PARTS = 64
 
 NAMES = ["bytes", "tokens", "rows"]
 
 
-def step_of(x: Column) -> Column:
-    return F.floor(F.log2(F.greatest(x.cast("double"), F.lit(1.0))) * STEPS).cast("int")
-
-
-def pack_vectors(vectors: np.ndarray, n_shards: int) -> np.ndarray:
-    """A shard for each row of vectors, whose columns sum to 1; large rows first, ties by place."""
-    room = np.full((n_shards, vectors.shape[1]), 1.0 / n_shards)
+def pack_vectors(vectors: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """A shard for each row of vectors; large rows first, ties by place. room, what each shard can take, is lessened."""
     out = np.empty(len(vectors), np.int64)
     for i in np.argsort(-vectors.max(axis=1), kind="stable"):
         v = vectors[i]
@@ -46,7 +40,49 @@ def pack_vectors(vectors: np.ndarray, n_shards: int) -> np.ndarray:
     return out
 
 
-def place(measures: DataFrame, n_shards: int = 16, id_col: str = "doc_id", rows_per_range: int = 100_000) -> DataFrame:
+def tiers(counts: dict[int, int], per_part: int = PER_PART) -> dict[int, tuple[int, int]]:
+    """Level: (tier, its number of parts), for the counts of groups by level, a level holding half the size of the one before.
+
+    A tier is one level or more that hold per_part groups together, so parts of it
+    hold about as many, but for the last tier, which may hold less.
+    """
+    out, here, n = {}, [], 0
+    for level in sorted(counts):
+        here.append(level)
+        n += counts[level]
+        if n >= per_part:
+            out |= {x: (here[0], n // per_part) for x in here}
+            here, n = [], 0
+    return out | {x: (here[0], 1) for x in here}
+
+
+def place_small(groups: DataFrame, total: np.ndarray, room: np.ndarray, per_part: int = PER_PART) -> DataFrame:
+    """(text, shard) of groups (text, bytes, tokens, rows, level), each placed by its own vector in a task of its part.
+
+    A part's capacity is room, shared out by the part's bytes, tokens and rows. The
+    shards are turned by the number of the part, so that ties and last groups
+    don't meet in the first ones.
+    """
+    sums = groups.groupBy("level").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in NAMES]).collect()  # a row per level: 64 at most
+    if not sums:
+        return groups.select("text", F.lit(0).alias("shard"))
+    parts_of = tiers({r.level: r.n for r in sums}, per_part)
+    every = np.array([[r[c] for c in NAMES] for r in sums], float).sum(axis=0).clip(1)
+    known = F.create_map(*[x for level, t in parts_of.items() for x in (F.lit(level), F.struct(F.lit(t[0]).alias("tier"), F.lit(t[1]).alias("parts")))])
+    own = F.element_at(known, F.col("level"))
+    d = groups.select("text", *NAMES, own["tier"].alias("tier"), F.pmod(F.xxhash64("text"), own["parts"]).alias("part"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("text", ignore_index=True)
+        vectors = rows[NAMES].to_numpy(float)
+        turn = (int(key[0]) + int(key[1])) % len(room)
+        chosen = pack_vectors(vectors / total, np.roll(room * (vectors.sum(axis=0) / every), turn, axis=0))
+        return pd.DataFrame({"text": rows["text"], "shard": ((chosen - turn) % len(room)).astype(np.int32)})
+
+    return d.groupBy("tier", "part").applyInPandas(run, "text string, shard int")
+
+
+def place(measures: DataFrame, n_shards: int = 16, id_col: str = "doc_id", rows_per_range: int = 100_000, per_part: int = PER_PART) -> DataFrame:
     """The rows of measured() with shard and slot; the struct _m goes.
 
     Equal texts share a shard unless they exceed a shard's share of bytes, tokens
@@ -60,16 +96,11 @@ def place(measures: DataFrame, n_shards: int = 16, id_col: str = "doc_id", rows_
     d = measures.select(F.col("_m.doc").alias("doc"), "_m.id", "_m.size", "_m.crc", "_m.tokens", "_m.text", "_m.part")
     sizes = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     # One row per different text.
-    groups = d.groupBy("text").agg(*sizes)
-    kind = F.struct(step_of(F.col("bytes")).alias("b"), step_of(F.col("bytes") / F.greatest("tokens", F.lit(1))).alias("t"), step_of(F.col("rows")).alias("r"))
-    groups = stored(groups.withColumn("kind", kind), "groups")
+    groups = stored(d.groupBy("text").agg(*sizes), "groups")
     total = groups.agg(*[F.sum(c).alias(c) for c in NAMES]).first()
     n = np.array([float(total[c] or 0) for c in NAMES]).clip(1)
     share = F.greatest(*[F.col(c) / float(x) for c, x in zip(NAMES, n, strict=True)])
     large = groups.where(share > 1 / ALONE).toPandas().sort_values("text", ignore_index=True)
-    classes = groups.where(share <= 1 / ALONE).groupBy("kind").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in NAMES]).toPandas()
-    classes["kind"] = [tuple(k) for k in classes["kind"]]
-    classes = classes.sort_values("kind", ignore_index=True)
 
     over = (large[NAMES] / n).max(axis=1) > 1 / n_shards if len(large) else np.zeros(0, bool)
     items = [(("text", t, None), v) for t, v in zip(large["text"][~over], large.loc[~over, NAMES].to_numpy(float), strict=True)] if len(large) else []
@@ -77,24 +108,11 @@ def place(measures: DataFrame, n_shards: int = 16, id_col: str = "doc_id", rows_
         split = spark.createDataFrame([(t,) for t in large["text"][over]], "text string")
         rows = d.join(F.broadcast(split), "text").groupBy("text", "part").agg(*sizes).toPandas().sort_values(["text", "part"])
         items += [(("part", t, int(p)), v) for t, p, v in zip(rows["text"], rows["part"], rows[NAMES].to_numpy(float), strict=True)]
-    for k, count, vector in zip(classes["kind"], classes["n"], classes[NAMES].to_numpy(float), strict=True):
-        portions = min(PORTIONS, int(count))
-        edges = [int(count) * i // portions for i in range(portions + 1)]
-        items += [(("class", k, (a, b)), vector * ((b - a) / count)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    shards = pack_vectors(np.array([v for _, v in items]) / n, n_shards) if items else []
-
-    # Each group's shard: by its own name, or by its rank among the groups of its class, counted in ranges of a hash.
-    ranges = max(1, int(classes["n"].sum()) // rows_per_range) if len(classes) else 1
-    small = groups.where(share <= 1 / ALONE).select("text", "kind", F.xxhash64("text").alias("h")).withColumn("range", F.pmod("h", F.lit(ranges)))
-    counts = small.groupBy("kind", "range").agg(F.count("*").alias("m"))
-    earlier = Window.partitionBy("kind").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("kind", "range", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("begin"))
-    rank = F.row_number().over(Window.partitionBy("kind", "range").orderBy("h", "text")) - 1
-    small = small.withColumn("rank", rank).join(counts, ["kind", "range"]).select("text", "kind", (F.col("rank") + F.col("begin")).alias("rank"))
-    runs = [(*key, a, b, int(s)) for ((what, key, span), _), s in zip(items, shards, strict=True) if what == "class" for a, b in [span]]
-    runs = spark.createDataFrame(runs, "b int, t int, r int, low long, high long, shard int")
-    fits = (F.col("kind.b") == F.col("b")) & (F.col("kind.t") == F.col("t")) & (F.col("kind.r") == F.col("r")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    of_text = small.join(F.broadcast(runs), fits).select("text", "shard")  # PORTIONS rows per class at most
+    room = np.full((n_shards, len(NAMES)), 1.0 / n_shards)
+    shards = pack_vectors(np.array([v for _, v in items]) / n, room) if items else []
+
+    level = F.floor(-F.log2(share)).cast("int").alias("level")
+    of_text = place_small(groups.where(share <= 1 / ALONE).select("text", *NAMES, level), n, room, per_part)
     own = spark.createDataFrame([(key, int(s)) for ((what, key, _), _), s in zip(items, shards, strict=True) if what == "text"], "text string, shard int")
     of_text = sized(stored(of_text.unionByName(own), "shards"), 48)
     halves = spark.createDataFrame([(key, p, int(s)) for ((what, key, p), _), s in zip(items, shards, strict=True) if what == "part"], "text string, part long, in_part int")

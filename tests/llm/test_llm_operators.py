@@ -584,7 +584,34 @@ def test_every_group_is_placed_by_the_dot_product():
         best = max(range(4), key=lambda s: (gain[s] if fits[s] or not any(fits) else -9, -s))
         want[i] = best
         room[best] = [a - b for a, b in zip(room[best], v[i], strict=True)]
-    assert sharding.pack_vectors(v, 4).tolist() == want
+    left = np.full((4, 3), 0.25)
+    assert sharding.pack_vectors(v, left).tolist() == want and np.allclose(left, room)
+
+
+def test_parts_of_small_groups_hold_groups_of_one_size():
+    assert sharding.tiers({12: 3, 13: 5, 14: 40, 15: 2, 17: 1}, 8) == {12: (12, 1), 13: (12, 1), 14: (14, 5), 15: (15, 1), 17: (15, 1)}
+    assert sharding.tiers({}) == {}
+
+
+def test_small_groups_are_placed_by_their_own_vectors(spark):
+    """Parts against plain placing, and the balance of all three measures over many parts."""
+    r = np.random.default_rng(4)
+    sizes = np.column_stack([1 + r.pareto(1.2, 6000) * 300, 1 + r.pareto(1.5, 6000) * 40, 1 + (r.random(6000) < 0.02) * r.integers(1, 6, 6000)]).astype(int)
+    sizes = np.minimum(sizes, sizes.sum(axis=0) // 500)  # larger groups never come here
+    total = sizes.sum(axis=0).astype(float)
+    level = np.floor(-np.log2((sizes / total).max(axis=1))).astype(int)
+    room = np.full((8, 3), 1 / 8)
+    rows = [(f"t{i:05d}", *map(int, x), int(k)) for i, (x, k) in enumerate(zip(sizes, level, strict=True))]
+    d = spark.createDataFrame(rows, "text string, bytes long, tokens long, rows long, level int")
+    whole = {x.text: x.shard for x in sharding.place_small(d, total, room, 10**6).collect()}
+    turn = level.min() % 8
+    want = (sharding.pack_vectors(sizes / total, room.copy()) - turn) % 8
+    assert [whole[x[0]] for x in rows] == want.tolist()
+    for per_part in (10**6, 200):
+        got = {x.text: x.shard for x in sharding.place_small(d, total, room, per_part).collect()}
+        used = np.zeros((8, 3))
+        np.add.at(used, [got[x[0]] for x in rows], sizes / total)
+        assert len(got) == 6000 and used.max() < 1.03 / 8
 
 
 def test_broken_media_give_nulls(spark):
