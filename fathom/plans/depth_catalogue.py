@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text
-from fathom.operators import build, depth, export, frames, preprocess
+from fathom.operators import build, depth, export, frames, preprocess, training
 from fathom.operators.preprocess import Params
 from fathom.operators.tables import shared_path, stored
 from fathom.plans.catalogue import CLIPS, EVENT_SPLIT, FRAMES, PIXELS, event_clips, event_frames, image_meshes, images, query, read
@@ -461,6 +461,31 @@ def training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.select("clip_id", "step", "cell", F.col("p.mask").cast("int").alias("mask"), steps(F.col("p.depth").cast("double")).alias("depth"))
 
 
+@query(f"""{BUILT}, x AS (SELECT clip_id, step, (v >= 2)::INT * 2 + (u >= 2)::INT AS block, (mm IS NOT NULL)::INT AS mask,
+    (CASE WHEN mm IS NULL THEN 0 ELSE greatest(-1, least(1, mm::FLOAT::DOUBLE / {PARAMS.clip_mm})) END)::FLOAT::DOUBLE AS depth
+  FROM (SELECT clip_id, session[2:]::INT AS session, start, unnest(range(0, 16)) AS step FROM clips) c JOIN relative r ON r.session = c.session AND r.pos = start + step)
+  SELECT clip_id, block::INT AS block, floor(avg(depth) * 1e4 + 1 / 3.0::DOUBLE)::BIGINT AS depth, floor((avg(depth) FILTER (step >= 8) - avg(depth) FILTER (step < 8)) * 1e4 + 1 / 3.0::DOUBLE)::BIGINT AS change,
+    floor(avg(mask) * 1e4 + 1 / 3.0::DOUBLE)::BIGINT AS mask FROM x GROUP BY clip_id, block""")
+def clip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a linear classifier reads of every clip of the build: depth, its change and validity by blocks."""
+    samples = build.dataset_clips(built_dataset(spark, sf_dir), PARAMS, None)
+    f = training.clip_features(samples, SIZE, 2).select("clip_id", *[F.slice("features", k * 4 + 1, 4).alias(c) for k, c in enumerate(("depth", "change", "mask"))])
+    d = f.select("clip_id", F.posexplode(F.arrays_zip("depth", "change", "mask")).alias("block", "x"))
+    return d.select("clip_id", "block", *[steps(f"x.{c}").alias(c) for c in ("depth", "change", "mask")])
+
+
+@query()
+def trained_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of a classifier of all labelled embeddings, a tenth of them for each of val and test. Tested against a plain fit."""
+    d = read(spark, sf_dir, "embeddings").where("label IS NOT NULL")
+    part = F.pmod(F.crc32(F.col("vec_id").cast("string")), F.lit(10))
+    split = F.when(part == 0, "test").when(part == 1, "val").otherwise("train").alias("split")
+    labels = [str(r.label) for r in d.select("label").distinct().orderBy("label").collect()]  # a vocabulary
+    y = F.array_position(F.array(*map(F.lit, labels)), F.col("label").cast("string")).cast("int") - 1
+    trained = training.train(d.select(split, y.alias("y"), F.col("embedding").alias("features")), labels, training.Options(epochs=12))
+    return trained["history"].select("epoch", "split", "n", *[steps(c, 1e6).alias(c) for c in ("loss", "acc", "macro_f1")])
+
+
 @query()
 def live_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live predictions over all embeddings as a stream of 8 x 8 frames of one label each; the model is the mean of depth and of validity. Tested against the batch operators."""
