@@ -13,7 +13,8 @@ from fathom.functions import text
 from fathom.operators import build, depth, export, frames, preprocess, training
 from fathom.operators.preprocess import Params
 from fathom.operators.tables import shared_path, stored
-from fathom.plans.catalogue import CLIPS, EVENT_SPLIT, FRAMES, PIXELS, event_clips, event_frames, image_meshes, images, query, read
+from fathom.plans.catalogue import CLIPS, EVENT_SPLIT, FRAMES, MESH, PIXELS, event_clips, event_frames, image_meshes, images, query, read
+from fathom.sources import ply
 from fathom.streaming import live
 
 SCALE = 0.0001
@@ -474,6 +475,21 @@ def clip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("clip_id", "block", *[steps(f"x.{c}").alias(c) for c in ("depth", "change", "mask")])
 
 
+@query(f"""WITH m AS ({MESH}), f AS (SELECT vec_id, count(*) AS faces, sum(i0 + 2 * i1 + 3 * i2)::BIGINT AS corners FROM m GROUP BY 1), {PIXELS},
+  v AS (SELECT vec_id, count(*) AS vertices, sum(floor(d::FLOAT::DOUBLE * 1e4 + 1 / 3.0::DOUBLE))::BIGINT AS z, sum(floor(((u - 3.5) * d / 6.0)::FLOAT::DOUBLE * 1e4 + 1 / 3.0::DOUBLE))::BIGINT AS x FROM p WHERE d > 0 GROUP BY 1)
+  SELECT vec_id, coalesce(vertices, 0) AS vertices, coalesce(z, 0) AS z, coalesce(x, 0) AS x, coalesce(faces, 0) AS faces, coalesce(corners, 0) AS corners FROM (SELECT DISTINCT vec_id FROM embeddings) LEFT JOIN v USING (vec_id) LEFT JOIN f USING (vec_id)""")
+def ply_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The meshes of all embeddings, written as PLY files and read back by the data source."""
+    ply.register(spark)
+    folder = shared_path(spark, "ply")
+    named = image_meshes(spark, sf_dir).withColumn("name", F.format_string("%d/%d.ply", F.pmod("vec_id", F.lit(16)), F.col("vec_id")))
+    named.select("name", "vertices", "faces").write.format("ply").mode("append").save(folder)
+    d = spark.read.format("ply").load(folder).withColumn("vec_id", F.regexp_extract("path", r"(\d+)\.ply$", 1).cast("long"))
+    total = lambda c: F.aggregate(f"vertices.{c}", F.lit(0).cast("long"), lambda s, v: s + steps(v))
+    corners = F.aggregate("faces", F.lit(0).cast("long"), lambda s, f: s + f["i0"] + 2 * f["i1"] + 3 * f["i2"])
+    return d.select("vec_id", F.size("vertices").cast("long").alias("vertices"), total("z").alias("z"), total("x").alias("x"), F.size("faces").cast("long").alias("faces"), corners.alias("corners"))
+
+
 @query()
 def trained_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history of a classifier of all labelled embeddings, a tenth of them for each of val and test. Tested against a plain fit."""

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,6 +144,14 @@ def depth_frames(spark: SparkSession, root: str, wanted: DataFrame | None = None
     return d.mapInArrow(run, "session string, filename string, h int, w int, depth array<int>")
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URL, and the path there; Spark's own folders are named file:/path."""
+    if "://" not in folder:
+        folder = f"file://{folder.removeprefix('file:')}"
+    system, root = fs.FileSystem.from_uri(folder)
+    return system, root.rstrip("/")
+
+
 def write_files(rows: DataFrame, name: str, content: str, folder: str) -> int:
     """One file per row under folder, a path or URL that executors can write to; name is its name, content its text or bytes.
 
@@ -152,9 +161,7 @@ def write_files(rows: DataFrame, name: str, content: str, folder: str) -> int:
     d = rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system, root = opened(folder)
         for batch in batches:
             for k in range(len(batch)):
                 path = f"{root}/{batch.column(0)[k].as_py()}"
