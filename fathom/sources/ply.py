@@ -19,6 +19,8 @@ from fathom.sources.recordings import opened
 
 #: Bytes of files that one task reads, about.
 PARTITION_BYTES = 64 << 20
+#: Bytes of files, and files, of a batch at most, but for one file over it.
+BATCH_BYTES, BATCH_FILES = 4 << 20, 1024
 #: Files that the commit moves at a time.
 MOVES = 16
 
@@ -101,6 +103,7 @@ class PlyReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, root = opened(self.folder)
+        rows, held = [], 0
         for path, nth in partition.files:
             with system.open_input_stream(f"{root}/{path}") as file:
                 data = file.read()
@@ -110,14 +113,25 @@ class PlyReader(DataSourceReader):
                 if self.fail_fast:
                     raise ValueError(f"no PLY file: {path}") from error
                 found = (None, None)
-            columns = [pa.array([path])] + ([pa.array([nth], pa.int32())] if self.sequence else [])
-            for values, kind in zip(found, _KINDS, strict=True):
-                if values is None:
-                    columns.append(pa.nulls(1, kind))
-                    continue
-                parts = [pa.array(np.ascontiguousarray(values[:, k])) for k in range(3)]
-                columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.StructArray.from_arrays(parts, [f.name for f in kind.value_type])))
-            yield pa.RecordBatch.from_arrays(columns, names=["path", *(["nth"] if self.sequence else []), "vertices", "faces"])
+            rows.append((path, nth, *found))
+            held += len(data)
+            if held >= BATCH_BYTES or len(rows) == BATCH_FILES:
+                yield self.batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield self.batch_of(rows)
+
+    def batch_of(self, rows: list[tuple]) -> pa.RecordBatch:
+        paths, places, *tables = zip(*rows, strict=True)
+        columns = {"path": pa.array(paths)} | ({"nth": pa.array(places, pa.int32())} if self.sequence else {})
+        for name, kind, values in zip(("vertices", "faces"), _KINDS, tables, strict=True):
+            fields = kind.value_type
+            whole = np.concatenate([np.zeros((0, 3), fields.field(0).type.to_pandas_dtype()), *[v for v in values if v is not None]])
+            parts = [pa.array(np.ascontiguousarray(whole[:, k])) for k in range(3)]
+            ends = pa.array(np.cumsum([0, *(0 if v is None else len(v) for v in values)]), pa.int32())
+            missing = pa.array([v is None for v in values])
+            columns[name] = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, [f.name for f in fields]), mask=missing)
+        return pa.RecordBatch.from_pydict(columns)
 
 
 @dataclass
