@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text
-from fathom.operators import build, depth, export, frames, preprocess, training
+from fathom.operators import build, depth, export, frames, network, preprocess, training
 from fathom.operators.preprocess import Params
 from fathom.operators.tables import shared_path, stored
 from fathom.plans.catalogue import CLIPS, EVENT_SPLIT, FRAMES, MESH, PIXELS, event_clips, event_frames, image_meshes, images, query, read
@@ -475,6 +475,46 @@ def clip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("clip_id", "block", *[steps(f"x.{c}").alias(c) for c in ("depth", "change", "mask")])
 
 
+#: A number of a small network, by its place.
+def parameter(k: str) -> str:
+    return f"((({k}) * 37) % 19 - 9) / 30::DOUBLE"
+
+
+def layer(name: str, before: str, first: int) -> str:
+    """A convolution of 2 channels, normalised by a mean of 0 and a variance of 1, and rectified; its numbers start at first."""
+    return f"""{name} AS (SELECT clip_id, o AS ch, t, v, u, greatest(0, total / sqrt(1 + 1e-5::DOUBLE) * {parameter(f"{first + 108} + o")} + {parameter(f"{first + 110} + o")}) AS x FROM (
+    SELECT clip_id, o, t - a + 1 AS t, v - b + 1 AS v, u - e + 1 AS u, sum(x * {parameter(f"{first} + o * 54 + c * 27 + a * 9 + b * 3 + e")}) AS total FROM {before} JOIN tap ON c = ch
+    WHERE t - a + 1 BETWEEN 0 AND 15 AND v - b + 1 BETWEEN 0 AND {SIZE - 1} AND u - e + 1 BETWEEN 0 AND {SIZE - 1} GROUP BY clip_id, o, t - a, v - b, u - e, t - a + 1, v - b + 1, u - e + 1))"""
+
+
+@query(f"""{BUILT}, made AS (SELECT clip_id, step::INT AS t, v, u, mm FROM (SELECT clip_id, session[2:]::INT AS session, start, unnest(range(0, 16)) AS step FROM clips) c JOIN relative r ON r.session = c.session AND r.pos = start + step),
+  x0 AS (SELECT clip_id, 0 AS ch, t, v, u, (CASE WHEN mm IS NULL THEN 0 ELSE greatest(-1, least(1, mm::FLOAT::DOUBLE / {PARAMS.clip_mm})) END)::FLOAT::DOUBLE AS x FROM made
+    UNION ALL SELECT clip_id, 1, t, v, u, (mm IS NOT NULL)::INT FROM made),
+  tap AS (SELECT o, c, a, b, e FROM range(0, 2) o(o), range(0, 2) c(c), range(0, 3) a(a), range(0, 3) b(b), range(0, 3) e(e)),
+  {layer("x1", "x0", 0)}, {layer("x2", "x1", 112)},
+  top AS (SELECT clip_id, ch, max(x) AS x FROM x2 WHERE v < {SIZE // 2 * 2} AND u < {SIZE // 2 * 2} GROUP BY clip_id, ch, t // 2, v // 2, u // 2),
+  m AS (SELECT clip_id, ch, avg(x) AS x FROM top GROUP BY ALL)
+  SELECT clip_id, k::INT AS class, floor((sum(x * {parameter("224 + k * 2 + ch")}) + {parameter("230 + k")}) * 1e4 + 1 / 3.0::DOUBLE)::BIGINT AS logit FROM m, range(0, 3) k(k) GROUP BY clip_id, k""")
+def clip_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a small convolutional network with stated numbers says of every clip of the build."""
+    samples = build.dataset_clips(built_dataset(spark, sf_dir), PARAMS, None)
+    net = network.Network(3, 2, ((2, 2, 2),))
+    theta = [((k * 37) % 19 - 9) / 30 for k in range(net.n_parameters)]
+    model = (preprocess.VERSION, ["0", "1", "2"], "absolute", 16, SIZE, net.width, [list(p) for p in net.pools], 0, "", theta, net.plain_moments().tolist())
+    d = network.predict(samples, spark.createDataFrame([model], network.MODEL).first())
+    return d.select("clip_id", F.posexplode("logits").alias("class", "z")).select("clip_id", "class", steps("z").alias("logit"))
+
+
+@query()
+def trained_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of a small convolutional network of all clips of the build. Tested against differences of its loss, and by what it learns."""
+    built = built_dataset(spark, sf_dir)
+    samples = build.dataset_clips(built, PARAMS, None).join(F.broadcast(built["splits"]), "session")  # three sessions
+    labels = [r.label for r in built["labels"].orderBy("label_id").collect()]  # a vocabulary
+    trained = network.train(samples, SIZE, labels, training.Options(epochs=3, rate=0.02), width=2, pools=((2, 2, 2),), clip_len=16)
+    return trained["history"].select("epoch", "split", "n", *[steps(c, 1e6).alias(c) for c in ("loss", "acc", "macro_f1")])
+
+
 @query(f"""WITH m AS ({MESH}), f AS (SELECT vec_id, count(*) AS faces, sum(i0 + 2 * i1 + 3 * i2)::BIGINT AS corners FROM m GROUP BY 1), {PIXELS},
   v AS (SELECT vec_id, count(*) AS vertices, sum(floor(d::FLOAT::DOUBLE * 1e4 + 1 / 3.0::DOUBLE))::BIGINT AS z, sum(floor(((u - 3.5) * d / 6.0)::FLOAT::DOUBLE * 1e4 + 1 / 3.0::DOUBLE))::BIGINT AS x FROM p WHERE d > 0 GROUP BY 1)
   SELECT vec_id, coalesce(vertices, 0) AS vertices, coalesce(z, 0) AS z, coalesce(x, 0) AS x, coalesce(faces, 0) AS faces, coalesce(corners, 0) AS corners FROM (SELECT DISTINCT vec_id FROM embeddings) LEFT JOIN v USING (vec_id) LEFT JOIN f USING (vec_id)""")
