@@ -21,6 +21,7 @@ from fathom.functions.text import UNLABELED, frame_times_ms
 from fathom.operators import frames, preprocess, splits
 from fathom.operators.preprocess import Params
 from fathom.operators.tables import small, stored
+from fathom.sources.png import encode_png_rgb
 
 # The quality gates, and what is only warned about.
 MAX_RAIL_FRAC, MIN_STD_MM, MIN_FACE_COVERAGE = 0.02, 0.5, 0.5
@@ -357,16 +358,51 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> dict[str, DataF
 
 
 def quality_tiles(built: dict[str, DataFrame], params: Params, n: int = 5) -> DataFrame:
-    """(session, nth, pos, tile): for a look at each session its reference (nth -1) and up to n evenly spaced frames, as bytes.
+    """(session, refused, nth, pos, tile): for a look at each session its reference (nth -1) and up to n evenly spaced frames, as bytes.
 
+    Sessions that the gates refused are among them, as they are the ones worth a
+    look; those without a fit, or of frames of several shapes, have nothing to show.
     0 to 255 span -clip_mm to clip_mm; missing pixels are null.
     """
     scaled = lambda image: F.transform(image, lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v / params.clip_mm + 1) / 2)) * 255).cast("int"))
     known = lambda image: F.transform(F.arrays_zip(image.alias("v"), scaled(image).alias("s")), lambda x: F.when(x["v"].isNotNull(), x["s"]))
-    picked = frames.even_sample(built["sessions"].select("session", "n_frames"), n).join(built["rel"], ["session", "pos"])
-    reference = built["states"].where("problem IS NULL").join(built["sessions"].select("session"), "session", "left_semi")
-    reference = reference.select("session", F.lit(-1).alias("nth"), F.lit(None).cast("int").alias("pos"), F.col("reference_image").alias("rel"))
-    return picked.select("session", "nth", "pos", "rel").unionByName(reference).select("session", "nth", "pos", known(F.col("rel")).alias("tile"))
+    out = built["stats"].join(built["refused"].select("session"), "session", "left_semi").groupBy("session").agg(F.count("*").alias("n_frames"), F.max("misfit").alias("misfit"))
+    out = out.where("NOT misfit").select("session", "n_frames", F.lit(True).alias("refused"))
+    shown = stored(built["sessions"].select("session", "n_frames", F.lit(False).alias("refused")).unionByName(out), "shown")
+    picked = frames.even_sample(shown.select("session", "n_frames"), n)
+    picked = built["rel"].join(small(picked, 64), ["session", "pos"]).select("session", "nth", "pos", "rel")
+    reference = built["states"].where("problem IS NULL").select("session", F.lit(-1).alias("nth"), F.lit(None).cast("int").alias("pos"), F.col("reference_image").alias("rel"))
+    return picked.unionByName(reference).join(small(shown, 64), "session").select("session", "refused", "nth", "pos", known(F.col("rel")).alias("tile"))
+
+
+#: Fixed value: the side of a tile of a picture, in pixels.
+TILE = 160
+
+
+def coloured(tile: np.ndarray, side: int = TILE) -> np.ndarray:
+    """A square image of 0 to 255 and NaN as side x side colours from blue over green to red, NaN black, each pixel by the nearest one."""
+    at = np.arange(side) * len(tile) // side
+    v = tile[at][:, at] / 255
+    rgb = np.stack([1.5 - np.abs(4 * v - k) for k in (3, 2, 1)], axis=-1)
+    return (np.clip(np.nan_to_num(rgb, nan=0.0), 0, 1) * 255).round().astype(np.uint8)
+
+
+def quality_pictures(built: dict[str, DataFrame], params: Params, n: int = 5) -> DataFrame:
+    """(name, content): a PNG of each session of quality_tiles(), its tiles in a row, the reference first; a refused one's name ends in _REFUSED.png.
+
+    recordings.write_files() makes them files. A session has n + 1 tiles, so a group is bounded.
+    """
+    side = params.out_size
+    kinds = pa.schema([("name", pa.string()), ("content", pa.binary())])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("nth").to_pylist(), table.column("tile").to_pylist(), strict=True), key=lambda r: r[0])
+        tiles = [coloured(np.array(tile, float).reshape(side, side)) for _, tile in rows]
+        name = f"{key[0].as_py()}{'_REFUSED' if key[1].as_py() else ''}.png"
+        return pa.Table.from_pylist([{"name": name, "content": encode_png_rgb(np.hstack(tiles))}], schema=kinds)
+
+    tiles = quality_tiles(built, params, n).select(F.col("session").cast("string").alias("session"), "refused", "nth", "tile")
+    return tiles.groupBy("session", "refused").applyInArrow(run, "name string, content binary")
 
 
 #: Places of a stretch of frames that clips are cut from; a multiple of what stands at its end a second time.

@@ -106,18 +106,33 @@ def decode_png16(data: bytes) -> np.ndarray | None:
     return decode_many([data])[0]
 
 
+def _file(width: int, height: int, depth: int, colour: int, lines: np.ndarray, level: int) -> bytes:
+    """A PNG of filtered lines."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 0)
+    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + chunk(b"IEND", b"")
+
+
+def _above(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes by their differences to the one above, each after the number of that filter."""
+    lines = np.empty((rows.shape[0], 1 + rows.shape[1]), np.uint8)
+    lines[:, 0] = 2
+    lines[0, 1:], lines[1:, 1:] = rows[0], rows[1:] - rows[:-1]
+    return lines
+
+
 def encode_png16(image: np.ndarray, level: int = 3) -> bytes:
     """A height x width image of 0 to 65535 as a grey PNG, each row by its difference to the one above."""
     height, width = image.shape
     if not height or not width or image.min() < 0 or image.max() > 65535:
         raise ValueError("a 16-bit image has pixels, from 0 to 65535")
-    rows = image.astype(">u2").view(np.uint8).reshape(height, 2 * width)
-    lines = np.empty((height, 1 + 2 * width), np.uint8)
-    lines[:, 0] = 2
-    lines[0, 1:], lines[1:, 1:] = rows[0], rows[1:] - rows[:-1]
+    return _file(width, height, 16, 0, _above(image.astype(">u2").view(np.uint8).reshape(height, 2 * width)), level)
 
-    def chunk(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
-    head = struct.pack(">IIBBBBB", width, height, 16, 0, 0, 0, 0)
-    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + chunk(b"IEND", b"")
+def encode_png_rgb(image: np.ndarray, level: int = 6) -> bytes:
+    """A height x width x 3 image of bytes as a colour PNG."""
+    height, width, _ = image.shape
+    return _file(width, height, 8, 2, _above(np.ascontiguousarray(image).reshape(height, 3 * width)), level)

@@ -135,6 +135,31 @@ def test_quality_tiles(spark, built):
     assert all(len(r.tile) == 256 and all(v is None or 0 <= v <= 255 for v in r.tile) for r in rows) and any(v is not None for v in rows[0].tile)
 
 
+def test_quality_pictures(spark, built, tmp_path):
+    import struct
+    import zlib
+
+    assert build.coloured(np.array([[0.0, np.nan], [127.5, 255.0]]), 4)[::2, ::2].tolist() == [[[0, 0, 128], [0, 0, 0]], [[128, 255, 128], [128, 0, 0]]]
+    # The gates refuse a session that was fitted: it is shown as such.
+    moved = built["sessions"].where("session = '2024_a'").select("session", F.lit("flat").alias("reason"))
+    refused = built | {"sessions": built["sessions"].where("session <> '2024_a'"), "refused": built["refused"].unionByName(moved)}
+    assert {(r.session, r.n) for r in build.quality_tiles(refused, PARAMS).where("refused").groupBy("session").agg(F.count("*").alias("n")).collect()} >= {("2024_a", 6)}
+    pictures = build.quality_pictures(refused, PARAMS, 3)
+    n = recordings.write_files(pictures, "name", "content", str(tmp_path / "qc"))
+    names = {p.name for p in (tmp_path / "qc").iterdir()}
+    assert len(names) == n and "2024_a_REFUSED.png" in names and {f"{r.session}.png" for r in refused["sessions"].collect()} <= names
+    tiles = {r.nth: r.tile for r in build.quality_tiles(refused, PARAMS, 3).where("session = '2024_a'").collect()}
+    data = (tmp_path / "qc" / "2024_a_REFUSED.png").read_bytes()
+    assert struct.unpack(">II", data[16:24]) == (4 * 160, 160)
+    raw = np.frombuffer(zlib.decompress(data[41 : 41 + struct.unpack(">I", data[33:37])[0]]), np.uint8).reshape(160, 1 + 3 * 640)
+    image = np.cumsum(raw[:, 1:], axis=0, dtype=np.uint8).reshape(160, 640, 3)
+    for k, nth in enumerate(sorted(tiles)):
+        for i, j in ((0, 0), (80, 80), (159, 30)):
+            v = tiles[nth][i * 16 // 160 * 16 + j * 16 // 160]
+            want = [0, 0, 0] if v is None else [round(min(1, max(0, 1.5 - abs(4 * v / 255 - c))) * 255) for c in (3, 2, 1)]
+            assert image[i, 160 * k + j].tolist() == want
+
+
 def test_training_samples(spark, built):
     absolute = build.dataset_clips(built, PARAMS, "train").collect()
     assert absolute and all(len(r.steps) == 4 and len(r.steps[0].depth) == 256 for r in absolute)
