@@ -505,16 +505,6 @@ def clip_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("clip_id", F.posexplode("logits").alias("class", "z")).select("clip_id", "class", steps("z").alias("logit"))
 
 
-@query()
-def trained_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The history of a small convolutional network of all clips of the build. Tested against differences of its loss, and by what it learns."""
-    built = built_dataset(spark, sf_dir)
-    samples = build.dataset_clips(built, PARAMS, None).join(F.broadcast(built["splits"]), "session")  # three sessions
-    labels = [r.label for r in built["labels"].orderBy("label_id").collect()]  # a vocabulary
-    trained = network.train(samples, SIZE, labels, training.Options(epochs=3, rate=0.02), width=2, pools=((2, 2, 2),), clip_len=16)
-    return trained["history"].select("epoch", "split", "n", *[steps(c, 1e6).alias(c) for c in ("loss", "acc", "macro_f1")])
-
-
 @query(f"""WITH m AS ({MESH}), f AS (SELECT vec_id, count(*) AS faces, sum(i0 + 2 * i1 + 3 * i2)::BIGINT AS corners FROM m GROUP BY 1), {PIXELS},
   v AS (SELECT vec_id, count(*) AS vertices, sum(floor(d::FLOAT::DOUBLE * 1e4 + 1 / 3.0::DOUBLE))::BIGINT AS z, sum(floor(((u - 3.5) * d / 6.0)::FLOAT::DOUBLE * 1e4 + 1 / 3.0::DOUBLE))::BIGINT AS x FROM p WHERE d > 0 GROUP BY 1)
   SELECT vec_id, coalesce(vertices, 0) AS vertices, coalesce(z, 0) AS z, coalesce(x, 0) AS x, coalesce(faces, 0) AS faces, coalesce(corners, 0) AS corners FROM (SELECT DISTINCT vec_id FROM embeddings) LEFT JOIN v USING (vec_id) LEFT JOIN f USING (vec_id)""")
@@ -530,15 +520,31 @@ def ply_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("vec_id", F.size("vertices").cast("long").alias("vertices"), total("z").alias("z"), total("x").alias("x"), F.size("faces").cast("long").alias("faces"), corners.alias("corners"))
 
 
-@query()
-def trained_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The history of a classifier of all labelled embeddings, a tenth of them for each of val and test. Tested against a plain fit."""
+def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """(vec_id, embedding, split, y) of all labelled embeddings, a tenth of them for each of val and test, and the labels."""
     d = read(spark, sf_dir, "embeddings").where("label IS NOT NULL")
     part = F.pmod(F.crc32(F.col("vec_id").cast("string")), F.lit(10))
     split = F.when(part == 0, "test").when(part == 1, "val").otherwise("train").alias("split")
     labels = [str(r.label) for r in d.select("label").distinct().orderBy("label").collect()]  # a vocabulary
     y = F.array_position(F.array(*map(F.lit, labels)), F.col("label").cast("string")).cast("int") - 1
-    trained = training.train(d.select(split, y.alias("y"), F.col("embedding").alias("features")), labels, training.Options(epochs=12))
+    return d.select("vec_id", "embedding", split, y.alias("y")), labels
+
+
+@query()
+def trained_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of a classifier of all labelled embeddings. Tested against a plain fit."""
+    d, labels = labelled(spark, sf_dir)
+    trained = training.train(d.select("split", "y", F.col("embedding").alias("features")), labels, training.Options(epochs=12))
+    return trained["history"].select("epoch", "split", "n", *[steps(c, 1e6).alias(c) for c in ("loss", "acc", "macro_f1")])
+
+
+@query()
+def trained_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of a convolutional network of all labelled embeddings, each a clip of four 4 x 4 steps. Tested against differences of its loss, and by what it learns."""
+    d, labels = labelled(spark, sf_dir)
+    step = lambda k: F.struct(F.slice("embedding", k * 16 + 1, 16).cast("array<float>").alias("depth"), F.array_repeat(F.lit(1.0).cast("float"), 16).alias("mask"))
+    samples = d.select("split", "y", F.col("vec_id").alias("clip_id"), F.array(*map(step, range(4))).alias("steps"))
+    trained = network.train(samples, 4, labels, training.Options(epochs=4, rate=0.05), width=4, pools=((2, 2, 2),), clip_len=4)
     return trained["history"].select("epoch", "split", "n", *[steps(c, 1e6).alias(c) for c in ("loss", "acc", "macro_f1")])
 
 
