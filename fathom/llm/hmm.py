@@ -29,6 +29,8 @@ LOOKUP = 1 << 18
 ITERATIONS = 4
 #: Longer training sequences are worked on in blocks of so many tokens, with what crosses their borders carried over.
 SEGMENT = 512
+#: Training tokens that one task counts over, at least where there are tasks for all cores: each sends up to WORDS + CLASSES rows of sums.
+TASK_TOKENS = 1 << 24
 #: Steps after which products are scaled; no product of so many emissions is too small a number.
 RESCALE = 12
 PRIOR = 50.0
@@ -304,9 +306,14 @@ def expected_counts(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarr
     return gamma[: at[1]][~goes_on].sum(axis=0), moves * model.move, emissions
 
 
-def baum_welch(codes: DataFrame, unigram: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> Model:
-    """A model from the symbols of codes. Each iteration reads all of them; the sums have a row per symbol and per state."""
+def baum_welch(codes: DataFrame, unigram: np.ndarray, states: int = STATES, iterations: int = ITERATIONS, n_tokens: int = 0) -> Model:
+    """A model from the symbols of codes. Each iteration reads all of them; the sums have a row per symbol and per state.
+
+    n_tokens, as many as codes hold, sets how many tasks make sums: one for each core, or for TASK_TOKENS of them, so
+    that the rows that are shuffled don't grow with the number of files.
+    """
     spark = codes.sparkSession
+    codes = codes.coalesce(max(spark.sparkContext.defaultParallelism, -(-n_tokens // TASK_TOKENS)))
     model = first_model(unigram, states)
     size = len(unigram)
     columns = [f"s{k}" for k in range(states)]
@@ -358,7 +365,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", itera
     words = stored(vocabulary(docs.where(~held_out(id_col)), text_col), "vocabulary")
     lex = lexicon(words)
     codes = stored(encoded(docs, lex, id_col, text_col), "codes")
-    model = baum_welch(codes.where("NOT held_out"), lex.unigram, iterations=iterations)
+    model = baum_welch(codes.where("NOT held_out"), lex.unigram, iterations=iterations, n_tokens=lex.total)
     rest = codes.select("_row", F.explode("rest").alias("hash"))
     found = rest.join(words.select("hash", "n"), "hash", "left").groupBy("_row")
     found = found.agg(F.count("n").alias("_more"), F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + ADD)).alias("_log"))

@@ -560,6 +560,30 @@ def test_scores_are_those_of_a_plain_model(spark, docs):
         assert math.isclose(r.score, total, rel_tol=1e-9), r.doc_id
 
 
+def test_sums_are_made_by_few_tasks(spark, monkeypatch):
+    """Each task sends a row for every symbol it has, so their number follows the cores or the tokens, not the files; the counts are the same."""
+    r = np.random.default_rng(6)
+    data = [r.integers(0, 50, n) for n in r.integers(1, 60, 200)]
+    rows = [(np.array(s, "<u4").tobytes(),) for s in data]
+    codes = spark.createDataFrame(rows, "symbols binary").repartition(40)
+    cores, total = spark.sparkContext.defaultParallelism, sum(map(len, data))
+    unigram = np.full(50, 1 / 50)
+    start, moves, emissions = hmm.expected_counts(data, hmm.first_model(unigram))
+    emit = emissions + hmm.PRIOR * unigram[:, None]
+    for n, (size, most) in enumerate([(1 << 24, cores), (-(-total // 9), 9)]):
+        monkeypatch.setattr(hmm, "TASK_TOKENS", size)
+        spark.sparkContext.setJobGroup(f"sums-{n}", "sums")
+        model = hmm.baum_welch(codes, unigram, iterations=1, n_tokens=total)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup(f"sums-{n}") for s in tracker.getJobInfo(job).stageIds}
+        tasks = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+        assert tasks and max(tasks) == max(cores, most)
+        np.testing.assert_allclose(model.emit, emit / emit.sum(axis=0), rtol=1e-9)
+        np.testing.assert_allclose(model.move, (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), rtol=1e-9)
+        np.testing.assert_allclose(model.start, (start + 1) / (start + 1).sum(), rtol=1e-9)
+
+
 def test_clashing_columns_and_keys(spark):
     d = spark.createDataFrame([(1, "a b", 7, 8, "g", 5, 2), (2, None, 7, 8, "g", 5, 2), (None, "", 7, 8, "g", 5, 2)], "doc_id long, text string, shard int, slot int, _group string, _tid int, _key int")
     got = sharding.assign_shards(d, 2)
