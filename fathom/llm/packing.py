@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +34,10 @@ LARGE_SHARE = 1 / 3
 GROUPS = 64
 #: Unit of the first search for configurations.
 COARSE = 16
-#: Entries of the tokenizer's cache of words, in each Python worker: about 100 MB.
+#: Entries of the tokenizer's cache of words, in each Python worker: about 100 MB. Those that weren't met for half as many new ones are dropped.
 CACHED_WORDS = 400_000
+#: Words of more characters aren't cached.
+LONG_WORD = 64
 
 END_ID = 0
 
@@ -46,12 +48,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: The tokenizer's matches, in normalized text; none crosses white space.
-_MATCH = regex.compile(r"\p{L}+|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+")
+#: The tokenizer's matches, in normalized text with ASCII white space only; none crosses white space. Arrow's \s lacks the vertical tab.
+_MATCH = r"'(?:s|t|re|ve|m|ll|d)|\p{L}+|\p{N}|[^\s\x0b\p{L}\p{N}]+"
+#: The other white space among sure characters.
+_SPACES = r"[\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}]"
 #: Characters whose classes only the tokenizer itself judges, as it does its special strings, which begin with <|.
 _UNSURE = re.compile(r"[^\x00-\u012f\u0131-\u052f\u2000-\u2064\u20a0-\u20bf\u2122]")
-#: A longer text is worked on in parts of about this many characters, cut before a space.
-_PART = 1 << 20
+#: A longer text is worked on in parts of about this many characters, cut before a space; shorter ones are worked on together.
+_PART = 1 << 22
 
 
 # The pipeline that a tokenizer's file must declare for its matches to be looked up one by one.
@@ -61,56 +65,80 @@ _BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
 
 
 class WordTokenizer:
-    """ids of whole texts, match by match through a cache.
+    """ids of whole texts, match by match through a cache: Arrow finds the matches and which of them differ.
 
-    Texts with _UNSURE characters or special strings go through the tokenizer
+    New matches, which are normalized, are mapped to bytes and go to the file's model
+    by themselves. Texts with _UNSURE characters or special strings go through the tokenizer
     whole; so do all texts where its file declares another pipeline.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.to_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.space = self.to_bytes(" ")[0][0]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as file:
             declared = json.load(file)
         split = declared.get("pre_tokenizer") or {}
         specials = [t["content"] for t in declared.get("added_tokens") or []]
         self.by_match = declared.get("normalizer") == _NORMALIZER and split.get("pretokenizers") == [_SPLIT, _BYTES] and all(s.startswith("<|") for s in specials)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _matches(self, text: str) -> list[str]:
+        self.by_match = self.by_match and not declared.get("truncation") and not declared.get("padding")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        ids, ends = [], []
+        for lo in range(0, len(words), 10_000):
+            ((mapped, _),) = self.to_bytes(" ".join(words[lo : lo + 10_000]))
+            for word in mapped.split(self.space):
+                ids += [token.id for token in self.model.tokenize(word)]
+                ends.append(4 * len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _joined(self, parts: list[str]) -> list[bytes]:
         # The tokenizer's lower case knows no final sigma.
-        return _MATCH.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
-
-    def _joined(self, parts: list[list[str]]) -> list[bytes]:
-        different = set().union(*parts)
-        if new := [m for m in different if m not in self.known]:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-                new = list(different)
-            self.known.update(zip(new, self._encode(new), strict=True))
-        return [b"".join(map(self.known.__getitem__, matches)) for matches in parts]
+        lower = [unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower() for part in parts]
+        spaced = pc.replace_substring_regex(pa.array(lower, pa.string()), _SPACES, " ")
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(spaced, _MATCH, r"\0 "))
+        matches = lists.flatten().dictionary_encode()
+        different = matches.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > CACHED_WORDS // 2:
+            self.known, self.older = {}, self.known
+        self.known[""] = b""
+        self.known.update({m: self.older[m] for m in different if m not in self.known and m in self.older})
+        new = [m for m in different if m not in self.known]
+        self.known.update(zip(new, self._encode(new), strict=True))
+        ids = list(map(self.known.__getitem__, different))
+        for m in new:
+            if len(m) > LONG_WORD:
+                del self.known[m]
+        at, of = lists.offsets.to_numpy().tolist(), matches.indices.to_numpy().tolist()
+        return [b"".join(map(ids.__getitem__, of[lo:hi])) for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
         return self.batch([text])[0]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; new words of short texts are looked up together."""
+        """The ids of each text; short texts are worked on together."""
         out: list[list[bytes]] = [[] for _ in texts]
         waiting, owners, size = [], [], 0
         for i, text in enumerate(texts):
             if not self.by_match or "<|" in text or _UNSURE.search(text):
-                out[i] = self._encode([text])
+                out[i] = [self._whole(text)]
                 continue
             lo = 0
             while lo < len(text):
                 hi = text.find(" ", lo + _PART)
                 hi = len(text) if hi < 0 else hi
-                waiting.append(self._matches(text[lo:hi]))
+                waiting.append(text[lo:hi])
                 owners.append(i)
                 size += hi - lo
                 lo = hi
@@ -144,7 +172,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = word_tokenizer(path)
         end = np.array([END_ID], "<u4").tobytes()
-        for part in by_bytes(batches, 1, 2 << 20):
+        for part in by_bytes(batches, 1):
             of, start, ids = [], [], []
             for i, own in enumerate(tokenize.batch([text or "" for text in part.column(1).to_pylist()])):
                 own += end

@@ -144,6 +144,28 @@ def test_word_cache_agrees_with_the_tokenizer():
         assert np.frombuffer(cached(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_words_that_recur_are_encoded_once(monkeypatch):
+    """Common words outlive a full cache, long ones aren't kept, and the ids stay those of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 400)
+    monkeypatch.setattr(packing, "_PART", 300)
+    plain, cached = Tokenizer.from_file(packing.default_tokenizer()), packing.WordTokenizer(packing.default_tokenizer())
+    asked, encode = collections.Counter(), cached._encode
+    monkeypatch.setattr(cached, "_encode", lambda words: asked.update(words) or encode(words))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = ["".join(letters[n // 26**k % 26] for k in range(4)) + "q" for n in range(3000)]
+    texts = []
+    for n in range(0, 3000, 20):
+        own = [w + ("" if k % 3 else "!?,.é'S"[k % 7]) for k, w in enumerate(rare[n : n + 20])]
+        texts.append(" \t\n\r\x0b\x0c\xa0\x85\u2003"[n // 20 % 9].join(["The", *own, "COMMON,", "word" * 30, "e\u0301t\u00e9", "\u0301x", "\u039f\u03a3"]))
+    for text in texts:
+        assert np.frombuffer(cached(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert {w: asked[w] for w in ("the", "common", ",", "ét\u00e9", "\u03bf\u03c3")} == dict.fromkeys(("the", "common", ",", "ét\u00e9", "\u03bf\u03c3"), 1)
+    assert len(cached.known) <= 500 and "word" * 30 not in cached.known
+    assert cached.batch([" ", "", "\n\n"]) == [b""] * 3
+
+
 def test_counts_of_the_quality_rules():
     texts = [t or "" for t in base_texts()] + ["a b\na b\n\n\na b", "x # $ |", "p q r s t u v w x p q r s t u v w y"]
     got = quality.rule_counts([t.encode() for t in texts])
