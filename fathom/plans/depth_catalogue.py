@@ -27,8 +27,9 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, pos, h, w, depth."""
     d = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).cast("long").alias("frame"), (F.col("vec_id") % 4).alias("q"), "vec_id", "embedding")
     raw = F.transform("embedding", lambda e, i: F.when((F.col("vec_id") * 7 + i * 3) % 37 == 0, 0).otherwise(1500 + F.floor(e.cast("double") * 1000)).cast("int"))
+    # get(), as Spark may evaluate depth of a frame with too few quadrants before it is dropped.
     d = d.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("q", raw.alias("raw")))).alias("x")).where(F.size("x") == 4)
-    row = lambda r: F.concat(*[F.slice(F.col("x")[side + F.floor(r / 8).cast("int") * 2]["raw"], (r % 8) * 8 + 1, 8) for side in (0, 1)])
+    row = lambda r: F.concat(*[F.slice(F.get("x", side + F.floor(r / 8).cast("int") * 2)["raw"], (r % 8) * 8 + 1, 8) for side in (0, 1)])
     depth_of = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), row))
     return d.select((F.col("frame") % 3).alias("session"), F.floor(F.col("frame") / 3).cast("int").alias("pos"), F.lit(16).alias("h"), F.lit(16).alias("w"), depth_of.alias("depth"))
 
