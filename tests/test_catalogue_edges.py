@@ -25,6 +25,6 @@ def three_and_a_half(spark, sf_dir, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["measured_distance", "spread_tolerance"])
+@pytest.mark.parametrize("name", ["measured_distance", "spread_tolerance", "temporal_std"])
 def test_a_frame_with_too_few_quadrants_is_left_out(spark, three_and_a_half, name):
     same_rows(spark, name, three_and_a_half)
