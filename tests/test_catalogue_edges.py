@@ -28,3 +28,10 @@ def three_and_a_half(spark, sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", ["measured_distance", "spread_tolerance", "temporal_std"])
 def test_a_frame_with_too_few_quadrants_is_left_out(spark, three_and_a_half, name):
     same_rows(spark, name, three_and_a_half)
+
+
+@pytest.mark.parametrize("first", [22, 92])
+def test_halves_in_the_notes_of_a_fit_are_rounded_up(spark, sf_dir, tmp_path, first):
+    window = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(f"vec_id BETWEEN {first} AND {first} + 239")
+    window.withColumn("vec_id", window.vec_id - first).write.parquet(f"{tmp_path}/embeddings.parquet")
+    same_rows(spark, "fit_state", str(tmp_path))
