@@ -19,6 +19,8 @@ from fathom.streaming import live
 
 SCALE = 0.0001
 PARAMS = Params(out_size=5, expected_distance_m=0.16, search_band_m=0.01, clip_mm=12.0, deform_clip_mm=6.0, roi_margin=1.0, min_relief_mm=0.5, coverage_thresh=0.3)
+#: The side of a frame's quadrants.
+QUADRANT = 8
 #: Frames that a session is fitted on.
 REFERENCE = 20
 
@@ -112,7 +114,7 @@ def reference_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {FIT} SELECT session, pos, (v * {SIZE} + u)::INT AS cell, floor(mm * 1e4 + 1 / 3.0::DOUBLE)::BIGINT AS mm FROM relative")
 def relative_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, states = fitted(spark, sf_dir)
-    d = preprocess.transform(raw, states, PARAMS, SCALE)
+    d = preprocess.transform(raw, states, PARAMS, SCALE, QUADRANT)
     return d.select("session", F.col("pos").cast("long").alias("pos"), F.posexplode("rel").alias("cell", "mm")).withColumn("mm", steps("mm"))
 
 
