@@ -140,7 +140,7 @@ def session_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inputs(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     raw, states = fitted(spark, sf_dir)
-    d = preprocess.transform(raw, states, PARAMS, SCALE).select("session", "pos", "rel")
+    d = preprocess.transform(raw, states, PARAMS, SCALE, QUADRANT).select("session", "pos", "rel")
     d = d.join(F.broadcast(states.select("session", "reference_image")), "session")  # three sessions
     x = preprocess.model_input(F.col("rel"), mode, PARAMS, F.col("reference_image") if mode == "deform" else None)
     d = d.select("session", F.col("pos").cast("long").alias("pos"), x.alias("x"))
