@@ -44,10 +44,12 @@ def pooled(x: np.ndarray, grid: int) -> np.ndarray:
     """
     edges = np.arange(grid) * x.shape[2] // grid
     sizes = np.diff(np.append(edges, x.shape[2]))
-    blocks = np.add.reduceat(np.add.reduceat(x.astype(np.float64), edges, axis=2), edges, axis=3) / np.outer(sizes, sizes)
+    sums = np.add.reduceat(np.add.reduceat(x.astype(np.float64), edges, axis=2), edges, axis=3)
+    # One division by all pixels: a mean of means would round more than once.
+    mean = lambda part: part.sum(axis=0) / (len(part) * np.outer(sizes, sizes))
     half = x.shape[1] // 2
-    change = blocks[0, half:].mean(axis=0) - blocks[0, :half].mean(axis=0) if half else np.zeros((grid, grid))
-    return np.concatenate([blocks[0].mean(axis=0).ravel(), change.ravel(), blocks[1].mean(axis=0).ravel()])
+    change = mean(sums[0, half:]) - mean(sums[0, :half]) if half else np.zeros((grid, grid))
+    return np.concatenate([mean(sums[0]).ravel(), change.ravel(), mean(sums[1]).ravel()])
 
 
 def clip_features(samples: DataFrame, side: int, grid: int = 4) -> DataFrame:

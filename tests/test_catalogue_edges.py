@@ -1,8 +1,10 @@
 """Catalogue queries against their SQL on tables of odd sizes and values."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from fathom.operators import training
 from fathom.plans import catalogue, depth_catalogue  # noqa: F401
 
 
@@ -51,3 +53,12 @@ def borders(spark, sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", ["relative_frame", "absolute_input", "face_coverage"])
 def test_floats_at_borders_of_rounding_fall_as_in_the_sql(spark, borders, name):
     same_rows(spark, name, borders)
+
+
+def test_shares_of_a_clip_are_divided_once():
+    rng = np.random.default_rng(1)
+    for lost in range(1, 200):
+        mask = np.ones((16, 5, 5), np.float32)
+        mask.ravel()[rng.choice(mask.size, lost, replace=False)] = 0
+        blocks = [mask[:, r, c] for r in (slice(2), slice(2, 5)) for c in (slice(2), slice(2, 5))]
+        assert training.pooled(np.stack([mask, mask]), 2)[8:].tolist() == [int(b.sum()) / b.size for b in blocks]
