@@ -50,7 +50,7 @@ def borders(spark, sf_dir, tmp_path_factory):
     return window(spark, sf_dir, str(tmp_path_factory.mktemp("borders")), 44, 499)
 
 
-@pytest.mark.parametrize("name", ["relative_frame", "absolute_input", "face_coverage"])
+@pytest.mark.parametrize("name", ["relative_frame", "absolute_input", "face_coverage", "model_input"])
 def test_floats_at_borders_of_rounding_fall_as_in_the_sql(spark, borders, name):
     same_rows(spark, name, borders)
 
